@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingloom.functions.text import INLINE_WS, LINE_BREAK, let, strip, text_or_empty
 
@@ -94,7 +95,7 @@ def _page_text(html: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text_parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Parser form of :func:`html_to_text`, batch by batch."""
     for pages in batches:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingloom import constants as C
 from filingloom.functions import text as tx
@@ -119,7 +120,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - open_bits.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """LCS length of two space-joined token texts; null where either is null."""
     lengths = [

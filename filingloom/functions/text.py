@@ -65,7 +65,7 @@ def is_blank(col: Column) -> Column:
 def normalize_whitespace(col: Column) -> Column:
     """Single inline spaces, trimmed lines, no blank lines."""
     collapsed = F.regexp_replace(text_or_empty(col), f"{INLINE_WS}+", " ")
-    lines = F.transform(F.split(collapsed, "\n"), F.trim)
+    lines = F.transform(F.split(collapsed, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
