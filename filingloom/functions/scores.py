@@ -61,7 +61,7 @@ def occurrence_tags(tokens: Column) -> Column:
         )
 
     return tx.let(
-        F.array_sort(tokens),
+        F.sort_array(tokens),
         lambda s: F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(tag(s)),
     )
 

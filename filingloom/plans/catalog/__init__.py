@@ -1,6 +1,12 @@
 """All registered queries, by area."""
 
 from filingloom.plans.catalog.base import ORACLES, QUERIES
-from filingloom.plans.catalog import extraction, labelling, manifests  # noqa: F401, E402
+from filingloom.plans.catalog import (  # noqa: F401, E402
+    auditing,
+    evaluation,
+    extraction,
+    labelling,
+    manifests,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

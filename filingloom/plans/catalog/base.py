@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.session import load
+from filingloom.session import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,10 @@ def sql_distinct_ordered(items: str) -> str:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
 # ---- section rows from documents ------------------------------------------
 DOCS_SQL = """docs AS (
   SELECT doc_id, text, lang, source AS origin, n_chars,
@@ -111,7 +115,7 @@ DOCS_SQL = """docs AS (
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as processed section rows; two sources lack a ticker, one also a CIK."""
-    d = load(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     src, lang = F.col("source"), F.col("lang")
     number = F.lpad(F.substring(src, 4, 10), 10, "0")
     doc = F.col("doc_id").cast("string")

@@ -7,7 +7,7 @@ from filingloom.functions import html as ht
 from filingloom.functions import text as tx
 from filingloom.operators import chunks, sections
 from filingloom.plans.catalog import base as b
-from filingloom.session import load
+from filingloom.session import load, spread
 
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -30,12 +30,12 @@ FROM pages"""
 
 @b.query("html_to_text", _HTML_SQL)
 def html_to_text(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", ht.html_to_text(F.col("html")).alias("text"))
+    return spread(load(spark, sf_dir, "pages"), "page_id").select("page_id", ht.html_to_text(F.col("html")).alias("text"))
 
 
 @b.query("html_to_text_parsed", _HTML_SQL)
 def html_to_text_parsed(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select(
+    return spread(load(spark, sf_dir, "pages"), "page_id").select(
         "page_id", ht.html_to_text_parsed(F.col("html")).alias("text")
     )
 
@@ -52,7 +52,7 @@ _ITEM_SQL = """items AS (
 
 def _items(spark, sf_dir):
     """Item-structured text around each document: contents list, sections, cross references."""
-    d = load(spark, sf_dir, "documents")
+    d = b.documents(spark, sf_dir)
     text, lang, source = F.col("text"), F.col("lang"), F.col("source")
     return d.select(
         "doc_id",
@@ -143,7 +143,7 @@ FROM documents""",
 )
 def normalize_whitespace(spark, sf_dir):
     ragged = F.replace("text", F.lit(". "), F.lit(".  \t\n "))
-    return load(spark, sf_dir, "documents").select(
+    return b.documents(spark, sf_dir).select(
         "doc_id", tx.normalize_whitespace(ragged).alias("text")
     )
 
@@ -153,7 +153,7 @@ def normalize_whitespace(spark, sf_dir):
     f"SELECT doc_id, CAST(len({b.sql_words('text')}) AS BIGINT) AS tokens FROM documents",
 )
 def token_count(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return b.documents(spark, sf_dir).select(
         "doc_id", tx.word_count(F.col("text")).alias("tokens")
     )
 
@@ -174,7 +174,7 @@ chunks AS (SELECT {cols}, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s
 
 @b.query("chunk_windows", f"WITH {chunk_sql('documents', 'doc_id, source')} SELECT * FROM chunks")
 def chunk_windows(spark, sf_dir):
-    return chunks.chunk_windows(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return chunks.chunk_windows(b.documents(spark, sf_dir), "text", ["doc_id", "source"])
 
 
 @b.query(
@@ -183,7 +183,7 @@ def chunk_windows(spark, sf_dir):
 )
 def chunk_windows_small(spark, sf_dir):
     return chunks.chunk_windows(
-        load(spark, sf_dir, "documents"), "text", ["doc_id"], max_tokens=60, overlap=15, min_tokens=50
+        b.documents(spark, sf_dir), "text", ["doc_id"], max_tokens=60, overlap=15, min_tokens=50
     )
 
 
@@ -193,7 +193,7 @@ def chunk_windows_small(spark, sf_dir):
     "SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS pos, unnest(s) AS sentence FROM s",
 )
 def sentences(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return b.documents(spark, sf_dir).select(
         "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")
     )
 
@@ -204,7 +204,7 @@ def sentences(spark, sf_dir):
     f"SELECT doc_id, {b.sql_summary('s', 'text', 4)} AS summary FROM s",
 )
 def extractive_summary(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return b.documents(spark, sf_dir).select(
         "doc_id", tx.extractive_summary(F.col("text"), 4).alias("summary")
     )
 
@@ -219,7 +219,7 @@ _WORDS_BANK = ("the ", "les ", "nicht", "que ")
 )
 def keyword_sentences(spark, sf_dir):
     found = tx.keyword_sentences(tx.sentences(F.col("text")), _WORDS_BANK)
-    return load(spark, sf_dir, "documents").select("doc_id", b.joined(found).alias("hits"))
+    return b.documents(spark, sf_dir).select("doc_id", b.joined(found).alias("hits"))
 
 
 _MONEY = r"\$\s?\d[\d,]*(?:\.\d+)?"
@@ -248,6 +248,6 @@ def metric_mentions(spark, sf_dir):
     "SELECT doc_id, '- ' || array_to_string(string_split(text, chr(10)), chr(10) || '- ') AS bullets FROM documents",
 )
 def bullets(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return b.documents(spark, sf_dir).select(
         "doc_id", tx.bullets(F.split("text", "\n")).alias("bullets")
     )

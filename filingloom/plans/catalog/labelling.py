@@ -187,7 +187,7 @@ def _doc_label(key: str, sql: str, make):
 
     @b.query(key, f"{cte} SELECT doc_id, {sql} AS label FROM sents")
     def run(spark, sf_dir):
-        d = load(spark, sf_dir, "documents").select(
+        d = b.documents(spark, sf_dir).select(
             "doc_id",
             "text",
             tx.sentences(F.col("text")).alias("s"),

@@ -41,6 +41,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a table that has fewer input splits than the cluster has cores.
+
+    For tables about to go through heavy per-row text work. Large tables have
+    more splits than cores and are left alone, so this never shuffles them. To be
+    used on plain scans only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
