@@ -142,7 +142,7 @@ def baseline_answer(task: Column, text: Column, extended: bool = False) -> Colum
     """Deterministic extractive answer used where no model output exists."""
     raw = tx.text_or_empty(text)
     stripped = tx.strip(raw)
-    figures = tx.distinct_stripped(tx.find_all(raw, C.ANY_FIGURE, ignore_case=True))
+    figures = F.array_distinct(tx.find_all(raw, C.ANY_FIGURE, ignore_case=True))
     metrics = tx.let(
         figures,
         lambda f: F.when(

@@ -18,27 +18,22 @@ _SPLITTER = 134217729.0  # 2**27 + 1
 
 
 def round_half_even(x: Column, digits: int) -> Column:
-    x = x.cast("double")
     doubled = float(2 * 10**digits)
 
-    def from_product(parts: Column) -> Column:
-        value, hi = parts["x"], parts["hi"]
-        product = value * F.lit(doubled)
-        error = (hi * F.lit(doubled) - product) + (value - hi) * F.lit(doubled)
+    def rounded(v: Column) -> Column:
+        # v = hi + (v - hi), two halves whose products with a small integer are exact
+        scaled = v * F.lit(_SPLITTER)
+        hi = scaled - (scaled - v)
+        product = v * F.lit(doubled)
+        error = (hi * F.lit(doubled) - product) + (v - hi) * F.lit(doubled)
         lower = F.floor(product / 2.0).cast("double")
-        gap = (product - (lower * 2.0 + 1.0)) + error
-        odd = (lower % 2.0) != 0.0
-        up = (gap > 0.0) | ((gap == 0.0) & odd)
-        rounded = (lower + F.when(up, 1.0).otherwise(0.0)) / F.lit(doubled / 2.0)
-        plain = (F.abs(value) < 2.0**51 / doubled) & ~F.isnan(value)
-        return F.when(plain, rounded).otherwise(value)
+        above_middle = (product - (lower * 2.0 + 1.0)) + error
+        up = (above_middle > 0.0) | ((above_middle == 0.0) & ((lower % 2.0) != 0.0))
+        near = F.when(up, lower + 1.0).otherwise(lower) / F.lit(doubled / 2.0)
+        # larger values, NaN and infinities have no decimals to round
+        return F.when(F.abs(v) < 2.0**51 / doubled, near).otherwise(v)
 
-    # hi = c - (c - x) with c = x * (2**27 + 1)
-    scaled = x * F.lit(_SPLITTER)
-    return let(
-        F.struct(x.alias("x"), (scaled - (scaled - x)).alias("hi")),
-        from_product,
-    )
+    return let(x.cast("double"), rounded)
 
 
 def is_finite(x: Column) -> Column:
@@ -47,8 +42,7 @@ def is_finite(x: Column) -> Column:
 
 def finite_or_zero(x: Column) -> Column:
     """Null, text, NaN and infinities become 0.0."""
-    v = x.try_cast("double")
-    return F.when(is_finite(v), v).otherwise(F.lit(0.0))
+    return let(x.try_cast("double"), lambda v: F.when(is_finite(v), v).otherwise(F.lit(0.0)))
 
 
 def exact_mean(x: Column) -> Column:

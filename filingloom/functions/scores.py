@@ -66,33 +66,39 @@ def occurrence_tags(tokens: Column) -> Column:
     )
 
 
-def _f_measure(overlap: Column, n_pred: Column, n_ref: Column) -> Column:
-    p = overlap / n_pred
-    r = overlap / n_ref
-    zero = F.lit(0.0)
-    hit = overlap > 0
-    return F.struct(
-        F.when(hit, p).otherwise(zero).alias("precision"),
-        F.when(hit, r).otherwise(zero).alias("recall"),
-        F.when(hit, F.lit(2.0) * p * r / (p + r)).otherwise(zero).alias("f1"),
-    )
+def _f_measure(counts: Column) -> Column:
+    """Precision, recall and F1 of a struct (overlap, n_pred, n_ref)."""
+
+    def measure(c: Column) -> Column:
+        p = c["overlap"] / F.greatest(c["n_pred"], F.lit(1))
+        r = c["overlap"] / F.greatest(c["n_ref"], F.lit(1))
+        zero = F.lit(0.0)
+        hit = c["overlap"] > 0
+        return F.struct(
+            F.when(hit, p).otherwise(zero).alias("precision"),
+            F.when(hit, r).otherwise(zero).alias("recall"),
+            F.when(hit, F.lit(2.0) * p * r / (p + r)).otherwise(zero).alias("f1"),
+        )
+
+    return tx.let(counts, measure)
 
 
 def token_overlap(prediction: Column, reference: Column) -> Column:
     """Precision, recall and F1 of the token multisets; two empty texts agree."""
 
     def score(t: Column) -> Column:
-        n_pred, n_ref = F.size(t["p"]), F.size(t["r"])
         overlap = F.size(F.array_intersect(occurrence_tags(t["p"]), occurrence_tags(t["r"])))
-        both_empty = (n_pred == 0) & (n_ref == 0)
+        both_empty = (F.size(t["p"]) == 0) & (F.size(t["r"]) == 0)
         one = F.lit(1.0)
         return F.when(
             both_empty, F.struct(one.alias("precision"), one.alias("recall"), one.alias("f1"))
         ).otherwise(
             _f_measure(
-                overlap,
-                F.greatest(n_pred, F.lit(1)),
-                F.greatest(n_ref, F.lit(1)),
+                F.struct(
+                    overlap.alias("overlap"),
+                    F.size(t["p"]).alias("n_pred"),
+                    F.size(t["r"]).alias("n_ref"),
+                )
             )
         )
 
@@ -120,33 +126,31 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - open_bits.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """LCS length of two space-joined token texts; null where either is null."""
-    lengths = [
-        None if x is None or y is None else _lcs(x.split(), y.split()) for x, y in zip(a, b)
-    ]
-    return pd.Series(lengths, dtype="Int64")
+_LCS_TYPE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("overlap", "n_pred", "n_ref")]
+)
 
 
-def rouge_l_from(lcs: Column, n_pred: Column, n_ref: Column) -> Column:
-    """F-measure of the LCS; zero if either text is empty."""
-    return F.when(
-        (n_pred > 0) & (n_ref > 0) & (lcs > 0),
-        _f_measure(lcs, F.greatest(n_pred, F.lit(1)), F.greatest(n_ref, F.lit(1)))["f1"],
-    ).otherwise(F.lit(0.0))
+@F.pandas_udf(_LCS_TYPE)
+def lcs_counts(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """LCS length and token counts of two space-joined token texts; null counts as empty."""
+    rows = []
+    for p, r in zip(pred, ref):
+        a, b = (p or "").split(), (r or "").split()
+        rows.append((_lcs(a, b), len(a), len(b)))
+    return pd.DataFrame(rows, columns=["overlap", "n_pred", "n_ref"], dtype="int64")
 
 
 def rouge_l(prediction: Column, reference: Column, needed: Column | None = None) -> Column:
-    """ROUGE-L. Rows where ``needed`` is false send nothing to the Python worker."""
+    """F-measure of the longest common subsequence, zero if either text is empty.
+
+    Rows where ``needed`` is false send no text to the Python worker and give null.
+    """
     p, r = norm_answer(prediction), norm_answer(reference)
-    if needed is not None:
-        p = F.when(needed, p)
-        r = F.when(needed, r)
-    score = rouge_l_from(
-        lcs_length(p, r), tx.word_count(p), tx.word_count(r)
-    )
-    return score if needed is None else F.when(needed, score)
+    if needed is None:
+        return _f_measure(lcs_counts(p, r))["f1"]
+    counts = lcs_counts(F.when(needed, p), F.when(needed, r))
+    return F.when(needed, _f_measure(counts)["f1"])
 
 
 def _bare_numbers(col: Column) -> Column:
@@ -206,16 +210,12 @@ def _label_in_json(stripped: Column) -> Column:
     )
 
 
-def parse_label(col: Column) -> Column:
-    """Label from a JSON object if there is one, else from the wording."""
-    stripped = tx.strip(tx.text_or_empty(col))
-    low = F.lower(stripped)
-
+def _label_in_words(low: Column) -> Column:
     def position(word: str) -> Column:
         return F.nullif(F.instr(low, word), F.lit(0))
 
     first = F.least(position("positive"), position("neutral"), position("negative"))
-    worded = (
+    return (
         F.when(F.contains(low, F.lit("unsupported")), "unsupported")
         .when(F.contains(low, F.lit("not supported")), "unsupported")
         .when(F.contains(low, F.lit("supported")), "supported")
@@ -224,9 +224,17 @@ def parse_label(col: Column) -> Column:
         .when(first == position("negative"), "negative")
         .otherwise("unknown")
     )
-    # only text that starts like an object can be one: the JSON parser is skipped otherwise
-    from_object = F.when(stripped.startswith("{"), _label_in_json(stripped))
-    return F.coalesce(from_object, worded)
+
+
+def parse_label(col: Column) -> Column:
+    """Label from a JSON object if there is one, else from the wording."""
+
+    def parse(stripped: Column) -> Column:
+        # only text that starts like an object can be one: other text skips the JSON parser
+        from_object = F.when(stripped.startswith("{"), _label_in_json(stripped))
+        return F.coalesce(from_object, tx.let(F.lower(stripped), _label_in_words))
+
+    return tx.let(tx.strip(tx.text_or_empty(col)), parse)
 
 
 def classification_accuracy(prediction: Column, reference: Column) -> Column:
@@ -239,10 +247,12 @@ def classification_accuracy(prediction: Column, reference: Column) -> Column:
 def lexical_faithfulness(prediction: Column, source: Column) -> Column:
     """Share of distinct content words of the prediction that occur in the source."""
     stop = F.array(*[F.lit(w) for w in C.STOPWORDS])
-    content = F.array_except(tx.words(without_punctuation(prediction)), stop)
-    grounded = F.size(F.array_intersect(content, tx.words(without_punctuation(source))))
-    return F.when(F.size(content) == 0, F.lit(1.0)).otherwise(
-        grounded / F.greatest(F.size(content), F.lit(1))
+    found = tx.words(without_punctuation(source))
+    return tx.let(
+        F.array_except(tx.words(without_punctuation(prediction)), stop),
+        lambda content: F.when(F.size(content) == 0, F.lit(1.0)).otherwise(
+            F.size(F.array_intersect(content, found)) / F.greatest(F.size(content), F.lit(1))
+        ),
     )
 
 

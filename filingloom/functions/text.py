@@ -50,9 +50,12 @@ def plain_spaces(col: Column) -> Column:
     Texts without any, nearly all, are passed through after one search.
     """
     wide = SPACE_CHARS[6:]
-    return F.when(
-        F.regexp_like(col, F.lit(f"[{_CLASS}]")), F.translate(col, wide, " " * len(wide))
-    ).otherwise(col)
+    return let(
+        col,
+        lambda c: F.when(
+            F.regexp_like(c, F.lit(f"[{_CLASS}]")), F.translate(c, wide, " " * len(wide))
+        ).otherwise(c),
+    )
 
 
 def words(col: Column) -> Column:
@@ -128,14 +131,12 @@ def find_all(col: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.regexp_extract_all(text_or_empty(col), F.lit(flags + pattern), F.lit(0))
 
 
-def distinct_stripped(items: Column) -> Column:
-    """Trimmed, non-empty values, each once, in first-seen order."""
-    return F.array_distinct(F.filter(F.transform(items, strip), lambda v: v != ""))
-
-
 def metric_mentions(col: Column) -> Column:
-    """Money, then percentages, then magnitudes, then basis points."""
-    return distinct_stripped(
+    """Money, then percentages, then magnitudes, then basis points; each value once.
+
+    The patterns start and end with visible characters, so matches need no trimming.
+    """
+    return F.array_distinct(
         F.concat(
             find_all(col, C.MONEY),
             find_all(col, C.PERCENT),
@@ -146,8 +147,8 @@ def metric_mentions(col: Column) -> Column:
 
 
 def numeric_values(col: Column) -> Column:
-    """Money, then percentages, then magnitudes, then bare numbers."""
-    return distinct_stripped(
+    """Money, then percentages, then magnitudes, then bare numbers; each value once."""
+    return F.array_distinct(
         F.concat(
             find_all(col, C.MONEY),
             find_all(col, C.PERCENT),

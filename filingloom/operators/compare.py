@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from filingloom.functions.numbers import exact_mean, finite_or_zero, round_half_even
 
 
+DELTA_COLUMNS = ("baseline", "finetuned", "absolute_delta", "relative_delta_pct", "improved")
+
+
 def aggregate_metrics(long: DataFrame) -> DataFrame:
     """Mean of each metric overall and per task, over the rows that have it.
 
@@ -48,20 +51,28 @@ def task_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def metric_delta(baseline: Column, finetuned: Column) -> dict[str, Column]:
-    """Delta columns of one metric; unusable values count as zero."""
-    b, f = finite_or_zero(baseline), finite_or_zero(finetuned)
-    delta = round_half_even(f - b, 4)
+def with_metric_delta(df: DataFrame, baseline: Column, finetuned: Column) -> DataFrame:
+    """Adds the delta columns of two values; unusable values count as zero.
+
+    Built in steps, so that no step repeats the expressions of the one before.
+    """
+    b, f, delta = F.col("_b"), F.col("_f"), F.col("absolute_delta")
     relative = F.when(b != 0.0, delta / F.abs(F.nullif(b, F.lit(0.0))) * 100.0).otherwise(
         F.when(delta != 0.0, 100.0).otherwise(0.0)
     )
-    return {
-        "baseline": round_half_even(b, 4),
-        "finetuned": round_half_even(f, 4),
-        "absolute_delta": delta,
-        "relative_delta_pct": round_half_even(relative, 2),
-        "improved": delta > 0.0,
-    }
+    return (
+        df.withColumns({"_b": finite_or_zero(baseline), "_f": finite_or_zero(finetuned)})
+        .withColumn("absolute_delta", round_half_even(f - b, 4))
+        .withColumns(
+            {
+                "baseline": round_half_even(b, 4),
+                "finetuned": round_half_even(f, 4),
+                "relative_delta_pct": round_half_even(relative, 2),
+                "improved": delta > 0.0,
+            }
+        )
+        .drop("_b", "_f")
+    )
 
 
 def compare_metrics(
@@ -73,8 +84,8 @@ def compare_metrics(
     task key, ``keys=("task_type", "metric")`` compares per task.
     """
     keys = list(keys)
-    b = baseline.select(*keys, F.col("mean").alias("_b"), F.lit(True).alias("_in_b"))
-    f = finetuned.select(*keys, F.col("mean").alias("_f"), F.lit(True).alias("_in_f"))
+    b = baseline.select(*keys, F.col("mean").alias("_base"), F.lit(True).alias("_in_b"))
+    f = finetuned.select(*keys, F.col("mean").alias("_fine"), F.lit(True).alias("_in_f"))
     scope = F.col("task_type") if "task_type" in keys else F.lit("overall")
 
     def missing(side: str) -> Column:
@@ -82,9 +93,10 @@ def compare_metrics(
             F.lit("["), scope, F.lit("] metric '"), F.col("metric"), F.lit(f"' missing in {side}")
         )
 
-    return b.join(f, keys, "full").select(
+    both = with_metric_delta(b.join(f, keys, "full"), F.col("_base"), F.col("_fine"))
+    return both.select(
         *keys,
-        *[c.alias(n) for n, c in metric_delta(F.col("_b"), F.col("_f")).items()],
+        *DELTA_COLUMNS,
         F.when(F.col("_in_b").isNull(), missing("baseline"))
         .when(F.col("_in_f").isNull(), missing("finetuned"))
         .alias("warning"),

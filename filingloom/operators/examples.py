@@ -97,11 +97,22 @@ def filing_metadata(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "metadata",
         F.struct(
-            *[values.get(n, tx.text_or_empty(F.col(n))).alias(n) for n in METADATA_FIELDS if n in values or n in df.columns]
+            *[
+                values[n].alias(n) if n in values else tx.text_or_empty(F.col(n)).alias(n)
+                for n in METADATA_FIELDS
+                if n in values or n in df.columns
+            ]
         ),
     )
 
 
+def usable_sections(sections: DataFrame, allow: Sequence[str] | None = None) -> DataFrame:
+    """Sections that give at least one example, with their tasks in ``_tasks``."""
+    return sections.withColumn("_tasks", tasks_for_section(F.col("section"), allow)).where(
+        (F.size("_tasks") > 0) & ~tx.is_blank(F.col("text"))
+    )
+
+
 def build_examples(
     sections: DataFrame,
     keys: Sequence[str] = (),
@@ -117,11 +128,7 @@ def build_examples(
     split once per chunk, then the tasks fan out. The whole build is narrow: no
     shuffle before the sink.
     """
-    wanted = (
-        filing_metadata(sections)
-        .withColumn("_tasks", tasks_for_section(F.col("section"), allow))
-        .where((F.size("_tasks") > 0) & ~tx.is_blank(F.col("text")))
-    )
+    wanted = usable_sections(filing_metadata(sections), allow)
     chunks = chunk_windows(
         wanted, "text", [*keys, "metadata", "_tasks"], max_tokens, overlap, min_tokens
     )

@@ -11,6 +11,7 @@ from filingloom import constants as C
 from filingloom.functions import text as tx
 from filingloom.functions.numbers import exact_mean, format_fixed, format_signed, is_finite
 from filingloom.operators.ranking import rank_values
+from filingloom.session import cut_lineage
 
 # result markers, categories and takeaways (fixed values)
 IMPROVED, REGRESSED, UNCHANGED = "▲ improved", "▼ regressed", "— no change"
@@ -183,12 +184,16 @@ def qualitative_pick(pairs: DataFrame, order: str, max_examples: int = 5) -> Dat
     exact rank selection, so nothing is sorted globally. Only the union of these few
     rows is put in final order. ``order`` is a unique numeric position.
     """
-    scored = pairs.withColumns(
-        {
-            "mean_delta": mean_improvement(F.col("improvement_summary")),
-            "min_delta": min_improvement(F.col("improvement_summary")),
-            "_faithful": is_faithfulness_case(F.col("task_type"), F.col("improvement_summary")),
-        }
+    summary = F.col("improvement_summary")
+    # the narrow score table is read several times, the texts only for the final rows
+    scored = cut_lineage(
+        pairs.select(
+            order,
+            mean_improvement(summary).alias("mean_delta"),
+            min_improvement(summary).alias("min_delta"),
+            is_faithfulness_case(F.col("task_type"), summary).alias("_faithful"),
+        ),
+        "scored",
     )
     by_mean = [F.col("mean_delta").desc(), F.col(order)]
 
@@ -217,9 +222,9 @@ def qualitative_pick(pairs: DataFrame, order: str, max_examples: int = 5) -> Dat
     slot = F.when((F.col("_slot") == 4) & (F.col("_pos") > 1), 5).otherwise(F.col("_slot"))
     category = F.when(slot == 5, "additional").otherwise(F.col("category"))
     final = unique.withColumns({"_slot": slot, "category": category})
-    return final.orderBy("_slot", *by_mean).limit(max_examples).drop(
-        "_slot", "_first", "_pos", "_faithful"
-    )
+    chosen = final.orderBy("_slot", *by_mean).limit(max_examples)
+    chosen = cut_lineage(chosen.drop("_first", "_pos", "_faithful"), "picked")
+    return pairs.join(chosen, order).orderBy("_slot", *by_mean).drop("_slot")
 
 
 def _middle_row(scored: DataFrame, order: str) -> DataFrame:

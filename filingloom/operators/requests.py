@@ -206,12 +206,11 @@ def sliding_rate_limit(
         if ends is not None:
             fresh = fresh.unionByName(ends.join(changed, ["client", "piece"], "left_anti"))
         ends = cut_lineage(fresh, "limit-end")
-        carried = ends.select(
+        # the next piece starts at (piece + 1) * span; hits a window older have expired by then
+        carried = ends.withColumn("_since", (F.col("piece") + 1) * span - window).select(
             "client",
             (F.col("piece") + 1).alias("piece"),
-            F.filter(
-                "hits", lambda h: h > (F.col("piece") + 1) * span - window
-            ).alias("_carried"),
+            F.filter("hits", lambda h: h > F.col("_since")).alias("_carried"),
         )
         moved = starts.join(carried, ["client", "piece"], "left").select(
             "client",

@@ -83,16 +83,22 @@ def assign_groups(
 
 
 def split_examples(
-    examples: DataFrame, key: Column, strategy: str = "company_holdout", **options
+    examples: DataFrame,
+    key: Column,
+    strategy: str = "company_holdout",
+    groups: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Adds ``split``; all rows with one key get the same one.
 
-    Only distinct keys are ranked. Their assignment is written to the shared
+    Only distinct keys are ranked. ``groups`` may give the keys (its one column)
+    where they can be had without building the examples twice. Their assignment is written to the shared
     folder first: the planner then knows its true size and broadcasts it when it
     is below the session's threshold, so example texts are normally not shuffled.
     """
     keyed = examples.withColumn("_key", key)
-    assigned = cut_lineage(assign_groups(keyed, "_key", strategy, **options), "split-keys")
+    keys = keyed if groups is None else groups.toDF("_key")
+    assigned = cut_lineage(assign_groups(keys, "_key", strategy, **options), "split-keys")
     return keyed.join(assigned, "_key").drop("_key")
 
 

@@ -3,10 +3,12 @@
 from filingloom.plans.catalog.base import ORACLES, QUERIES
 from filingloom.plans.catalog import (  # noqa: F401, E402
     auditing,
+    comparing,
     evaluation,
     extraction,
     labelling,
     manifests,
+    serving,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

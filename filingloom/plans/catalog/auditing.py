@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from filingloom import constants as C
 from filingloom.functions import prompts as pr
 from filingloom.functions import text as tx
-from filingloom.operators import audit, splits
+from filingloom.operators import audit, examples, splits
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
 from filingloom.plans.catalog.manifests import SPLIT_SQL, split_docs
@@ -102,7 +102,9 @@ def split_examples(spark, sf_dir):
     """Examples of all documents with their company-holdout split."""
     built = built_examples(spark, sf_dir, **BANKS).withColumn("section", F.col("metadata.section"))
     key = splits.company_key(F.col("metadata.ticker"), F.col("metadata.cik"))
-    return splits.split_examples(built, key)
+    usable = examples.usable_sections(b.docs(spark, sf_dir))
+    groups = usable.select(splits.company_key(F.col("ticker"), F.col("cik")))
+    return splits.split_examples(built, key, groups=groups)
 
 
 @b.query("dataset_stats", _STATS_SQL)

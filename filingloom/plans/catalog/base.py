@@ -154,7 +154,7 @@ PAIRS_SQL = """pairs AS (
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn with the turn before it."""
-    c = load(spark, sf_dir, "conversations")
+    c = spread(load(spark, sf_dir, "conversations"), "conv_id")
     answers = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     return answers.join(before, ["conv_id", "turn"])
@@ -174,7 +174,7 @@ FIGURES_SQL = """figures AS (
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sentences with amounts per line item."""
-    li = load(spark, sf_dir, "lineitem")
+    li = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")
 
     def txt(c: Column, kind: str) -> Column:
         return c.cast(kind).cast("string")
