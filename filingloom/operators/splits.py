@@ -157,7 +157,7 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
         gid == 6, F.col("section")
     ).otherwise("all")
     zero = F.lit(0)
-    return grouped.select(
+    figures = grouped.select(
         scope.alias("scope"),
         name.alias("name"),
         "examples",
@@ -166,6 +166,14 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
         F.coalesce("min_input_length", zero).alias("min_input_length"),
         F.coalesce("max_input_length", zero).alias("max_input_length"),
     )
+    # an empty dataset still has a total: a zero row that loses against a real one
+    values = [c for c in figures.columns if c not in ("scope", "name")]
+    nothing = examples.sparkSession.range(1).select(
+        F.lit("total").alias("scope"), F.lit("all").alias("name"), *[F.lit(0).alias(c) for c in values]
+    )
+    return figures.unionByName(nothing).groupBy("scope", "name").agg(
+        *[F.max(c).alias(c) for c in values]
+    )
 
 
 def split_members(examples: DataFrame, kinds: Sequence[str] = ("company", "cik", "year")) -> DataFrame:

@@ -55,7 +55,7 @@ def sliding_limit_stream(
         out = []
         for event_id, ts in _in_time_order(frames)[["event_id", "ts_us"]].itertuples(index=False):
             out.append((key[0], event_id, ts, *admit(hits, ts, limit, window)))
-        state.update((list(hits),))
+        state.update(([int(h) for h in hits],))
         _expire_after(state, (hits[-1] if hits else 0) + window)
         yield pd.DataFrame(out, columns=[p.split()[0] for p in VERDICT_SCHEMA.split(", ")])
 
@@ -66,7 +66,7 @@ def sliding_limit_stream(
 
 def _expire_after(state: GroupState, time_us: int) -> None:
     watermark_ms = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(time_us // 1000, watermark_ms + 1))
+    state.setTimeoutTimestamp(int(max(time_us // 1000, watermark_ms + 1)))
 
 
 def fixed_limit_stream(
@@ -85,7 +85,7 @@ def fixed_limit_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        client, window_no = key
+        client, window_no = key[0], int(key[1])
         seen = state.get[1] if state.exists else 0
         rows = _in_time_order(frames)
         hit_no = range(seen + 1, seen + len(rows) + 1)
