@@ -53,17 +53,31 @@ def ordered_index(
     )
 
 
+# beyond this Spark does not limit groups before the shuffle
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def newest_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 64
 ) -> DataFrame:
     """First ``n`` rows of each group.
 
     Filtering ``row_number() <= n`` lets Spark keep only ``n`` rows per group in
     each map task before the shuffle (WindowGroupLimit), so a hot group costs
-    ``n`` rows per task, not all of its rows.
+    ``n`` rows per task, not all of its rows. For large ``n``, where Spark does
+    not do that, each group is first cut down within ``salts`` random-like parts.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+    def leading(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        numbered = rows.withColumn("_rn", F.row_number().over(w))
+        return numbered.where(F.col("_rn") <= n).drop("_rn")
+
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, "1000")):
+        plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+        df = leading(salted, [*keys, "_salt"]).drop("_salt")
+    return leading(df, keys)
 
 
 def rank_values(

@@ -247,7 +247,7 @@ def _middle_row(scored: DataFrame, order: str) -> DataFrame:
     )
     place = rank_values(tied, ["_all"], "_order", target.select("_all", "rank"))
     return scored.join(
-        place.select(F.col("value").alias("_place")),
+        cut_lineage(place.select(F.col("value").alias("_place")), "middle"),
         F.col(order).cast("double") == F.col("_place"),
         "left_semi",
     )

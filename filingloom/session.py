@@ -52,16 +52,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only when the setting is absent (tests, a laptop) is a local folder chosen
-    and recorded in the session, so that every later caller agrees on it.
+    Only where the setting is absent (tests, a laptop) is a local folder chosen,
+    one per application.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="filingloom-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="filingloom-")
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingloom.functions import text as tx
+from filingloom.session import cut_lineage
 
 CORRUPT = "_corrupt_record"
 
@@ -27,7 +28,8 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files are split between tasks, so the number is the position inside the
     input block plus the lines of earlier blocks of the file. Only the block
-    table (one row per block) is summed; lines are not shuffled to number them.
+    table (one row per block) is summed. It is written out first, so its size is
+    known and it is broadcast while small: lines are not shuffled to number them.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -44,7 +46,7 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     starts = blocks.select(
         "file", "block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    return raw.join(starts, ["file", "block"]).select(
+    return raw.join(cut_lineage(starts, "blocks"), ["file", "block"]).select(
         "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line"
     )
 
