@@ -39,9 +39,13 @@ def route_tasks(df: DataFrame, allow: Sequence[str] | None = None) -> DataFrame:
     ).withColumn("task_pos", F.col("task_pos").cast("long"))
 
 
-def check_task_type(task: Column) -> Column:
+def is_task_type(task: Column, known: Sequence[str] = C.TASK_TYPES) -> Column:
+    return F.coalesce(task.isin(*known), F.lit(False))
+
+
+def check_task_type(task: Column, known: Sequence[str] = C.TASK_TYPES) -> Column:
     """The task type itself; an unknown one raises."""
-    return F.when(task.isin(*C.TASK_TYPES), task).otherwise(
+    return F.when(is_task_type(task, known), task).otherwise(
         F.raise_error(F.concat(F.lit("Unknown task_type "), F.coalesce(task, F.lit("null"))))
     )
 

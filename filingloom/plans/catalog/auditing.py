@@ -10,19 +10,26 @@ from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
 from filingloom.plans.catalog.manifests import SPLIT_SQL, split_docs
 from filingloom.session import load
+from filingloom.sources import filings as fl
 
 
 @b.query(
     "company_key",
-    f"""WITH {b.DOCS_SQL} SELECT doc_id, upper(coalesce(nullif(ticker, ''), nullif(cik, ''), 'UNK')) AS company,
-  substring(filing_date, 1, 4) AS year_key FROM docs""",
+    f"""WITH {b.DOCS_SQL} SELECT doc_id, upper(coalesce(nullif(ticker, ''), nullif(cik, ''), 'UNK')) AS company FROM docs""",
 )
 def company_key(spark, sf_dir):
-    return b.docs(spark, sf_dir).select(
-        "doc_id",
-        splits.company_key(F.col("ticker"), F.col("cik")).alias("company"),
-        splits.year_key(F.substring("filing_date", 1, 4)).alias("year_key"),
-    )
+    key = splits.company_key(F.col("ticker"), F.col("cik"))
+    return b.docs(spark, sf_dir).select("doc_id", key.alias("company"))
+
+
+@b.query(
+    "year_key",
+    f"""WITH {b.FILINGS_SQL} SELECT o_orderkey, CASE WHEN filing_date = '' THEN '' ELSE CAST(CAST(substring(filing_date, 1, 4) AS INTEGER) AS VARCHAR) END AS year_key FROM filings""",
+)
+def year_key(spark, sf_dir):
+    """The filing year as text, empty where there is none."""
+    key = splits.year_key(fl.filing_year(F.col("filing_date")))
+    return b.filings(spark, sf_dir).select("o_orderkey", key.alias("year_key"))
 
 
 @b.query(

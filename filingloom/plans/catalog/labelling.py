@@ -238,10 +238,9 @@ _doc_label(
 )
 def task_type_check(spark, sf_dir):
     """Event types checked against a supplied list of known types."""
-    known = F.col("event_type").isin("click", "view", "purchase")
-    return load(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("task_type"), known.alias("known")
-    )
+    task = F.col("event_type")
+    known = examples.is_task_type(task, ("click", "view", "purchase"))
+    return load(spark, sf_dir, "events").select("event_id", task.alias("task_type"), known.alias("known"))
 
 
 @b.query(

@@ -9,7 +9,8 @@ from filingloom.operators import requests as rq
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.auditing import loss_history
 from filingloom.plans.catalog.comparing import _sql_fixed
-from filingloom.session import load
+from filingloom.session import load, scratch_dir
+from filingloom.streaming import limits
 
 _REQ_SQL = """req AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS client, event_type AS endpoint, event_type <> 'error' AS ok, value AS latency_s, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens FROM events)"""
 
@@ -126,17 +127,17 @@ def training_rows(spark, sf_dir):
 _DAY = 86_400
 
 
-@b.query(
-    "sliding_rate_limit",
-    f"""WITH RECURSIVE {_REQ_SQL},
+_SLIDING_SQL = f"""WITH RECURSIVE {_REQ_SQL},
 line AS (SELECT client, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS i FROM req),
 walk AS (
   SELECT client, 0::BIGINT AS i, 0::BIGINT AS event_id, 0::BIGINT AS t, []::BIGINT[] AS live, []::BIGINT[] AS hits, true AS allowed FROM (SELECT DISTINCT client FROM line)
   UNION ALL
   SELECT client, i, event_id, t, live, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3 FROM (
     SELECT l.client, l.i, l.event_id, l.t, list_filter(w.hits, lambda h: h > l.t - {_DAY}000000) AS live FROM walk w JOIN line l ON l.client = w.client AND l.i = w.i + 1))
-SELECT client, event_id, allowed, CASE WHEN allowed THEN 3 - len(hits) ELSE 0 END AS remaining, (hits[1] + {_DAY}000000 - t) // 1000000 + 1 AS reset_seconds FROM walk WHERE i > 0""",
-)
+SELECT client, event_id, allowed, CASE WHEN allowed THEN 3 - len(hits) ELSE 0 END AS remaining, (hits[1] + {_DAY}000000 - t) // 1000000 + 1 AS reset_seconds FROM walk WHERE i > 0"""
+
+
+@b.query("sliding_rate_limit", _SLIDING_SQL)
 def sliding_rate_limit(spark, sf_dir):
     """Three requests per rolling day; pieces of four days run in parallel."""
     return rq.sliding_rate_limit(
@@ -144,11 +145,11 @@ def sliding_rate_limit(spark, sf_dir):
     ).select("client", "event_id", "allowed", "remaining", "reset_seconds")
 
 
-@b.query(
-    "fixed_window_limit",
-    f"""WITH {_REQ_SQL}, w AS (SELECT client, event_id, epoch_us(ts) // {_DAY}000000 AS window_no, row_number() OVER (PARTITION BY client, epoch_us(ts) // {_DAY}000000 ORDER BY ts, event_id) AS hit_no FROM req)
-SELECT client, event_id, window_no, hit_no, hit_no <= 2 AS allowed, greatest(2 - hit_no, 0) AS remaining FROM w""",
-)
+_FIXED_SQL = f"""WITH {_REQ_SQL}, w AS (SELECT client, event_id, epoch_us(ts) // {_DAY}000000 AS window_no, row_number() OVER (PARTITION BY client, epoch_us(ts) // {_DAY}000000 ORDER BY ts, event_id) AS hit_no FROM req)
+SELECT client, event_id, window_no, hit_no, hit_no <= 2 AS allowed, greatest(2 - hit_no, 0) AS remaining FROM w"""
+
+
+@b.query("fixed_window_limit", _FIXED_SQL)
 def fixed_window_limit(spark, sf_dir):
     """Two requests per calendar day."""
     return rq.fixed_window_limit(_requests(spark, sf_dir), limit=2, window_seconds=_DAY).select(
@@ -156,12 +157,12 @@ def fixed_window_limit(spark, sf_dir):
     )
 
 
-@b.query(
-    "request_log",
-    f"""SELECT 'r-' || CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, '/v1/' || event_type AS path,
+_LOG_SQL = f"""SELECT 'r-' || CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, '/v1/' || event_type AS path,
   CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS BIGINT) AS status_code, {b.sql_round('value * 1000.0::DOUBLE', 2)} AS latency_ms, 'host' || CAST(user_id AS VARCHAR) AS client_host,
-  CASE WHEN event_type = 'click' THEN NULL ELSE 'agent' END AS user_agent, CASE WHEN event_type = 'view' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS input_chars FROM events""",
-)
+  CASE WHEN event_type = 'click' THEN NULL ELSE 'agent' END AS user_agent, CASE WHEN event_type = 'view' THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS input_chars FROM events"""
+
+
+@b.query("request_log", _LOG_SQL)
 def request_log(spark, sf_dir):
     return rq.request_log(raw_requests(load(spark, sf_dir, "events")))
 
@@ -181,6 +182,66 @@ def raw_requests(events):
     )
 
 
+def _event_stream(spark, sf_dir):
+    """The events table as a stream of files, at most 64 per micro-batch."""
+    folder = sf_dir.rstrip("/")
+    stream = (
+        spark.readStream.schema(spark.read.parquet(f"{folder}/events.parquet").schema)
+        .option("maxFilesPerTrigger", 64)
+        # a stream wants a folder unless the path is a glob; the table may be either
+        .parquet(f"{folder}/event[s].parquet")
+    )
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run_stream(spark, df, label: str):
+    """Runs a stream over all files that are there, to Parquet, and reads the result."""
+    out = scratch_dir(spark, label)
+    query = (
+        df.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_dir(spark, f"{label}-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@b.query("request_log_stream", _LOG_SQL)
+def request_log_stream(spark, sf_dir):
+    """The request log written by a stream."""
+    return _run_stream(spark, rq.request_log(raw_requests(_event_stream(spark, sf_dir))), "log")
+
+
+def _request_stream(spark, sf_dir):
+    return _event_stream(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("client"), "event_id", "ts"
+    )
+
+
+@b.query("sliding_rate_limit_stream", _SLIDING_SQL)
+def sliding_rate_limit_stream(spark, sf_dir):
+    """The rolling budget kept as stream state; files must arrive in time order."""
+    verdicts = limits.sliding_limit_stream(
+        _request_stream(spark, sf_dir), limit=3, window_seconds=_DAY, lateness="2 days"
+    )
+    return _run_stream(spark, verdicts, "sliding").select(
+        "client", "event_id", "allowed", "remaining", "reset_seconds"
+    )
+
+
+@b.query("fixed_window_limit_stream", _FIXED_SQL)
+def fixed_window_limit_stream(spark, sf_dir):
+    """The fixed-window counter kept as stream state; files must arrive in time order."""
+    verdicts = limits.fixed_limit_stream(
+        _request_stream(spark, sf_dir), limit=2, window_seconds=_DAY, lateness="2 days"
+    )
+    return _run_stream(spark, verdicts, "fixed").select(
+        "client", "event_id", "window_no", "hit_no", "allowed", "remaining"
+    )
+
+
 @b.query(
     "client_pseudonym",
     """SELECT event_id, CASE event_type WHEN 'click' THEN 'key:' || substring(sha256('k' || CAST(user_id AS VARCHAR)), 1, 16)

@@ -27,6 +27,8 @@ def build_session(app: str = "filingloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # texts are long: fewer rows per Arrow batch keep Python workers small
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         **conf,
     }
     for key, value in settings.items():

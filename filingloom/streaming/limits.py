@@ -15,7 +15,7 @@ from filingloom import constants as C
 from filingloom.operators.requests import VERDICT_SCHEMA, admit, request_log
 
 _HITS = "hits array<bigint>"
-_COUNTER = "window_no bigint, hit_no bigint"
+_COUNTERS = "windows array<bigint>, counts array<bigint>"
 FIXED_SCHEMA = (
     "client string, event_id bigint, ts_us bigint, window_no bigint, hit_no bigint, "
     "allowed boolean, remaining bigint"
@@ -75,36 +75,31 @@ def fixed_limit_stream(
     window_seconds: int = C.WINDOW_SECONDS,
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Streaming form of the fixed-window counter, keyed by client and window."""
+    """Streaming form of the fixed-window counter.
+
+    The state of a client is the counts of its windows that are still open, that
+    is, not yet behind the watermark.
+    """
     window = window_seconds * 1_000_000
-    timed = _timed(requests, lateness).withColumn(
-        "window_no", F.floor(F.col("ts_us") / F.lit(window)).cast("long")
-    )
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        client, window_no = key[0], int(key[1])
-        seen = state.get[1] if state.exists else 0
-        rows = _in_time_order(frames)
-        hit_no = range(seen + 1, seen + len(rows) + 1)
-        state.update((window_no, seen + len(rows)))
-        _expire_after(state, (window_no + 1) * window)
-        yield pd.DataFrame(
-            {
-                "client": client,
-                "event_id": rows["event_id"].to_numpy(),
-                "ts_us": rows["ts_us"].to_numpy(),
-                "window_no": window_no,
-                "hit_no": list(hit_no),
-                "allowed": [n <= limit for n in hit_no],
-                "remaining": [max(0, limit - n) for n in hit_no],
-            }
-        )
+        seen = dict(zip(*state.get)) if state.exists else {}
+        out = []
+        for event_id, ts in _in_time_order(frames)[["event_id", "ts_us"]].itertuples(index=False):
+            window_no = ts // window
+            hit_no = seen[window_no] = seen.get(window_no, 0) + 1
+            out.append((key[0], event_id, ts, window_no, hit_no, hit_no <= limit, max(0, limit - hit_no)))
+        watermark = state.getCurrentWatermarkMs() * 1000
+        still_open = {w: n for w, n in seen.items() if (w + 1) * window > watermark}
+        state.update(([int(w) for w in still_open], [int(n) for n in still_open.values()]))
+        _expire_after(state, (max(seen) + 1) * window)
+        yield pd.DataFrame(out, columns=[p.split()[0] for p in FIXED_SCHEMA.split(", ")])
 
-    return timed.groupBy("client", "window_no").applyInPandasWithState(
-        count, FIXED_SCHEMA, _COUNTER, "append", GroupStateTimeout.EventTimeTimeout
+    return _timed(requests, lateness).groupBy("client").applyInPandasWithState(
+        count, FIXED_SCHEMA, _COUNTERS, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
