@@ -7,6 +7,7 @@ whose markup is too broken for patterns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.entities import name2codepoint
 from html.parser import HTMLParser
@@ -59,16 +60,25 @@ def tidy_lines(col: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+# an element that is never closed runs to the end of the page
+_HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_COMMENT = r"(?s)<!--.*?-->"
+# a quoted attribute may contain '>'; a second look takes tags with unbalanced quotes
+_TAG = r"<[!/?A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_LOOSE_TAG = r"<[!/?A-Za-z][^>]*>"
+
+
 def html_to_text(col: Column) -> Column:
     """Readable text of a page: no scripts, styles, comments or tags."""
-    bare = F.regexp_replace(
-        text_or_empty(col), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "\n"
-    )
-    bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "\n")
-    bare = F.regexp_replace(bare, r"<[!/?A-Za-z][^>]*>", "\n")
+    bare = text_or_empty(col)
+    for pattern in (_HIDDEN, _COMMENT, _TAG, _LOOSE_TAG):
+        bare = F.regexp_replace(bare, pattern, "\n")
     return tidy_lines(decode_entities(bare))
 
 
+_UNFINISHED_NAME = re.compile(r"&(?=[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;]))")
+
+
 class _TextCollector(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -89,7 +99,8 @@ class _TextCollector(HTMLParser):
 
 def _page_text(html: str | None) -> str:
     collector = _TextCollector()
-    collector.feed(html or "")
+    # a named reference needs its semicolon, as in the column form
+    collector.feed(_UNFINISHED_NAME.sub("&amp;", html or ""))
     collector.close()
     lines = (" ".join(line.split()) for line in "\n".join(collector.blocks).splitlines())
     return "\n".join(line for line in lines if line)

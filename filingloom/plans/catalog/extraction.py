@@ -18,9 +18,9 @@ def _sql_unescape(t: str) -> str:
     return t
 
 
-_BARE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'),
-  '(?s)<!--.*?-->', chr(10), 'g'), '<[!/?A-Za-z][^>]*>', chr(10), 'g')"""
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)', chr(10), 'g'), '(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)', chr(10), 'g'),
+  '(?s)<!--.*?-->', chr(10), 'g'), '<[!/?A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>', chr(10), 'g'), '<[!/?A-Za-z][^>]*>', chr(10), 'g')"""
 
 _HTML_SQL = rf"""
 SELECT page_id, array_to_string(list_filter(list_transform(string_split({_sql_unescape(_BARE)}, chr(10)),

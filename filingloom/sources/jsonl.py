@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from filingloom.functions import text as tx
 from filingloom.session import cut_lineage
 
-CORRUPT = "_corrupt_record"
-
 
 def line_kind(line: Column) -> Column:
     """``blank``, ``bad`` (not JSON), ``other`` (JSON but no object) or ``object``."""
@@ -52,17 +50,12 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Lenient policy: malformed lines and JSON that is no object are skipped."""
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = (
-        spark.read.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Lenient policy: malformed lines and JSON that is no object are skipped.
+
+    A field whose value does not fit the schema is null; its row stays.
+    """
+    lines = spark.read.text(path).where(line_kind(F.col("value")) == "object")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

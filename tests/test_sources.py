@@ -19,6 +19,8 @@ def lines_file(tmp_path):
 def test_lenient_read_keeps_objects_only(spark, lines_file):
     rows = jsonl.read_objects(spark, lines_file, "id int, t string").collect()
     assert sorted((r.id, r.t) for r in rows) == [(1, "x"), (2, None), (3, None)]
+    assert jsonl.read_objects(spark, lines_file, "id int").count() == 3
+    assert jsonl.read_objects(spark, lines_file, "t int").count() == 3
 
 
 def test_audit_counts_lines_with_blank_ones(spark, lines_file):

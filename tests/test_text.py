@@ -126,6 +126,11 @@ def test_html_to_text(one, form):
     assert one(form, PAGE) == "Item 1. Business\nWe sell\nR&D\n— A © &unknown;\nnext"
 
 
+@pytest.mark.parametrize("form", [ht.html_to_text, ht.html_to_text_parsed])
+def test_html_with_open_ends(one, form):
+    assert one(form, '<p title="a>b">kept</p>R&amp D<script>var x = "<b>never closed";') == "kept\nR&amp D"
+
+
 def test_html_of_nothing(one):
     assert one(ht.html_to_text, None) == ""
     assert one(ht.html_to_text, "plain < text & more") == "plain < text & more"
