@@ -86,16 +86,17 @@ def rank_values(
     value: str,
     ranks: DataFrame,
     rank: str = "rank",
-    levels: int = 2,
+    small: int = 100_000,
     cells: int = 4096,
 ) -> DataFrame:
     """Value at given 1-based ranks of the ascending order, exactly.
 
     ``ranks`` has one row per wanted (keys, rank) and any further columns; the
-    result adds ``value`` and ``below`` (rows smaller than that value). Each level
-    cuts the value range that still holds the rank into ``cells`` equal cells,
-    counts them, and keeps the one cell that contains the rank. The last step
-    counts equal values inside that cell. Ties and hot keys only change counts.
+    result adds ``value`` and ``below`` (rows smaller than that value). While a
+    range that holds a rank has more than ``small`` rows, it is cut into ``cells``
+    equal cells, the cells are counted, and the one with the rank is kept, narrowed
+    to the values found in it. The last step counts equal values inside the final
+    ranges. Ties and hot keys only change counts.
 
     The table of open ranks is written out between levels. Its real size is then
     known to the planner, which broadcasts it below the session's threshold (so
@@ -103,10 +104,13 @@ def rank_values(
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = base.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_size")
+    )
     todo = ranks.withColumn("_id", F.col(rank)).join(span, keys)
     todo = cut_lineage(todo.withColumn("_below", F.lit(0).cast("long")), "ranks")
-    for _ in range(levels):
+    open_range = (F.col("_size") > small) & (_clip(F.col("_lo")) < _clip(F.col("_hi")))
+    while not todo.where(open_range).isEmpty():
         cell = _cell(F.col("_v"), F.col("_lo"), F.col("_hi"), cells)
         todo = cut_lineage(_containing_step(base, todo, keys, rank, cell), "ranks")
     hit = _containing_step(base, todo, keys, rank, F.col("_v"))
@@ -115,9 +119,22 @@ def rank_values(
     )
 
 
+_LARGEST = 1.7976931348623157e308
+
+
+def _clip(v: Column) -> Column:
+    """Infinities and NaN (which Spark orders last) as the largest finite values."""
+    return F.greatest(F.least(v, F.lit(_LARGEST)), F.lit(-_LARGEST))
+
+
 def _cell(v: Column, lo: Column, hi: Column, cells: int) -> Column:
+    v, lo, hi = _clip(v), _clip(lo), _clip(hi)
+    # the width of a range of huge values may overflow; halves of huge values are exact
+    share = F.when(hi - lo <= _LARGEST, (v - lo) / (hi - lo)).otherwise(
+        (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    )
     return F.when(
-        hi > lo, F.least(F.floor((v - lo) / (hi - lo) * cells), F.lit(cells - 1))
+        hi > lo, F.least(F.floor(share * cells).cast("int"), F.lit(cells - 1))
     ).otherwise(F.lit(0))
 
 
@@ -139,15 +156,16 @@ def _containing_step(
     )
     upto = Window.partitionBy(*ids).orderBy("_step")
     running = counts.withColumn("_upto", F.sum("_n").over(upto))
-    kept = [c for c in todo.columns if c not in ("_lo", "_hi", "_below")]
+    kept = [c for c in todo.columns if c not in ("_lo", "_hi", "_size", "_below")]
     last = F.col("_below") + F.col("_upto")
     return (
-        running.join(todo.drop("_lo", "_hi"), ids)
+        running.join(todo.drop("_lo", "_hi", "_size"), ids)
         .where((last >= F.col(rank)) & (last - F.col("_n") < F.col(rank)))
         .select(
             *kept,
             F.col("_step_lo").alias("_lo"),
             F.col("_step_hi").alias("_hi"),
+            F.col("_n").alias("_size"),
             (last - F.col("_n")).alias("_below"),
         )
     )

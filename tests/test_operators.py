@@ -277,15 +277,18 @@ def test_faithfulness(one):
 # ---- ranking ---------------------------------------------------------------
 
 
-@pytest.mark.parametrize("levels", [1, 2])
-def test_rank_values_equal_sorting(spark, levels):
+@pytest.mark.parametrize("small", [1, 50, 100_000])
+def test_rank_values_equal_sorting(spark, small):
     rng = random.Random(5)
     rows = [("hot", rng.choice([1.0, 2.0, rng.random() * 1e6])) for _ in range(3000)]
+    rows += [("tail", x) for x in [0.1, 0.2, 0.3, 1e9, 1e18, 1e300]]
+    inf = float("inf")
+    rows += [("odd", x) for x in [inf, inf, 5e-324, 0.0, -inf, 1.7e308, inf]]
     rows += [("one", 4.5), ("same", 1.0), ("same", 1.0), ("neg", -1e300), ("neg", 1e300)]
     df = spark.createDataFrame(rows, "k string, v double")
     want = {(k, r) for k, n in Counter(k for k, _ in rows).items() for r in {1, n, (n + 1) // 2, max(1, n - 7)}}
     ranks = spark.createDataFrame(sorted(want), "k string, rank long")
-    got = ranking.rank_values(df, ["k"], "v", ranks, levels=levels, cells=16).collect()
+    got = ranking.rank_values(df, ["k"], "v", ranks, small=small, cells=64).collect()
     assert len(got) == len(want)
     for r in got:
         ordered = sorted(v for k, v in rows if k == r.k)
