@@ -13,11 +13,12 @@ from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingloom.functions.text import INLINE_WS, LINE_BREAK, let, strip, text_or_empty
+from filingloom.session import ship_package
 
 
 def _code_point(number: Column) -> Column:
@@ -107,7 +108,12 @@ def _page_text(html: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def html_to_text_parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Parser form of :func:`html_to_text`, batch by batch."""
+def _parse_pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(_page_text)
+
+
+def html_to_text_parsed(col: Column) -> Column:
+    """Parser form of :func:`html_to_text`, over Arrow batches."""
+    ship_package(SparkSession.active())
+    return _parse_pages(col)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingloom import constants as C
 from filingloom.functions import text as tx
+from filingloom.session import ship_package
 
 
 def without_punctuation(col: Column) -> Column:
@@ -146,6 +147,7 @@ def rouge_l(prediction: Column, reference: Column, needed: Column | None = None)
 
     Rows where ``needed`` is false send no text to the Python worker and give null.
     """
+    ship_package(SparkSession.active())
     p, r = norm_answer(prediction), norm_answer(reference)
     if needed is None:
         return _f_measure(lcs_counts(p, r))["f1"]

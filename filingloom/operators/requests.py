@@ -13,7 +13,7 @@ from filingloom import constants as C
 from filingloom.functions import text as tx
 from filingloom.functions.numbers import exact_mean, round_half_even
 from filingloom.operators.ranking import ordered_index, rank_values
-from filingloom.session import cut_lineage
+from filingloom.session import cut_lineage, ship_package
 
 PERCENTILES = (50, 95, 99)
 
@@ -188,6 +188,7 @@ def sliding_rate_limit(
     exact, usually after two or three rounds that touch few pieces; the last round
     emits the verdicts.
     """
+    ship_package(requests.sparkSession)
     window = window_seconds * 1_000_000
     span = window * windows_per_piece
     events = requests.select(

@@ -13,6 +13,7 @@ from filingloom import constants as C
 from filingloom.functions import labels as lb
 from filingloom.functions import scores as sc
 from filingloom.functions import text as tx
+from filingloom.session import ship_package
 
 PREVIEW_CHARS = 200
 
@@ -30,6 +31,7 @@ def predict_batches(
 
     ``predictor`` gets a frame with ``columns`` and returns one text per row.
     """
+    ship_package(df.sparkSession)
     kept = df.columns
     wanted = list(columns)
 

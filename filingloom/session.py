@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,11 +35,33 @@ def build_session(app: str = "filingloom", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Arrow functions are found by module name on the workers, which need not share
+    the driver's folders. Helpers that use such functions call this themselves.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="filingloom-code-"), "filingloom")
+    shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(f"{archive}.zip")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; naive timestamps become session-zone timestamps (UTC)."""
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df

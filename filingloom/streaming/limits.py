@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filingloom import constants as C
 from filingloom.operators.requests import VERDICT_SCHEMA, admit, request_log
+from filingloom.session import ship_package
 
 _HITS = "hits array<bigint>"
 _COUNTERS = "windows array<bigint>, counts array<bigint>"
@@ -24,6 +25,7 @@ FIXED_SCHEMA = (
 
 def _timed(requests: DataFrame, lateness: str) -> DataFrame:
     """Watermarked (client, event_id, ts_us); events behind the watermark are dropped."""
+    ship_package(requests.sparkSession)
     return requests.withWatermark("ts", lateness).select(
         "client", "event_id", "ts", F.unix_micros("ts").alias("ts_us")
     )
