@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +99,7 @@ VERDICT_SCHEMA = (
     "remaining bigint, reset_seconds bigint"
 )
 _STATE_SCHEMA = "client string, piece bigint, hits array<bigint>"
+_OPENING = -(2**62)  # sorts before every real time
 
 
 def admit(hits: deque, now: int, limit: int, window: int) -> tuple[bool, int, int]:
@@ -116,59 +118,111 @@ def admit(hits: deque, now: int, limit: int, window: int) -> tuple[bool, int, in
     return allowed, limit - len(hits) if allowed else 0, reset
 
 
+def _walk(times: np.ndarray, hits: deque, limit: int, window: int):
+    """Runs ascending times of one client against the budget, updating ``hits``.
+
+    Returns arrays (allowed, remaining, reset_seconds). While the budget is used
+    up nothing can be admitted before the oldest hit expires, so that stretch is
+    skipped with one binary search.
+    """
+    n = len(times)
+    allowed = np.zeros(n, dtype=bool)
+    remaining = np.zeros(n, dtype="int64")
+    oldest = np.empty(n, dtype="int64")
+    plain = times.tolist()
+    i = 0
+    while i < n:
+        now = plain[i]
+        while hits and hits[0] <= now - window:
+            hits.popleft()
+        if len(hits) < limit:
+            hits.append(now)
+            allowed[i], remaining[i], oldest[i] = True, limit - len(hits), hits[0]
+            i += 1
+        else:
+            after = int(np.searchsorted(times, hits[0] + window))
+            oldest[i:after] = hits[0]
+            i = after
+    reset = np.maximum(0, oldest + window - times) // 1_000_000 + 1
+    return allowed, remaining, reset
+
+
 def _replay(frames: Iterator[pd.DataFrame], limit: int, window: int, verdicts: bool):
-    """Walk sorted rows piece by piece; a row without event_id opens a piece."""
+    """Walks sorted rows, stretch by stretch; a row without event_id opens a stretch.
+
+    Yields verdicts per frame, or the state at the end of every piece.
+    """
     current, hits = None, deque()
     for frame in frames:
-        out = []
-        for client, piece, event_id, ts, carried in zip(
-            frame["client"], frame["piece"], frame["event_id"], frame["ts_us"], frame["hits"]
-        ):
-            if (client, piece) != current:
-                if current is not None and not verdicts:
-                    out.append((*current, list(hits)))
-                current, hits = (client, piece), deque()
-            if event_id < 0:
-                hits = deque(carried)
+        clients, pieces = frame["client"].to_numpy(), frame["piece"].to_numpy()
+        blocks, times = frame["block"].to_numpy(), frame["ts_us"].to_numpy()
+        opening = frame["event_id"].to_numpy() < 0
+        n = len(frame)
+        allowed = np.zeros(n, dtype=bool)
+        remaining = np.zeros(n, dtype="int64")
+        reset = np.zeros(n, dtype="int64")
+        turn = opening[1:] | opening[:-1] | (pieces[1:] != pieces[:-1])
+        turn |= (blocks[1:] != blocks[:-1]) | (clients[1:] != clients[:-1])
+        edges = [0, *(np.flatnonzero(turn) + 1).tolist(), n]
+        ends = []
+        for start, stop in zip(edges, edges[1:]):
+            here = (clients[start], int(pieces[start]))
+            if opening[start]:
+                if current is not None:
+                    ends.append((*current, list(hits)))
+                hits = deque(int(h) for h in frame["hits"].iloc[start])
+                current = None
                 continue
-            allowed, remaining, reset = admit(hits, ts, limit, window)
-            if verdicts:
-                out.append((client, event_id, ts, allowed, remaining, reset))
-        yield out
+            if current not in (None, here):
+                ends.append((*current, list(hits)))
+            current = here
+            part = slice(start, stop)
+            allowed[part], remaining[part], reset[part] = _walk(times[part], hits, limit, window)
+        if not verdicts:
+            if ends:
+                yield pd.DataFrame(ends, columns=["client", "piece", "hits"])
+            continue
+        judged = frame[["client", "event_id", "ts_us"]].assign(
+            allowed=allowed, remaining=remaining, reset_seconds=reset
+        )
+        yield judged[~opening]
     if current is not None and not verdicts:
-        yield [(*current, list(hits))]
+        yield pd.DataFrame([(*current, list(hits))], columns=["client", "piece", "hits"])
 
 
-def _run_pieces(
-    events: DataFrame, starts: DataFrame, limit: int, window: int, verdicts: bool
+def _run_stretches(
+    events: DataFrame, openings: DataFrame, group: int, limit: int, window: int, verdicts: bool
 ) -> DataFrame:
-    """Replays pieces from their start states; rows stream through sorted partitions.
+    """Replays stretches of pieces from their opening states.
 
-    Only the pieces in ``starts`` are read.
+    A stretch is all of a client's pieces in one block of ``group`` pieces, from the
+    opening piece on. Rows stream through sorted partitions; no stretch is held in
+    memory.
     """
-    opening = starts.select(
-        "client",
-        "piece",
-        F.lit(-1).cast("long").alias("event_id"),
-        F.lit(-(2**62)).alias("ts_us"),
-        "hits",
+    block = F.floor(F.col("piece") / F.lit(group)).cast("long")
+    opened = openings.select("client", "piece", "hits", block.alias("block"))
+    starting = opened.select("client", "block", F.col("piece").alias("_from"))
+    rows = (
+        events.withColumn("block", block)
+        .join(starting, ["client", "block"])
+        .where(F.col("piece") >= F.col("_from"))
+        .withColumn("hits", F.array().cast("array<bigint>"))
     )
-    rows = events.join(starts.select("client", "piece"), ["client", "piece"], "left_semi").select(
-        "client", "piece", "event_id", "ts_us", F.array().cast("array<bigint>").alias("hits")
+    columns = ["client", "block", "piece", "event_id", "ts_us", "hits"]
+    markers = opened.withColumns(
+        {"event_id": F.lit(-1).cast("long"), "ts_us": F.lit(_OPENING)}
     )
     ordered = (
-        opening.unionByName(rows)
-        .repartition("client", "piece")
-        .sortWithinPartitions("client", "piece", "ts_us", "event_id")
+        markers.select(*columns)
+        .unionByName(rows.select(*columns))
+        .repartition("client", "block")
+        .sortWithinPartitions("client", "block", "ts_us", "event_id")
     )
-    schema = VERDICT_SCHEMA if verdicts else _STATE_SCHEMA
-    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in _replay(frames, limit, window, verdicts):
-            yield pd.DataFrame(out, columns=names)
+        yield from _replay(frames, limit, window, verdicts)
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInPandas(run, VERDICT_SCHEMA if verdicts else _STATE_SCHEMA)
 
 
 def sliding_rate_limit(
@@ -176,62 +230,92 @@ def sliding_rate_limit(
     limit: int = 60,
     window_seconds: int = C.WINDOW_SECONDS,
     windows_per_piece: int = 64,
+    rows_per_task: int = 1_000_000,
 ) -> DataFrame:
     """Verdict of every request under a rolling per-client budget.
 
-    Needs (client, event_id, ts); ties in time go by event_id. The outcome of a
-    request depends on earlier ones, so a client's timeline is a chain. To spread
-    a hot client over many tasks it is cut into pieces of a whole number of
-    windows. A piece needs only the accepted hits of the last window of the piece
-    before it: all pieces first run from an empty state, then those whose true
-    start state turns out different run again, until none changes. The result is
-    exact, usually after two or three rounds that touch few pieces; the last round
-    emits the verdicts.
+    Needs (client, event_id, ts), none of them null; ties in time go by event_id.
+    The outcome of a request depends on earlier ones, so a client's timeline is a chain, walked in
+    order. Clients with more than ``rows_per_task`` rows are cut into pieces that
+    are walked in parallel, see :func:`_piece_starts`.
     """
     ship_package(requests.sparkSession)
     window = window_seconds * 1_000_000
     span = window * windows_per_piece
-    events = requests.select(
-        F.col("client"),
-        F.col("event_id"),
-        F.unix_micros("ts").alias("ts_us"),
-    ).withColumn("piece", F.floor(F.col("ts_us") / F.lit(span)).cast("long"))
-    starts = cut_lineage(
-        events.select("client", "piece").distinct().withColumn("hits", F.array().cast("array<bigint>")),
-        "limit-start",
+    none = F.array().cast("array<bigint>")
+    events = requests.select("client", "event_id", F.unix_micros("ts").alias("ts_us"))
+    sizes = events.groupBy("client").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = cut_lineage(sizes.withColumn("_hot", F.col("_rows") > rows_per_task), "limit-clients")
+    hot = sizes.where("_hot").select("client", "_hot")
+    starts = sizes.where("NOT _hot").select("client", F.lit(0).cast("long").alias("piece"), none.alias("hits"))
+    pieced = F.floor(F.col("ts_us") / F.lit(span)).cast("long")
+    if hot.isEmpty():
+        events = events.withColumn("piece", F.lit(0).cast("long"))
+    else:
+        busy = events.join(hot, "client", "left_semi").withColumn("piece", pieced)
+        starts = starts.unionByName(_piece_starts(busy, limit, window, span))
+        events = events.join(hot, "client", "left").withColumn(
+            "piece", F.when(F.col("_hot"), pieced).otherwise(F.lit(0).cast("long"))
+        )
+    return _run_stretches(events, starts, 1, limit, window, verdicts=True).select(
+        "client",
+        "event_id",
+        F.timestamp_micros("ts_us").alias("ts"),
+        "allowed",
+        "remaining",
+        "reset_seconds",
     )
-    changed = starts
-    ends = None
+
+
+def _piece_starts(events: DataFrame, limit: int, window: int, span: int) -> DataFrame:
+    """Exact start state (client, piece, hits) of every piece of ``span`` microseconds.
+
+    A piece needs only the accepted hits of the last window of the piece before it.
+    All pieces first run from an empty state, then those whose true start state
+    turns out different run again, until none changes. Clients with pauses settle
+    at once. A client that is always at its limit passes its phase on from piece to
+    piece, so each round also joins more pieces to one stretch and the number of
+    rounds stays logarithmic.
+    """
+    keys = ["client", "piece"]
+    none = F.array().cast("array<bigint>")
+    starts = cut_lineage(events.select(*keys).distinct().withColumn("hits", none), "limit-start")
+    openings, ends, group = starts, None, 1
     while True:
-        fresh = _run_pieces(events, changed, limit, window, verdicts=False)
+        fresh = cut_lineage(
+            _run_stretches(events, openings, group, limit, window, verdicts=False), "limit-fresh"
+        )
         if ends is not None:
-            fresh = fresh.unionByName(ends.join(changed, ["client", "piece"], "left_anti"))
-        ends = cut_lineage(fresh, "limit-end")
+            fresh_and_old = fresh.unionByName(ends.join(fresh, keys, "left_anti"))
+            ends = cut_lineage(fresh_and_old, "limit-end")
+        else:
+            ends = fresh
         # the next piece starts at (piece + 1) * span; hits a window older have expired by then
         carried = ends.withColumn("_since", (F.col("piece") + 1) * span - window).select(
             "client",
             (F.col("piece") + 1).alias("piece"),
             F.filter("hits", lambda h: h > F.col("_since")).alias("_carried"),
         )
-        moved = starts.join(carried, ["client", "piece"], "left").select(
-            "client",
-            "piece",
-            F.coalesce("_carried", F.array().cast("array<bigint>")).alias("hits"),
-            F.col("hits").alias("_old"),
+        # pieces inside a stretch were run from exactly the state that is carried to them
+        inside = fresh.join(openings, keys, "left_anti").select(*keys, F.lit(True).alias("_inside"))
+        moved = starts.join(carried, keys, "left").join(inside, keys, "left")
+        moved = moved.withColumn("_new", F.coalesce("_carried", none))
+        differs = F.col("_inside").isNull() & (F.col("_new") != F.col("hits"))
+        moved = cut_lineage(
+            moved.select(*keys, F.col("_new").alias("hits"), differs.alias("_changed")), "limit-start"
         )
-        moved = cut_lineage(moved, "limit-start")
-        changed = moved.where(F.col("hits") != F.col("_old")).drop("_old")
-        starts = moved.drop("_old")
+        starts = moved.drop("_changed")
+        changed = moved.where("_changed")
         if changed.isEmpty():
-            break
-    return _run_pieces(events, starts, limit, window, verdicts=True).select(
-        "client",
-        "event_id",
-        F.timestamp_micros("ts_us").alias("ts"),
-        "allowed",
-        "remaining",
-        "reset_seconds",
-    )
+            return starts
+        group *= 8
+        first = changed.groupBy("client", F.floor(F.col("piece") / F.lit(group)).alias("_block"))
+        openings = cut_lineage(
+            first.agg(F.min("piece").alias("piece"), F.min_by("hits", "piece").alias("hits")).drop(
+                "_block"
+            ),
+            "limit-open",
+        )
 
 
 def fixed_window_limit(

@@ -139,7 +139,7 @@ SELECT client, event_id, allowed, CASE WHEN allowed THEN 3 - len(hits) ELSE 0 EN
 
 @b.query("sliding_rate_limit", _SLIDING_SQL)
 def sliding_rate_limit(spark, sf_dir):
-    """Three requests per rolling day; pieces of four days run in parallel."""
+    """Three requests per rolling day."""
     return rq.sliding_rate_limit(
         _requests(spark, sf_dir), limit=3, window_seconds=_DAY, windows_per_piece=4
     ).select("client", "event_id", "allowed", "remaining", "reset_seconds")

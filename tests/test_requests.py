@@ -38,11 +38,14 @@ def plain_sliding(rows, limit, window):
     return out
 
 
-@pytest.mark.parametrize("seed, limit, window, pieces", [(1, 3, 60, 1), (2, 5, 60, 2), (3, 1, 30, 1), (4, 8, 60, 64)])
-def test_sliding_limit_equals_plain_loop(spark, seed, limit, window, pieces):
+@pytest.mark.parametrize(
+    "seed, limit, window, pieces, per_task",
+    [(1, 3, 60, 1, 0), (2, 5, 60, 2, 200), (3, 1, 30, 1, 200), (4, 8, 60, 64, 10**6), (5, 2, 7, 1, 0)],
+)
+def test_sliding_limit_equals_plain_loop(spark, seed, limit, window, pieces, per_task):
     rows = make_requests(seed)
     df = spark.createDataFrame(rows, "client string, event_id long, ts timestamp")
-    got = rq.sliding_rate_limit(df, limit, window, windows_per_piece=pieces).collect()
+    got = rq.sliding_rate_limit(df, limit, window, pieces, per_task).collect()
     want = plain_sliding(rows, limit, window)
     assert len(got) == len(rows)
     for r in got:
