@@ -49,9 +49,13 @@ def exact_mean(x: Column) -> Column:
     """Mean that does not depend on how rows are spread over tasks.
 
     Summing doubles in a different order changes the last bits; summing fixed
-    12-decimal numbers does not.
+    12-decimal numbers does not. Values beyond their range (1e14, infinities, NaN)
+    fall back to the plain mean.
     """
-    return F.sum(x.cast("decimal(26,12)")).cast("double") / F.count(x)
+    fixed = x.try_cast("decimal(26,12)")
+    return F.when(
+        F.count(fixed) == F.count(x), F.sum(fixed).cast("double") / F.count(x)
+    ).otherwise(F.avg(x))
 
 
 def format_fixed(x: Column, decimals: int = 3) -> Column:

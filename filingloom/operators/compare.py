@@ -113,13 +113,12 @@ def regressions(comparison: DataFrame) -> DataFrame:
 
 def comparison_summary(comparison: DataFrame) -> DataFrame:
     """Counts and the signed mean of the deltas."""
-    n = F.count(F.lit(1))
-    total = F.coalesce(F.sum(F.col("absolute_delta").cast("decimal(26,12)")).cast("double"), F.lit(0.0))
+    mean = F.coalesce(exact_mean(F.col("absolute_delta")), F.lit(0.0))
     return comparison.agg(
-        n.alias("metrics_compared"),
+        F.count(F.lit(1)).alias("metrics_compared"),
         F.count_if(F.col("absolute_delta") > 0).alias("metrics_improved"),
         F.count_if(F.col("absolute_delta") < 0).alias("metrics_regressed"),
-        round_half_even(total / F.greatest(n, F.lit(1)), 4).alias("mean_absolute_delta"),
+        round_half_even(mean, 4).alias("mean_absolute_delta"),
     )
 
 

@@ -104,6 +104,17 @@ def test_rounding_keeps_values_that_are_not_numbers(one):
     assert one(nb.finite_or_zero, "1.5") == 1.5
 
 
+def test_exact_mean_of_odd_values(spark):
+    def mean(*values):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        return df.agg(nb.exact_mean(F.col("v"))).first()[0]
+
+    assert mean(0.1, 0.2, 0.3, None) == pytest.approx(0.2, abs=1e-15)
+    assert mean(1e20, 3e20) == 2e20
+    assert mean(1.0, float("inf")) == float("inf")
+    assert mean(None) is None
+
+
 @pytest.mark.parametrize("v", [0.0625, 0.1235, -0.00001, 1.0, 2.0005, 123456.7895, -0.5])
 def test_formatting_matches_c_style(one, v):
     assert one(nb.format_fixed, v) == f"{v:.3f}"
