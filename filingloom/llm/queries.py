@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, lines
-from filingloom.session import load
+from filingloom.llm import exact, lines, token_files
+from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share, dropped from all documents."""
     kept = lines.drop_frequent_lines(load(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and summed up per document."""
+    docs = load(spark, sf_dir, "documents")
+    back = token_files.token_files(spark, docs, scratch_dir(spark, "token-files"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
