@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, lines, packing, token_files
+from filingloom.llm import exact, language, lines, packing, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(load(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents that are not held out."""
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.id_remainder("doc_id", 4) == 2, F.lit(False))
+    samples = language.learn(docs.where(~held_out))
+    found = language.identify(docs, samples)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
