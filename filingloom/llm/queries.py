@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, language, lines, packing, token_files
+from filingloom.llm import exact, language, lines, packing, quality, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = language.learn(docs.where(~held_out))
     found = language.identify(docs, samples)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from labelled ones that are not held out."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = F.coalesce(language.id_remainder("doc_id", 5) == 0, F.lit(False))
+    forest = quality.learn(docs, labels.where(~held_out))
+    scored = quality.score(docs, forest)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
