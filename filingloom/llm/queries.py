@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, language, lines, packing, quality, token_files
+from filingloom.llm import exact, language, lines, packing, pivots, quality, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.93 within a label."""
+    return pivots.near_vectors(load(spark, sf_dir, "embeddings"))
