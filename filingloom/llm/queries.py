@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, language, lines, packing, pivots, quality, token_files
+from filingloom.llm import exact, language, lines, packing, pivots, quality, secrets, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.93 within a label."""
     return pivots.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: strong forms, and weak parts beside their complement."""
+    found = secrets.scan(load(spark, sf_dir, "documents"))
+    strong = {p.kind: F.filter("spans", _of_kind(p.kind)) for p in secrets.STRONG}
+    base = F.filter("spans", lambda s: s["rank"] <= len(secrets.STRONG))
+    return found.select(
+        "doc_id",
+        *[F.size(spans).cast("long").alias(f"n_{kind}") for kind, spans in strong.items()],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
