@@ -17,10 +17,12 @@ import numpy as np
 
 END_ID = 0
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: entries of each of a Python worker's caches; a full cache takes no more, until so many
-#: lookups have missed it that the text must have changed, and it starts afresh
-CACHE_ENTRIES = 500_000
-STALE_MISSES = 8 * CACHE_ENTRIES
+#: entries of a Python worker's caches: pieces behind a space, and all else; a full cache
+#: takes no more, until so many lookups have missed it that the text must have changed,
+#: and it starts afresh
+PIECE_ENTRIES = 250_000
+OTHER_ENTRIES = 50_000
+STALE_MISSES = 4_000_000
 MAX_KEPT_CHARS = 64
 
 _PRE_TOKENS = re.compile(
@@ -41,10 +43,10 @@ def default_path() -> str:
 class _Cache(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of the strings met so far."""
 
-    misses = 0
+    misses, most = 0, OTHER_ENTRIES
 
     def keep(self, key: str, ids: bytes) -> bytes:
-        if len(self) < CACHE_ENTRIES:
+        if len(self) < self.most:
             self[key] = ids
             return ids
         self.misses += 1
@@ -83,6 +85,8 @@ class _Pieces(_Cache):
 
     def __init__(self, words: _Words, lead: str):
         self.words, self.lead = words, lead
+        if lead:
+            self.most = PIECE_ENTRIES
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha() and len(piece) < MAX_KEPT_CHARS:
