@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, language, lines, packing, pivots, quality, secrets, token_files
+from filingloom.llm import exact, language, lines, ngram_join, packing, pivots, quality, secrets, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_ngram_jaccard")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by the Jaccard similarity of their word shingles."""
+    return ngram_join.similar_documents(load(spark, sf_dir, "documents"))
