@@ -93,19 +93,23 @@ class LineRuns:
         self.levels.clear()
 
 
+def _kept(raw: bytes, drop: list[bytes] | None, min_chars: int) -> tuple[int, bytes]:
+    """Lines dropped, and the text without them."""
+    if not drop:
+        return 0, raw
+    gone, parts = set(drop), raw.split(b"\n")
+    kept = [x for x, k in zip(parts, line_keys(raw, min_chars)) if k not in gone]
+    return len(parts) - len(kept), b"\n".join(kept)
+
+
 def _drop(schema: pa.Schema, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
             ids, drops = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for key, raw, drop in zip(ids, raw_bytes(batch.column(1)), drops):
-                lines, dropped = raw.count(b"\n") + 1, 0
-                if drop:
-                    gone = set(drop)
-                    keys = line_keys(raw, min_chars)
-                    kept = [x for x, k in zip(raw.split(b"\n"), keys) if k not in gone]
-                    dropped, raw = lines - len(kept), b"\n".join(kept)
-                out.add(key, lines, dropped, raw.decode(), weight=len(raw))
+                dropped, kept = _kept(raw, drop, min_chars)
+                out.add(key, raw.count(b"\n") + 1, dropped, kept.decode(), weight=len(kept))
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -113,6 +117,28 @@ def _drop(schema: pa.Schema, min_chars: int):
     return run
 
 
+def _drops(
+    docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, batches: int, fanout: int
+) -> DataFrame:
+    """``drop_id, drop``: the frequent lines of the documents that hold any."""
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
+    schema = T.StructType([T.StructField("id", kind), T.StructField("hash", T.BinaryType())])
+    hashes = staged(
+        rows.mapInArrow(_hashes(arrow_schema(schema), min_chars), schema).withColumn(
+            "batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
+        ),
+        "line-hashes",
+    )
+    store = LineRuns(docs.sparkSession, min_docs, fanout)
+    for batch in range(batches):
+        store.add(hashes.where(F.col("batch") == batch).select("hash"))
+    frequent = staged(store.frequent(), "line-frequent")
+    store.close()
+    # an id that repeats gets the frequent lines of all its rows; those go everywhere anyway
+    return hashes.join(frequent, "hash").groupBy(F.col("id").alias("drop_id")).agg(F.collect_set("hash").alias("drop"))
+
+
 def drop_frequent_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -134,26 +160,11 @@ def drop_frequent_lines(
     The table is added in ``batches`` batches (by a hash of the id); their number and
     ``fanout`` do not change the result.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    drops = _drops(docs, id_col, text_col, min_docs, min_chars, batches, fanout)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("hash", T.BinaryType())])
-    hashes = staged(
-        rows.mapInArrow(_hashes(arrow_schema(schema), min_chars), schema).withColumn(
-            "batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
-        ),
-        "line-hashes",
-    )
-    store = LineRuns(spark, min_docs, fanout)
-    for batch in range(batches):
-        store.add(hashes.where(F.col("batch") == batch).select("hash"))
-    frequent = staged(store.frequent(), "line-frequent")
-    store.close()
-    # an id that repeats gets the frequent lines of all its rows; those go everywhere anyway
-    drops = hashes.join(frequent, "hash").groupBy("id").agg(F.collect_set("hash").alias("drop"))
-    drops = drops.withColumnRenamed("id", "drop_id")
     out = T.StructType(
         [
-            T.StructField(id_col, kind),
+            T.StructField(id_col, docs.schema[id_col].dataType),
             T.StructField("n_lines", T.LongType()),
             T.StructField("n_dropped", T.LongType()),
             T.StructField("kept_text", T.StringType()),
@@ -161,3 +172,39 @@ def drop_frequent_lines(
     )
     joined = rows.join(drops, rows["id"].eqNullSafe(drops["drop_id"]), "left")
     return joined.select("id", "content", "drop").mapInArrow(_drop(arrow_schema(out), min_chars), out)
+
+
+def without_frequent_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chars_col: str | None = None,
+    min_docs: int = MIN_DOCS,
+    min_chars: int = MIN_CHARS,
+) -> DataFrame:
+    """``docs`` with all its columns, the frequent lines taken out of the text.
+
+    Texts without such lines stay as they are, null included. ``chars_col`` names a column
+    that holds the text's length and follows it.
+    """
+    drops = _drops(docs, id_col, text_col, min_docs, min_chars, BATCHES, FANOUT)
+    drops = drops.withColumnsRenamed({"drop_id": "__drop_id", "drop": "__drop"})
+    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["__drop_id"]), "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], "__drop")
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, drops = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            for i, drop in enumerate(drops):
+                if drop:
+                    texts[i] = _kept(texts[i].encode(), drop, min_chars)[1].decode()
+            columns = list(batch.columns)[:-1]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    out = joined.mapInArrow(run, schema)
+    if chars_col:
+        changed = F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(chars_col))
+        out = out.withColumn(chars_col, changed.cast(schema[chars_col].dataType))
+    return out

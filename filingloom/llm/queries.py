@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, language, lines, ngram_join, packing, pivots, quality, secrets, token_files
+from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, secrets, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by the Jaccard similarity of their word shingles."""
     return ngram_join.similar_documents(load(spark, sf_dir, "documents"))
+
+
+#: weights of the example tree; other nodes have weight 1
+DOMAIN_WEIGHTS = {
+    ("domain0",): 4,
+    ("domain1",): 3,
+    ("domain2",): 2,
+    ("domain3",): 1,
+    **{(f"domain{d}", lang): w for d in range(4) for lang, w in (("en", 5), ("de", 2), ("fr", 2))},
+}
+
+
+def domain_of(source: Column) -> Column:
+    """Four domains by the number at the end of a source's name; other sources have none."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS int)")
+    return F.when(source.rlike("[0-9]$"), F.concat(F.lit("domain"), (number % 4).cast("string")))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to the weights of domains, languages and sources: half of all tokens."""
+    docs = load(spark, sf_dir, "documents")
+    domain = domain_of(F.col("source"))
+    leaves = mixing.plan(docs, DOMAIN_WEIGHTS, domain, share=0.5, max_epochs=2)
+    drawn = mixing.select(docs, leaves, domain)
+    return drawn.select("doc_id", domain.alias("domain"), "lang", "source", "mix_epoch", mixing.token_count(F.col("text")).alias("n_tokens"))
