@@ -13,8 +13,10 @@ deletions of cheap ones instead.
 
 Probes and index entries travel packed, as arrays, and meet by hash. Within a bucket the
 probes and entries are first compared with one leader; the links found join up most of the
-bucket, and only pairs of different components are compared after that. All comparisons
-are exact, on the shingles of whole texts.
+bucket. Where a bucket still holds several components, sketches are compared block by
+block inside a task: the cells in which two sketches differ are never more than the
+shingles in which the sets do, so this leaves out only pairs that cannot be linked. What
+remains is compared exactly, like all other pairs, on the shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ MIN_PARTS = 256
 #: compared with one leader by one task
 CHUNK = 400
 FLUSH_ROWS = 2_000_000
+#: members of a bucket that meet in one task; larger buckets are cut into pairs of blocks
+BLOCK = 512
 
 _INDEX, _PROBE = 1, 2
 
@@ -159,6 +163,28 @@ def signatures(tokens: np.ndarray, heavy: np.ndarray, heavy_count: np.ndarray, p
 # --- the sets of all documents
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Sums of hashes in as many cells as the largest power of two not above the set's size.
+
+    Sketches of one set in half as many cells are the sums of the cells' pairs, so sets of
+    unlike size can be compared in the cells of the smaller one.
+    """
+    if not len(tokens):
+        return b""
+    cells = 1 << (len(tokens).bit_length() - 1)
+    where = (tokens & np.uint64(cells - 1)).astype(np.int64)
+    worth = ((tokens >> np.uint64(40)) & np.uint64(0xFF)).astype(np.float64)
+    return (np.bincount(where, worth, cells).astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+
+
+def folded(cells: np.ndarray, n: int) -> np.ndarray:
+    """A sketch in ``n`` cells."""
+    while len(cells) > n:
+        half = len(cells) // 2
+        cells = cells[:half] + cells[half:]
+    return cells
+
+
 def _sets(schema: pa.Schema, words: int, sampled: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
@@ -168,7 +194,8 @@ def _sets(schema: pa.Schema, words: int, sampled: float):
                 digest = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
                 drawn = digest is not None and int.from_bytes(digest[:4], "big") < sampled * (1 << 32)
                 some = tokens[:20_000].tobytes() if drawn else None
-                out.add(key, len(tokens), digest, some, weight=len(some or b""))
+                cells = sketch(tokens)
+                out.add(key, len(tokens), digest, some, cells, weight=len(some or b"") + len(cells))
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -317,6 +344,69 @@ def _meet():
     return run
 
 
+def _possible(percent: int):
+    """Rows sorted by bucket and blocks to pairs whose sketches allow a link."""
+    schema = arrow_schema("a long, b long")
+
+    def settle(group: list[tuple], blocks: tuple[int, int], seen: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        role, rep, component, n, block = (np.array([r[k] for r in group], np.int64) for k in range(3, 8))
+        raw = [np.frombuffer(r[8], np.uint8) for r in group]
+        width = min(map(len, raw))
+        cells = np.stack([folded(x, width) for x in raw])
+        entries = np.flatnonzero(role & _INDEX)
+        for p in np.flatnonzero(role & _PROBE).tolist():
+            fit = (component[entries] != component[p]) & (np.minimum(n[entries], n[p]) * 100 >= percent * np.maximum(n[entries], n[p]))
+            if blocks[0] != blocks[1]:
+                fit &= block[entries] != block[p]
+            them = entries[fit]
+            if not len(them):
+                continue
+            unlike = (cells[them] != cells[p]).sum(axis=1)
+            most = (n[them] + n[p]) * (100 - percent) // (100 + percent)
+            for q in them[unlike <= most].tolist():
+                pair = (min(int(rep[p]), int(rep[q])), max(int(rep[p]), int(rep[q])))
+                if pair not in seen:
+                    seen.add(pair)
+                    yield pair
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, group, seen = Rows(schema), None, [], set()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1:
+                for pair in settle(group, at[1:], seen):
+                    out.add(*pair)
+            if len(seen) > 200_000:
+                seen.clear()
+            if out.full():
+                yield from out.take()
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:3] != at:
+                    yield from close()
+                    at, group = row[:3], []
+                group.append(row)
+        yield from close()
+        yield from out.take()
+
+    return run
+
+
+def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a probe and an entry of one bucket that are in different components and may be linked."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    sketches = sets.where("digest IS NOT NULL").select(F.col("id").alias("s_id"), "n", "sketch")
+    rows = rows.join(sketches, F.col("rep") == F.col("s_id"))
+    rows = rows.select("bucket", "i", "j", F.col("role").cast("long"), "rep", "component", "n", "block", "sketch")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.mapInArrow(_possible(percent), "a long, b long").distinct()
+
+
 # --- verification
 
 
@@ -388,6 +478,7 @@ def similar_documents(
             T.StructField("n", T.LongType()),
             T.StructField("digest", T.BinaryType()),
             T.StructField("sample", T.BinaryType()),
+            T.StructField("sketch", T.BinaryType()),
         ]
     )
     share = min(1.0, COST_SAMPLE / max(1, total))
@@ -420,11 +511,8 @@ def similar_documents(
     mixed_buckets = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     still = members.join(mixed_buckets.where("x != y").select("bucket"), "bucket", "left_semi").distinct()
     still = staged(still, "shingle-open")
-    probes, entries = still.where(f"role & {_PROBE} != 0").alias("p"), still.where(f"role & {_INDEX} != 0").alias("i")
-    rest = probes.join(
-        entries, (F.col("p.bucket") == F.col("i.bucket")) & (F.col("p.component") != F.col("i.component"))
-    ).select(F.least("p.rep", "i.rep").alias("a"), F.greatest("p.rep", "i.rep").alias("b"))
-    rest = staged(rest.distinct().join(first, ["a", "b"], "left_anti"), "shingle-rest")
+    rest = _unsettled(still, sets, percent)
+    rest = staged(rest.join(first, ["a", "b"], "left_anti"), "shingle-rest")
     more = staged(_linked(rest, rows, words, percent), "shingle-links")
     for path in (met_path, pairs_path, members_path):
         remove(docs.sparkSession, path)
