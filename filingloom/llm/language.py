@@ -95,6 +95,8 @@ class Model:
         table = np.tile(restart, (len(moves), 1))
         states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         table[states, [c for m in moves for c in m]] = [(base + to) * self.width for m in moves for to in m.values()]
+        # at the start, and behind a letter that the sample lacks, a phrase always begins
+        table[0] = restart
         return table.reshape(-1).astype(np.int32 if table.max(initial=0) < 1 << 31 else np.int64)
 
     def symbols(self, text: str) -> np.ndarray:
@@ -152,7 +154,7 @@ class Model:
             n = int(np.searchsorted(-lengths, -step, "left"))
             grid[step, :n] = stream[begin[:n] + step]
         state = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(owner), axis=1)
-        phrases = np.ones((len(self.labels), len(owner)), np.int64)
+        phrases = np.zeros((len(self.labels), len(owner)), np.int64)
         for step in range(STRETCH):
             n = int(np.searchsorted(-lengths, -step, "left"))
             if not n:
