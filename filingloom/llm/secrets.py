@@ -64,7 +64,8 @@ COMPLEMENTS = {
 
 def _lengths(text: Column, part: Part) -> Column:
     """Per match: kind, place in line, code points before it since the last, its own, its value's."""
-    whole = f"(?s)(.*?)({part.pattern})({part.value or ''})"
+    # \G: a match goes on where the last one ended, so the gap before it is seen only once
+    whole = rf"(?s)\G(.*?)({part.pattern})({part.value or ''})"
     groups = [F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(g)), F.length) for g in (1, 2, 3)]
     zipped = F.transform(
         F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("gap", "head", "value"))]),
