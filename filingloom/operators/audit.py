@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,22 +150,30 @@ def task_coverage(
     )
 
 
-def dataset_gate(report: DataFrame, duplicates: DataFrame, leakage: DataFrame) -> DataFrame:
-    """One row: passed when all files are valid, ids are unique and train and test are apart."""
+def dataset_gate(
+    report: DataFrame, duplicates: DataFrame, leakage: DataFrame, unplaced: DataFrame | None = None
+) -> DataFrame:
+    """One row: passed when all files are valid, ids are unique and train and test are apart.
+
+    ``unplaced`` are rows of no known split; with any of them leakage cannot be judged and
+    the gate fails.
+    """
     files = report.agg(
         F.coalesce(F.bool_and("passed"), F.lit(True)).alias("files_valid"),
         F.coalesce(F.sum("invalid_examples"), F.lit(0)).alias("invalid_examples"),
     )
     copies = duplicates.agg(F.count(F.lit(1)).alias("duplicate_ids"))
     apart = leakage.select("train_test_overlap")
-    parts = [d.withColumn("_one", F.lit(1)) for d in (files, copies, apart)]
-    joined = parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
-    return joined.withColumn(
-        "passed",
-        F.col("files_valid")
-        & (F.col("duplicate_ids") == 0)
-        & (F.col("train_test_overlap") == 0),
-    )
+    tables = [files, copies, apart]
+    if unplaced is not None:
+        tables.append(unplaced.agg(F.count(F.lit(1)).alias("unplaced")))
+    # one row each
+    parts = [d.withColumn("_one", F.lit(1)) for d in tables]
+    joined = reduce(lambda a, b: a.join(b, "_one"), parts).drop("_one")
+    passed = F.col("files_valid") & (F.col("duplicate_ids") == 0) & (F.col("train_test_overlap") == 0)
+    if unplaced is not None:
+        passed = passed & (F.col("unplaced") == 0)
+    return joined.withColumn("passed", passed)
 
 
 def length_filter(df: DataFrame, min_input: int = 100, min_output: int = 10) -> DataFrame:

@@ -132,7 +132,7 @@ def row_improvement(baseline: Column, finetuned: Column) -> Column:
 
 
 def prediction_join(
-    baseline: DataFrame, finetuned: DataFrame, order: str, max_examples: int | None = 10
+    baseline: DataFrame, finetuned: DataFrame, order: str, max_examples: int | None = None
 ) -> DataFrame:
     """Pairs of prediction rows with equal ids, in the order of the baseline rows.
 

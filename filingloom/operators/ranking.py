@@ -12,8 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from filingloom.session import cut_lineage
+from filingloom.session import cut_lineage, join_null_safe
 
 
 def ordered_index(
@@ -28,8 +29,8 @@ def ordered_index(
 
     ``bucket`` must follow the order (a row in a lower bucket comes before every
     row in a higher one) and have a bounded number of values per key; the window
-    over bucket counts is then small whatever the data size. ``keys`` and
-    ``bucket`` must not be null.
+    over bucket counts is then small whatever the data size. Null keys are a group
+    of their own, a null bucket comes first.
     """
     keys = list(keys)
     marked = df.withColumn("_bucket", bucket)
@@ -45,9 +46,8 @@ def ordered_index(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     ranked = marked.withColumn("_pos", F.row_number().over(inside))
-    # the join keys are the window's partition keys: the big side is not shuffled again
     return (
-        ranked.join(offsets, [*keys, "_bucket"])
+        join_null_safe(ranked, offsets, [*keys, "_bucket"])
         .withColumn(name, (F.col("_offset") + F.col("_pos")).cast("long"))
         .select(*df.columns, name, *([total] if total else []))
     )
@@ -96,22 +96,26 @@ def rank_values(
     range that holds a rank has more than ``small`` rows, it is cut into ``cells``
     equal cells, the cells are counted, and the one with the rank is kept, narrowed
     to the values found in it. The last step counts equal values inside the final
-    ranges. Ties and hot keys only change counts.
+    ranges. Ties and hot keys only change counts. Values keep their type: whole numbers
+    are told apart beyond 2^53. Null keys are a group of their own.
 
     The table of open ranks is written out between levels. Its real size is then
     known to the planner, which broadcasts it below the session's threshold (so
     the data is scanned, not shuffled) and shuffles otherwise.
     """
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    whole = not isinstance(base.schema["_v"].dataType, (T.DoubleType, T.FloatType))
+    cell_of = _whole_cell if whole else _cell
     span = base.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_size")
     )
-    todo = ranks.withColumn("_id", F.col(rank)).join(span, keys)
+    todo = join_null_safe(ranks.withColumn("_id", F.col(rank)), span, keys)
     todo = cut_lineage(todo.withColumn("_below", F.lit(0).cast("long")), "ranks")
-    open_range = (F.col("_size") > small) & (_clip(F.col("_lo")) < _clip(F.col("_hi")))
+    apart = F.col("_lo") < F.col("_hi") if whole else _clip(F.col("_lo")) < _clip(F.col("_hi"))
+    open_range = (F.col("_size") > small) & apart
     while not todo.where(open_range).isEmpty():
-        cell = _cell(F.col("_v"), F.col("_lo"), F.col("_hi"), cells)
+        cell = cell_of(F.col("_v"), F.col("_lo"), F.col("_hi"), cells)
         todo = cut_lineage(_containing_step(base, todo, keys, rank, cell), "ranks")
     hit = _containing_step(base, todo, keys, rank, F.col("_v"))
     return hit.select(
@@ -138,13 +142,22 @@ def _cell(v: Column, lo: Column, hi: Column, cells: int) -> Column:
     ).otherwise(F.lit(0))
 
 
+def _whole_cell(v: Column, lo: Column, hi: Column, cells: int) -> Column:
+    """Cells of whole numbers by exact differences; both ends of a range fall into different cells."""
+    v, lo, hi = (c.cast("decimal(20,0)") for c in (v, lo, hi))
+    share = (v - lo).cast("double") / (hi - lo).cast("double")
+    return F.when(
+        hi > lo, F.least(F.floor(share * cells).cast("int"), F.lit(cells - 1))
+    ).otherwise(F.lit(0))
+
+
 def _containing_step(
     base: DataFrame, todo: DataFrame, keys: Sequence[str], rank: str, step: Column
 ) -> DataFrame:
     """Count rows per ``step`` inside the open range and keep the step holding the rank."""
     ids = [*keys, "_id"]
     counts = (
-        base.join(todo.select(*ids, "_lo", "_hi"), list(keys))
+        join_null_safe(base, todo.select(*ids, "_lo", "_hi"), keys)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         .withColumn("_step", step)
         .groupBy(*ids, "_step")
@@ -159,7 +172,7 @@ def _containing_step(
     kept = [c for c in todo.columns if c not in ("_lo", "_hi", "_size", "_below")]
     last = F.col("_below") + F.col("_upto")
     return (
-        running.join(todo.drop("_lo", "_hi", "_size"), ids)
+        join_null_safe(running, todo.drop("_lo", "_hi", "_size"), ids)
         .where((last >= F.col(rank)) & (last - F.col("_n") < F.col(rank)))
         .select(
             *kept,

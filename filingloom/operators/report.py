@@ -232,7 +232,7 @@ def _middle_row(scored: DataFrame, order: str) -> DataFrame:
     one = scored.select(
         F.lit(1).alias("_all"),
         (-F.col("mean_delta")).alias("_down"),
-        F.col(order).cast("double").alias("_order"),
+        F.col(order).alias("_order"),
     )
     n = one.groupBy("_all").agg(
         (F.floor(F.count(F.lit(1)) / 2) + 1).cast("long").alias("rank")
@@ -248,7 +248,7 @@ def _middle_row(scored: DataFrame, order: str) -> DataFrame:
     place = rank_values(tied, ["_all"], "_order", target.select("_all", "rank"))
     return scored.join(
         cut_lineage(place.select(F.col("value").alias("_place")), "middle"),
-        F.col(order).cast("double") == F.col("_place"),
+        F.col(order) == F.col("_place"),
         "left_semi",
     )
 

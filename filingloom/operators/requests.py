@@ -14,7 +14,7 @@ from filingloom import constants as C
 from filingloom.functions import text as tx
 from filingloom.functions.numbers import exact_mean, round_half_even
 from filingloom.operators.ranking import ordered_index, rank_values
-from filingloom.session import cut_lineage, ship_package
+from filingloom.session import cut_lineage, join_null_safe, ship_package
 
 PERCENTILES = (50, 95, 99)
 
@@ -46,14 +46,14 @@ def latency_percentiles(
     ranks = sizes.select(*keys, F.inline(wanted))
     # equal ranks of small groups are looked up once
     values = rank_values(good, keys, "latency_s", ranks.select(*keys, "rank").distinct())
-    found = ranks.join(values, [*keys, "rank"]).groupBy(*keys).agg(
+    found = join_null_safe(ranks, values, [*keys, "rank"]).groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"_p{p}")
             for p in pcts
         ]
     )
     everyone = requests.select(*keys).distinct()
-    return everyone.join(found, keys, "left").select(
+    return join_null_safe(everyone, found, keys, "left").select(
         *keys,
         *[
             F.coalesce(round_half_even(F.col(f"_p{p}"), 4), F.lit(0.0)).alias(f"p{p}_latency_s")
@@ -102,22 +102,6 @@ _STATE_SCHEMA = "client string, piece bigint, hits array<bigint>"
 _OPENING = -(2**62)  # sorts before every real time
 
 
-def admit(hits: deque, now: int, limit: int, window: int) -> tuple[bool, int, int]:
-    """One request against the rolling budget; times are microseconds.
-
-    Returns (allowed, remaining, seconds until capacity) and updates ``hits``.
-    Rejected requests are not recorded.
-    """
-    while hits and hits[0] <= now - window:
-        hits.popleft()
-    allowed = len(hits) < limit
-    if allowed:
-        hits.append(now)
-    oldest = hits[0] if hits else now
-    reset = max(0, oldest + window - now) // 1_000_000 + 1
-    return allowed, limit - len(hits) if allowed else 0, reset
-
-
 def _walk(times: np.ndarray, hits: deque, limit: int, window: int):
     """Runs ascending times of one client against the budget, updating ``hits``.
 
@@ -204,7 +188,7 @@ def _run_stretches(
     starting = opened.select("client", "block", F.col("piece").alias("_from"))
     rows = (
         events.withColumn("block", block)
-        .join(starting, ["client", "block"])
+        .transform(join_null_safe, starting, ["client", "block"])
         .where(F.col("piece") >= F.col("_from"))
         .withColumn("hits", F.array().cast("array<bigint>"))
     )
@@ -234,7 +218,8 @@ def sliding_rate_limit(
 ) -> DataFrame:
     """Verdict of every request under a rolling per-client budget.
 
-    Needs (client, event_id, ts), none of them null; ties in time go by event_id.
+    Needs (client, event_id, ts); ties in time go by event_id. Requests without a client
+    share one budget. A request without time has no verdict and is left out.
     The outcome of a request depends on earlier ones, so a client's timeline is a chain, walked in
     order. Clients with more than ``rows_per_task`` rows are cut into pieces that
     are walked in parallel, see :func:`_piece_starts`.
@@ -243,7 +228,7 @@ def sliding_rate_limit(
     window = window_seconds * 1_000_000
     span = window * windows_per_piece
     none = F.array().cast("array<bigint>")
-    events = requests.select("client", "event_id", F.unix_micros("ts").alias("ts_us"))
+    events = requests.where("ts IS NOT NULL").select("client", "event_id", F.unix_micros("ts").alias("ts_us"))
     sizes = events.groupBy("client").agg(F.count(F.lit(1)).alias("_rows"))
     sizes = cut_lineage(sizes.withColumn("_hot", F.col("_rows") > rows_per_task), "limit-clients")
     hot = sizes.where("_hot").select("client", "_hot")
@@ -252,9 +237,9 @@ def sliding_rate_limit(
     if hot.isEmpty():
         events = events.withColumn("piece", F.lit(0).cast("long"))
     else:
-        busy = events.join(hot, "client", "left_semi").withColumn("piece", pieced)
+        busy = join_null_safe(events, hot.select("client"), ["client"], "left_semi").withColumn("piece", pieced)
         starts = starts.unionByName(_piece_starts(busy, limit, window, span))
-        events = events.join(hot, "client", "left").withColumn(
+        events = join_null_safe(events, hot, ["client"], "left").withColumn(
             "piece", F.when(F.col("_hot"), pieced).otherwise(F.lit(0).cast("long"))
         )
     return _run_stretches(events, starts, 1, limit, window, verdicts=True).select(
@@ -286,7 +271,7 @@ def _piece_starts(events: DataFrame, limit: int, window: int, span: int) -> Data
             _run_stretches(events, openings, group, limit, window, verdicts=False), "limit-fresh"
         )
         if ends is not None:
-            fresh_and_old = fresh.unionByName(ends.join(fresh, keys, "left_anti"))
+            fresh_and_old = fresh.unionByName(join_null_safe(ends, fresh.select(*keys), keys, "left_anti"))
             ends = cut_lineage(fresh_and_old, "limit-end")
         else:
             ends = fresh
@@ -297,8 +282,8 @@ def _piece_starts(events: DataFrame, limit: int, window: int, span: int) -> Data
             F.filter("hits", lambda h: h > F.col("_since")).alias("_carried"),
         )
         # pieces inside a stretch were run from exactly the state that is carried to them
-        inside = fresh.join(openings, keys, "left_anti").select(*keys, F.lit(True).alias("_inside"))
-        moved = starts.join(carried, keys, "left").join(inside, keys, "left")
+        inside = join_null_safe(fresh, openings.select(*keys), keys, "left_anti").select(*keys, F.lit(True).alias("_inside"))
+        moved = join_null_safe(join_null_safe(starts, carried, keys, "left"), inside, keys, "left")
         moved = moved.withColumn("_new", F.coalesce("_carried", none))
         differs = F.col("_inside").isNull() & (F.col("_new") != F.col("hits"))
         moved = cut_lineage(
@@ -324,22 +309,32 @@ def fixed_window_limit(
     """Verdict of every request under a per-client counter that restarts each window.
 
     The count is the row's position in its (client, window); windows are cut into
-    64 time slices so that a crowded window is not ranked by one task.
+    64 time slices so that a crowded window is not ranked by one task. The counter lives
+    for a window from the first hit in it: ``reset_seconds`` is what is left of that, in
+    rounded seconds, or a whole window where nothing is left. Requests without a client
+    share one counter; those without a time are left out.
     """
     window = window_seconds * 1_000_000
     micros = F.unix_micros("ts")
     number = F.floor(micros / F.lit(window)).cast("long")
-    timed = requests.withColumn("window_no", number)
+    timed = requests.where("ts IS NOT NULL").withColumn("window_no", number)
     slice_no = F.floor((micros - F.col("window_no") * window) * 64 / F.lit(window)).cast("int")
+    timed = timed.withColumn("_us", micros)
     ranked = ordered_index(
         timed, ["client", "window_no"], [F.col("ts"), F.col("event_id")], slice_no, "hit_no"
     )
+    firsts = timed.groupBy("client", "window_no").agg(F.min("_us").alias("_first_us"))
+    ranked = join_null_safe(ranked, firsts, ["client", "window_no"])
+    left = F.col("_first_us") + window - F.col("_us")
+    rounded = F.floor((left + 500_000) / 1_000_000).cast("long")
+    reset = F.when(rounded > 0, rounded).otherwise(F.lit(window_seconds)).cast("long")
     return ranked.withColumns(
         {
             "allowed": F.col("hit_no") <= limit,
             "remaining": F.greatest(F.lit(limit) - F.col("hit_no"), F.lit(0)).cast("long"),
+            "reset_seconds": reset,
         }
-    )
+    ).drop("_us", "_first_us")
 
 
 # ---- records, identities, validation ---------------------------------------

@@ -119,12 +119,13 @@ def score_examples(
     )
 
 
-def eval_rows(df: DataFrame, order: str | None = None) -> DataFrame:
+def eval_rows(df: DataFrame, order: str) -> DataFrame:
     """Result rows: preview, defaults for missing ids and tasks.
 
-    A missing id is numbered from ``order``, a 1-based position column.
+    A missing id is numbered from ``order``, a 1-based position column: numbers that
+    followed the layout of the data would pair wrong rows when two runs are joined.
     """
-    number = F.col(order) if order else F.monotonically_increasing_id() + 1
+    number = F.col(order)
     return df.withColumns(
         {
             "id": F.coalesce("id", F.concat(F.lit("example-"), number.cast("string"))),

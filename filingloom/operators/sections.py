@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from filingloom import constants as C
 from filingloom.functions import text as tx
 
-_MARK = "\x01"
+#: segments whose lengths are summed one by one; whole groups of them are summed first
+_GROUP = 256
 
 
 def heading_segments(text: Column, pattern: str = C.ITEM_HEADING) -> Column:
-    """Text cut in front of every heading; the part before the first one stays first."""
-    marked = F.regexp_replace(tx.text_or_empty(text), f"(?iU){pattern}", _MARK + "$0")
-    return F.split(marked, _MARK)
+    """Text cut in front of every heading; the part before the first one stays first.
+
+    The cut is a lookahead, so no character is reserved. A space goes in front, as a text
+    that opens with a heading would else have no part before it.
+    """
+    guarded = F.concat(F.lit(" "), tx.text_or_empty(text))
+    parts = F.split(guarded, f"(?iU)(?={pattern})")
+    return F.transform(parts, lambda s, i: F.when(i == 0, F.substring(s, 2, 1 << 30)).otherwise(s))
 
 
 def heading_id(segment: Column, pattern: str = C.ITEM_HEADING) -> Column:
@@ -26,52 +32,64 @@ def heading_id(segment: Column, pattern: str = C.ITEM_HEADING) -> Column:
     return F.concat(number, F.lower(letter))
 
 
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
 def heading_anchors(
     df: DataFrame, keys: Sequence[str], text: str, pattern: str = C.ITEM_HEADING
 ) -> DataFrame:
-    """One row per heading: position in the document, id and character offset."""
-    step = F.struct(F.lit(0).alias("offset"), F.lit("").alias("segment"))
-
-    def advance(acc: Column, segment: Column) -> Column:
-        last = F.element_at(acc, -1)
-        here = F.struct(
-            (last["offset"] + F.length(last["segment"])).alias("offset"),
-            segment.alias("segment"),
-        )
-        return F.concat(acc, F.array(here))
+    """One row per heading: position in the document, id and character offset.
 
-    placed = F.aggregate(heading_segments(F.col(text), pattern), F.array(step), advance)
-    # the fold starts with one empty step; the next is the text before the first heading
-    return df.select(
-        *keys, F.posexplode(F.slice(placed, 3, F.greatest(F.size(placed) - 2, F.lit(0))))
-    ).select(
+    An offset is the sum of the lengths before it: those of whole groups of segments, then
+    the rest one by one.
+    """
+    cut = df.select(*keys, heading_segments(F.col(text), pattern).alias("_segments"))
+    sized = cut.withColumn("_sizes", F.transform("_segments", lambda s: F.length(s).cast("long")))
+    groups = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / _GROUP).cast("int")),
+        lambda g: _sum(F.slice(F.col("_sizes"), g * _GROUP + 1, F.lit(_GROUP))),
+    )
+    placed = sized.withColumn("_groups", groups).select(
         *keys,
-        F.col("pos").cast("long").alias("pos"),
-        heading_id(F.col("col.segment"), pattern).alias("item_id"),
-        F.col("col.offset").cast("long").alias("offset"),
+        F.posexplode("_segments").alias("_at", "_segment"),
+        "_sizes",
+        "_groups",
     )
+    group = F.floor(F.col("_at") / _GROUP).cast("int")
+    offset = _sum(F.slice(F.col("_groups"), F.lit(1), group)) + _sum(
+        F.slice(F.col("_sizes"), group * _GROUP + 1, F.col("_at") % _GROUP)
+    )
+    return placed.where("_at > 0").select(
+        *keys,
+        (F.col("_at") - 1).cast("long").alias("pos"),
+        heading_id(F.col("_segment"), pattern).alias("item_id"),
+        offset.alias("offset"),
+    )
+
 
+def _with_runs(df: DataFrame, keys: Sequence[str], text: str, pattern: str) -> DataFrame:
+    """``_runs``: consecutive segments with the same heading id, joined: array of (id, body).
 
-def _runs(text: Column, pattern: str) -> Column:
-    """Consecutive segments with the same heading id, joined: array of (id, body)."""
-    segments = heading_segments(text, pattern)
-    headed = F.transform(
-        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
-        lambda s: F.struct(heading_id(s, pattern).alias("id"), s.alias("body")),
+    A run starts where the id differs from its neighbour's; its body is one slice.
+    """
+    cut = df.select(*keys, heading_segments(F.col(text), pattern).alias("_segments"))
+    named = cut.withColumn(
+        "_ids", F.transform("_segments", lambda s, i: F.when(i > 0, heading_id(s, pattern)).otherwise(""))
+    )
+    places = F.transform("_ids", lambda _, i: i)
+    starts = F.filter(
+        places,
+        lambda i: (i > 0) & ((i == 1) | (F.get(F.col("_ids"), i) != F.get(F.col("_ids"), F.greatest(i - 1, F.lit(0))))),
     )
-    empty = F.slice(headed, 1, 0)
+    begun = named.withColumn("_starts", starts)
 
-    def merge(acc: Column, seg: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(
-            seg["id"].alias("id"), F.concat(last["body"], seg["body"]).alias("body")
-        )
-        return F.when(
-            last["id"] == seg["id"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)),
-        ).otherwise(F.concat(acc, F.array(seg)))
+    def run(start: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(F.col("_starts"), i + 1), F.size("_segments"))
+        body = F.array_join(F.slice(F.col("_segments"), start + 1, after - start), "")
+        return F.struct(F.get(F.col("_ids"), start).alias("id"), body.alias("body"))
 
-    return F.aggregate(headed, empty, merge)
+    return begun.select(*keys, F.transform("_starts", run).alias("_runs"))
 
 
 def section_spans(
@@ -87,7 +105,7 @@ def section_spans(
     starts inside a run of equal ids are suffixes of the first, so only whole
     runs compete. Everything happens inside the row: no shuffle.
     """
-    staged = df.select(*keys, _runs(F.col(text), pattern).alias("_runs"))
+    staged = _with_runs(df, keys, text, pattern)
     stripped = F.transform(
         F.col("_runs"),
         lambda r, i: F.struct(
@@ -136,22 +154,20 @@ def extraction_summary(
         F.count(F.lit(1)).alias("n"), F.sum("text_words").alias("words")
     )
     per_path = per_filing.groupBy("raw_path").agg(
-        F.sum("n").alias("n"), F.sum("words").alias("words")
+        F.sum("n").alias("n"), F.sum("words").alias("words"), F.collect_set("section").alias("sections")
     )
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("sections"))))
     total = per_path.agg(
         F.count(F.lit(1)).alias("filings"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("sections"),
         F.coalesce(F.sum("words"), F.lit(0)).alias("total_words"),
+        names.alias("_names"),
     )
-    kinds = manifest.select("section").distinct().agg(
-        F.count(F.lit(1)).alias("distinct_sections"),
-        F.array_join(F.sort_array(F.collect_set("section")), ",").alias("found_sections"),
-    )
-    return (
-        total.withColumn("_one", F.lit(1))
-        .join(kinds.withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-        .withColumn(
-            "missing_section_types", (F.lit(len(targets)) - F.col("distinct_sections")).cast("long")
-        )
+    return total.select(
+        "filings",
+        "sections",
+        "total_words",
+        F.size("_names").cast("long").alias("distinct_sections"),
+        F.array_join("_names", ",").alias("found_sections"),
+        (F.lit(len(targets)) - F.size("_names")).cast("long").alias("missing_section_types"),
     )

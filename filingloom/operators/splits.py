@@ -11,7 +11,7 @@ from filingloom.functions import text as tx
 from filingloom.functions.numbers import round_half_even
 from filingloom.operators.examples import company_of
 from filingloom.operators.ranking import ordered_index
-from filingloom.session import cut_lineage
+from filingloom.session import cut_lineage, join_null_safe
 
 PAIRS = (("train", "test"), ("train", "validation"), ("validation", "test"))
 
@@ -60,7 +60,7 @@ def assign_groups(
     """
     distinct = keys.select(key).distinct()
     if strategy == "company_holdout":
-        hashed = F.md5(F.concat(F.col(key), F.lit(f"|{seed}")))
+        hashed = F.md5(F.concat(F.coalesce(F.col(key), F.lit("")), F.lit(f"|{seed}")))
         distinct = distinct.withColumn("_order", hashed)
         # hash order is uniform, so its leading digits are even, ordered buckets
         bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
@@ -99,7 +99,7 @@ def split_examples(
     keyed = examples.withColumn("_key", key)
     keys = keyed if groups is None else groups.toDF("_key")
     assigned = cut_lineage(assign_groups(keys, "_key", strategy, **options), "split-keys")
-    return keyed.join(assigned, "_key").drop("_key")
+    return join_null_safe(keyed, assigned.withColumnRenamed(assigned.columns[0], "_key"), ["_key"]).drop("_key")
 
 
 def leakage_overlaps(examples: DataFrame, key: Column) -> DataFrame:

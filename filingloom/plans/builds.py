@@ -21,7 +21,7 @@ SECTION_COLUMNS = (
 
 
 def extract_filings(
-    manifest: DataFrame, files: DataFrame, min_section_words: int = 100
+    manifest: DataFrame, files: DataFrame, min_section_words: int
 ) -> DataFrame:
     """Raw manifest and page contents to processed section rows.
 
@@ -106,12 +106,27 @@ def build_dataset(
     )
 
 
+def split_of_path(path: Column) -> Column:
+    """The split a file belongs to, null if its path does not say.
+
+    From a ``split=`` folder, else the name of the file up to its first mark, else the
+    folder it lies in.
+    """
+    names = "(train|validation|test)"
+    said = [
+        F.regexp_extract(path, f"(?:^|/)split={names}(?:/|$)", 1),
+        F.regexp_extract(path, f"(?:^|/){names}(?:[^A-Za-z/][^/]*)?$", 1),
+        F.regexp_extract(path, f"(?:^|/){names}/[^/]*$", 1),
+    ]
+    return F.coalesce(*[F.nullif(s, F.lit("")) for s in said])
+
+
 def audit_dataset(lines: DataFrame, id_path: str = "$.id") -> DataFrame:
     """Gate over raw example lines (file, line): valid rows, unique ids, no shared company."""
     checked = audit.validate_lines(lines)
     parsed = checked.where(F.try_parse_json("line").isNotNull()).select(
         F.get_json_object("line", id_path).alias("id"),
-        F.regexp_extract("file", r"(train|validation|test)", 1).alias("split"),
+        split_of_path(F.col("file")).alias("split"),
         splits.company_key(
             F.get_json_object("line", "$.metadata.ticker"),
             F.get_json_object("line", "$.metadata.cik"),
@@ -121,6 +136,7 @@ def audit_dataset(lines: DataFrame, id_path: str = "$.id") -> DataFrame:
         audit.file_report(checked),
         audit.duplicate_ids(parsed),
         splits.leakage_check(parsed, F.col("company")),
+        unplaced=parsed.where(F.col("split").isNull()),
     )
 
 
@@ -162,7 +178,7 @@ class Comparison:
 
 
 def compare_runs(
-    baseline: Evaluation, finetuned: Evaluation, order: str, max_examples: int | None = 10
+    baseline: Evaluation, finetuned: Evaluation, order: str, max_examples: int | None = None
 ) -> Comparison:
     """Overall and per-task comparison of two runs with the joined prediction rows."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.session import load, spread
+from filingloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,7 +94,7 @@ def sql_distinct_ordered(items: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "documents"), "doc_id")
+    return load(spark, sf_dir, "documents")
 
 
 # ---- section rows from documents ------------------------------------------
@@ -154,7 +154,7 @@ PAIRS_SQL = """pairs AS (
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn with the turn before it."""
-    c = spread(load(spark, sf_dir, "conversations"), "conv_id")
+    c = load(spark, sf_dir, "conversations")
     answers = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     return answers.join(before, ["conv_id", "turn"])
@@ -174,7 +174,7 @@ FIGURES_SQL = """figures AS (
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sentences with amounts per line item."""
-    li = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = load(spark, sf_dir, "lineitem")
 
     def txt(c: Column, kind: str) -> Column:
         return c.cast(kind).cast("string")

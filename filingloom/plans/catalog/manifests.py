@@ -151,7 +151,7 @@ def ticker_lookup(spark, sf_dir):
     "SELECT 'C' || CAST(c_custkey AS VARCHAR) AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, c_name AS title FROM customer",
 )
 def company_register(spark, sf_dir):
-    return _register(spark, sf_dir)
+    return _register(spark, sf_dir).drop("position")
 
 
 @b.query(

@@ -6,8 +6,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,28 +69,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads a table that has fewer input splits than the cluster has cores.
-
-    For tables about to go through heavy per-row text work. Large tables have
-    more splits than cores and are left alone, so this never shuffles them. To be
-    used on plain scans only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 _local_roots: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is absent (tests, a laptop) is a local folder chosen,
-    one per application.
+    Where the setting is absent a local master (tests, a laptop) gets a local folder, one
+    per application. On a cluster that would be another folder on each machine, so there
+    the setting is required.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="filingloom-")
@@ -96,8 +91,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes a folder made with :func:`scratch_dir` that no table is read from any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, dropping its lineage."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; ``right``'s keys are dropped."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    joined = left.join(named, reduce(Column.__and__, same), how)
+    return joined.drop(*[f"_right_{k}" for k in keys])

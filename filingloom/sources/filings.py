@@ -36,11 +36,15 @@ def require_cik(raw: Column) -> Column:
 
 
 def company_register(objects: DataFrame, column: str) -> DataFrame:
-    """Rows (ticker, cik, title) from JSON objects that map an index to a record."""
+    """Rows (position, ticker, cik, title) from JSON objects that map an index to a record.
+
+    ``position`` is the place of the record in its object.
+    """
     records = objects.select(
-        F.explode(F.map_values(F.from_json(column, REGISTER_SCHEMA))).alias("r")
+        F.posexplode(F.map_values(F.from_json(column, REGISTER_SCHEMA))).alias("position", "r")
     )
     return records.select(
+        F.col("position").cast("long").alias("position"),
         F.upper("r.ticker").alias("ticker"),
         normalize_cik(F.col("r.cik_str")).alias("cik"),
         F.col("r.title").alias("title"),
@@ -54,9 +58,15 @@ def ticker_list(raw: Column) -> Column:
 
 
 def resolve_tickers(wanted: DataFrame, register: DataFrame, column: str = "ticker") -> DataFrame:
-    """Requested tickers with their CIK; ``known`` is false where there is none."""
+    """Requested tickers with their CIK; ``known`` is false where there is none.
+
+    Of several records of a ticker the first by ``position`` counts; without that column
+    the one with the least CIK.
+    """
     asked = wanted.select(F.upper(tx.strip(F.col(column))).alias("ticker")).distinct()
-    return asked.join(register.select("ticker", "cik"), "ticker", "left").withColumn(
+    place = F.struct(*[c for c in ("position", "cik") if c in register.columns])
+    first = register.groupBy("ticker").agg(F.min_by("cik", place).alias("cik"))
+    return asked.join(first, "ticker", "left").withColumn(
         "known", F.col("cik").isNotNull()
     )
 
@@ -143,7 +153,7 @@ def download_manifest(
     requested: DataFrame,
     filings: DataFrame,
     fetched: DataFrame,
-    limit_per_company: int = 5,
+    limit_per_company: int,
     tie: str = "accession_number",
 ) -> DataFrame:
     """Manifest rows of the requested companies' newest filings.

@@ -2,107 +2,151 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filingloom import constants as C
-from filingloom.operators.requests import VERDICT_SCHEMA, admit, request_log
-from filingloom.session import ship_package
-
-_HITS = "hits array<bigint>"
-_COUNTERS = "windows array<bigint>, counts array<bigint>"
-FIXED_SCHEMA = (
-    "client string, event_id bigint, ts_us bigint, window_no bigint, hit_no bigint, "
-    "allowed boolean, remaining bigint"
-)
-
-
-def _timed(requests: DataFrame, lateness: str) -> DataFrame:
-    """Watermarked (client, event_id, ts_us); events behind the watermark are dropped."""
-    ship_package(requests.sparkSession)
-    return requests.withWatermark("ts", lateness).select(
-        "client", "event_id", "ts", F.unix_micros("ts").alias("ts_us")
-    )
+from filingloom.operators.requests import fixed_window_limit, request_log, sliding_rate_limit
+
+_ARRIVED = "client string, event_id bigint, ts timestamp"
+_MARK = "judged bigint, newest bigint"
+#: before every real time
+_NEVER = -(2**62)
 
 
-def _in_time_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of one client in one micro-batch, which the trigger bounds."""
-    return pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
+class BudgetStream:
+    """Judges a stream of requests in time order, whatever the order they arrive in.
+
+    Arrivals are kept in the shared folder until the mark, ``lateness_seconds`` behind the
+    newest request seen, has passed them; then they are judged by the batch operator. A
+    request that arrives behind the mark cannot be judged any more: it goes to the late
+    table, which :meth:`late` reads. Without ``lateness_seconds`` nothing is late, and all
+    requests are judged by :meth:`finish`, which also ends a bounded stream. Each
+    micro-batch writes folders named by its number, so one that is repeated overwrites its
+    own work.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        judge: Callable[[DataFrame], DataFrame],
+        lateness_seconds: int | None = None,
+        memory_us: int = 0,
+        step_us: int = 1,
+    ):
+        """``memory_us``: how long accepted requests bear on later ones; ``step_us``: the mark
+        only moves by whole steps of this size."""
+        self.spark, self.path, self.judge = spark, path.rstrip("/"), judge
+        self.lateness = None if lateness_seconds is None else lateness_seconds * 1_000_000
+        self.memory, self.step = memory_us, step_us
+
+    def _table(self, kind: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{kind}")
+
+    def _write(self, rows: DataFrame, kind: str, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch}")
+
+    def _mark(self, batch: int) -> tuple[int, int]:
+        """Times up to which requests are judged and seen after all batches before this one."""
+        if not batch:
+            return _NEVER, _NEVER
+        marks = self._table("mark", _MARK).where(F.col("batch") < batch)
+        row = marks.agg(F.max("judged"), F.max("newest")).first()
+        return (_NEVER, _NEVER) if row[0] is None else tuple(row)
+
+    def batch(self, arrived: DataFrame, number: int) -> None:
+        """For ``foreachBatch``. Requests without a time have no verdict and are left out."""
+        judged, newest = self._mark(number)
+        rows = arrived.select("client", "event_id", "ts").where("ts IS NOT NULL")
+        on_time = F.unix_micros("ts") > judged
+        self._write(rows.where(~on_time), "late", number)
+        self._write(rows.where(on_time), "arrived", number)
+        here = self._table("arrived", _ARRIVED).where(F.col("batch") == number)
+        seen = here.agg(F.max(F.unix_micros("ts"))).first()[0]
+        newest = max(newest, _NEVER if seen is None else seen)
+        upto = judged
+        if self.lateness is not None and newest > _NEVER:
+            # the step's last microsecond that lies behind the lateness
+            upto = max(judged, (newest - self.lateness + 1) // self.step * self.step - 1)
+        self._settle(judged, upto, newest, number)
+
+    def _settle(self, judged: int, upto: int, newest: int, number: int) -> None:
+        if upto > judged:
+            time = F.unix_micros("ts")
+            waiting = self._table("arrived", _ARRIVED).where((F.col("batch") <= number) & (time > judged) & (time <= upto))
+            rows = waiting.select("client", "event_id", "ts")
+            if self.memory and number:
+                # accepted requests that still count stand for the state; they are accepted again
+                told = self.verdicts().where((F.col("batch") < number) & F.col("allowed"))
+                told = told.where((F.unix_micros("ts") > judged - self.memory) & (F.unix_micros("ts") <= judged))
+                rows = rows.unionByName(told.select("client", "event_id", "ts"))
+            done = self.judge(rows).where(F.unix_micros("ts") > judged)
+        else:
+            done = self.judge(self.spark.createDataFrame([], _ARRIVED))
+        self._write(done, "verdicts", number)
+        mark = self.spark.createDataFrame([(upto, newest)], _MARK)
+        self._write(mark.coalesce(1), "mark", number)
+
+    def finish(self) -> DataFrame:
+        """Judges what is still held, after a bounded stream has ended; all verdicts."""
+        last = self._table("mark", _MARK).agg(F.max("batch")).first()[0] if self._begun() else None
+        if last is not None:
+            judged, newest = self._mark(last + 1)
+            self._settle(judged, max(judged, newest), newest, last + 1)
+        return self.verdicts().drop("batch")
+
+    def _begun(self) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/mark")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def verdicts(self) -> DataFrame:
+        """Verdicts so far."""
+        schema = self.judge(self.spark.createDataFrame([], _ARRIVED)).schema
+        if not self._begun():
+            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        return self._table("verdicts", columns)
+
+    def late(self) -> DataFrame:
+        """Requests that came behind the mark, with the micro-batch they came in."""
+        return self._table("late", _ARRIVED)
+
+    def writer(self, requests: DataFrame, checkpoint: str) -> DataStreamWriter:
+        return requests.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
 
 
 def sliding_limit_stream(
-    requests: DataFrame,
+    spark: SparkSession,
+    path: str,
     limit: int = 60,
     window_seconds: int = C.WINDOW_SECONDS,
-    lateness: str = "10 minutes",
-) -> DataFrame:
-    """Streaming form of the rolling budget; the state is the accepted hits of a window.
-
-    State is at most ``limit`` numbers per client and expires by event time once
-    the watermark is a window past the last hit.
-    """
-    window = window_seconds * 1_000_000
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = deque(state.get[0] if state.exists else [])
-        out = []
-        for event_id, ts in _in_time_order(frames)[["event_id", "ts_us"]].itertuples(index=False):
-            out.append((key[0], event_id, ts, *admit(hits, ts, limit, window)))
-        state.update(([int(h) for h in hits],))
-        _expire_after(state, (hits[-1] if hits else 0) + window)
-        yield pd.DataFrame(out, columns=[p.split()[0] for p in VERDICT_SCHEMA.split(", ")])
-
-    return _timed(requests, lateness).groupBy("client").applyInPandasWithState(
-        judge, VERDICT_SCHEMA, _HITS, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    lateness_seconds: int | None = None,
+) -> BudgetStream:
+    """Streaming form of the rolling budget; what lasts is the accepted hits of a window."""
 
+    def judge(rows: DataFrame) -> DataFrame:
+        return sliding_rate_limit(rows, limit, window_seconds)
 
-def _expire_after(state: GroupState, time_us: int) -> None:
-    watermark_ms = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(int(max(time_us // 1000, watermark_ms + 1)))
+    return BudgetStream(spark, path, judge, lateness_seconds, memory_us=window_seconds * 1_000_000)
 
 
 def fixed_limit_stream(
-    requests: DataFrame,
+    spark: SparkSession,
+    path: str,
     limit: int = 60,
     window_seconds: int = C.WINDOW_SECONDS,
-    lateness: str = "10 minutes",
-) -> DataFrame:
-    """Streaming form of the fixed-window counter.
+    lateness_seconds: int | None = None,
+) -> BudgetStream:
+    """Streaming form of the fixed-window counter; a window is judged as a whole."""
 
-    The state of a client is the counts of its windows that are still open, that
-    is, not yet behind the watermark.
-    """
-    window = window_seconds * 1_000_000
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = dict(zip(*state.get)) if state.exists else {}
-        out = []
-        for event_id, ts in _in_time_order(frames)[["event_id", "ts_us"]].itertuples(index=False):
-            window_no = ts // window
-            hit_no = seen[window_no] = seen.get(window_no, 0) + 1
-            out.append((key[0], event_id, ts, window_no, hit_no, hit_no <= limit, max(0, limit - hit_no)))
-        watermark = state.getCurrentWatermarkMs() * 1000
-        still_open = {w: n for w, n in seen.items() if (w + 1) * window > watermark}
-        state.update(([int(w) for w in still_open], [int(n) for n in still_open.values()]))
-        _expire_after(state, (max(seen) + 1) * window)
-        yield pd.DataFrame(out, columns=[p.split()[0] for p in FIXED_SCHEMA.split(", ")])
-
-    return _timed(requests, lateness).groupBy("client").applyInPandasWithState(
-        count, FIXED_SCHEMA, _COUNTERS, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def judge(rows: DataFrame) -> DataFrame:
+        return fixed_window_limit(rows, limit, window_seconds)
+
+    return BudgetStream(spark, path, judge, lateness_seconds, step_us=window_seconds * 1_000_000)
 
 
 def window_counts_stream(

@@ -16,28 +16,44 @@ WORDS = [f"w{i}" for i in range(30)]
 # ---- chunks ----------------------------------------------------------------
 
 
-def plain_windows(words, size, overlap, least):
-    spans, start = [], 0
-    while words:
-        end = min(start + size, len(words))
-        spans.append((start, end))
-        if end == len(words):
-            break
-        start += size - overlap
-    kept = [s for s in spans if s[1] - s[0] >= least or len(spans) == 1] or spans[:1]
-    return [(i, " ".join(words[a:z]), z - a, a, z) for i, (a, z) in enumerate(kept)]
-
-
 @pytest.mark.parametrize("size, overlap, least", [(10, 3, 4), (10, 0, 10), (5, 4, 0), (4, 1, 9), (512, 64, 80)])
-def test_chunks_equal_plain_loop(spark, size, overlap, least):
+def test_chunks_cover_texts_with_the_overlap(spark, size, overlap, least):
     texts = [(n, " ".join(f"t{i}" for i in range(n))) for n in (0, 1, 3, 4, 9, 10, 11, 14, 17, 60, 115, 600)]
     df = spark.createDataFrame(texts, "n int, text string")
-    rows = chunks.chunk_windows(df, "text", ["n"], size, overlap, least).collect()
-    got = {}
-    for r in rows:
-        got.setdefault(r.n, []).append((r.chunk_id, r.text, r.token_count, r.start_token, r.end_token))
-    for n, text in texts:
-        assert sorted(got.get(n, [])) == plain_windows(text.split(), size, overlap, least), n
+    got = {n: [] for n, _ in texts}
+    for r in chunks.chunk_windows(df, "text", ["n"], size, overlap, least).collect():
+        got[r.n].append(r)
+    assert got[0] == []
+    for n, text in texts[1:]:
+        rows = sorted(got[n], key=lambda r: r.chunk_id)
+        assert [r.chunk_id for r in rows] == list(range(len(rows)))
+        starts, ends = [r.start_token for r in rows], [r.end_token for r in rows]
+        assert starts == [k * (size - overlap) for k in range(len(rows))]
+        assert all(e == min(s + size, n) for s, e in zip(starts, ends))
+        for r in rows:
+            assert r.token_count == r.end_token - r.start_token
+            assert r.text == " ".join(text.split()[r.start_token : r.end_token])
+        # only a last window may be missing, and only if it is shorter than asked for
+        after = starts[-1] + size - overlap
+        assert ends[-1] == n or (n - after < least and after + size >= n) or all(min(size, n - s) < least for s in starts)
+        assert len(rows) == 1 or all(r.token_count >= least for r in rows)
+
+
+@pytest.mark.parametrize(
+    "n, size, overlap, least, spans",
+    [
+        (10, 10, 3, 4, [(0, 10)]),
+        (11, 10, 3, 4, [(0, 10), (7, 11)]),
+        (11, 10, 3, 5, [(0, 10)]),
+        (17, 10, 3, 4, [(0, 10), (7, 17)]),
+        (3, 10, 3, 4, [(0, 3)]),
+        (9, 4, 1, 9, [(0, 4)]),
+    ],
+)
+def test_chunk_spans_by_hand(spark, n, size, overlap, least, spans):
+    df = spark.createDataFrame([(" ".join(["t"] * n),)], "text string")
+    rows = chunks.chunk_windows(df, "text", [], size, overlap, least).collect()
+    assert sorted((r.start_token, r.end_token) for r in rows) == spans
 
 
 @pytest.mark.parametrize("bad", [(0, 0, 0), (5, 5, 0), (5, -1, 0), (5, 1, -1)])
@@ -324,24 +340,68 @@ def test_large_limits_are_salted(spark):
 # ---- splits ----------------------------------------------------------------
 
 
-def plain_allocation(n, val=0.10, test=0.05):
-    if n <= 1:
-        return 0, 0
-    t, v = max(1, round(n * test)), max(1, round(n * val))
-    while t + v > n - 1 and (v > 1 or t > 1):
-        if v > 1:
-            v -= 1
-        else:
-            t -= 1
-    return t, v
-
-
 @pytest.mark.parametrize("ratios", [(0.10, 0.05), (0.5, 0.5), (0.0, 0.9), (0.25, 0.25)])
-def test_allocation_equals_plain_loop(spark, ratios):
+def test_allocation_leaves_train_and_fills_the_rest(spark, ratios):
     df = spark.range(0, 70).select("id")
     test, validation = splits.allocation(F.col("id"), *ratios)
     for n, t, v in df.select("id", test, validation).collect():
-        assert (t, v) == plain_allocation(n, *ratios), n
+        if n <= 1:
+            assert (t, v) == (0, 0)
+            continue
+        # one each at least; with three groups or more one is left for training
+        assert t >= 1 and v >= 1 and (t + v <= n - 1 or n == 2)
+        wanted = max(1, round(n * ratios[1])), max(1, round(n * ratios[0]))
+        if sum(wanted) <= n - 1:
+            assert (t, v) == wanted
+        else:
+            # validation gives way first
+            assert t + v == max(2, n - 1) and t <= wanted[0] and v <= wanted[1]
+            assert v == 1 or t == wanted[0]
+
+
+@pytest.mark.parametrize(
+    "n, ratios, sizes",
+    [(2, (0.1, 0.05), (1, 1)), (3, (0.1, 0.05), (1, 1)), (40, (0.1, 0.05), (2, 4)), (10, (0.5, 0.5), (5, 4)), (4, (0.0, 0.9), (2, 1))],
+)
+def test_allocation_by_hand(spark, n, ratios, sizes):
+    test, validation = splits.allocation(F.lit(n).cast("long"), *ratios)
+    assert tuple(spark.range(1).select(test, validation).first()) == sizes
+
+
+def test_null_keys_get_a_split(spark):
+    df = spark.createDataFrame([("A",), (None,), ("B",), (None,), ("C",)], "k string")
+    rows = splits.split_examples(df, F.col("k")).collect()
+    assert len(rows) == 5 and len({r.split for r in rows if r.k is None}) == 1
+
+
+def test_ranks_of_whole_numbers_beyond_doubles(spark):
+    big = 2**60
+    df = spark.range(3000).select(F.lit(None).cast("string").alias("k"), (F.col("id") + big).alias("v"))
+    wanted = spark.createDataFrame([(None, 1), (None, 1500), (None, 3000)], "k string, rank long")
+    for small in (10, 10**6):
+        got = ranking.rank_values(df, ["k"], "v", wanted, small=small, cells=16).collect()
+        assert sorted((r.rank, r.value - big, r.below) for r in got) == [(1, 0, 0), (1500, 1499, 1499), (3000, 2999, 2999)]
+
+
+def test_no_character_is_reserved_in_sections(spark):
+    text = "Item 1. alpha\x01beta gamma Item 7. delta"
+    df = spark.createDataFrame([(1, text)], "k int, text string")
+    spans = {r.item: r.text for r in sections.section_spans(df, ["k"], "text", {"business": "1", "mda": "7"}).collect()}
+    assert spans == {"1": "Item 1. alpha\x01beta gamma", "7": "Item 7. delta"}
+    anchors = sections.heading_anchors(df, ["k"], "text").collect()
+    assert [(r.pos, r.item_id, r.offset) for r in anchors] == [(0, "1", 0), (1, "7", text.index("Item 7"))]
+
+
+def test_many_headings_take_time_in_proportion(spark):
+    import time
+
+    text = "".join(f"Item {i % 9 + 1}. words {i} " for i in range(32_000))
+    df = spark.createDataFrame([(1, text)], "k int, text string")
+    started = time.time()
+    assert sections.section_spans(df, ["k"], "text", {"business": "1"}).count() == 1
+    rows = sections.heading_anchors(df, ["k"], "text").collect()
+    assert time.time() - started < 15
+    assert len(rows) == 32_000 and all(text.startswith(f"Item {r.item_id}.", r.offset) for r in rows)
 
 
 def test_two_groups(spark):

@@ -38,7 +38,7 @@ def test_prediction_join_rules(spark):
     fine = spark.createDataFrame(
         [(1, "a", "t", "old", {"m": 0.9}), (2, "a", "t", "new", {"m": 0.4}), (3, None, "t", "f0", {"m": 0.1})], PAIR
     )
-    rows = compare.prediction_join(base, fine, "pos").collect()
+    rows = sorted(compare.prediction_join(base, fine, "pos").collect(), key=lambda r: r.pos)
     assert [(r.baseline_prediction, r.finetuned_prediction) for r in rows] == [("b1", "new"), ("b2", "f0"), ("b3", "new")]
     assert [r.improvement_summary for r in rows] == [{"m": 0.3}, {"m": -0.1}, {"n": -0.3, "m": 0.4}]
     assert len(compare.prediction_join(base, fine, "pos", 2).collect()) == 2
@@ -46,47 +46,62 @@ def test_prediction_join_rules(spark):
     assert [r.pos for r in compare.worst_regressions(compare.prediction_join(base, fine, "pos"), "pos", "m").collect()] == [2]
 
 
-def plain_pick(rows, limit=5):
-    def mean(r):
-        return sum(r[3].values()) / len(r[3]) if r[3] else 0.0
-
-    def low(r):
-        return min(r[3].values(), default=0.0)
-
-    def faithful(r):
-        return r[2] == "hallucination_detection" or any("faithful" in k for k in r[3])
-
-    ordered = sorted(rows, key=lambda r: (-mean(r), r[0]))
-    chosen, used = [], set()
-
-    def take(row, kind):
-        if row is not None and row[0] not in used and len(chosen) < limit:
-            used.add(row[0])
-            chosen.append((row[0], kind))
-
-    for row in ordered[:2]:
-        if mean(row) > 0:
-            take(row, "improvement")
-    worst = min(ordered, key=low)
-    if low(worst) < 0:
-        take(worst, "regression")
-    take(ordered[len(ordered) // 2], "average")
-    take(next((r for r in ordered if faithful(r) and r[0] not in used), None), "faithfulness")
-    for row in ordered:
-        take(row, "additional")
-    return chosen
-
-
-@pytest.mark.parametrize("seed, n", [(1, 1), (2, 4), (3, 9), (4, 40)])
-def test_qualitative_pick_equals_plain_rule(spark, seed, n):
-    rng = random.Random(seed)
-    rows = [
-        (i, f"id{i}", rng.choice(["filing_qa", "hallucination_detection"]), {k: rng.choice([-0.5, 0.0, 0.25, 0.5]) for k in rng.sample(["a", "b", "lexical_faithfulness"], rng.randrange(0, 3))})
-        for i in range(n)
-    ]
-    df = spark.createDataFrame(rows, "pos long, id string, task_type string, improvement_summary map<string,double>")
-    got = [(r.pos, r.category) for r in report.qualitative_pick(df, "pos").collect()]
-    assert got == plain_pick(rows)
+PICK = "pos long, id string, task_type string, improvement_summary map<string,double>"
+QA, CASE = "filing_qa", "hallucination_detection"
+
+
+@pytest.mark.parametrize(
+    "rows, picked",
+    [
+        # a single row that is no better takes the average place
+        ([(0, QA, {})], [(0, "average")]),
+        # two gains, the worst loss, the middle (the second gain again, so skipped), the rest by mean
+        (
+            [(0, QA, {"a": 0.5}), (1, QA, {"a": 0.25}), (2, QA, {"a": -0.5}), (3, QA, {"a": 0.0}), (4, QA, {"a": -0.25})],
+            [(0, "improvement"), (1, "improvement"), (2, "regression"), (3, "average"), (4, "additional")],
+        ),
+        # a faithfulness metric or task has a place of its own; ties go by position
+        (
+            [(0, QA, {"a": 0.5}), (1, QA, {"a": 0.5}), (2, QA, {"a": 0.5}), (3, QA, {"a": 0.5}), (4, QA, {"a": 0.25}), (5, CASE, {"a": 0.0}), (6, QA, {"a": 0.0, "lexical_faithfulness": -0.5})],
+            [(0, "improvement"), (1, "improvement"), (6, "regression"), (3, "average"), (5, "faithfulness")],
+        ),
+        # the loss counts by its lowest metric, not by the mean
+        (
+            [(0, QA, {"a": 0.5, "b": -0.5}), (1, QA, {"a": -0.25}), (2, QA, {"a": 0.5})],
+            [(2, "improvement"), (0, "regression"), (1, "additional")],
+        ),
+    ],
+)
+@pytest.mark.parametrize("base", [0, 2**60])
+def test_qualitative_pick_by_hand(spark, rows, picked, base):
+    data = [(base + i, f"id{i}", task, summary) for i, task, summary in rows]
+    got = report.qualitative_pick(spark.createDataFrame(data, PICK), "pos").collect()
+    assert [(r.pos - base, r.category) for r in got] == picked
+
+
+def test_leaking_data_under_any_folder_fails_the_gate(spark):
+    line = '{"id": "%s", "instruction": "i", "input": "x", "output": "y", "task_type": "filing_qa", "source": "s", "metadata": {"ticker": "AAA", "year": "2020", "form": "10-K", "section": "mda"}}'
+    lines = [("/data/latest/train.jsonl", line % "a"), ("/data/latest/test.jsonl", line % "b")]
+    gate = builds.audit_dataset(spark.createDataFrame(lines, "file string, line string")).first()
+    assert gate.train_test_overlap == 1 and gate.unplaced == 0 and not gate.passed
+    gate = builds.audit_dataset(spark.createDataFrame([("/data/latest/part.jsonl", line % "a")], "file string, line string")).first()
+    assert gate.unplaced == 1 and not gate.passed
+
+
+@pytest.mark.parametrize(
+    "path, split",
+    [
+        ("/data/latest/train.jsonl", "train"),
+        ("/data/latest/test_sample.jsonl", "test"),
+        ("test.jsonl", "test"),
+        ("/x/split=validation/part-0.json", "validation"),
+        ("/x/train/part-0.json", "train"),
+        ("/test/data/training.jsonl", None),
+        ("/latest/part.jsonl", None),
+    ],
+)
+def test_split_of_path(one, path, split):
+    assert one(builds.split_of_path, path) == split
 
 
 def test_takeaways(one):

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict, deque
+from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -10,6 +10,8 @@ from filingloom.operators import safety
 from filingloom.session import scratch_dir
 from filingloom.streaming import limits
 
+from conftest import SF_DIR
+
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
@@ -23,57 +25,79 @@ def make_requests(seed, n=600, clients=3, spread=4000.0):
     return rows
 
 
-def plain_sliding(rows, limit, window):
-    state, out = defaultdict(deque), {}
-    for client, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
-        now = (ts - T0) / timedelta(microseconds=1)
-        hits = state[client]
-        while hits and hits[0] <= now - window * 1e6:
-            hits.popleft()
-        allowed = len(hits) < limit
-        if allowed:
-            hits.append(now)
-        reset = int(max(0.0, hits[0] + window * 1e6 - now) // 1e6) + 1
-        out[i] = (allowed, limit - len(hits) if allowed else 0, reset)
-    return out
+def assert_sliding(got, rows, limit, window):
+    """Every window holds at most ``limit`` accepted requests, and a rejected one sees it full."""
+    span = timedelta(seconds=window)
+    times = {i: (client, ts) for client, i, ts in rows}
+    assert sorted(r.event_id for r in got) == sorted(times)
+    accepted = defaultdict(list)
+    for r in got:
+        if r.allowed:
+            accepted[r.client].append((times[r.event_id][1], r.event_id))
+    for hits in accepted.values():
+        hits.sort()
+    for r in got:
+        client, ts = times[r.event_id]
+        inside = [h for h in accepted[client] if ts - span < h[0] and h <= (ts, r.event_id)]
+        assert len(inside) <= limit
+        assert r.allowed == ((ts, r.event_id) in inside)
+        assert r.allowed or len(inside) == limit
+        assert r.remaining == (limit - len(inside) if r.allowed else 0)
+        assert r.reset_seconds == (inside[0][0] + span - ts) // timedelta(seconds=1) + 1
 
 
 @pytest.mark.parametrize(
     "seed, limit, window, pieces, per_task",
     [(1, 3, 60, 1, 0), (2, 5, 60, 2, 200), (3, 1, 30, 1, 200), (4, 8, 60, 64, 10**6), (5, 2, 7, 1, 0)],
 )
-def test_sliding_limit_equals_plain_loop(spark, seed, limit, window, pieces, per_task):
+def test_sliding_limit_holds_in_every_window(spark, seed, limit, window, pieces, per_task):
     rows = make_requests(seed)
     df = spark.createDataFrame(rows, "client string, event_id long, ts timestamp")
     got = rq.sliding_rate_limit(df, limit, window, pieces, per_task).collect()
-    want = plain_sliding(rows, limit, window)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.allowed, r.remaining, r.reset_seconds) == want[r.event_id], r
+    assert_sliding(got, rows, limit, window)
 
 
-def plain_fixed(rows, limit, window):
-    seen, out = defaultdict(int), {}
-    for client, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
-        key = (client, int(ts.timestamp() // window))
-        seen[key] += 1
-        out[i] = (seen[key], seen[key] <= limit, max(0, limit - seen[key]))
-    return out
+def assert_fixed(got, rows, limit, window):
+    """Within a client and window the hits are 1..n in time order; the counter lives from the first."""
+    times = {i: (client, ts) for client, i, ts in rows}
+    groups = defaultdict(list)
+    for r in got:
+        client, ts = times[r.event_id]
+        assert r.window_no == int(ts.timestamp() // window)
+        groups[client, r.window_no].append((ts, r.event_id, r))
+    assert sum(map(len, groups.values())) == len(rows)
+    for group in groups.values():
+        group.sort(key=lambda g: g[:2])
+        assert [r.hit_no for *_, r in group] == list(range(1, len(group) + 1))
+        for ts, _, r in group:
+            left = window - (ts - group[0][0]).total_seconds()
+            assert r.allowed == (r.hit_no <= limit) and r.remaining == max(0, limit - r.hit_no)
+            assert r.reset_seconds == (int(left + 0.5) or window)
+
+
+def test_fixed_limit_numbers_each_window(spark):
+    rows = make_requests(9)
+    df = spark.createDataFrame(rows, "client string, event_id long, ts timestamp")
+    assert_fixed(rq.fixed_window_limit(df, 2, 60).collect(), rows, 2, 60)
 
 
-def test_fixed_limit_equals_plain_loop(spark):
-    rows = make_requests(9)
+def test_requests_without_client_share_a_budget(spark):
+    rows = [(None if i % 2 else "a", i, T0 + timedelta(seconds=i)) for i in range(40)]
     df = spark.createDataFrame(rows, "client string, event_id long, ts timestamp")
-    want = plain_fixed(rows, 2, 60)
-    got = rq.fixed_window_limit(df, 2, 60).collect()
-    assert len(got) == len(rows)
-    assert all((r.hit_no, r.allowed, r.remaining) == want[r.event_id] for r in got)
+    assert_fixed(rq.fixed_window_limit(df, 2, 60).collect(), rows, 2, 60)
+    for per_task in (10**6, 5):
+        assert_sliding(rq.sliding_rate_limit(df, 3, 10, 1, per_task).collect(), rows, 3, 10)
+    timed = df.selectExpr("client", "true AS ok", "CAST(event_id AS double) AS latency_s")
+    found = {r.client: r.p50_latency_s for r in rq.latency_percentiles(timed, ["client"]).collect()}
+    assert found == {"a": 18.0, None: 19.0}
 
 
-def write_batches(spark, rows, n):
-    """Rows in time order, one file per future micro-batch."""
+def write_batches(spark, rows, n, shuffled=False):
+    """One file per future micro-batch, in time order or not."""
     path = scratch_dir(spark, "stream-in")
     ordered = sorted(rows, key=lambda r: (r[2], r[1]))
+    if shuffled:
+        random.Random(n).shuffle(ordered)
     step = -(-len(ordered) // n)
     for k in range(n):
         part = spark.createDataFrame(ordered[k * step : (k + 1) * step], "client string, event_id long, ts timestamp")
@@ -94,19 +118,42 @@ def drain(df, spark, name):
     return spark.table(name)
 
 
-def test_streams_equal_batch(spark):
-    rows = make_requests(21, n=240)
-    stream = write_batches(spark, rows, 4)
-    got = drain(limits.sliding_limit_stream(stream, 3, 60), spark, "sliding_out").collect()
-    want = plain_sliding(rows, 3, 60)
-    assert len(got) == len(rows)
-    assert all((r.allowed, r.remaining, r.reset_seconds) == want[r.event_id] for r in got)
+def run_budget(budget, stream, spark):
+    budget.writer(stream, scratch_dir(spark, "budget-cp")).trigger(availableNow=True).start().awaitTermination(300)
+    return budget.finish().collect()
+
+
+@pytest.mark.parametrize("shuffled, lateness", [(False, 30), (True, None)])
+def test_streams_return_every_request(spark, shuffled, lateness):
+    rows = make_requests(21, n=160, spread=900.0)
+    rows += [(None, 1000 + i, T0 + timedelta(seconds=40 * i)) for i in range(20)]
+    sliding = limits.sliding_limit_stream(spark, scratch_dir(spark, "sliding"), 3, 60, lateness)
+    assert_sliding(run_budget(sliding, write_batches(spark, rows, 4, shuffled), spark), rows, 3, 60)
+    fixed = limits.fixed_limit_stream(spark, scratch_dir(spark, "fixed"), 2, 60, lateness)
+    assert_fixed(run_budget(fixed, write_batches(spark, rows, 4, shuffled), spark), rows, 2, 60)
+    assert sliding.late().isEmpty() and fixed.late().isEmpty()
+
+
+def test_late_requests_are_told_apart(spark):
+    rows = make_requests(22, n=90, spread=3000.0)
+    budget = limits.sliding_limit_stream(spark, scratch_dir(spark, "late"), 3, 60, 5)
+    got = run_budget(budget, write_batches(spark, rows, 3, True), spark)
+    late = {r.event_id for r in budget.late().collect()}
+    assert late and len(got) + len(late) == len(rows)
+    assert_sliding(got, [r for r in rows if r[1] not in late], 3, 60)
+
+
+def test_events_table_in_many_files(spark):
+    from filingloom.plans.catalog import QUERIES
+    from filingloom.session import load
 
-    stream = write_batches(spark, rows, 4)
-    got = drain(limits.fixed_limit_stream(stream, 2, 60), spark, "fixed_out").collect()
-    want = plain_fixed(rows, 2, 60)
-    assert len(got) == len(rows)
-    assert all((r.hit_no, r.allowed, r.remaining) == want[r.event_id] for r in got)
+    folder = scratch_dir(spark, "many")
+    events = load(spark, SF_DIR, "events")
+    events.repartition(200, "event_id").write.parquet(f"{folder}/events.parquet")
+    for name in ("sliding_rate_limit", "fixed_window_limit"):
+        want = QUERIES[name](spark, SF_DIR)
+        got = QUERIES[f"{name}_stream"](spark, folder).select(*want.columns)
+        assert want.count() == got.count() and want.exceptAll(got).isEmpty()
 
 
 def test_window_counts_stream_closes_windows(spark):

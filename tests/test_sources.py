@@ -144,7 +144,7 @@ def test_download_manifest_flags(spark):
     )
     requested = spark.createDataFrame([("AAA", "0000000001"), ("NOPE", None)], "ticker string, cik string")
     fetched = spark.createDataFrame([("1-22-2",)], "accession_number string")
-    rows = {r.accession_number: r for r in fl.download_manifest(requested, filings, fetched).collect()}
+    rows = {r.accession_number: r for r in fl.download_manifest(requested, filings, fetched, 5).collect()}
     assert set(rows) == {"1-22-1", "1-22-2"}
     assert rows["1-22-2"].downloaded and rows["1-22-2"].raw_path == "AAA/10-K/2023/1222.html"
     assert not rows["1-22-1"].downloaded and rows["1-22-1"].raw_path == ""
