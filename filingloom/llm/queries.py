@@ -107,7 +107,51 @@ def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
-@query("op7_secret_scan")
+def _secrets_sql() -> str:
+    """The scan in SQL, from the same patterns."""
+    parts = []
+    for rank, part in enumerate(secrets.STRONG + secrets.WEAK, 1):
+        whole = f"(?s)(.*?)({part.pattern})({part.value or ''})".replace("'", "''")
+        gap, head, value = (f"regexp_extract_all(s, '{whole}', {g})" for g in (1, 2, 3))
+        counted = "length(value)" if part.value else "length(head)"
+        parts.append(
+            f"""SELECT doc_id, kind, rank, pos, length(gap) AS gap, length(head) + length(value) AS size, {counted} >= {part.least} AS counts
+  FROM (SELECT doc_id, '{part.kind}' AS kind, {rank} AS rank, unnest({gap}) AS gap, unnest({head}) AS head,
+               unnest({value}) AS value, generate_subscripts({gap}, 1) AS pos FROM t)"""
+        )
+    strong = len(secrets.STRONG)
+    fits = " OR ".join(
+        f"(w.kind = '{kind}' AND r.kind IN ({', '.join(repr(k) for k in others)}))"
+        for kind, others in secrets.COMPLEMENTS.items()
+    )
+    reach = secrets.REACH
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS stop FROM m),
+p AS (SELECT doc_id, kind, rank, stop - size AS start, stop FROM e WHERE counts),
+weak AS (
+  SELECT * FROM p w WHERE rank > {strong} AND NOT EXISTS (
+    SELECT 1 FROM p r WHERE r.doc_id = w.doc_id AND r.kind <> 'opaque' AND (r.kind <> w.kind OR r.start <> w.start)
+      AND (w.kind = 'opaque' OR r.rank <= {strong}) AND w.start < r.stop AND r.start < w.stop)),
+able AS (SELECT * FROM p WHERE rank <= {strong} UNION ALL SELECT * FROM weak),
+found AS (
+  SELECT * FROM p WHERE rank <= {strong}
+  UNION ALL
+  SELECT * FROM weak w WHERE EXISTS (
+    SELECT 1 FROM able r WHERE r.doc_id = w.doc_id AND ({fits})
+      AND w.start < r.stop + {reach} AND r.start < w.stop + {reach})),
+named AS (SELECT *, concat_ws(':', kind, start::BIGINT, stop::BIGINT) AS span FROM found)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank <= {strong}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM t LEFT JOIN named ON t.doc_id = named.doc_id
+GROUP BY t.doc_id
+"""
+
+
+@query("op7_secret_scan", _secrets_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: strong forms, and weak parts beside their complement."""
     found = secrets.scan(load(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ def test_all_are_registered():
     assert [n for n in entry.queries() if n in NAMES] and set(NAMES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_secret_scan", "op8_line_dedup"])
 def test_query_matches_sql(name, spark):
     con = duck(SF_DIR)
     assert differences(name, entry.queries()[name], entry.oracle_sql()[name], spark, con, SF_DIR) is None
