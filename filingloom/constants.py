@@ -216,3 +216,6 @@ MAX_EXCERPT_CHARS = 100_000
 MAX_NEW_TOKENS = 2_048
 MAX_TEMPERATURE = 2.0
 WINDOW_SECONDS = 60
+
+# fixed values: kinds of files that are scanned for secrets
+SECRET_SCAN_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".sh", ".yaml", ".yml", ".json", ".toml", ".cfg", ".ini", ".env")

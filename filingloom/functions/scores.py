@@ -113,8 +113,10 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence, one bit per token of ``a``."""
-    if not a or not b:
+    """Longest common subsequence, one bit per token of the shorter side."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
         return 0
     where: dict[str, int] = {}
     for i, token in enumerate(a):

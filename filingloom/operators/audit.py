@@ -81,7 +81,8 @@ def example_errors(line: Column) -> Column:
             .otherwise(rules(doc))
         )
 
-    return checked(F.try_parse_json(line))
+    # bound once: the rules name the document dozens of times
+    return tx.let(F.try_parse_json(line), checked)
 
 
 def validate_lines(df: DataFrame, line: str = "line") -> DataFrame:

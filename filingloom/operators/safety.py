@@ -56,6 +56,30 @@ def secret_scan(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     )
 
 
+def scannable(
+    path: Column,
+    suffixes: Sequence[str] = C.SECRET_SCAN_SUFFIXES,
+    test_folder: str = "tests",
+    example_suffix: str = ".env.example",
+    own_names: Sequence[str] = (),
+) -> Column:
+    """Whether a relative path is to be scanned for secrets: code or configuration, not prose.
+
+    The last suffix of the name decides, in any case; a name that only starts with a dot has
+    none. Files in a test folder, example settings and ``own_names`` are left out.
+    """
+    parts = F.split(F.coalesce(path, F.lit("")), "/")
+    name = F.element_at(parts, -1)
+    suffix = F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1))
+    kept = suffix.isin(*suffixes) & ~F.array_contains(parts, test_folder) & ~name.endswith(example_suffix)
+    return kept & ~name.isin(*own_names) if own_names else kept
+
+
+def secret_scan_files(df: DataFrame, path: str, text: str, **rules) -> DataFrame:
+    """Suspected secrets (path, position, key name) of the files that are to be scanned."""
+    return secret_scan(df.where(scannable(F.col(path), **rules)), [path], text)
+
+
 def path_policy(
     path: Column,
     weight_suffixes: Sequence[str] = C.WEIGHT_SUFFIXES,

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from filingloom import constants as C
 from filingloom.functions import prompts as pr
 from filingloom.functions import text as tx
-from filingloom.operators import audit, examples, splits
+from filingloom.operators import audit, examples, safety, splits
+from filingloom.plans import builds
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
 from filingloom.plans.catalog.manifests import SPLIT_SQL, split_docs
@@ -280,6 +281,52 @@ def dataset_gate(spark, sf_dir):
     return audit.dataset_gate(_report(spark, sf_dir), duplicate_ids(spark, sf_dir), leak)
 
 
+_GATE_JOB_SQL = """WITH d AS (SELECT text, source, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split FROM documents),
+apart AS (SELECT count(*) AS train_test_overlap FROM (SELECT source FROM d WHERE split = 'train' INTERSECT SELECT source FROM d WHERE split = 'test'))
+SELECT count(*) FILTER (text = '') = 0 AS files_valid, count(*) FILTER (text = '') AS invalid_examples, CAST(0 AS BIGINT) AS duplicate_ids,
+  any_value(train_test_overlap) AS train_test_overlap, CAST(0 AS BIGINT) AS unplaced,
+  count(*) FILTER (text = '') = 0 AND any_value(train_test_overlap) = 0 AS passed
+FROM d, apart"""
+
+
+@b.query("audit_job", _GATE_JOB_SQL)
+def audit_job(spark, sf_dir):
+    """The gate over raw lines of all documents, in files below a folder with a split's name in it."""
+    d = load(spark, sf_dir, "documents")
+    tenth = F.col("doc_id") % 10
+    split = F.when(tenth == 0, "test").when(tenth == 1, "validation").otherwise("train")
+    example = F.struct(
+        F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"),
+        F.lit("Answer from the filing.").alias("instruction"),
+        F.col("text").alias("input"),
+        F.col("lang").alias("output"),
+        F.lit("filing_qa").alias("task_type"),
+        F.struct(F.col("source").alias("ticker")).alias("metadata"),
+    )
+    lines = d.select(F.concat(F.lit("/data/latest/"), split, F.lit(".jsonl")).alias("file"), F.to_json(example).alias("line"))
+    return builds.audit_dataset(lines)
+
+
+_PATH_SQL = """CASE lang WHEN 'en' THEN 'src/' || source || '.PY' WHEN 'de' THEN 'src/tests/' || source || '.py'
+  WHEN 'fr' THEN 'docs/' || source || '.md' ELSE 'conf/' || source || CASE WHEN doc_id % 2 = 0 THEN '.env.example' ELSE '.env' END END"""
+
+
+@b.query(
+    "secret_file_rule",
+    f"""SELECT doc_id, path, lang = 'en' OR (lang = 'es' AND doc_id % 2 = 1) AS scanned FROM (SELECT doc_id, lang, {_PATH_SQL} AS path FROM documents)""",
+)
+def secret_file_rule(spark, sf_dir):
+    """Which of the files are to be scanned: by kind, test folder and example settings."""
+    lang, source, even = F.col("lang"), F.col("source"), F.col("doc_id") % 2 == 0
+    path = (
+        F.when(lang == "en", F.concat(F.lit("src/"), source, F.lit(".PY")))
+        .when(lang == "de", F.concat(F.lit("src/tests/"), source, F.lit(".py")))
+        .when(lang == "fr", F.concat(F.lit("docs/"), source, F.lit(".md")))
+        .otherwise(F.concat(F.lit("conf/"), source, F.when(even, ".env.example").otherwise(".env")))
+    )
+    return load(spark, sf_dir, "documents").select("doc_id", path.alias("path"), safety.scannable(path).alias("scanned"))
+
+
 @b.query(
     "length_filter",
     f"WITH {b.PAIRS_SQL} SELECT conv_id, turn FROM pairs WHERE length(question) >= 100 AND length(answer) >= 10",
