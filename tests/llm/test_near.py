@@ -95,14 +95,6 @@ def test_similar_sets_always_meet(size):
     heavy = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for _ in range(60):
         base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-        for gone in range(size):
-            for new in range(size):
-                if 100 * (size - gone) >= 80 * (size + new):
-                    break
-            else:
-                continue
-            if rng.random() < 0.3:
-                break
         gone = int(rng.integers(0, size // 5 + 1))
         most = (size - gone) * 100 // 80 - size
         new = int(rng.integers(0, max(0, most) + 1))
@@ -122,6 +114,35 @@ def test_similar_sets_always_meet(size):
         assert np.intersect1d(hs[rs & 1 > 0], hl[rl & 2 > 0]).size
 
 
+def test_sketches_differ_in_no_more_cells_than_sets_in_shingles():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        both, mine, yours = (rng.integers(0, 1 << 63, int(n), dtype=np.uint64) for n in rng.integers(0, 60, 3))
+        a, b = np.unique(np.concatenate([both, mine])), np.unique(np.concatenate([both, yours]))
+        if not len(a) or not len(b):
+            continue
+        x, y = (np.frombuffer(ngram_join.sketch(s), np.uint8) for s in (a, b))
+        n = min(len(x), len(y))
+        unlike = int((ngram_join.folded(x, n) != ngram_join.folded(y, n)).sum())
+        assert unlike <= len(np.setxor1d(a, b))
+
+
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    """A crowd around one text: many share buckets, some are linked, most are not."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK", 2)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(70)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i + 1, " ".join(words)))
+    found = ngram_join.similar_documents(wide(spark, rows).repartition(3))
+    assert sorted(tuple(r) for r in found.collect()) == plain_components(rows)
+
+
 def test_join_awkward_rows(awkward):
     found = {str(r["doc_id"]): (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(awkward).collect()}
     assert found["3"] == (0, 3) and found["4"] == (0, 4) and found["5"] == (0, 5)
