@@ -71,6 +71,7 @@ def bound(r: int, s: int, percent: int) -> int:
     return (r + s) * (100 - percent) // (100 + percent)
 
 
+@lru_cache(maxsize=256)
 def layout(band: int, percent: int) -> tuple[int, int, int]:
     """Largest size of the band, its segments, and how many have deletion neighbourhoods."""
     top = bands(percent)[band + 1] - 1
@@ -79,6 +80,11 @@ def layout(band: int, percent: int) -> tuple[int, int, int]:
     return top, most + 1 + spare, min(most + 1 + spare, 1 + int(DELETION_SHARE * most))
 
 
+@lru_cache(maxsize=256)
+def _salt(band: int, segments: int) -> np.ndarray:
+    return mixed(np.arange(segments, dtype=np.uint64) + np.uint64(band << 40))
+
+
 class Segments:
     """A set cut into the segments of a band."""
 
@@ -99,7 +105,7 @@ class Segments:
             self.sums[full] = np.add.reduceat(self.value, starts)
             self.cost[full] = np.minimum.reduceat(often, starts)
             self.light[full] = np.add.reduceat((often <= COSTLY).astype(np.int64), starts)
-        self.salt = mixed(np.arange(self.m, dtype=np.uint64) + np.uint64(band << 40))
+        self.salt = _salt(band, self.m)
 
     def whole(self) -> np.ndarray:
         return mixed(self.sums + self.salt)
@@ -118,15 +124,14 @@ class Segments:
         probe = np.ones(self.m, bool)
         probe[order[:spare]] = False
         twice = np.zeros(self.m, bool)
-        costly = [i for i in order[spare:].tolist() if self.cost[i] > COSTLY]
-        if costly:
-            cheap = [
-                i
-                for i in range(self.deletions)
-                if probe[i] and self.cost[i] <= COSTLY and self.light[i] >= 2 and self.sizes[i] <= 12
-            ]
-            for drop, take in zip(costly, cheap):
-                probe[drop], twice[take] = False, True
+        left = order[spare:]
+        costly = left[self.cost[left] > COSTLY]
+        if len(costly):
+            d = slice(0, self.deletions)
+            able = probe[d] & (self.cost[d] <= COSTLY) & (self.light[d] >= 2) & (self.sizes[d] <= 12)
+            cheap = np.flatnonzero(able)[: len(costly)]
+            probe[costly[: len(cheap)]] = False
+            twice[cheap] = True
         return probe, twice
 
 
