@@ -205,6 +205,26 @@ def training_token_stats(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def dry_run_errors(df: DataFrame, split: str = "split", position: str = "position") -> DataFrame:
+    """One row per broken rule: split, 0-based position and ``split[position]: rule``."""
+    broken = training_errors(df).select(split, position, F.explode("errors").alias("error"))
+    place = F.concat(F.col(split), F.lit("["), F.col(position).cast("string"), F.lit("]: "))
+    return broken.select(split, position, F.concat(place, "error").alias("message"))
+
+
+def dry_run_summary(df: DataFrame, split: str = "split") -> DataFrame:
+    """Errors, examples of both splits and mean words of the training texts (0 without any)."""
+    checked = training_errors(with_training_text(df))
+    in_train = F.col(split) == "train"
+    words = F.when(in_train, tx.word_count(F.col("text")))
+    return checked.agg(
+        F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("errors"),
+        F.count_if(in_train).alias("train_examples"),
+        F.count_if(F.col(split) == "validation").alias("validation_examples"),
+        F.coalesce(F.avg(words), F.lit(0.0)).alias("mean_tokens"),
+    )
+
+
 def loss_history(
     logs: DataFrame, run: str = "run", step: str = "step", train: str = "loss", evaluation: str = "eval_loss"
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from filingloom import constants as C
 from filingloom.functions import prompts as pr
 from filingloom.functions import text as tx
 from filingloom.operators import audit, examples, safety, splits
+from filingloom.operators.ranking import ordered_index
 from filingloom.plans import builds
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
@@ -388,6 +389,40 @@ def sft_token_stats(spark, sf_dir):
     return audit.training_token_stats(audit.with_training_text(_train(spark, sf_dir)))
 
 
+_DRY_SQL = f"""{_TRAIN_SQL},
+dry AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM train),
+placed AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY conv_id, turn) - 1 AS position FROM dry)"""
+
+
+def _dry_run(spark, sf_dir):
+    """Training rows in two splits, numbered within each."""
+    split = F.when(F.col("conv_id") % 5 == 0, "validation").otherwise("train")
+    rows = _train(spark, sf_dir).withColumn("split", split)
+    ranges = F.floor(F.col("conv_id") / 4096).cast("int")
+    placed = ordered_index(rows, ["split"], [F.col("conv_id"), F.col("turn")], ranges, "position")
+    return placed.withColumn("position", F.col("position") - 1)
+
+
+@b.query(
+    "sft_dry_run_errors",
+    f"""WITH {_DRY_SQL} SELECT split, position, split || '[' || CAST(position AS VARCHAR) || ']: ' || e AS message FROM (
+  SELECT split, position, unnest(list_filter([CASE WHEN trim(output) = '' THEN 'empty field ''output''' END,
+    CASE WHEN task_type IS NULL THEN 'empty field ''task_type''' END], lambda x: x IS NOT NULL)) AS e FROM placed)""",
+)
+def sft_dry_run_errors(spark, sf_dir):
+    return audit.dry_run_errors(_dry_run(spark, sf_dir))
+
+
+@b.query(
+    "sft_dry_run_summary",
+    f"""WITH {_DRY_SQL} SELECT CAST(count(*) FILTER (trim(output) = '') + count(*) FILTER (task_type IS NULL) AS BIGINT) AS errors,
+  count(*) FILTER (split = 'train') AS train_examples, count(*) FILTER (split = 'validation') AS validation_examples,
+  avg(len({b.sql_words(_SFT)})) FILTER (split = 'train') AS mean_tokens FROM placed""",
+)
+def sft_dry_run_summary(spark, sf_dir):
+    return audit.dry_run_summary(_dry_run(spark, sf_dir))
+
+
 @b.query(
     "loss_history",
     """WITH logs AS (SELECT user_id AS run, event_id AS step, CASE WHEN event_type = 'click' THEN CASE WHEN value > 150 THEN 'Infinity'::DOUBLE ELSE value END END AS loss,
