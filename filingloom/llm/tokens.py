@@ -20,7 +20,7 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 #: entries of a Python worker's caches: pieces behind a space, and all else; a full cache
 #: takes no more, until so many lookups have missed it that the text must have changed,
 #: and it starts afresh
-PIECE_ENTRIES = 250_000
+PIECE_ENTRIES = 400_000
 OTHER_ENTRIES = 50_000
 STALE_MISSES = 4_000_000
 MAX_KEPT_CHARS = 64
