@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,42 @@ UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqr
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+_held: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps for one operator from task to task.
+
+    Workers outlive stages, so what another operator has kept goes first.
+    """
+    if owner not in _held:
+        _held.clear()
+        trim()
+        _held[owner] = {}
+    return _held[owner]
+
+
+def trim() -> None:
+    """Gives memory that is free, but still held by allocators, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A task over Arrow batches that leaves no unused memory behind in its worker."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import LOWER, Rows, arrow_schema, raw_bytes, staged
+from filingloom.llm.common import LOWER, Rows, arrow_schema, raw_bytes, staged, tidy
 
 BUCKET_BYTES = 32 << 20
 FOLD_BYTES = 32 << 20
@@ -71,6 +71,7 @@ def _larger(a, b):
 def _fold(schema: pa.Schema, limit: int):
     """Rows to members (id, record) and records (content, its largest id, its rows)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         table, largest, rows = ContentTable(), [], []
@@ -108,6 +109,7 @@ def _fold(schema: pa.Schema, limit: int):
 def _settle(schema: pa.Schema):
     """Records sorted by bucket to (record, id that stays, rows of the group, digest)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         bucket, table, groups = None, ContentTable(), []

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import Rows, arrow_schema
+from filingloom.llm.common import Rows, arrow_schema, tidy, worker_cache
 
 UNKNOWN = "und"
 #: letters of labelled text that each language's automaton is built from
@@ -181,15 +181,13 @@ def _code_table(known: list[str]) -> np.ndarray:
     return codes
 
 
-_models: dict[Samples, Model] = {}
-
-
 def _model(samples: Samples) -> Model:
     """The model of a Python worker, built from the samples on first use."""
-    if samples not in _models:
-        _models.clear()
-        _models[samples] = Model(samples)
-    return _models[samples]
+    kept = worker_cache("language")
+    if samples not in kept:
+        kept.clear()
+        kept[samples] = Model(samples)
+    return kept[samples]
 
 
 def learn(
@@ -225,6 +223,7 @@ def learn(
 
 
 def _identify(samples: Samples, schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
@@ -258,6 +257,7 @@ def keep_identified(docs: DataFrame, samples: Samples, text_col: str = "text") -
     """The rows, with all their columns, whose text has a language."""
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, _ = _model(samples).predict(batch.column(at).to_pylist())

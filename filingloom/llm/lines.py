@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import BLANKS, LOWER, Rows, arrow_schema, raw_bytes, remove, staged, write_scratch
+from filingloom.llm.common import BLANKS, LOWER, Rows, arrow_schema, raw_bytes, remove, staged, tidy, write_scratch
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -38,6 +38,7 @@ def line_keys(raw: bytes, min_chars: int) -> list[bytes | None]:
 
 
 def _hashes(schema: pa.Schema, min_chars: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
@@ -103,6 +104,7 @@ def _kept(raw: bytes, drop: list[bytes] | None, min_chars: int) -> tuple[int, by
 
 
 def _drop(schema: pa.Schema, min_chars: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
@@ -193,6 +195,7 @@ def without_frequent_lines(
     joined = joined.select(*[docs[c] for c in docs.columns], "__drop")
     at, schema = docs.columns.index(text_col), docs.schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, drops = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()

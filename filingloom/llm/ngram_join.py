@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import Rows, arrow_schema, raw_bytes, remove, staged, write_scratch
+from filingloom.llm.common import Rows, arrow_schema, raw_bytes, remove, staged, tidy, write_scratch
 from filingloom.llm.graph import components
 from filingloom.llm.shingles import mixed, shingles
 
@@ -49,7 +49,7 @@ PART_ROWS = 400_000
 MIN_PARTS = 256
 #: compared with one leader by one task
 CHUNK = 400
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 1_000_000
 #: members of a bucket that meet in one task; larger buckets are cut into pairs of blocks
 BLOCK = 512
 
@@ -191,6 +191,7 @@ def folded(cells: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sets(schema: pa.Schema, words: int, sampled: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
@@ -231,6 +232,7 @@ def _pack(parts: int, words: int, percent: int, heavy: np.ndarray, heavy_count:
     """One row per part: hashes, place of the owner in ``ids``, roles. Copies in a task go once."""
     schema = arrow_schema(_PACKED)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         ids: list[int] = []
@@ -334,6 +336,7 @@ def _meet():
             columns += [pa.array(np.ascontiguousarray(c[piece])) for c in (a, b, bucket, role)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
         for batch in batches:
@@ -374,6 +377,7 @@ def _possible(percent: int):
                     seen.add(pair)
                     yield pair
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, group, seen = Rows(schema), None, [], set()
 
@@ -418,6 +422,7 @@ def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _compare(schema: pa.Schema, words: int, percent: int):
     """Rows sorted by leader and chunk, the leader first, to pairs that are linked."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, leaders = Rows(schema), None, []
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import Rows, arrow_schema, staged
+from filingloom.llm.common import Rows, arrow_schema, staged, tidy
 from filingloom.llm.tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -166,6 +166,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def _cut(tokenizer: str, capacity: int):
     schema = arrow_schema(PIECES)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = encoder(tokenizer), Rows(schema)
         for batch in batches:
@@ -189,6 +190,7 @@ def _place(runs, schema: pa.Schema):
     firsts, sequences, offsets = (np.array([r[i] for r in runs], np.int64) for i in (1, 2, 3))
     bounds = {int(x): (int(np.searchsorted(lengths, x)), int(np.searchsorted(lengths, x, "right"))) for x in np.unique(lengths)}
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(3).to_numpy(zero_copy_only=False)

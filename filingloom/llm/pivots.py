@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import Rows, arrow_schema, staged
+from filingloom.llm.common import Rows, arrow_schema, staged, tidy
 from filingloom.llm.graph import components
 
 THRESHOLD = 0.93
@@ -39,6 +39,7 @@ SHORT = 24
 def _describe(pivots: np.ndarray, kind: str, schema: pa.Schema):
     """Adds the prefix of the pivot permutation; vectors of other dimensions get none."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
@@ -129,6 +130,7 @@ def _verify(threshold: float, kind: str, schema: pa.Schema):
                 out[name] = column.to_numpy(zero_copy_only=False)
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = Rows(schema), None
         for batch in batches:

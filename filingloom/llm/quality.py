@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import Rows, arrow_schema, raw_bytes
+from filingloom.llm.common import Rows, arrow_schema, raw_bytes, tidy
 
 #: labelled rows that are collected for training, about
 TRAIN_ROWS = 20_000
@@ -159,6 +159,7 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 
 def _statistics_rows(schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:
@@ -203,6 +204,7 @@ def learn(
 
 
 def _scores(forest: Forest, schema: pa.Schema):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(raw) for raw in raw_bytes(batch.column(1))]

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from filingloom.llm.common import LOWER
+from filingloom.llm.common import LOWER, worker_cache
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 150_000
 _FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64
 )
@@ -28,9 +28,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def shingles(raw: bytes, size: int = 5) -> np.ndarray:
     """The set of ``size``-word shingles of a text, A-Z lower-cased, words split at ASCII blanks.
 
@@ -39,7 +36,8 @@ def shingles(raw: bytes, size: int = 5) -> np.ndarray:
     words = raw.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = worker_cache("shingles").setdefault("words", _Hashes())
+    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(words) - width + 1
     total = np.full(n, width, np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingloom.llm import rans
-from filingloom.llm.common import Rows, arrow_schema, staged
+from filingloom.llm.common import Rows, arrow_schema, staged, tidy
 from filingloom.llm.tokens import default_path, encoder
 
 MAGIC = b"TOKRANS1"
@@ -133,6 +133,7 @@ class Shard:
 def _writer(root: str, tokenizer: str, shard_tokens: int):
     schema = arrow_schema(MANIFEST)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         encode = encoder(tokenizer)
@@ -201,6 +202,7 @@ def write_tokens(
 def _reader():
     schema = arrow_schema(TOKENS)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for batch in batches:

@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from filingloom.llm.common import worker_cache
+
 END_ID = 0
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: entries of a Python worker's caches: pieces behind a space, and all else; a full cache
@@ -100,16 +102,14 @@ class _Pieces(_Cache):
         return self.keep(piece, b"".join([self.words[w] for w in _PRE_TOKENS(whole)]))
 
 
-_encoders: dict[str, Callable[[str | None], bytes]] = {}
-
-
 def encoder(path: str) -> Callable[[str | None], bytes]:
     """A function from a text to its ids and the end id, 4 bytes each, little-endian.
 
     A null text counts as empty. Texts holding a special token's string are encoded whole.
     """
-    if path in _encoders:
-        return _encoders[path]
+    kept = worker_cache("tokens")
+    if path in kept:
+        return kept[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -128,5 +128,5 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
         head = first[pieces[0]] if pieces[0] else b""
         return head + b"".join(map(later.__getitem__, pieces[1:])) + end
 
-    _encoders[path] = encode
+    kept[path] = encode
     return encode

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from filingloom.llm import packing, rans, token_files, tokens
+from filingloom.llm import common, packing, rans, token_files, tokens
 from filingloom.session import scratch_dir
 
 from .conftest import AWKWARD
@@ -34,7 +34,7 @@ def test_full_caches_change_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "PIECE_ENTRIES", 3)
     monkeypatch.setattr(tokens._Cache, "most", 2)
     monkeypatch.setattr(tokens, "STALE_MISSES", 5)
-    monkeypatch.setattr(tokens, "_encoders", {})
+    monkeypatch.setattr(common, "_held", {})
     encode = tokens.encoder(tokens.default_path())
     text = " ".join(f"word{i % 7} more{i}, x" for i in range(60))
     assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(tokenizer, text)
