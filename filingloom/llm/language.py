@@ -26,6 +26,8 @@ TRAIN_CHARS = 40_000
 #: documents sampled per language at most, and what each can add
 TRAIN_DOCS = 400
 TRAIN_DOC_CHARS = 4_000
+#: drawn beyond twice the documents asked for, against the chance of the hash
+SPARE_DOCS = 50
 #: symbols parsed in one stretch; a phrase does not reach over its end
 STRETCH = 512
 #: symbols that advance side by side in one go
@@ -197,28 +199,30 @@ def learn(
     train_chars: int = TRAIN_CHARS,
     train_docs: int = TRAIN_DOCS,
 ) -> Samples:
-    """A bounded sample of labelled text: about ``train_docs`` documents a label.
+    """A bounded sample of labelled text: ``train_docs`` distinct texts a label, or all it has.
 
-    Documents are drawn by a hash of their text, so copies count once. Rows without label
-    or text teach nothing; without any labelled text nothing can be told apart and every
-    prediction is ``und``.
+    Those with the least hashes are drawn, so copies count once, however many there are.
+    Rows without label or text teach nothing; without any labelled text nothing can be told
+    apart and every prediction is ``und``.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("content"))
     rows = rows.where("label IS NOT NULL AND content IS NOT NULL AND content != ''")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("digest", F.xxhash64("content"))
+    distinct = rows.select("label", "digest").distinct().groupBy("label").agg(F.count("*").alias("n"))
+    counts = {r["label"]: r["n"] for r in distinct.collect()}
     if not counts:
         return Samples(())
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, train_docs / n))])
-    digest = F.xxhash64("content")
-    chosen = rows.withColumn("digest", digest).where(
-        F.pmod("digest", F.lit(1_000_003)) < share[F.col("label")] * 1_000_003
-    )
+    # more than asked for, so that chance does not leave fewer; the driver keeps the least
+    upto = {k: min(2**63 - 1, (2 * train_docs + SPARE_DOCS) * 2**64 // n - 2**63) for k, n in counts.items()}
+    bound = F.create_map(*[F.lit(x) for k, most in upto.items() for x in (k, most)])
+    chosen = rows.where(F.col("digest") <= bound[F.col("label")])
     chosen = chosen.select("label", "digest", F.substring("content", 1, TRAIN_DOC_CHARS).alias("content"))
     found = chosen.groupBy("label", "digest").agg(F.min("content").alias("content"))
-    # a few more than asked for at most, by chance of the hash
     texts: dict[str, list[str]] = {}
-    for r in found.orderBy("label", "digest").limit(4 * train_docs * len(counts)).collect():
-        texts.setdefault(r["label"], []).append(r["content"])
+    for r in found.orderBy("label", "digest").collect():
+        drawn = texts.setdefault(r["label"], [])
+        if len(drawn) < train_docs:
+            drawn.append(r["content"])
     return Samples(tuple((k, " ".join(v)[:train_chars]) for k, v in sorted(texts.items())))
 
 

@@ -51,6 +51,18 @@ def test_held_out_languages(spark):
     assert all(r["lang_pred"] == "aabbcc"[2 * (r["doc_id"] % 3) :][:2] and 0 <= r["score"] <= 1 for r in found)
 
 
+def test_copies_do_not_thin_out_a_language(spark):
+    texts = [f"page {i} of the small language" for i in range(300)]
+    rows = [(t, "small") for t in texts] + [("copied page", "small")] * 30_000 + [("the one text", "single")] * 5_000
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = dict(language.learn(docs, train_chars=1_000_000).texts)
+    assert found["single"] == "the one text"
+    assert len(found["small"]) == len(" ".join([*texts, "copied page"]))
+    some = dict(language.learn(docs, train_chars=1_000_000, train_docs=40).texts)
+    assert some["single"] == "the one text"
+    assert some["small"].count("page") == 40
+
+
 def test_no_language(spark, awkward, nothing):
     samples = language.learn(awkward)
     found = {str(r["doc_id"]): (r["lang_pred"], r["score"]) for r in language.identify(awkward, samples).collect()}
