@@ -30,11 +30,25 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; documents without words stay."""
+    """The document with the least id of each group; documents without words stay.
+
+    Of several rows with that id one stays, that with the greatest text.
+    """
     found = ngram_join.similar_documents(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
-    first = first.select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
+    first = found.groupBy(F.col("doc_id").alias("__first")).agg(
+        F.min("component_id").alias("component"), F.count("*").alias("__rows")
+    )
+    first = first.where(F.col("__first").eqNullSafe(F.col("component")) | F.col("component").isNull())
+    first = staged(first.select("__first", "__rows"), "near-first")
+    same = docs["doc_id"].eqNullSafe(first["__first"])
+    repeated = F.col("__first").isNotNull() & (F.col("__rows") > 1)
+    kept = docs.join(first.where(~repeated), same, "left_semi")
+    if first.where(repeated).isEmpty():
+        return kept
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = docs.join(first.where(repeated), same, "left_semi").groupBy("doc_id")
+    one = again.agg(F.max(F.struct("text", *others)).alias("__row")).select("doc_id", "__row.*")
+    return kept.unionByName(one.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

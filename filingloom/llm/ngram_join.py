@@ -190,6 +190,15 @@ def folded(cells: np.ndarray, n: int) -> np.ndarray:
     return cells
 
 
+def _digest(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def _key(digest: bytes) -> int:
+    """The class of a set: what travels in place of its documents' ids."""
+    return int.from_bytes(digest[:8], "big") >> 1
+
+
 def _sets(schema: pa.Schema, words: int, sampled: float):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +206,12 @@ def _sets(schema: pa.Schema, words: int, sampled: float):
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
                 tokens = shingles(raw, words)
-                digest = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
+                digest = _digest(tokens) if len(tokens) else None
                 drawn = digest is not None and int.from_bytes(digest[:4], "big") < sampled * (1 << 32)
                 some = tokens[:20_000].tobytes() if drawn else None
                 cells = sketch(tokens)
-                out.add(key, len(tokens), digest, some, cells, weight=len(some or b"") + len(cells))
+                own = None if digest is None else _key(digest)
+                out.add(key, len(tokens), own, digest, some, cells, weight=len(some or b"") + len(cells))
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -229,7 +239,7 @@ _PAIRS = "kind string, a long, b long, bucket long, role int"
 
 
 def _pack(parts: int, words: int, percent: int, heavy: np.ndarray, heavy_count: np.ndarray):
-    """One row per part: hashes, place of the owner in ``ids``, roles. Copies in a task go once."""
+    """One row per part: hashes, place of the owner in ``ids`` (of classes), roles. Copies in a task go once."""
     schema = arrow_schema(_PACKED)
 
     @tidy
@@ -277,13 +287,13 @@ def _pack(parts: int, words: int, percent: int, heavy: np.ndarray, heavy_count:
                 tokens = shingles(raw, words)
                 if key is None or not len(tokens):
                     continue
-                digest = xxhash.xxh3_128_digest(tokens.tobytes())
+                digest = _digest(tokens)
                 if digest in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(digest)
                 found, role = signatures(tokens, heavy, heavy_count, percent)
-                ids.append(key)
+                ids.append(_key(digest))
                 hashes.append(found)
                 roles.append(role)
                 held += len(found)
@@ -314,7 +324,7 @@ def _meet():
         low, ids, role, bucket = low[live], ids[live], role[live], bucket[live]
         if not len(ids):
             return
-        # the leader is the least id that probes
+        # the leader is the least class that probes
         first = np.full(n, np.iinfo(np.int64).max)
         is_probe = (role & _PROBE) > 0
         np.minimum.at(first, bucket[is_probe], ids[is_probe])
@@ -357,7 +367,7 @@ def _possible(percent: int):
     schema = arrow_schema("a long, b long")
 
     def settle(group: list[tuple], blocks: tuple[int, int], seen: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        role, rep, component, n, block = (np.array([r[k] for r in group], np.int64) for k in range(3, 8))
+        role, key, component, n, block = (np.array([r[k] for r in group], np.int64) for k in range(3, 8))
         raw = [np.frombuffer(r[8], np.uint8) for r in group]
         width = min(map(len, raw))
         cells = np.stack([folded(x, width) for x in raw])
@@ -372,7 +382,7 @@ def _possible(percent: int):
             unlike = (cells[them] != cells[p]).sum(axis=1)
             most = (n[them] + n[p]) * (100 - percent) // (100 + percent)
             for q in them[unlike <= most].tolist():
-                pair = (min(int(rep[p]), int(rep[q])), max(int(rep[p]), int(rep[q])))
+                pair = (min(int(key[p]), int(key[q])), max(int(key[p]), int(key[q])))
                 if pair not in seen:
                     seen.add(pair)
                     yield pair
@@ -403,15 +413,15 @@ def _possible(percent: int):
 
 
 def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a probe and an entry of one bucket that are in different components and may be linked."""
+    """Classes of a probe and an entry of one bucket that are in different components and may be linked."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(sizes, "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    sketches = sets.where("digest IS NOT NULL").select(F.col("id").alias("s_id"), "n", "sketch")
-    rows = rows.join(sketches, F.col("rep") == F.col("s_id"))
-    rows = rows.select("bucket", "i", "j", F.col("role").cast("long"), "rep", "component", "n", "block", "sketch")
+    sketches = sets.where("key IS NOT NULL").select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "n", "sketch")
+    rows = rows.join(sketches, (F.col("key") == F.col("s_key")) & (F.col("rep") == F.col("s_id")))
+    rows = rows.select("bucket", "i", "j", F.col("role").cast("long"), "key", "component", "n", "block", "sketch")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return rows.mapInArrow(_possible(percent), "a long, b long").distinct()
 
@@ -420,25 +430,30 @@ def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(schema: pa.Schema, words: int, percent: int):
-    """Rows sorted by leader and chunk, the leader first, to pairs that are linked."""
+    """Rows sorted by leader and chunk, the leader first, to pairs that are linked.
+
+    An id may have texts of other classes than the one needed; these are passed over.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, leaders = Rows(schema), None, []
+        out, at, own, own_id = Rows(schema), None, None, None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:4]]
-            for leader, chunk, member, key, raw in zip(*columns, raw_bytes(batch.column(4))):
-                tokens = shingles(raw, words)
+            columns = [c.to_pylist() for c in batch.columns[:5]]
+            for leader, chunk, member, need, key, raw in zip(*columns, raw_bytes(batch.column(5))):
                 if (leader, chunk) != at:
-                    at, leaders = (leader, chunk), []
-                if not member:
-                    leaders.append(tokens)
+                    at, own = (leader, chunk), None
+                if not member and own is not None:
+                    continue
+                tokens = shingles(raw, words)
+                if not len(tokens) or _key(_digest(tokens)) != need:
                     continue
-                for own in leaders:
+                if not member:
+                    own, own_id = tokens, key
+                elif own is not None:
                     common = len(np.intersect1d(own, tokens, assume_unique=True))
                     if 100 * common >= percent * (len(own) + len(tokens) - common):
-                        out.add(leader, key)
-                        break
+                        out.add(own_id, key)
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -446,8 +461,8 @@ def _compare(schema: pa.Schema, words: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` whose sets are similar enough."""
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the distinct pairs of classes ``a, b`` those whose sets are similar enough, as pairs of their least ids."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     member = pairs.join(degree, "a").select(
         F.col("b").alias("need"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("member")
@@ -455,12 +470,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     leader = degree.select(
         F.col("a").alias("need"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("member")
     )
-    needed = member.unionAll(leader)
-    rows = docs.join(needed, F.col("id") == F.col("need"))
-    rows = rows.select("leader", "chunk", "member", "id", "content")
+    needed = member.unionAll(leader).join(classes, F.col("need") == F.col("key"))
+    rows = docs.join(needed, F.col("id") == F.col("rep"))
+    rows = rows.select("leader", "chunk", "member", "need", "id", "content")
     rows = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "member")
     schema = "a long, b long"
-    return rows.mapInArrow(_compare(arrow_schema(schema), words, percent), schema).distinct()
+    return rows.mapInArrow(_compare(arrow_schema(schema), words, percent), schema).where("a != b").distinct()
 
 
 def similar_documents(
@@ -486,6 +501,7 @@ def similar_documents(
         [
             T.StructField("id", T.LongType()),
             T.StructField("n", T.LongType()),
+            T.StructField("key", T.LongType()),
             T.StructField("digest", T.BinaryType()),
             T.StructField("sample", T.BinaryType()),
             T.StructField("sketch", T.BinaryType()),
@@ -501,21 +517,23 @@ def similar_documents(
     packed = packed.repartition("part").sortWithinPartitions("part")
     met, met_path = write_scratch(packed.mapInArrow(_meet(), _PAIRS), "shingle-buckets")
 
-    classes = sets.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    owner = sets.join(classes, "digest").where("id IS NOT NULL").select(F.col("id").alias("node"), "rep")
-    owner = staged(owner.groupBy("node").agg(F.min("rep").alias("rep")), "shingle-classes")
+    owned = sets.where("key IS NOT NULL AND id IS NOT NULL")
+    classes = staged(owned.groupBy("key").agg(F.min("id").alias("rep")), "shingle-classes")
+    # ids with several texts join up the classes of these
+    named = owned.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    several = owned.select("id", "key").join(named.where("least != most").select("id"), "id").distinct()
+    shared = several.join(classes, "key").selectExpr("id AS a", "rep AS b").where("a != b")
+    shared = staged(shared, "shingle-ids")
 
-    pairs = met.where("kind = 'pair'").select("a", "b").distinct()
-    pairs = _between_classes(pairs, owner)
-    first, pairs_path = write_scratch(pairs, "shingle-pairs")
-    links = staged(_linked(first, rows, words, percent), "shingle-links")
+    first, pairs_path = write_scratch(met.where("kind = 'pair'").select("a", "b").distinct(), "shingle-pairs")
+    links = staged(_linked(first, rows, classes, words, percent).unionAll(shared), "shingle-links")
     joined = components(links)
 
     # what is left: probes and entries of one bucket whose components still differ
-    members = met.where("kind = 'open'").select(F.col("a").alias("node"), "bucket", "role")
-    members = members.join(owner, "node").select("bucket", "role", "rep")
+    members = met.where("kind = 'open'").select(F.col("a").alias("key"), "bucket", "role")
+    members = members.join(classes, "key").select("bucket", "role", "key", "rep")
     members = members.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "role", "rep", F.coalesce("component", "rep").alias("component")
+        "bucket", "role", "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     members, members_path = write_scratch(members, "shingle-members")
     mixed_buckets = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
@@ -523,24 +541,20 @@ def similar_documents(
     still = staged(still, "shingle-open")
     rest = _unsettled(still, sets, percent)
     rest = staged(rest.join(first, ["a", "b"], "left_anti"), "shingle-rest")
-    more = staged(_linked(rest, rows, words, percent), "shingle-links")
+    more = staged(_linked(rest, rows, classes, words, percent), "shingle-links")
     for path in (met_path, pairs_path, members_path):
         remove(docs.sparkSession, path)
 
     edges = links.unionAll(more)
     final = components(edges).withColumnRenamed("node", "c_node")
     class_component = classes.join(final, F.col("rep") == F.col("c_node"), "left").select(
-        F.col("digest").alias("c_digest"), F.coalesce("component", "rep").alias("component_id")
+        F.col("key").alias("c_key"), F.coalesce("component", "rep").alias("component_id")
     )
-    alone = F.when(F.col("digest").isNull(), F.col("id"))
-    return sets.join(class_component, F.col("digest") == F.col("c_digest"), "left").select(
+    # a text without words has the class of another text of its id, if there is one
+    blank = sets.where("key IS NULL").select("id", "n")
+    blank = blank.join(named.select(F.col("id").alias("n_id"), F.col("least").alias("key")), F.col("id") == F.col("n_id"), "left")
+    every = sets.where("key IS NOT NULL").select("id", "n", "key").unionAll(blank.select("id", "n", "key"))
+    alone = F.when(F.col("key").isNull(), F.col("id"))
+    return every.join(class_component, F.col("key") == F.col("c_key"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", alone).alias("component_id")
     )
-
-
-def _between_classes(pairs: DataFrame, owner: DataFrame) -> DataFrame:
-    """Pairs of documents as pairs of class representatives."""
-    left = owner.select(F.col("node").alias("a"), F.col("rep").alias("x"))
-    right = owner.select(F.col("node").alias("b"), F.col("rep").alias("y"))
-    named = pairs.join(left, "a").join(right, "b").where("x != y")
-    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -152,6 +152,17 @@ def test_join_awkward_rows(awkward):
     assert found["None"] == (1, None)
 
 
+def test_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    a, b, c = ([f"{k}{n}" for n in range(60)] for k in "abc")
+    near_b = [*b[:-1], "other"]
+    rows = [(1, a), (7, a), (7, b), (9, near_b), (3, c), (3, []), (2, c)]
+    rows = [(i, " ".join(words)) for i, words in rows] + [(i + 100, t) for i, t in variants(3, 80)]
+    rows += [(100 + rng.randrange(1, 81), t) for _, t in variants(3, 80)[::4]]
+    found = ngram_join.similar_documents(wide(spark, rows).repartition(4))
+    assert sorted(tuple(r) for r in found.collect()) == plain_components(rows)
+
+
 def test_join_empty(nothing):
     assert ngram_join.similar_documents(nothing).count() == 0
 

@@ -65,6 +65,13 @@ def test_run_equals_stages(spark):
     assert a == b
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{k}{n}" for n in range(60)) for k in "abc")
+    rows = [(1, a), (1, a), (7, a), (7, b), (9, f"{b} more"), (4, c), (4, c), (5, ""), (8, ""), (8, a)]
+    kept = corpus_pipeline.drop_near_copies(spark, wide(spark, rows).repartition(3), SF_DIR).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (4, c), (5, "")]
+
+
 @pytest.mark.parametrize("rows", [AWKWARD, []])
 def test_stages_bear_awkward_rows(spark, rows):
     docs = wide(spark, rows)
