@@ -33,8 +33,8 @@ class Bins:
     lengths: list[int] = field(default_factory=list)
 
 
-def dominant_set(counts: dict[int, int], lengths: list[int], capacity: int) -> tuple[int, ...] | None:
-    """A set with the largest length that some optimal packing is sure to contain.
+def dominant_set(counts: dict[int, int], lengths: list[int], capacity: int, top: int | None = None) -> tuple[int, ...] | None:
+    """A set with the length ``top`` (default: the largest) that some optimal packing is sure to contain.
 
     ``lengths`` are those with pieces left, ascending. A set dominates another when its
     pieces can take the place of the other's, piece by piece or one for several:
@@ -45,7 +45,7 @@ def dominant_set(counts: dict[int, int], lengths: list[int], capacity: int) -> t
       longer together; and ``a`` with the largest ``b`` beside it does when ``b`` is at
       least as long as the shorter piece of any fitting pair.
     """
-    top = lengths[-1]
+    top = lengths[-1] if top is None else top
     room = capacity - top
 
     def left(length: int, *taken: int) -> int:
@@ -88,14 +88,24 @@ def dominant_set(counts: dict[int, int], lengths: list[int], capacity: int) -> t
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Bins], dict[int, int]]:
-    """Sequences fixed for good, and the counts of what remains."""
+    """Sequences fixed for good, and the counts of what remains.
+
+    Lengths are tried from the longest down, again and again until none has a sure set.
+    """
     counts = {k: n for k, n in counts.items() if n}
     lengths = sorted(counts)
     fixed: list[Bins] = []
+    tops, before = list(lengths), 0
     while lengths:
-        found = dominant_set(counts, lengths, capacity)
+        if not tops:
+            if len(fixed) == before:
+                break
+            tops, before = list(lengths), len(fixed)
+        top = tops[-1]
+        found = dominant_set(counts, lengths, capacity, top) if top in counts else None
         if found is None:
-            break
+            tops.pop()
+            continue
         # the same set dominates while its pieces last: what goes only removes alternatives
         times = min(counts[length] // found.count(length) for length in set(found))
         fixed.append(Bins(times, capacity - sum(found), list(found)))

@@ -147,3 +147,9 @@ def test_runs_number_each_length_once():
     for length in counts:
         firsts = [r[1] for r in runs if r[0] == length]
         assert firsts[0] == 0 and firsts == sorted(set(firsts))
+
+
+def test_reduction_goes_on_below_a_length_without_a_sure_set():
+    fixed, rest = packing.reduce_by_dominance({60: 1, 55: 3, 45: 3, 12: 1, 11: 1, 10: 1}, 100)
+    assert (3, [45, 55]) in [(b.count, sorted(b.lengths)) for b in fixed]
+    assert 55 not in rest and 45 not in rest
