@@ -194,7 +194,8 @@ def near_vectors(
     fold = rows.where("usable").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     fold = staged(fold, "vectors-folded")
 
-    dims = [r["d"] for r in fold.groupBy(F.size("v").alias("d")).count().orderBy("d").limit(1000).collect()]
+    # a vector alone with its length links with none but its copies, which are folded
+    dims = [r["d"] for r in fold.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
     found = None
     for dim in dims:
         part = fold.where(F.size("v") == dim)

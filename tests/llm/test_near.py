@@ -240,3 +240,14 @@ def test_unusable_vectors_link_with_nothing(spark):
     assert all(by_id[i] == (0, i) for i in range(3, 12))
     empty = spark.createDataFrame([], VECTORS)
     assert pivots.near_vectors(empty).count() == 0
+
+
+def test_vectors_of_very_many_lengths(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1, 1003).withColumn("size", F.least("id", F.lit(1001)).cast("int"))
+    vectors = ids.select(F.col("id").alias("vec_id"), F.lit("x").alias("label"), "size")
+    last = F.when(F.col("vec_id") == 1002, 0.5).otherwise(1.0).cast("float")
+    value = F.concat(F.array_repeat(F.lit(1.0).cast("float"), F.col("size") - 1), F.array(last))
+    found = pivots.near_vectors(vectors.select("vec_id", "label", value.alias("embedding"))).where("n_links > 0")
+    assert sorted(tuple(r) for r in found.collect()) == [(1001, 1, 1001, True), (1002, 1, 1001, False)]
