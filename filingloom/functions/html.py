@@ -36,8 +36,8 @@ def decode_entities(col: Column) -> Column:
 
     def resolve(part: Column) -> Column:
         name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        dec = F.regexp_extract(part, r"^#([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(part, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        dec = F.regexp_extract(part, r"^#0*([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]0*([0-9A-Fa-f]{1,6});", 1)
         char = (
             F.when(name != "", F.try_element_at(names, name))
             .when(dec != "", _code_point(dec.try_cast("long")))

@@ -153,3 +153,8 @@ def test_json_text_round_trip(one):
     for text in ('a "quoted" \\ back', "line\nbreak\ttab"):
         assert json.loads(one(tx.json_text, text)) == text
     assert re.match('^"', one(tx.json_text, ""))
+
+
+@pytest.mark.parametrize("form", [ht.html_to_text, ht.html_to_text_parsed])
+def test_numeric_references_with_leading_zeros(one, form):
+    assert one(form, "&#00000065;&#x00000042; &#x1F600;") == "AB \U0001f600"
