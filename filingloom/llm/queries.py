@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, secrets, token_files
+from filingloom.functions.text import let
+from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, runs, secrets, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +196,96 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = mixing.plan(docs, DOMAIN_WEIGHTS, domain, share=0.5, max_epochs=2)
     drawn = mixing.select(docs, leaves, domain)
     return drawn.select("doc_id", domain.alias("domain"), "lang", "source", "mix_epoch", mixing.token_count(F.col("text")).alias("n_tokens"))
+
+
+def _crc32_sql(points: str) -> str:
+    """Unsigned crc32 of a list of byte values, bit by bit."""
+    bits = f"flatten(list_transform({points}, lambda b: list_transform(range(8), lambda k: (b >> k) & 1)))"
+    step = "xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def _digits_sql(number: str) -> str:
+    return f"list_transform(string_split({number}::VARCHAR, ''), lambda d: ord(d)::BIGINT)"
+
+
+def _runs_sql(levels: int = 14) -> str:
+    """Runs by the names of factors of 1, 2, 4 ... words; periods up to ``2 ** levels``."""
+    blanks = r"[\x20\x09-\x0D]+"
+    ctes = [
+        f"""h AS (SELECT doc_id, {_crc32_sql(_digits_sql("doc_id"))} AS h,
+  list_filter(string_split_regex(coalesce(text, ''), '{blanks}'), lambda w: w <> '') AS words FROM documents)""",
+        """e AS (SELECT *, len(words) AS n, h // 10 AS g FROM h)""",
+        """c AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM e)""",
+        """p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM c)""",
+        """raw AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM p)""",
+        """w AS MATERIALIZED (SELECT r.doc_id, r.i, o.word FROM raw r JOIN p ON p.doc_id = r.doc_id
+  JOIN raw o ON o.doc_id = r.doc_id AND o.i = CASE WHEN r.i < p.a THEN r.i ELSE p.a + (r.i - p.a) % p.p END)""",
+        """l0 AS MATERIALIZED (SELECT doc_id, i, min(i) OVER f AS name, count(*) OVER f AS times,
+  lead(i) OVER (PARTITION BY doc_id, word ORDER BY i) - i AS gap FROM w WINDOW f AS (PARTITION BY doc_id, word))""",
+    ]
+    for k in range(1, levels + 1):
+        ctes.append(
+            f"""l{k} AS MATERIALIZED (SELECT doc_id, i, min(i) OVER f AS name, count(*) OVER f AS times,
+  lead(i) OVER (PARTITION BY doc_id, a, b ORDER BY i) - i AS gap
+  FROM (SELECT x.doc_id, x.i, x.name AS a, y.name AS b FROM l{k - 1} x JOIN l{k - 1} y
+        ON y.doc_id = x.doc_id AND y.i = x.i + {1 << (k - 1)} WHERE x.times > 1 AND y.times > 1)
+  WINDOW f AS (PARTITION BY doc_id, a, b))"""
+        )
+    gaps = " UNION ALL ".join(
+        f"SELECT doc_id, i, gap, {1 << k} AS size FROM l{k} WHERE gap > {(1 << k) // 2} AND gap <= {1 << k}"
+        for k in range(levels + 1)
+    )
+    return f"""
+WITH {", ".join(ctes)},
+gaps AS ({gaps}),
+isles AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, size, gap ORDER BY i) AS isle FROM gaps),
+runs AS MATERIALIZED (
+  SELECT doc_id, min(i) AS start, count(*) - 1 + gap + size AS length, gap AS period FROM isles
+  GROUP BY doc_id, size, gap, isle HAVING count(*) - 1 + gap + size >= greatest(6, 4 * gap)),
+dropped AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN runs r ON r.doc_id = w.doc_id
+  AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS words FROM w ANTI JOIN dropped d
+  ON d.doc_id = w.doc_id AND d.i = w.i GROUP BY w.doc_id),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id LEFT JOIN top ON top.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+def repeated_tail(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by crc32 of its id, repeats a stretch of words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def edited(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.concat_ws(" ", F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))))
+
+    blank = F.trim(F.lit(" \t\n\x0b\x0c\r"), F.coalesce("text", F.lit(""))) == ""
+    return docs.select("doc_id", F.when((h % 10 == 0) & ~blank, let(words, edited)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", _runs_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, one in ten of them with a repeated tail."""
+    found = runs.periodic_runs(repeated_tail(load(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    listed = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("top", F.array_max(ranked))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
