@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.functions.text import let
-from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, runs, secrets, token_files
+from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, reconcile, runs, secrets, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +289,32 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def half_replaced(rows: DataFrame) -> DataFrame:
+    """Adds the text whose last half is the beginning of the following one."""
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    return rows.withColumns({"n_chars": n.cast("long"), "edited": edited})
+
+
+@query("op12_document_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and how like they are to an edited text and to the next document."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        texts = half_replaced(rows).withColumn("edited_sha256", F.sha2("edited", 256))
+        keep = ["part", "edge", "edge_text", "id", "n_chars", "edited_sha256"]
+        found = reconcile.compare_versions(texts, keep, "text", ["edited", "next_text"], digests=False)
+        return found.select(
+            *keep,
+            F.unbase64("fingerprint").alias("fingerprint"),
+            F.unbase64("edited_fingerprint").alias("edited_fingerprint"),
+            F.col("edited_difference.likeness").alias("near_edited"),
+            F.col("next_text_difference.likeness").alias("near_next"),
+        )
+
+    found = reconcile.with_following(load(spark, sf_dir, "documents"), work).withColumnRenamed("id", "doc_id")
+    # base64() breaks its lines
+    return found.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")})
