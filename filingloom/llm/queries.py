@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.functions.text import let
-from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, reconcile, runs, secrets, token_files
+from filingloom.llm import exact, language, lines, mixing, ngram_join, packing, pivots, quality, reconcile, runs, secrets, spelling, token_files
 from filingloom.session import load, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +318,45 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reconcile.with_following(load(spark, sf_dir, "documents"), work).withColumnRenamed("id", "doc_id")
     # base64() breaks its lines
     return found.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")})
+
+
+def _spelling_sql() -> str:
+    """The words, all pairs by their deletions, and the chains of forms."""
+    run = LOWERED.format("coalesce(text, '')")
+    bytes_of = (
+        "flatten(list_transform(string_split(concat(doc_id, ':', run), ''), "
+        "lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END))"
+    )
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({run}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS c FROM t WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT *, {_crc32_sql(bytes_of)} AS h FROM c),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN concat(left(run, (h % length(run))::INT), substr(run, (h % length(run))::INT + 2)) ELSE run END AS word, c FROM h),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS MATERIALIZED (
+  SELECT word, n, i, concat(left(word, i::INT), substr(word, i::INT + 2)) AS d
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word, y.word AS near FROM less x JOIN less y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.d FROM less x JOIN words y ON y.word = x.d
+  UNION SELECT x.d, x.word FROM less x JOIN words y ON y.word = x.d),
+best AS (
+  SELECT p.word, p.near, f.n AS form_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY f.n DESC, p.near) AS place
+  FROM pairs p JOIN words f ON f.word = p.near),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.near END AS form,
+    CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+chain AS (
+  SELECT word, word AS root, form AS further FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.further)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word WHERE c.further IS NULL
+"""
+
+
+@query("op11_spelling_variants", _spelling_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of the words of all documents, after one run in 31 has lost a letter."""
+    words = spelling.word_counts(load(spark, sf_dir, "documents"), rewrite=spelling.Drops(31))
+    return spelling.spelling_variants(words)
