@@ -15,19 +15,23 @@ Probes and index entries travel packed, as arrays, and meet by hash. Within a bu
 probes and entries are first compared with one leader; the links found join up most of the
 bucket. Where a bucket still holds several components, sketches are compared block by
 block inside a task: the cells in which two sketches differ are never more than the
-shingles in which the sets do, so this leaves out only pairs that cannot be linked. What
-remains is compared exactly, like all other pairs, on the shingles of whole texts.
+shingles in which the sets do, so this leaves out only members that cannot be linked. The
+others meet again with their shingles and are compared exactly. What a task has linked it
+does not compare again, and it hands on only links that join two components, so a crowd of
+like texts gives no more rows than it has members, whoever is linked to whom.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +54,15 @@ MIN_PARTS = 256
 #: compared with one leader by one task
 CHUNK = 400
 FLUSH_ROWS = 1_000_000
-#: members of a bucket that meet in one task; larger buckets are cut into pairs of blocks
-BLOCK = 512
+#: members of a bucket, and their shingles, that meet in one task; larger buckets are cut
+#: into pairs of blocks
+BLOCK, BLOCK_SHINGLES = 4_096, 2_000_000
+#: bytes that a task should read, about
+TASK_BYTES = 32 << 20
+#: shingles whose frequency steers the choice of segments, at most
+HEAVY = 100_000
+#: bits of a class number; classes whose numbers collide get others
+KEY_BITS = 62
 
 _INDEX, _PROBE = 1, 2
 
@@ -194,12 +205,44 @@ def _digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _key(digest: bytes) -> int:
-    """The class of a set: what travels in place of its documents' ids."""
-    return int.from_bytes(digest[:8], "big") >> 1
+def _tasks(size: int) -> int:
+    return max(4, -(-size // TASK_BYTES))
 
 
-def _sets(schema: pa.Schema, words: int, sampled: float):
+@dataclass(frozen=True)
+class Classes:
+    """Numbers of sets, which travel in place of their documents' ids.
+
+    A number is the beginning of the set's digest, with a mark above it. Where two digests
+    begin alike, both have a small number without the mark instead.
+    """
+
+    bits: int = KEY_BITS
+    renamed: tuple[bytes, ...] = ()
+
+    def __call__(self, digest: bytes) -> int:
+        if self.renamed:
+            at = bisect_left(self.renamed, digest)
+            if at < len(self.renamed) and self.renamed[at] == digest:
+                return at
+        return (1 << 62) | (int.from_bytes(digest[:8], "big") >> (64 - self.bits))
+
+    def corrected(self, key: Column, digest: Column) -> Column:
+        """Numbers given before the collisions were known."""
+        for place, known in enumerate(self.renamed):
+            key = F.when(digest == F.lit(known), F.lit(place).cast("long")).otherwise(key)
+        return key
+
+
+def _classes(sets: DataFrame, bits: int) -> Classes:
+    """Numbers that tell all sets apart. Of 10^10 sets about five pairs begin alike."""
+    digests = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    twice = digests.where("least != most").select("key")
+    found = sets.join(twice, "key", "left_semi").select("digest").distinct().collect()
+    return Classes(bits, tuple(sorted(bytes(r["digest"]) for r in found)))
+
+
+def _sets(schema: pa.Schema, words: int, sampled: float, number: Classes):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
@@ -207,10 +250,10 @@ def _sets(schema: pa.Schema, words: int, sampled: float):
             for key, raw in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
                 tokens = shingles(raw, words)
                 digest = _digest(tokens) if len(tokens) else None
-                drawn = digest is not None and int.from_bytes(digest[:4], "big") < sampled * (1 << 32)
+                drawn = digest is not None and int.from_bytes(digest[8:12], "big") < sampled * (1 << 32)
                 some = tokens[:20_000].tobytes() if drawn else None
                 cells = sketch(tokens)
-                own = None if digest is None else _key(digest)
+                own = None if digest is None else number(digest)
                 out.add(key, len(tokens), own, digest, some, cells, weight=len(some or b"") + len(cells))
                 if out.full():
                     yield from out.take()
@@ -219,17 +262,30 @@ def _sets(schema: pa.Schema, words: int, sampled: float):
     return run
 
 
+def _unpacked():
+    schema = arrow_schema("token long")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], schema=schema)
+
+    return run
+
+
 def _heavy(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least three of the sampled sets, and about how many sets hold them."""
+    """The shingles in most of the sampled sets (three at least), and about how many sets hold them."""
     drawn = sets.where("sample IS NOT NULL").groupBy("digest").agg(F.min("sample").alias("sample"))
-    got = drawn.orderBy("digest").limit(2 * COST_SAMPLE).collect()
-    if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tokens, counts = np.unique(
-        np.concatenate([np.frombuffer(r["sample"], np.uint64) for r in got]), return_counts=True
-    )
-    keep = counts >= 3
-    return tokens[keep], counts[keep] * max(1, rows // len(got))
+    drawn, path = write_scratch(drawn, "shingle-sample")
+    sampled = drawn.count()
+    counts = drawn.select("sample").mapInArrow(_unpacked(), "token long").groupBy("token").agg(F.count("*").alias("n"))
+    got = counts.where("n >= 3").orderBy(F.col("n").desc(), "token").limit(HEAVY).collect()
+    remove(sets.sparkSession, path)
+    tokens = np.array([r["token"] for r in got], np.int64).view(np.uint64)
+    often = np.array([r["n"] for r in got], np.int64) * max(1, rows // max(1, sampled))
+    order = np.argsort(tokens)
+    return tokens[order], often[order]
 
 
 # --- candidates
@@ -238,7 +294,7 @@ _PACKED = "part int, hashes binary, owners binary, roles binary, ids binary"
 _PAIRS = "kind string, a long, b long, bucket long, role int"
 
 
-def _pack(parts: int, words: int, percent: int, heavy: np.ndarray, heavy_count: np.ndarray):
+def _pack(parts: int, words: int, percent: int, heavy: np.ndarray, heavy_count: np.ndarray, number: Classes):
     """One row per part: hashes, place of the owner in ``ids`` (of classes), roles. Copies in a task go once."""
     schema = arrow_schema(_PACKED)
 
@@ -293,7 +349,7 @@ def _pack(parts: int, words: int, percent: int, heavy: np.ndarray, heavy_count:
                 if len(seen) < 500_000:
                     seen.add(digest)
                 found, role = signatures(tokens, heavy, heavy_count, percent)
-                ids.append(_key(digest))
+                ids.append(number(digest))
                 hashes.append(found)
                 roles.append(role)
                 held += len(found)
@@ -362,41 +418,21 @@ def _meet():
     return run
 
 
-def _possible(percent: int):
-    """Rows sorted by bucket and blocks to pairs whose sketches allow a link."""
-    schema = arrow_schema("a long, b long")
+_MEMBERS = "bucket long, i int, j int, role int, key long, component long, n long, block int"
 
-    def settle(group: list[tuple], blocks: tuple[int, int], seen: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        role, key, component, n, block = (np.array([r[k] for r in group], np.int64) for k in range(3, 8))
-        raw = [np.frombuffer(r[8], np.uint8) for r in group]
-        width = min(map(len, raw))
-        cells = np.stack([folded(x, width) for x in raw])
-        entries = np.flatnonzero(role & _INDEX)
-        for p in np.flatnonzero(role & _PROBE).tolist():
-            fit = (component[entries] != component[p]) & (np.minimum(n[entries], n[p]) * 100 >= percent * np.maximum(n[entries], n[p]))
-            if blocks[0] != blocks[1]:
-                fit &= block[entries] != block[p]
-            them = entries[fit]
-            if not len(them):
-                continue
-            unlike = (cells[them] != cells[p]).sum(axis=1)
-            most = (n[them] + n[p]) * (100 - percent) // (100 + percent)
-            for q in them[unlike <= most].tolist():
-                pair = (min(int(key[p]), int(key[q])), max(int(key[p]), int(key[q])))
-                if pair not in seen:
-                    seen.add(pair)
-                    yield pair
+
+def _by_block(settle, columns: str):
+    """Rows sorted by bucket and blocks, handed to ``settle`` group by group."""
+    schema = arrow_schema(columns)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, group, seen = Rows(schema), None, [], set()
+        out, at, group = Rows(schema), None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(group) > 1:
-                for pair in settle(group, at[1:], seen):
-                    out.add(*pair)
-            if len(seen) > 200_000:
-                seen.clear()
+                for row in settle(at, group):
+                    out.add(*row)
             if out.full():
                 yield from out.take()
 
@@ -405,31 +441,134 @@ def _possible(percent: int):
                 if row[:3] != at:
                     yield from close()
                     at, group = row[:3], []
-                group.append(row)
+                group.append(row[3:])
         yield from close()
         yield from out.take()
 
     return run
 
 
-def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Classes of a probe and an entry of one bucket that are in different components and may be linked."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "bucket")
+class _Block:
+    """Members of a bucket (of one or two blocks of it) and which of them may be linked."""
+
+    def __init__(self, at: tuple, group: list[tuple], sketches: list[bytes], percent: int):
+        self.role, self.key, self.component, self.n, self.block = (np.array([r[k] for r in group], np.int64) for k in range(5))
+        raw = [np.frombuffer(x, np.uint8) for x in sketches]
+        width = min(map(len, raw))
+        self.cells = np.stack([folded(x, width) for x in raw])
+        self.entries = np.flatnonzero(self.role & _INDEX)
+        self.probes = np.flatnonzero(self.role & _PROBE).tolist()
+        self.apart, self.percent = at[1] != at[2], percent
+
+    def partners(self, p: int, label: np.ndarray) -> np.ndarray:
+        """Entries of other labels than the probe's whose sketches allow a link."""
+        them, n = self.entries, self.n
+        fit = label[them] != label[p]
+        if self.apart:
+            fit &= self.block[them] != self.block[p]
+        them = them[fit]
+        them = them[np.minimum(n[them], n[p]) * 100 >= self.percent * np.maximum(n[them], n[p])]
+        unlike = (self.cells[them] != self.cells[p]).sum(axis=1)
+        return them[unlike <= (n[them] + n[p]) * (100 - self.percent) // (100 + self.percent)]
+
+
+def _promising(percent: int):
+    """Of the rows with sketches those that may be linked to a member of another component."""
+
+    def settle(at: tuple, group: list[tuple]) -> Iterator[tuple]:
+        block = _Block(at, group, [r[5] for r in group], percent)
+        wanted = np.zeros(len(group), bool)
+        for p in block.probes:
+            them = block.partners(p, block.component)
+            wanted[them] = True
+            wanted[p] |= len(them) > 0
+        for k in np.flatnonzero(wanted).tolist():
+            yield *at, *group[k][:5]
+
+    return _by_block(settle, _MEMBERS)
+
+
+def similar(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(mine, other, assume_unique=True))
+    return 100 * common >= percent * (len(mine) + len(other) - common)
+
+
+def _joining(percent: int):
+    """Of the rows with shingles the links that join two components, as pairs of components."""
+
+    def settle(at: tuple, group: list[tuple]) -> Iterator[tuple[int, int]]:
+        tokens = [np.frombuffer(r[5], np.uint64) for r in group]
+        block = _Block(at, group, [sketch(t) for t in tokens], percent)
+        label = block.component.copy()
+        for p in block.probes:
+            for q in block.partners(p, label).tolist():
+                if label[p] != label[q] and similar(tokens[p], tokens[q], percent):
+                    yield int(block.component[p]), int(block.component[q])
+                    label[label == label[q]] = label[p]
+
+    return _by_block(settle, "a long, b long")
+
+
+def _shingles_of(words: int, number: Classes):
+    """Rows (class, id, text) to the shingles of the class; an id's texts of other classes are passed over."""
+    schema = arrow_schema("key long, shingles binary")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(schema)
+        for batch in batches:
+            for need, raw in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
+                tokens = shingles(raw, words)
+                if len(tokens) and number(_digest(tokens)) == need:
+                    out.add(need, tokens.tobytes(), weight=8 * len(tokens))
+                    if out.full():
+                        yield from out.take()
+        yield from out.take()
+
+    return run
+
+
+def _further_links(
+    members: DataFrame, sets: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, number: Classes
+) -> DataFrame:
+    """Pairs of components linked by a probe and an entry of one bucket that holds several components.
+
+    ``members`` has (bucket, role, key, rep, component, n). Buckets with the same members in
+    the same roles are settled once.
+    """
+    same = [F.bit_xor(F.xxhash64("key", "role")).alias("x"), F.bit_xor(F.xxhash64("role", "key")).alias("y")]
+    buckets = members.groupBy("bucket").agg(
+        F.count("*").alias("members"), F.sum("n").alias("in_bucket"), *same,
+        F.min("component").alias("least"), F.max("component").alias("most"),
+    )
+    buckets = buckets.where("least != most").groupBy("members", "in_bucket", "x", "y").agg(F.min("bucket").alias("bucket"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("in_bucket") / BLOCK_SHINGLES)).cast("int")
+    buckets = staged(buckets.select("bucket", "in_bucket", blocks.alias("blocks")), "shingle-open")
+    size = buckets.agg(F.sum(F.col("in_bucket") * F.col("blocks"))).first()[0] or 0
+    rows = members.join(buckets.select("bucket", "blocks"), "bucket")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    sketches = sets.where("key IS NOT NULL").select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "n", "sketch")
+    sketches = sets.where("key IS NOT NULL").select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "sketch")
     rows = rows.join(sketches, (F.col("key") == F.col("s_key")) & (F.col("rep") == F.col("s_id")))
-    rows = rows.select("bucket", "i", "j", F.col("role").cast("long"), "key", "component", "n", "block", "sketch")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(_possible(percent), "a long, b long").distinct()
+    columns = ["bucket", "i", "j", "role", "key", "component", "n", "block"]
+    rows = rows.select(*columns, "sketch").repartition(_tasks(size), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    left = staged(rows.mapInArrow(_promising(percent), _MEMBERS), "shingle-promising")
+
+    needed = staged(left.select("key").distinct().join(classes.select("key", "rep"), "key"), "shingle-needed")
+    texts = docs.join(needed, F.col("id") == F.col("rep")).select("key", "content")
+    found = texts.mapInArrow(_shingles_of(words, number), "key long, shingles binary")
+    found = staged(found.groupBy("key").agg(F.min("shingles").alias("shingles")), "shingle-arrays")
+    size = left.agg(F.sum(8 * F.col("n"))).first()[0] or 0
+    rows = left.join(found, "key").select(*columns, "shingles")
+    rows = rows.repartition(_tasks(size), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return staged(rows.mapInArrow(_joining(percent), "a long, b long").distinct(), "shingle-links")
 
 
 # --- verification
 
 
-def _compare(schema: pa.Schema, words: int, percent: int):
+def _compare(schema: pa.Schema, words: int, percent: int, number: Classes):
     """Rows sorted by leader and chunk, the leader first, to pairs that are linked.
 
     An id may have texts of other classes than the one needed; these are passed over.
@@ -446,14 +585,12 @@ def _compare(schema: pa.Schema, words: int, percent: int):
                 if not member and own is not None:
                     continue
                 tokens = shingles(raw, words)
-                if not len(tokens) or _key(_digest(tokens)) != need:
+                if not len(tokens) or number(_digest(tokens)) != need:
                     continue
                 if not member:
                     own, own_id = tokens, key
-                elif own is not None:
-                    common = len(np.intersect1d(own, tokens, assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(tokens) - common):
-                        out.add(own_id, key)
+                elif own is not None and similar(own, tokens, percent):
+                    out.add(own_id, key)
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -461,7 +598,9 @@ def _compare(schema: pa.Schema, words: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, number: Classes, bytes_each: int
+) -> DataFrame:
     """Of the distinct pairs of classes ``a, b`` those whose sets are similar enough, as pairs of their least ids."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     member = pairs.join(degree, "a").select(
@@ -473,9 +612,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
     needed = member.unionAll(leader).join(classes, F.col("need") == F.col("key"))
     rows = docs.join(needed, F.col("id") == F.col("rep"))
     rows = rows.select("leader", "chunk", "member", "need", "id", "content")
-    rows = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "member")
+    rows = rows.repartition(_tasks(2 * bytes_each * pairs.count()), "leader", "chunk")
+    rows = rows.sortWithinPartitions("leader", "chunk", "member")
     schema = "a long, b long"
-    return rows.mapInArrow(_compare(arrow_schema(schema), words, percent), schema).where("a != b").distinct()
+    return rows.mapInArrow(_compare(arrow_schema(schema), words, percent, number), schema).where("a != b").distinct()
 
 
 def similar_documents(
@@ -484,6 +624,7 @@ def similar_documents(
     text_col: str = "text",
     words: int = SHINGLE_WORDS,
     percent: int = PERCENT,
+    key_bits: int = KEY_BITS,
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``.
 
@@ -508,17 +649,22 @@ def similar_documents(
         ]
     )
     share = min(1.0, COST_SAMPLE / max(1, total))
-    sets = staged(rows.mapInArrow(_sets(arrow_schema(schema), words, share), schema), "shingle-sets")
+    number = Classes(key_bits)
+    sets = staged(rows.mapInArrow(_sets(arrow_schema(schema), words, share, number), schema), "shingle-sets")
+    number = _classes(sets, key_bits)
+    if number.renamed:
+        sets = sets.withColumn("key", number.corrected(F.col("key"), F.col("digest")))
     heavy, heavy_count = _heavy(sets, total)
     size = sets.agg(F.sum("n")).first()[0] or 0
+    each = 8 * size // max(1, total)
     parts = max(MIN_PARTS, -(-size // (2 * PART_ROWS)))
 
-    packed = rows.mapInArrow(_pack(parts, words, percent, heavy, heavy_count), _PACKED)
-    packed = packed.repartition("part").sortWithinPartitions("part")
+    packed = rows.mapInArrow(_pack(parts, words, percent, heavy, heavy_count, number), _PACKED)
+    packed = packed.repartition(min(parts, _tasks(9 * size)), "part").sortWithinPartitions("part")
     met, met_path = write_scratch(packed.mapInArrow(_meet(), _PAIRS), "shingle-buckets")
 
     owned = sets.where("key IS NOT NULL AND id IS NOT NULL")
-    classes = staged(owned.groupBy("key").agg(F.min("id").alias("rep")), "shingle-classes")
+    classes = staged(owned.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "shingle-classes")
     # ids with several texts join up the classes of these
     named = owned.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     several = owned.select("id", "key").join(named.where("least != most").select("id"), "id").distinct()
@@ -526,22 +672,16 @@ def similar_documents(
     shared = staged(shared, "shingle-ids")
 
     first, pairs_path = write_scratch(met.where("kind = 'pair'").select("a", "b").distinct(), "shingle-pairs")
-    links = staged(_linked(first, rows, classes, words, percent).unionAll(shared), "shingle-links")
+    links = staged(_linked(first, rows, classes, words, percent, number, each).unionAll(shared), "shingle-links")
     joined = components(links)
 
     # what is left: probes and entries of one bucket whose components still differ
     members = met.where("kind = 'open'").select(F.col("a").alias("key"), "bucket", "role")
-    members = members.join(classes, "key").select("bucket", "role", "key", "rep")
-    members = members.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "role", "key", "rep", F.coalesce("component", "rep").alias("component")
+    members = members.join(classes, "key").join(joined, F.col("rep") == F.col("node"), "left").select(
+        "bucket", "role", "key", "rep", F.coalesce("component", "rep").alias("component"), "n"
     )
-    members, members_path = write_scratch(members, "shingle-members")
-    mixed_buckets = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    still = members.join(mixed_buckets.where("x != y").select("bucket"), "bucket", "left_semi").distinct()
-    still = staged(still, "shingle-open")
-    rest = _unsettled(still, sets, percent)
-    rest = staged(rest.join(first, ["a", "b"], "left_anti"), "shingle-rest")
-    more = staged(_linked(rest, rows, classes, words, percent), "shingle-links")
+    members, members_path = write_scratch(members.distinct(), "shingle-members")
+    more = _further_links(members, sets, rows, classes, words, percent, number)
     for path in (met_path, pairs_path, members_path):
         remove(docs.sparkSession, path)
 

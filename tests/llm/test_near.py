@@ -143,6 +143,45 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == plain_components(rows)
 
 
+def test_classes_whose_numbers_collide(spark):
+    rows = variants(5, 90)
+    found = ngram_join.similar_documents(wide(spark, rows), key_bits=4)
+    assert sorted(tuple(r) for r in found.collect()) == plain_components(rows)
+
+
+def _crowd(seed, members, edits):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for k in range(members):
+        own = base.copy()
+        at = rng.choice(200, edits, replace=False)
+        own[at] = rng.integers(0, 1 << 63, edits, dtype=np.uint64)
+        yield np.unique(own)
+
+
+@pytest.mark.parametrize("edits", [8, 12, 13, 14, 40])
+def test_a_crowd_gives_no_more_rows_than_members(edits):
+    """A bucket of like sets, all or some or none of them linked, hands on a forest."""
+    sets = list(_crowd(edits, 150, edits))
+    both = ngram_join._INDEX | ngram_join._PROBE
+    members = [(7, 0, 0, both, k, k, len(s), 0) for k, s in enumerate(sets)]
+
+    def fed(extra, kind):
+        schema = ngram_join.pa.schema([(f"c{k}", ngram_join.pa.int64()) for k in range(8)] + [("x", kind)])
+        columns = [list(c) for c in zip(*members)] + [extra]
+        return iter([ngram_join.pa.RecordBatch.from_arrays([ngram_join.pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)])
+
+    links = [
+        (a, b) for a, b in combinations(range(len(sets)), 2)
+        if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    ]
+    kept = [r for b in ngram_join._promising(80)(fed([ngram_join.sketch(s) for s in sets], ngram_join.pa.binary())) for r in b.to_pylist()]
+    assert len(kept) <= len(sets) and {x for ab in links for x in ab} <= {r["key"] for r in kept}
+    found = [tuple(r.values()) for b in ngram_join._joining(80)(fed([s.tobytes() for s in sets], ngram_join.pa.binary())) for r in b.to_pylist()]
+    assert len(found) < len(sets)
+    assert reach(range(len(sets)), found) == reach(range(len(sets)), links)
+
+
 def test_join_awkward_rows(awkward):
     found = {str(r["doc_id"]): (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(awkward).collect()}
     assert found["3"] == (0, 3) and found["4"] == (0, 4) and found["5"] == (0, 5)
