@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,11 @@ MOST_WORDS = 8
 LONGEST_WORD = 64
 _CUT_MARK = b"\xff"
 #: bytes of text compared in one go, and cells of the pairs peeled side by side
-TOGETHER = 4 << 20
-CELLS_TOGETHER = 1 << 20
+TOGETHER = 2 << 20
+CELLS_TOGETHER = 1 << 19
 WORDS_KEPT = 150_000
 #: characters of a range of documents
-CHARS_PER_TASK = 64 << 20
+CHARS_PER_TASK = 16 << 20
 
 _PARTS = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,8 +56,10 @@ _CHECK = np.uint64(0x452821E638D01377)
 
 
 class _Hashes(dict):
+    """Hashes of words; the last bit tells whether a line ends with the word."""
+
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word) & ~1 | word.endswith(b"\n")
         if len(self) < WORDS_KEPT:
             self[word] = value
         return value
@@ -86,9 +89,8 @@ def paragraphs(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not total:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     hashes = worker_cache("reconcile").setdefault("words", _Hashes())
-    hashed = np.fromiter((hashes[w] for own in words for w in own), np.uint64, total)
-    ends = np.fromiter((w.endswith(b"\n") for own in words for w in own), bool, total)
-    ends |= (hashed >> np.uint64(20)) & np.uint64(CUT_BITS) == 0
+    hashed = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    ends = (hashed & np.uint64(1) == 1) | ((hashed >> np.uint64(20)) & np.uint64(CUT_BITS) == 0)
     ends[np.cumsum(sizes)[sizes > 0] - 1] = True
     begin = np.append(0, np.flatnonzero(ends)[:-1] + 1)
     since = np.arange(total) - begin[np.cumsum(np.append(0, ends[:-1]))]
@@ -146,21 +148,25 @@ class Sketches:
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which rows came out empty, and the digests found: row, digest, sign."""
-        rows = len(self.digest)
-        live = np.arange(rows)
+        live = np.arange(len(self.digest))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
-            digest, count = self.digest[live], self.count[live]
-            at, cell = np.nonzero((np.abs(count) == 1) & (self.check[live] == _check(digest)))
-            if not len(at):
+            touched = []
+            # a digest has one cell in a part, so a part never gives it away twice
+            for part in range(_PARTS):
+                cells = slice(part * self.size, (part + 1) * self.size)
+                at, cell = np.nonzero(np.abs(self.count[live, cells]) == 1)
+                row, cell = live[at], cell + cells.start
+                digest = self.digest[row, cell]
+                alone = self.check[row, cell] == _check(digest)
+                row, digest, sign = row[alone], digest[alone], self.count[row, cell][alone]
+                if len(row):
+                    self.add(row, digest, -sign)
+                    found.append((row, digest, sign))
+                    touched.append(row)
+            if not touched:
                 break
-            # one digest may stand alone in several of its cells
-            picked = np.rec.fromarrays([live[at], digest[at, cell], count[at, cell]], names="row,digest,sign")
-            picked = np.unique(picked)
-            row, one, sign = picked["row"], picked["digest"], picked["sign"]
-            self.add(row, one, -sign)
-            found.append((row, one, sign))
-            live = np.unique(row)
+            live = np.unique(np.concatenate(touched))
         empty = ~(self.digest.any(axis=1) | self.check.any(axis=1) | self.count.any(axis=1))
         if not found:
             return empty, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)

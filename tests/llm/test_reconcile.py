@@ -16,7 +16,7 @@ def pieces(text: bytes) -> Counter:
     out, own = Counter(), []
     for word in reconcile._words(text):
         own.append(word)
-        h = reconcile.xxhash.xxh3_64_intdigest(word)
+        h = reconcile.xxhash.xxh3_64_intdigest(word)  # bit 20 and up picks ends
         if word.endswith(b"\n") or (h >> 20) & reconcile.CUT_BITS == 0 or len(own) == reconcile.MOST_WORDS:
             out[tuple(own)] += 1
             own = []
