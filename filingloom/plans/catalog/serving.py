@@ -9,7 +9,7 @@ from filingloom.operators import requests as rq
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.auditing import loss_history
 from filingloom.plans.catalog.comparing import _sql_fixed
-from filingloom.session import load, scratch_dir
+from filingloom.session import cut_lineage, load, scratch_dir
 from filingloom.streaming import limits
 
 _REQ_SQL = """req AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS client, event_type AS endpoint, event_type <> 'error' AS ok, value AS latency_s, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens FROM events)"""
@@ -215,38 +215,76 @@ def request_log_stream(spark, sf_dir):
     return _run_stream(spark, rq.request_log(raw_requests(_event_stream(spark, sf_dir))), "log")
 
 
-def _request_stream(spark, sf_dir):
-    return _event_stream(spark, sf_dir).select(
-        F.col("user_id").cast("string").alias("client"), "event_id", "ts"
-    )
+_ARRIVALS = "client string, event_id bigint, ts timestamp"
+_ROUNDS = 3
 
 
-def _judged(spark, sf_dir, budget, label):
-    """All requests through a budget; the table is bounded, so nothing is late."""
-    query = (
-        budget.writer(_request_stream(spark, sf_dir), scratch_dir(spark, f"{label}-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return budget.finish()
+def _judged(spark, sf_dir, rounds, judge):
+    """Requests that arrive round by round, through a budget that picks up where it stopped.
+
+    ``rounds`` numbers the requests; each round is written behind the ones before and read
+    by the next start of the query. A heartbeat at the end moves time past all requests.
+    """
+    requests = _requests(spark, sf_dir).select("client", "event_id", "ts")
+    arrived, out, state = (scratch_dir(spark, f"budget-{name}") for name in ("in", "out", "state"))
+    numbered = cut_lineage(rounds(requests), "budget-rounds")
+    end = spark.sql("SELECT CAST(NULL AS STRING) AS client, CAST(NULL AS BIGINT) AS event_id, TIMESTAMP'2200-01-01' AS ts")
+    for number in range(_ROUNDS + 1):
+        part = end if number == _ROUNDS else numbered.where(F.col("round") == number).drop("round")
+        part.write.mode("append").parquet(arrived)
+        judged = judge(spark.readStream.schema(_ARRIVALS).parquet(arrived))
+        limits.start_budget(judged, out, state, availableNow=True).awaitTermination()
+    return limits.read_budget(spark, out, judged)
+
+
+def _jittered(requests):
+    """Rounds of time in which a request is up to 20 hours late."""
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(20 * 3600)).cast("int")
+    arrival = F.unix_seconds("ts") + jitter
+    bounds = requests.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    low, span = bounds[0] or 0, max(1, (bounds[1] or 0) - (bounds[0] or 0))
+    number = F.floor((arrival - low) * _ROUNDS / span).cast("int")
+    return requests.withColumn("round", F.least(number, F.lit(_ROUNDS - 1)))
 
 
 @b.query("sliding_rate_limit_stream", _SLIDING_SQL)
 def sliding_rate_limit_stream(spark, sf_dir):
-    """The rolling budget over a stream, for files in any order."""
-    budget = limits.sliding_limit_stream(spark, scratch_dir(spark, "sliding"), limit=3, window_seconds=_DAY)
-    return _judged(spark, sf_dir, budget, "sliding").select(
-        "client", "event_id", "allowed", "remaining", "reset_seconds"
-    )
+    """The rolling budget over requests up to 20 hours out of order; nothing is late."""
+    verdicts, _ = _judged(spark, sf_dir, _jittered, lambda s: limits.sliding_limit_stream(s, "1 day", 3, _DAY))
+    return verdicts.select("client", "event_id", "allowed", "remaining", "reset_seconds")
 
 
 @b.query("fixed_window_limit_stream", _FIXED_SQL)
 def fixed_window_limit_stream(spark, sf_dir):
-    """The fixed-window counter over a stream, for files in any order."""
-    budget = limits.fixed_limit_stream(spark, scratch_dir(spark, "fixed"), limit=2, window_seconds=_DAY)
-    return _judged(spark, sf_dir, budget, "fixed").select(
-        "client", "event_id", "window_no", "hit_no", "allowed", "remaining", "reset_seconds"
+    """The fixed-window counter over requests up to 20 hours out of order; nothing is late."""
+    verdicts, _ = _judged(spark, sf_dir, _jittered, lambda s: limits.fixed_limit_stream(s, "1 day", 2, _DAY))
+    return verdicts.select("client", "event_id", "window_no", "hit_no", "allowed", "remaining", "reset_seconds")
+
+
+_ROUND_SQL = f"""rounds AS (SELECT event_id, event_id % {_ROUNDS} AS round, epoch_us(ts) AS t FROM events),
+marks AS (SELECT round, max(max(t) // 1000 * 1000 - 7 * {_DAY}000000) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM rounds GROUP BY round),
+late AS (SELECT event_id FROM rounds r JOIN marks m ON m.round = r.round AND t <= mark),"""
+
+
+@b.query(
+    "late_requests_stream",
+    _SLIDING_SQL.replace("WITH RECURSIVE ", f"WITH RECURSIVE {_ROUND_SQL} ", 1)
+    .replace("FROM req),", "FROM req WHERE event_id NOT IN (SELECT event_id FROM late)),", 1)
+    .replace("SELECT client, event_id, allowed,", "SELECT client, event_id, CASE WHEN allowed THEN 'allowed' ELSE 'refused' END AS verdict,", 1)
+    + " UNION ALL SELECT client, event_id, 'late', 0, 0 FROM req WHERE event_id IN (SELECT event_id FROM late)",
+)
+def late_requests_stream(spark, sf_dir):
+    """The rolling budget over shuffled requests: those a week behind are late and do not count."""
+
+    def rounds(requests):
+        return requests.withColumn("round", (F.col("event_id") % _ROUNDS).cast("int"))
+
+    verdicts, late = _judged(spark, sf_dir, rounds, lambda s: limits.sliding_limit_stream(s, "7 days", 3, _DAY))
+    columns = ["client", "event_id", "verdict", "remaining", "reset_seconds"]
+    judged = verdicts.withColumn("verdict", F.when(F.col("allowed"), "allowed").otherwise("refused")).select(*columns)
+    none = F.lit(0).cast("long")
+    return judged.unionByName(
+        late.select("client", "event_id", F.lit("late").alias("verdict"), none.alias("remaining"), none.alias("reset_seconds"))
     )
 
 

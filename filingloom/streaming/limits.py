@@ -1,152 +1,243 @@
-"""Request budgets and request logs as streams."""
+"""Request budgets and request logs as streams.
+
+The budgets are stateful operators in event time. A request waits in the state of its key
+until the watermark has passed it, so requests may arrive in any order within the lateness
+and are judged in time order, as the batch operators do. What arrives behind the watermark
+cannot be judged any more and leaves at once, marked late. Timers judge what is due and
+drop what no longer counts, so the state holds the requests of the last ``lateness`` and
+the accepted hits of one window, however old the stream is.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from filingloom import constants as C
-from filingloom.operators.requests import fixed_window_limit, request_log, sliding_rate_limit
+from filingloom.operators.requests import _walk, request_log
 
-_ARRIVED = "client string, event_id bigint, ts timestamp"
-_MARK = "judged bigint, newest bigint"
-#: before every real time
-_NEVER = -(2**62)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_KEY = "client string, anonymous boolean"
+_VERDICT = "allowed boolean, remaining bigint, reset_seconds bigint, late boolean"
+_SLIDING_OUT = f"{_KEY}, event_id bigint, ts_us bigint, {_VERDICT}"
+_FIXED_OUT = f"{_KEY}, window_no bigint, event_id bigint, ts_us bigint, hit_no bigint, {_VERDICT}"
 
-class BudgetStream:
-    """Judges a stream of requests in time order, whatever the order they arrive in.
 
-    Arrivals are kept in the shared folder until the mark, ``lateness_seconds`` behind the
-    newest request seen, has passed them; then they are judged by the batch operator. A
-    request that arrives behind the mark cannot be judged any more: it goes to the late
-    table, which :meth:`late` reads. Without ``lateness_seconds`` nothing is late, and all
-    requests are judged by :meth:`finish`, which also ends a bounded stream. Each
-    micro-batch writes folders named by its number, so one that is repeated overwrites its
-    own work.
-    """
+class _Budget(StatefulProcessor):
+    """Holds requests until the watermark has passed them; subclasses judge them in order."""
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        judge: Callable[[DataFrame], DataFrame],
-        lateness_seconds: int | None = None,
-        memory_us: int = 0,
-        step_us: int = 1,
-    ):
-        """``memory_us``: how long accepted requests bear on later ones; ``step_us``: the mark
-        only moves by whole steps of this size."""
-        self.spark, self.path, self.judge = spark, path.rstrip("/"), judge
-        self.lateness = None if lateness_seconds is None else lateness_seconds * 1_000_000
-        self.memory, self.step = memory_us, step_us
-
-    def _table(self, kind: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{kind}")
-
-    def _write(self, rows: DataFrame, kind: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch}")
-
-    def _mark(self, batch: int) -> tuple[int, int]:
-        """Times up to which requests are judged and seen after all batches before this one."""
-        if not batch:
-            return _NEVER, _NEVER
-        marks = self._table("mark", _MARK).where(F.col("batch") < batch)
-        row = marks.agg(F.max("judged"), F.max("newest")).first()
-        return (_NEVER, _NEVER) if row[0] is None else tuple(row)
-
-    def batch(self, arrived: DataFrame, number: int) -> None:
-        """For ``foreachBatch``. Requests without a time have no verdict and are left out."""
-        judged, newest = self._mark(number)
-        rows = arrived.select("client", "event_id", "ts").where("ts IS NOT NULL")
-        on_time = F.unix_micros("ts") > judged
-        self._write(rows.where(~on_time), "late", number)
-        self._write(rows.where(on_time), "arrived", number)
-        here = self._table("arrived", _ARRIVED).where(F.col("batch") == number)
-        seen = here.agg(F.max(F.unix_micros("ts"))).first()[0]
-        newest = max(newest, _NEVER if seen is None else seen)
-        upto = judged
-        if self.lateness is not None and newest > _NEVER:
-            # the step's last microsecond that lies behind the lateness
-            upto = max(judged, (newest - self.lateness + 1) // self.step * self.step - 1)
-        self._settle(judged, upto, newest, number)
-
-    def _settle(self, judged: int, upto: int, newest: int, number: int) -> None:
-        if upto > judged:
-            time = F.unix_micros("ts")
-            waiting = self._table("arrived", _ARRIVED).where((F.col("batch") <= number) & (time > judged) & (time <= upto))
-            rows = waiting.select("client", "event_id", "ts")
-            if self.memory and number:
-                # accepted requests that still count stand for the state; they are accepted again
-                told = self.verdicts().where((F.col("batch") < number) & F.col("allowed"))
-                told = told.where((F.unix_micros("ts") > judged - self.memory) & (F.unix_micros("ts") <= judged))
-                rows = rows.unionByName(told.select("client", "event_id", "ts"))
-            done = self.judge(rows).where(F.unix_micros("ts") > judged)
-        else:
-            done = self.judge(self.spark.createDataFrame([], _ARRIVED))
-        self._write(done, "verdicts", number)
-        mark = self.spark.createDataFrame([(upto, newest)], _MARK)
-        self._write(mark.coalesce(1), "mark", number)
-
-    def finish(self) -> DataFrame:
-        """Judges what is still held, after a bounded stream has ended; all verdicts."""
-        last = self._table("mark", _MARK).agg(F.max("batch")).first()[0] if self._begun() else None
-        if last is not None:
-            judged, newest = self._mark(last + 1)
-            self._settle(judged, max(judged, newest), newest, last + 1)
-        return self.verdicts().drop("batch")
-
-    def _begun(self) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/mark")
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-
-    def verdicts(self) -> DataFrame:
-        """Verdicts so far."""
-        schema = self.judge(self.spark.createDataFrame([], _ARRIVED)).schema
-        if not self._begun():
-            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        return self._table("verdicts", columns)
-
-    def late(self) -> DataFrame:
-        """Requests that came behind the mark, with the micro-batch they came in."""
-        return self._table("late", _ARRIVED)
-
-    def writer(self, requests: DataFrame, checkpoint: str) -> DataStreamWriter:
-        return requests.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+    names: tuple[str, ...] = ()
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id bigint, ts_us bigint")
 
-def sliding_limit_stream(
-    spark: SparkSession,
-    path: str,
-    limit: int = 60,
-    window_seconds: int = C.WINDOW_SECONDS,
-    lateness_seconds: int | None = None,
-) -> BudgetStream:
-    """Streaming form of the rolling budget; what lasts is the accepted hits of a window."""
+    def wake(self, micros: int, mark: int) -> None:
+        """Sees to a timer that fires when the watermark, now at ``mark``, has passed a time."""
+        at = micros // 1000 + 1
+        # timers behind the mark fire in this batch
+        if not any(mark < t * 1000 and t <= at for t in self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        earliest = None
+        for frame in rows:
+            # a row without an id only moves time on
+            frame = frame[frame["event_id"].notna()]
+            late = (frame["ts_us"] <= mark) & (mark > 0)
+            if late.any():
+                yield self.frame(key, frame[late], late=True)
+            held = frame[~late]
+            if len(held):
+                pairs = zip(held["event_id"].astype("int64").tolist(), held["ts_us"].tolist())
+                self.waiting.appendList(list(pairs))
+                first = int(held["ts_us"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.wake(self.due(key, earliest), mark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = np.array([(row[1], row[0]) for row in self.waiting.get()], np.int64).reshape(-1, 2)
+        ready = np.array([self.due(key, t) <= mark for t in held[:, 0].tolist()], bool)
+        if ready.any():
+            now = held[ready]
+            now = now[np.lexsort((now[:, 1], now[:, 0]))]
+            rows = pd.DataFrame({"event_id": now[:, 1], "ts_us": now[:, 0]})
+            yield self.frame(key, rows, late=False, **self.judge(now[:, 0], mark))
+            left = held[~ready]
+            if len(left):
+                self.waiting.put([(int(i), int(t)) for t, i in left.tolist()])
+                self.wake(min(self.due(key, t) for t in left[:, 0].tolist()), mark)
+            else:
+                self.waiting.clear()
+        elif len(held):
+            self.wake(min(self.due(key, t) for t in held[:, 0].tolist()), mark)
+        self.forget(mark)
+
+    def frame(self, key, rows: pd.DataFrame, late: bool, **verdict) -> pd.DataFrame:
+        n = len(rows)
+        columns = {name: [part] * n for name, part in zip(self.names, key)}
+        columns |= {"event_id": rows["event_id"].astype("int64"), "ts_us": rows["ts_us"].astype("int64")}
+        columns |= {name: verdict.get(name, [None] * n) for name in self.verdict}
+        return pd.DataFrame({**columns, "late": [late] * n}).astype(self.kinds)
+
+    def due(self, key, micros: int) -> int:
+        """The time that the watermark must have passed before a request is judged."""
+        return micros
+
+    def forget(self, mark: int) -> None:
+        """Drops state that no longer counts."""
+
+    def close(self) -> None:
+        pass
+
+
+class _Sliding(_Budget):
+    names = ("client", "anonymous")
+    verdict = ("allowed", "remaining", "reset_seconds")
+    kinds = {"allowed": "boolean", "remaining": "Int64", "reset_seconds": "Int64"}
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.hits = handle.getListState("hits", "ts_us bigint")
+
+    def judge(self, times: np.ndarray, mark: int) -> dict:
+        hits = deque(row[0] for row in self.hits.get())
+        allowed, remaining, reset = _walk(times, hits, self.limit, self.window)
+        if hits:
+            self.hits.put([(int(t),) for t in hits])
+        return {"allowed": allowed, "remaining": remaining, "reset_seconds": reset}
+
+    def forget(self, mark: int) -> None:
+        hits = [row[0] for row in self.hits.get()]
+        if hits and hits[-1] + self.window <= mark:
+            self.hits.clear()
+        elif hits:
+            self.wake(hits[-1] + self.window, mark)
+
+
+class _Fixed(_Budget):
+    """Its key holds the number of the window, which is judged as a whole when it has passed."""
+
+    names = ("client", "anonymous", "window_no")
+    verdict = ("hit_no", "allowed", "remaining", "reset_seconds")
+    kinds = {"hit_no": "Int64", **_Sliding.kinds}
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
+
+    def due(self, key, micros: int) -> int:
+        return (int(key[2]) + 1) * self.window - 1
+
+    def judge(self, times: np.ndarray, mark: int) -> dict:
+        hit = np.arange(1, len(times) + 1)
+        left = (times[0] + self.window - times + 500_000) // 1_000_000
+        return {
+            "hit_no": hit,
+            "allowed": hit <= self.limit,
+            "remaining": np.maximum(self.limit - hit, 0),
+            "reset_seconds": np.where(left > 0, left, self.window // 1_000_000),
+        }
+
+
+def _timed(requests: DataFrame, lateness: str) -> DataFrame:
+    """(client, anonymous, event_id, ts_us) behind a watermark; the time column itself is gone,
+    so that late rows reach the operator."""
+    return (
+        requests.where("ts IS NOT NULL")
+        .withWatermark("ts", lateness)
+        .select(
+            F.coalesce("client", F.lit("")).alias("client"),
+            F.col("client").isNull().alias("anonymous"),
+            F.col("event_id").cast("long").alias("event_id"),
+            F.unix_micros("ts").alias("ts_us"),
+        )
+    )
+
+
+def _named(judged: DataFrame, *columns: str) -> DataFrame:
+    return judged.select(
+        F.when(~F.col("anonymous"), F.col("client")).alias("client"),
+        "event_id",
+        F.timestamp_micros("ts_us").alias("ts"),
+        *columns,
+        "late",
+    )
 
-    def judge(rows: DataFrame) -> DataFrame:
-        return sliding_rate_limit(rows, limit, window_seconds)
 
-    return BudgetStream(spark, path, judge, lateness_seconds, memory_us=window_seconds * 1_000_000)
+def sliding_limit_stream(
+    requests: DataFrame, lateness: str, limit: int = 60, window_seconds: int = C.WINDOW_SECONDS
+) -> DataFrame:
+    """Streaming form of the rolling budget: the verdicts of the batch form, and ``late``.
+
+    Needs (client, event_id, ts). Requests without a client share one budget, those without
+    a time are left out. A row without ``event_id`` has no verdict: as a heartbeat it moves
+    the watermark on. ``lateness`` is an interval such as ``10 minutes``. Late requests have
+    no verdict and do not count.
+    """
+    judged = (
+        _timed(requests, lateness)
+        .groupBy("client", "anonymous")
+        .transformWithStateInPandas(
+            _Sliding(limit, window_seconds * 1_000_000), _SLIDING_OUT, outputMode="append", timeMode="eventTime"
+        )
+    )
+    return _named(judged, "allowed", "remaining", "reset_seconds")
 
 
 def fixed_limit_stream(
-    spark: SparkSession,
-    path: str,
-    limit: int = 60,
-    window_seconds: int = C.WINDOW_SECONDS,
-    lateness_seconds: int | None = None,
-) -> BudgetStream:
-    """Streaming form of the fixed-window counter; a window is judged as a whole."""
-
-    def judge(rows: DataFrame) -> DataFrame:
-        return fixed_window_limit(rows, limit, window_seconds)
-
-    return BudgetStream(spark, path, judge, lateness_seconds, step_us=window_seconds * 1_000_000)
+    requests: DataFrame, lateness: str, limit: int = 60, window_seconds: int = C.WINDOW_SECONDS
+) -> DataFrame:
+    """Streaming form of the fixed-window counter, as :func:`sliding_limit_stream`.
+
+    The state of a client's window lives until the watermark has passed its end, so a busy
+    client is spread over its windows.
+    """
+    window = window_seconds * 1_000_000
+    number = F.floor(F.col("ts_us") / F.lit(window)).cast("long")
+    judged = (
+        _timed(requests, lateness)
+        .withColumn("window_no", number)
+        .groupBy("client", "anonymous", "window_no")
+        .transformWithStateInPandas(_Fixed(limit, window), _FIXED_OUT, outputMode="append", timeMode="eventTime")
+    )
+    return _named(judged, "window_no", "hit_no", "allowed", "remaining", "reset_seconds")
+
+
+def start_budget(judged: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends verdicts and late requests to Parquet below ``path``, apart by ``late``.
+
+    Sets the state store that the operators need, for this query only. ``trigger`` is passed
+    on; ``availableNow=True`` ends the query when all files that are there have been read.
+    """
+    spark = judged.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        writer = judged.writeStream.format("parquet").partitionBy("late").outputMode("append")
+        writer = writer.option("path", path).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def read_budget(spark: SparkSession, path: str, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verdicts and late requests that :func:`start_budget` has written."""
+    rows = spark.read.schema(judged.schema).parquet(path)
+    return rows.where("NOT late").drop("late"), rows.where("late").select("client", "event_id", "ts")
 
 
 def window_counts_stream(

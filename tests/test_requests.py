@@ -118,42 +118,72 @@ def drain(df, spark, name):
     return spark.table(name)
 
 
-def run_budget(budget, stream, spark):
-    budget.writer(stream, scratch_dir(spark, "budget-cp")).trigger(availableNow=True).start().awaitTermination(300)
-    return budget.finish().collect()
-
-
-@pytest.mark.parametrize("shuffled, lateness", [(False, 30), (True, None)])
-def test_streams_return_every_request(spark, shuffled, lateness):
+def run_budget(spark, arriving, judge, per_trigger=None):
+    """Verdicts and late rows of rounds of requests; the query starts anew for each round."""
+    path, out, state = (scratch_dir(spark, f"budget-{k}") for k in "abc")
+    schema = "client string, event_id long, ts timestamp"
+    end = [(None, None, T0 + timedelta(days=9000))]
+    for rows in [*arriving, end]:
+        df = spark.createDataFrame(rows, schema)
+        df.repartition(per_trigger * 4 if per_trigger and len(rows) > 1 else 1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema)
+        if per_trigger:
+            stream = stream.option("maxFilesPerTrigger", per_trigger)
+        judged = judge(stream.parquet(path))
+        limits.start_budget(judged, out, state, availableNow=True).awaitTermination(300)
+    verdicts, late = limits.read_budget(spark, out, judged)
+    return verdicts.collect(), {r.event_id for r in late.collect()}
+
+
+def in_rounds(rows, jitter, n):
+    rnd = random.Random(n)
+    arrived = sorted(rows, key=lambda r: r[2].timestamp() + rnd.random() * jitter)
+    step = -(-len(rows) // n)
+    return [arrived[k : k + step] for k in range(0, len(arrived), step)]
+
+
+def test_streams_judge_requests_that_arrive_out_of_order(spark):
     rows = make_requests(21, n=160, spread=900.0)
     rows += [(None, 1000 + i, T0 + timedelta(seconds=40 * i)) for i in range(20)]
-    sliding = limits.sliding_limit_stream(spark, scratch_dir(spark, "sliding"), 3, 60, lateness)
-    assert_sliding(run_budget(sliding, write_batches(spark, rows, 4, shuffled), spark), rows, 3, 60)
-    fixed = limits.fixed_limit_stream(spark, scratch_dir(spark, "fixed"), 2, 60, lateness)
-    assert_fixed(run_budget(fixed, write_batches(spark, rows, 4, shuffled), spark), rows, 2, 60)
-    assert sliding.late().isEmpty() and fixed.late().isEmpty()
+    got, late = run_budget(spark, in_rounds(rows, 100, 3), lambda s: limits.sliding_limit_stream(s, "101 seconds", 3, 60))
+    assert_sliding(got, rows, 3, 60)
+    assert not late
+    got, late = run_budget(spark, in_rounds(rows, 100, 2), lambda s: limits.fixed_limit_stream(s, "101 seconds", 2, 60))
+    assert_fixed(got, rows, 2, 60)
+    assert not late
 
 
 def test_late_requests_are_told_apart(spark):
     rows = make_requests(22, n=90, spread=3000.0)
-    budget = limits.sliding_limit_stream(spark, scratch_dir(spark, "late"), 3, 60, 5)
-    got = run_budget(budget, write_batches(spark, rows, 3, True), spark)
-    late = {r.event_id for r in budget.late().collect()}
-    assert late and len(got) + len(late) == len(rows)
+    arriving = in_rounds(rows, 3000, 2)
+    got, late = run_budget(spark, arriving, lambda s: limits.sliding_limit_stream(s, "5 seconds", 3, 60))
+    mark = max(t for _, _, t in arriving[0]) - timedelta(seconds=5)
+    assert late == {i for _, i, t in arriving[1] if t <= mark} and late
     assert_sliding(got, [r for r in rows if r[1] not in late], 3, 60)
 
 
-def test_events_table_in_many_files(spark):
-    from filingloom.plans.catalog import QUERIES
-    from filingloom.session import load
-
-    folder = scratch_dir(spark, "many")
-    events = load(spark, SF_DIR, "events")
-    events.repartition(200, "event_id").write.parquet(f"{folder}/events.parquet")
-    for name in ("sliding_rate_limit", "fixed_window_limit"):
-        want = QUERIES[name](spark, SF_DIR)
-        got = QUERIES[f"{name}_stream"](spark, folder).select(*want.columns)
-        assert want.count() == got.count() and want.exceptAll(got).isEmpty()
+def test_many_shuffled_files_in_one_lateness(spark):
+    """Two hundred files in any order, fifty at a time."""
+    rows = make_requests(23, n=400, spread=900.0)
+    random.Random(2).shuffle(rows)
+    got, late = run_budget(spark, [rows], lambda s: limits.fixed_limit_stream(s, "20 minutes", 2, 60), per_trigger=50)
+    assert_fixed(got, rows, 2, 60)
+    assert not late
+
+
+def test_state_does_not_grow_with_the_age_of_a_stream(spark):
+    """Once the watermark has passed, neither requests nor hits are kept."""
+    path, out, state = (scratch_dir(spark, f"aged-{k}") for k in "abc")
+    schema = "client string, event_id long, ts timestamp"
+    sizes = []
+    for day in range(4):
+        rows = [(f"c{k % 5}", 100 * day + k, T0 + timedelta(days=day, seconds=7 * k)) for k in range(40)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        judged = limits.sliding_limit_stream(spark.readStream.schema(schema).parquet(path), "1 minute", 3, 60)
+        query = limits.start_budget(judged, out, state, availableNow=True)
+        query.awaitTermination(300)
+        sizes.append([p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1])
+    assert max(sizes[1:]) <= sizes[0] + 5
 
 
 def test_window_counts_stream_closes_windows(spark):
