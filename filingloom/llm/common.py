@@ -110,6 +110,17 @@ def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many marks as it takes to differ from those taken."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lowered(column) -> "F.Column":
     """A-Z to a-z and nothing else."""
     return F.translate(column, UPPER_LETTERS, LOWER_LETTERS)

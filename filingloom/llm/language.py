@@ -2,9 +2,10 @@
 
 Each language has the suffix automaton of a bounded sample of its labelled text. A text is
 parsed greedily into the longest phrases that occur in that sample; the language that
-needs the fewest phrases for the same letters wins. Automata are dense tables that restart
-a phrase by themselves, so many stretches of text and all languages advance side by side,
-one letter at a time.
+needs the fewest phrases for the same letters wins. The transitions of all automata lie in
+one pair of arrays, packed so that the rows of states fill each other's gaps; their size
+follows the samples, not the alphabet. A missing transition ends the phrase and begins the
+next, so many stretches of text and all languages advance side by side, one letter at a time.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from filingloom.llm.common import Rows, arrow_schema, tidy, worker_cache
 UNKNOWN = "und"
 #: letters of labelled text that each language's automaton is built from
 TRAIN_CHARS = 40_000
-#: documents sampled per language at most, and what each can add
+#: documents sampled per language at most; the letters are taken in equal stretches of them,
+#: which are no shorter than this
 TRAIN_DOCS = 400
-TRAIN_DOC_CHARS = 4_000
+LEAST_STRETCH = 100
 #: drawn beyond twice the documents asked for, against the chance of the hash
 SPARE_DOCS = 50
 #: symbols parsed in one stretch; a phrase does not reach over its end
@@ -35,7 +37,6 @@ TOGETHER = 4_000_000
 SLICE = 1 << 20
 
 _SPACE, _OTHER = 0, 1
-_BREAK = 1 << 30
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -75,31 +76,65 @@ class Samples:
     texts: tuple[tuple[str, str], ...]
 
 
+def packed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows in shared cells: ``base`` of each row, ``owner`` and ``value`` of each cell.
+
+    Row ``r`` has ``value[base[r] + c]`` at ``c`` where ``owner[base[r] + c]`` is ``r``, and
+    nothing elsewhere. Long rows are placed first; a row of one fills the first gap.
+    """
+    total = sum(map(len, rows))
+    size = 2 * total + 2 * width + 2
+    owner, value = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    base = np.zeros(len(rows), np.int32)
+    free = bytearray(b"\x01") * size
+    first = width
+    for r in sorted(range(len(rows)), key=lambda r: -len(rows[r])):
+        row = rows[r]
+        if not row:
+            continue
+        columns = sorted(row)
+        at = first
+        while True:
+            at = free.index(1, at)
+            low = at - columns[0]
+            if all(free[low + c] for c in columns):
+                break
+            at += 1
+        if low + columns[-1] + width >= len(free):
+            grown = len(free)
+            free += b"\x01" * grown
+            owner, value = np.append(owner, np.full(grown, -1, np.int32)), np.append(value, np.zeros(grown, np.int32))
+        base[r] = low
+        for c in columns:
+            free[low + c] = 0
+            owner[low + c], value[low + c] = r, row[c]
+        if len(columns) == 1:
+            first = at
+    used = int(base.max(initial=0)) + width + 1
+    return base, owner[:used], value[:used]
+
+
 class Model:
     def __init__(self, samples: Samples):
         self.labels = [label for label, _ in samples.texts]
         known = sorted({c for _, text in samples.texts for c in _single_lower(text) if c.isalpha()})
         self.codes = _code_table(known)
-        self.width = len(known) + 2
-        tables, self.starts, base = [], [], 0
-        for _, text in samples.texts:
+        width = len(known) + 2
+        rows: list[dict[int, int]] = []
+        starts = []
+        self.restart = np.zeros((len(self.labels), width), np.int32)
+        for k, (_, text) in enumerate(samples.texts):
             moves = automaton(self.symbols(text).tolist())
-            tables.append(self._dense(moves, base))
-            self.starts.append(base * self.width)
-            base += len(moves)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-
-    def _dense(self, moves: list[dict[int, int]], base: int) -> np.ndarray:
-        """Next state (times width) for state and symbol; marked where a phrase ends before."""
-        restart = np.full(self.width, base * self.width | _BREAK, np.int64)
-        for c, to in moves[0].items():
-            restart[c] = (base + to) * self.width | _BREAK
-        table = np.tile(restart, (len(moves), 1))
-        states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-        table[states, [c for m in moves for c in m]] = [(base + to) * self.width for m in moves for to in m.values()]
-        # at the start, and behind a letter that the sample lacks, a phrase always begins
-        table[0] = restart
-        return table.reshape(-1).astype(np.int32 if table.max(initial=0) < 1 << 31 else np.int64)
+            begin = len(rows)
+            starts.append(begin)
+            # at the start, and behind a letter that the sample lacks, a phrase always begins
+            self.restart[k] = begin
+            for c, to in moves[0].items():
+                self.restart[k, c] = begin + to
+            rows.append({})
+            rows += [{c: begin + to for c, to in row.items()} for row in moves[1:]]
+        self.starts = np.array(starts, np.int32)
+        self.base, self.owner, self.value = packed(rows, width)
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters by code, lower-cased; any run of other characters is one space."""
@@ -155,16 +190,17 @@ class Model:
         for step in range(STRETCH):
             n = int(np.searchsorted(-lengths, -step, "left"))
             grid[step, :n] = stream[begin[:n] + step]
-        state = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(owner), axis=1)
+        state = np.repeat(self.starts[:, None], len(owner), axis=1)
         phrases = np.zeros((len(self.labels), len(owner)), np.int64)
         for step in range(STRETCH):
             n = int(np.searchsorted(-lengths, -step, "left"))
             if not n:
                 break
-            to = self.table[state[:, :n] + grid[step, :n]]
-            ended = to & _BREAK
-            state[:, :n] = to ^ ended
-            phrases[:, :n] += ended > 0
+            now, symbol = state[:, :n], grid[step, :n]
+            cell = self.base[now] + symbol
+            ended = self.owner[cell] != now
+            phrases[:, :n] += ended
+            state[:, :n] = np.where(ended, self.restart[:, symbol], self.value[cell])
         return np.stack([np.bincount(owner, row, len(texts)) for row in phrases], axis=1)
 
 
@@ -173,7 +209,7 @@ def _single_lower(text: str) -> str:
 
 
 def _code_table(known: list[str]) -> np.ndarray:
-    codes = np.zeros(0x110000, np.uint16)
+    codes = np.zeros(0x110000, np.uint16 if len(known) < 65_000 else np.uint32)
     place = {c: i + 2 for i, c in enumerate(known)}
     for point in range(0x110000):
         c = chr(point)
@@ -198,12 +234,16 @@ def learn(
     label_col: str = "lang",
     train_chars: int = TRAIN_CHARS,
     train_docs: int = TRAIN_DOCS,
+    least_stretch: int = LEAST_STRETCH,
 ) -> Samples:
     """A bounded sample of labelled text: ``train_docs`` distinct texts a label, or all it has.
 
     Those with the least hashes are drawn, so copies count once, however many there are.
-    Rows without label or text teach nothing; without any labelled text nothing can be told
-    apart and every prediction is ``und``.
+    Each gives a stretch of ``train_chars / train_docs`` letters (more where the label has
+    fewer texts, ``least_stretch`` at least) from a place that its hash picks, or all of it.
+    Rows without label or text teach nothing; without any labelled text, as in an empty
+    table, nothing can be told apart and every prediction is ``und``. Other columns are not
+    read.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("content"))
     rows = rows.where("label IS NOT NULL AND content IS NOT NULL AND content != ''")
@@ -212,18 +252,27 @@ def learn(
     counts = {r["label"]: r["n"] for r in distinct.collect()}
     if not counts:
         return Samples(())
+
+    def of_label(value) -> Column:
+        pairs = [F.lit(x) for label, n in counts.items() for x in (label, value(n))]
+        return F.create_map(*pairs)[F.col("label")]
+
     # more than asked for, so that chance does not leave fewer; the driver keeps the least
-    upto = {k: min(2**63 - 1, (2 * train_docs + SPARE_DOCS) * 2**64 // n - 2**63) for k, n in counts.items()}
-    bound = F.create_map(*[F.lit(x) for k, most in upto.items() for x in (k, most)])
-    chosen = rows.where(F.col("digest") <= bound[F.col("label")])
-    chosen = chosen.select("label", "digest", F.substring("content", 1, TRAIN_DOC_CHARS).alias("content"))
+    bound = of_label(lambda n: min(2**63 - 1, (2 * train_docs + SPARE_DOCS) * 2**64 // n - 2**63))
+    stretch = of_label(lambda n: max(least_stretch, -(-train_chars // min(train_docs, n))))
+    chosen = rows.where(F.col("digest") <= bound).withColumn("stretch", stretch)
+    spare = F.greatest(F.length("content") - F.col("stretch"), F.lit(0))
+    place = F.pmod(F.xxhash64("digest"), spare + 1).cast("int")
+    chosen = chosen.select("label", "digest", F.substring("content", place + 1, F.col("stretch")).alias("content"))
     found = chosen.groupBy("label", "digest").agg(F.min("content").alias("content"))
     texts: dict[str, list[str]] = {}
     for r in found.orderBy("label", "digest").collect():
         drawn = texts.setdefault(r["label"], [])
         if len(drawn) < train_docs:
             drawn.append(r["content"])
-    return Samples(tuple((k, " ".join(v)[:train_chars]) for k, v in sorted(texts.items())))
+    # stretches are no shorter than the least, so the sample may hold a little more
+    most = max(train_chars, train_docs * least_stretch)
+    return Samples(tuple((k, " ".join(v)[: most + len(v)]) for k, v in sorted(texts.items())))
 
 
 def _identify(samples: Samples, schema: pa.Schema):
@@ -244,7 +293,8 @@ def identify(docs: DataFrame, samples: Samples, id_col: str = "doc_id", text_col
 
     ``score`` is 1 minus the phrases of the winner over those of the runner-up, 0 to 1; of
     equal languages the first in order of their names wins, with score 0. Null texts and
-    texts without a letter are ``und`` with score 0. Rows that repeat are judged alike.
+    texts without a letter are ``und`` with score 0. Rows that repeat are judged alike; other
+    columns are not read; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import BLANKS, LOWER, Rows, arrow_schema, raw_bytes, remove, staged, tidy, write_scratch
+from filingloom.llm.common import BLANKS, LOWER, Rows, arrow_schema, fresh, raw_bytes, remove, staged, tidy, write_scratch
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -190,9 +190,10 @@ def without_frequent_lines(
     that holds the text's length and follows it.
     """
     drops = _drops(docs, id_col, text_col, min_docs, min_chars, BATCHES, FANOUT)
-    drops = drops.withColumnsRenamed({"drop_id": "__drop_id", "drop": "__drop"})
-    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["__drop_id"]), "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], "__drop")
+    key, drop = fresh(docs.columns, "drop_id", "drop")
+    drops = drops.withColumnsRenamed({"drop_id": key, "drop": drop})
+    joined = docs.join(drops, docs[id_col].eqNullSafe(drops[key]), "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], drop)
     at, schema = docs.columns.index(text_col), docs.schema
 
     @tidy

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingloom.llm.common import staged
+from filingloom.llm.common import fresh, staged
 
 LEVELS = ("domain", "lang", "source")
 #: leaves of the tree; they are planned on the driver and broadcast
@@ -71,6 +71,20 @@ def budgets(most: Mapping[Path, int], weights: Mapping[Path, float], budget: int
     return out
 
 
+def largest_budget(most: Mapping[Path, int], weights: Mapping[Path, float]) -> int:
+    """The most tokens at which the first level's weights hold: no domain they name runs short.
+
+    Domains that they do not name have weight 1 and give what they have, up to their part.
+    """
+    supply: dict[Path, int] = {}
+    for leaf, n in most.items():
+        supply[leaf[:1]] = supply.get(leaf[:1], 0) + n
+    named = [Fraction(n) / Fraction(weights[d]) for d, n in supply.items() if weights.get(d, 0) > 0]
+    if not named:
+        return sum(supply.values())
+    return int(sum(min(Fraction(n), min(named) * Fraction(weights.get(d, 1))) for d, n in supply.items()))
+
+
 def token_count(text: Column) -> Column:
     """Words between ASCII blanks; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -88,7 +102,7 @@ def plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     budget: int | None = None,
-    share: float = 1.0,
+    share: float | None = 1.0,
     max_epochs: int = 1,
     seed: int = 0,
     range_rows: int = RANGE_ROWS,
@@ -96,9 +110,11 @@ def plan(
     """One row per leaf: ``domain, lang, source, budget, epochs, cut``.
 
     ``epochs`` whole epochs, and of the next one the documents up to the order key ``cut``
-    (null: none). Without ``budget`` it is ``share`` of all tokens. A leaf gives at most
-    ``max_epochs`` times its tokens. Null languages, sources and domains are leaves of
-    their own. ``range_rows`` does not change the result.
+    (null: none). Without ``budget`` it is ``share`` of all tokens; if that is None too, the
+    largest at which the weights of the domains hold, see :func:`largest_budget`. A leaf
+    gives at most ``max_epochs`` times its tokens. Null languages, sources and domains are
+    leaves of their own. An empty table has no leaves; other columns are not read.
+    ``range_rows`` does not change the result.
     """
     rows = staged(
         docs.select(
@@ -115,8 +131,10 @@ def plan(
     if len(found) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     has = {tuple(r[k] for k in LEVELS): int(r["tokens"]) for r in found}
-    total = budget if budget is not None else int(Fraction(share) * sum(has.values()))
-    parts = budgets({k: n * max_epochs for k, n in has.items()}, weights, total)
+    most = {k: n * max_epochs for k, n in has.items()}
+    if budget is None:
+        budget = largest_budget(most, weights) if share is None else int(Fraction(share) * sum(has.values()))
+    parts = budgets(most, weights, budget)
     spec = [
         (*leaf, parts[leaf], parts[leaf] // has[leaf] if has[leaf] else 0, parts[leaf] % has[leaf] if has[leaf] else 0)
         for leaf in has
@@ -169,22 +187,27 @@ def select(
     domain: Column,
     id_col: str = "doc_id",
     seed: int = 0,
+    epoch_col: str = "mix_epoch",
 ) -> DataFrame:
-    """The rows with all their columns, once for each epoch they are drawn in, and ``mix_epoch``.
+    """The rows with all their columns, once for each epoch they are drawn in, and ``epoch_col``.
 
-    Leaves are at most ``MAX_LEAVES`` rows, which bounds the broadcast. Rows that repeat an
-    id are drawn together.
+    A column of ``docs`` that has the name ``epoch_col`` is replaced; other names may be
+    anything. Leaves are at most ``MAX_LEAVES`` rows, which bounds the broadcast. Rows that
+    repeat an id are drawn together; rows without id only in whole epochs. An empty table
+    gives an empty result.
     """
-    right = leaves.select(*[F.col(k).alias(f"__leaf_{k}") for k in LEVELS], F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    keyed = docs.withColumn("__domain", domain)
-    match = F.col("__domain").eqNullSafe(F.col("__leaf_domain"))
+    names = [*LEVELS, "epochs", "cut", "own_domain"]
+    own = dict(zip(names, fresh([*docs.columns, epoch_col], *[f"leaf_{n}" for n in names])))
+    right = leaves.select(*[F.col(n).alias(own[n]) for n in names[:-1]])
+    keyed = docs.withColumn(own["own_domain"], domain)
+    match = F.col(own["own_domain"]).eqNullSafe(F.col(own["domain"]))
     for k in LEVELS[1:]:
-        match = match & F.col(k).eqNullSafe(F.col(f"__leaf_{k}"))
+        match = match & docs[k].eqNullSafe(F.col(own[k]))
     drawn = keyed.join(F.broadcast(right), match)
-    last = order_key(seed, F.col("__epochs"), F.col(id_col)) <= F.col("__cut")
-    epochs = F.when(F.coalesce(last, F.lit(False)), F.sequence(F.lit(0).cast("long"), F.col("__epochs"))).otherwise(
-        F.when(F.col("__epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("__epochs") - 1)).otherwise(
-            F.array().cast("array<bigint>")
-        )
+    count, cut = F.col(own["epochs"]), F.col(own["cut"])
+    last = order_key(seed, count, F.col(id_col)) <= cut
+    epochs = F.when(F.coalesce(last, F.lit(False)), F.sequence(F.lit(0).cast("long"), count)).otherwise(
+        F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
     )
-    return drawn.withColumn("mix_epoch", F.explode(epochs)).select(*[docs[c] for c in docs.columns], "mix_epoch")
+    kept = [docs[c] for c in docs.columns if c.lower() != epoch_col.lower()]
+    return drawn.select(*kept, F.explode(epochs).alias(epoch_col))

@@ -36,6 +36,8 @@ SHARD_TOKENS = 4_000_000
 GROUP = 16
 #: characters per shard when ranges are laid out; only their number depends on it
 CHARS_PER_TASK = 16_000_000
+#: bytes of files that a task decodes, about; a shard is read by one task
+READ_BYTES = 1 << 20
 
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 TOKENS = "doc_id long, start long, n_tokens long, ids binary"
@@ -130,6 +132,21 @@ class Shard:
         return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+def _place(store: fs.FileSystem, partial: str, final: str, size: int) -> None:
+    """Gives a complete file its name.
+
+    An earlier attempt of the task may have left the same bytes there; not every store
+    moves a file over another.
+    """
+    found = store.get_file_info(final)
+    if found.type != fs.FileType.NotFound:
+        if found.size == size:
+            store.delete_file(partial)
+            return
+        store.delete_file(final)
+    store.move(partial, final)
+
+
 def _writer(root: str, tokenizer: str, shard_tokens: int):
     schema = arrow_schema(MANIFEST)
 
@@ -151,7 +168,7 @@ def _writer(root: str, tokenizer: str, shard_tokens: int):
             partial = _join(folder, f"_partial-{uuid.uuid4().hex}")
             with store.open_output_stream(partial) as sink:
                 sink.write(data)
-            store.move(partial, _join(folder, name))
+            _place(store, partial, _join(folder, name), len(data))
             out.add(part, seq, _join(root, name), len(keys), size, blocks, len(data))
             seq, size = seq + 1, 0
             for kept in (keys, lengths, held):
@@ -184,8 +201,9 @@ def write_tokens(
     """Writes token files of all rows below ``root`` and returns their manifest.
 
     Ids must be integers; null ids come first. A null text counts as empty; every document
-    ends with the end id. Rows that repeat an id are written one after the other. An
-    empty table gives no file and an empty manifest. ``root`` is a folder that all
+    ends with the end id. Rows that repeat an id, or have none, are written in the order of
+    a hash of their text, so the files do not depend on how the rows are dealt out. An empty
+    table gives no file and an empty manifest. ``root`` is a folder that all
     executors share, in any store that pyarrow can open.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("content"))
@@ -193,8 +211,9 @@ def write_tokens(
     tasks = max(1, -(-chars // CHARS_PER_TASK))
     store, folder = fs.FileSystem.from_uri(root)
     store.create_dir(folder, recursive=True)
-    ordered = rows.repartitionByRange(tasks, F.col("id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first())
+    # the text itself is only compared where ids and hashes are equal
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("content"), F.col("content").asc_nulls_first()]
+    ordered = rows.repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
     path = tokenizer or default_path()
     return staged(ordered.mapInArrow(_writer(root, path, shard_tokens), MANIFEST), "token-manifest")
 
@@ -225,15 +244,18 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """All documents of the shards: ``doc_id``, ``start``, ``n_tokens``, ``ids``.
 
     ``start`` counts the ids of all documents before, in file order; ``ids`` are unsigned
-    32-bit, little-endian. A damaged block raises an error.
+    32-bit, little-endian. A damaged block raises an error. Files are dealt to tasks by
+    their bytes and decoded side by side.
     """
+    size = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(1, -(-size // READ_BYTES))
     per_part = manifest.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = per_part.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     shards = shards.join(parts, "part").select("path", (F.col("part_start") + F.col("inside")).alias("start"))
-    return shards.repartition("path").mapInArrow(_reader(), TOKENS)
+    return shards.repartitionByRange(tasks, "start").mapInArrow(_reader(), TOKENS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, root: str, **options) -> DataFrame:

@@ -18,14 +18,18 @@ AWKWARD = [
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, id long, content string, hash string, "
-    "label string, score double, keep_id int, record int, tokens int, `drop` string, spans int"
+    "label string, score double, keep_id int, record int, tokens int, `drop` string, spans int, "
+    # names that stages have used for columns of their own
+    "mix_epoch string, `__drop` string, `__domain` string, leaf_domain string, drop_id string, first string, "
+    "rows string, component string, epochs string, cut string, `__first` string, word string, n string, runs string"
 )
+CLASHING = 14
 
 
 def wide(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
     data = [
-        (i, t, ("en", "fr", None)[k % 3], ("src0", None, "src7", "other")[k % 4], None, 7, "c", "h", "l", 0.5, 1, 2, 3, "d", 4)
+        (i, t, ("en", "fr", None)[k % 3], ("src0", None, "src7", "other")[k % 4], None, 7, "c", "h", "l", 0.5, 1, 2, 3, "d", 4, *["own"] * CLASHING)
         for k, (i, t) in enumerate(rows)
     ]
     return spark.createDataFrame(data, SCHEMA)

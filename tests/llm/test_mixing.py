@@ -86,3 +86,26 @@ def test_awkward_and_empty(awkward, nothing):
     leaves = mixing.plan(awkward, {}, domain)
     assert mixing.select(awkward, leaves, domain).count() == len(AWKWARD)
     assert mixing.select(nothing, mixing.plan(nothing, {}, domain), domain).count() == 0
+
+
+def test_columns_of_the_names_used_inside(awkward):
+    domain = F.lit(None).cast("string")
+    drawn = mixing.select(awkward, mixing.plan(awkward, {}, domain), domain)
+    assert drawn.columns == [c for c in awkward.columns if c != "mix_epoch"] + ["mix_epoch"]
+    assert {r["mix_epoch"] for r in drawn.collect()} == {0} and {r["__domain"] for r in drawn.collect()} == {"own"}
+    other = mixing.select(awkward, mixing.plan(awkward, {}, domain), domain, epoch_col="epoch")
+    assert other.columns == [*awkward.columns, "epoch"] and {r["mix_epoch"] for r in other.collect()} == {"own"}
+
+
+def test_largest_budget_lets_the_weights_hold(spark):
+    most = {("a", "x", "1"): 300, ("a", "y", "1"): 100, ("b", "x", "1"): 50, (None, "x", "2"): 7, ("c", "x", "1"): 90}
+    weights = {("a",): 4, ("b",): 1, ("c",): 1, ("d",): 9}
+    budget = mixing.largest_budget(most, weights)
+    assert budget == 200 + 50 + 50 + 7
+    got = mixing.budgets(most, weights, budget)
+    assert got[("a", "x", "1")] + got[("a", "y", "1")] == 200 and got[("b", "x", "1")] == 50 and got[("c", "x", "1")] == 50
+    assert mixing.largest_budget(most, {}) == 547 and mixing.largest_budget({}, weights) == 0
+    docs = spark.createDataFrame([(k, "w " * 5, "en", f"s{k % 2}") for k in range(60)], "doc_id long, text string, lang string, source string")
+    domain = F.col("source")
+    leaves = mixing.plan(docs, {("s0",): 1, ("s1",): 3}, domain, share=None)
+    assert {r["source"]: r["budget"] for r in leaves.collect()} == {"s0": 50, "s1": 150}

@@ -126,3 +126,44 @@ def test_flat_trees_equal_walking():
             total += leaf[node - 7]
         assert score == pytest.approx(1 / (1 + np.exp(-total)))
     assert ((forest.score(x) >= 0.5) == y).mean() > 0.9
+
+
+def _alphabet_texts(seed, base, letters, words, n):
+    rnd = random.Random(seed)
+    known = ["".join(chr(base + rnd.randrange(letters)) for _ in range(rnd.randint(2, 5))) for _ in range(words)]
+    return [" ".join(rnd.choices(known, k=60)) for _ in range(n)]
+
+
+def test_ten_languages_of_thousands_of_letters():
+    """Languages that share most of 3,000 letters each and differ in their words."""
+    texts = {f"l{k}": _alphabet_texts(k, 0x4E00 + 300 * k, 3000, 6000, 130) for k in range(10)}
+    samples = language.Samples(tuple((k, " ".join(v[:-3])) for k, v in texts.items()))
+    model = language.Model(samples)
+    assert all(len(set(t)) > 2500 for _, t in samples.texts)
+    size = sum(a.nbytes for a in (model.base, model.owner, model.value, model.restart, model.codes))
+    assert size < 60 << 20
+    assert len(model.codes) == 0x110000 and model.base.size > 400_000
+    labels, scores = model.predict([t for v in texts.values() for t in v[-3:]] + ["123", None])
+    assert labels == [k for k in texts for _ in range(3)] + ["und", "und"]
+    assert min(scores[:-2]) > 0
+
+
+def test_packed_rows_equal_plain_ones():
+    rnd = random.Random(6)
+    for width in (3, 40, 500):
+        rows = [{c: rnd.randrange(9) for c in rnd.sample(range(width), min(width, rnd.choice([0, 1, 1, 1, 2, 5, width])))} for _ in range(200)]
+        base, owner, value = language.packed(rows, width)
+        for r, row in enumerate(rows):
+            for c in range(width):
+                cell = base[r] + c
+                assert (owner[cell] == r) == (c in row) and (c not in row or value[cell] == row[c])
+
+
+def test_sample_takes_stretches_of_all_drawn_texts(spark):
+    rows = [(f"{k:03d}" * 2000, "a") for k in range(100, 140)] + [("short", "a"), ("x" * 9, "b")]
+    sample = dict(language.learn(spark.createDataFrame(rows, "text string, lang string"), train_chars=8200, train_docs=400).texts)
+    parts = sample["a"].split(" ")
+    assert len(parts) == 41 and {len(p) for p in parts} == {200, 5}
+    assert sample["b"] == "x" * 9
+    few = dict(language.learn(spark.createDataFrame(rows, "text string, lang string"), train_chars=8000, train_docs=10).texts)
+    assert len(few["a"].split(" ")) == 10 and len(few["a"]) <= 8010

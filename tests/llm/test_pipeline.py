@@ -16,7 +16,8 @@ from .test_near import plain_components
 
 NAMES = (
     "op1_best_fit_packing op2_embedding_near_dedup op3_exact_dedup op4_token_files op5_ngram_jaccard "
-    "op6_source_mixing op7_secret_scan op8_line_dedup op9_language_id op10_quality_classifier pipeline"
+    "op6_source_mixing op7_secret_scan op8_line_dedup op9_language_id op10_quality_classifier "
+    "op11_spelling_variants op12_document_fingerprints op13_periodic_runs pipeline"
 ).split()
 
 
@@ -24,7 +25,7 @@ def test_all_are_registered():
     assert [n for n in entry.queries() if n in NAMES] and set(NAMES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_secret_scan", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op7_secret_scan", "op8_line_dedup", "op11_spelling_variants", "op13_periodic_runs"])
 def test_query_matches_sql(name, spark):
     con = duck(SF_DIR)
     assert differences(name, entry.queries()[name], entry.oracle_sql()[name], spark, con, SF_DIR) is None
@@ -48,8 +49,16 @@ def test_stages_on_given_documents(spark):
     chosen = {r["doc_id"] for r in mixed.collect()}
     assert chosen <= first and mixed.count() == len(chosen)
     total = {r["doc_id"]: len((r["text"] or "").split()) for r in single.collect()}
-    kept = sum(total[i] for i in chosen)
-    assert 0.5 * sum(total.values()) < kept <= corpus_pipeline.MIX_SHARE * sum(total.values())
+    share, supply = Counter(), Counter()
+    for r in single.collect():
+        name = f"domain{int(r['source'][3:]) % 4}"
+        supply[name] += total[r["doc_id"]]
+        share[name] += total[r["doc_id"]] if r["doc_id"] in chosen else 0
+    # the weights hold, up to a document of each leaf, and the scarcest domain gives all it has
+    unit = min(supply[f"domain{d}"] / (4 - d) for d in range(4))
+    longest = max(total.values())
+    for d in range(4):
+        assert (4 - d) * unit - 40 * longest < share[f"domain{d}"] <= (4 - d) * unit + 1
     for before, after in zip(seen[:4], seen[1:5]):
         assert before.columns == after.columns
     assert {r["doc_id"] for r in packed.collect()} == chosen

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from filingloom.llm import common, packing, rans, token_files, tokens
 from filingloom.session import scratch_dir
 
@@ -153,3 +155,34 @@ def test_reduction_goes_on_below_a_length_without_a_sure_set():
     fixed, rest = packing.reduce_by_dominance({60: 1, 55: 3, 45: 3, 12: 1, 11: 1, 10: 1}, 100)
     assert (3, [45, 55]) in [(b.count, sorted(b.lengths)) for b in fixed]
     assert 55 not in rest and 45 not in rest
+
+
+def test_files_are_decoded_by_many_tasks(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "READ_BYTES", 400)
+    docs = spark.createDataFrame([(k, f"some text number {k} " * 20) for k in range(60)], "doc_id long, text string")
+    manifest = token_files.write_tokens(docs, scratch_dir(spark, "t"), shard_tokens=200)
+    back = token_files.read_tokens(manifest).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    assert manifest.count() > 12 and len(back) == 60
+    assert len({r["task"] for r in back}) >= 8
+
+
+def test_rows_of_one_id_have_one_layout(spark, tokenizer):
+    rows = [(7 if k % 3 else None, f"text {k % 11} {'x' * (k % 5)}") for k in range(60)] + [(7, None), (7, "")]
+    found = set()
+    for parts in (1, 4, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        back = token_files.token_files(spark, docs, scratch_dir(spark, "t"), shard_tokens=40).collect()
+        found.add(tuple(sorted(((r["start"], r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in back), key=lambda r: (r[0], str(r)))))
+    assert len(found) == 1
+
+
+def test_a_second_attempt_leaves_one_complete_file(tmp_path):
+    store = token_files.fs.LocalFileSystem()
+    final = str(tmp_path / "part.tok")
+    for data in (b"same", b"same", b"longer bytes"):
+        partial = str(tmp_path / "_partial")
+        with store.open_output_stream(partial) as out:
+            out.write(data)
+        token_files._place(store, partial, final, len(data))
+        assert store.open_input_stream(final).read() == data
+        assert [f.base_name for f in store.get_file_info(token_files.fs.FileSelector(str(tmp_path)))] == ["part.tok"]
