@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingloom.llm import language, lines, mixing, ngram_join, packing
-from filingloom.llm.common import staged
+from filingloom.llm.common import fresh, staged
 from filingloom.llm.queries import DOMAIN_WEIGHTS, domain_of
 from filingloom.session import load
 
-#: share of the tokens that the mix keeps
-MIX_SHARE = 0.8
+#: share of the tokens that the mix keeps; None: as many as let the weights of the domains hold
+MIX_SHARE = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,27 +35,33 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of several rows with that id one stays, that with the greatest text.
     """
     found = ngram_join.similar_documents(docs)
-    first = found.groupBy(F.col("doc_id").alias("__first")).agg(
-        F.min("component_id").alias("component"), F.count("*").alias("__rows")
+    own, rows, row = fresh(docs.columns, "first", "rows", "row")
+    first = found.groupBy(F.col("doc_id").alias(own)).agg(
+        F.min("component_id").alias("component"), F.count("*").alias(rows)
     )
-    first = first.where(F.col("__first").eqNullSafe(F.col("component")) | F.col("component").isNull())
-    first = staged(first.select("__first", "__rows"), "near-first")
-    same = docs["doc_id"].eqNullSafe(first["__first"])
-    repeated = F.col("__first").isNotNull() & (F.col("__rows") > 1)
+    first = first.where(F.col(own).eqNullSafe(F.col("component")) | F.col("component").isNull())
+    first = staged(first.select(own, rows), "near-first")
+    same = docs["doc_id"].eqNullSafe(first[own])
+    repeated = F.col(own).isNotNull() & (F.col(rows) > 1)
     kept = docs.join(first.where(~repeated), same, "left_semi")
     if first.where(repeated).isEmpty():
         return kept
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     again = docs.join(first.where(repeated), same, "left_semi").groupBy("doc_id")
-    one = again.agg(F.max(F.struct("text", *others)).alias("__row")).select("doc_id", "__row.*")
+    one = again.agg(F.max(F.struct("text", *others)).alias(row)).select("doc_id", f"{row}.*")
     return kept.unionByName(one.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source's share of the budget, at most once through its documents."""
+    """Each source's share of the budget, at most once through its documents.
+
+    The budget is the largest at which the weights of the domains hold, so it follows from
+    weights and supply; ``MIX_SHARE`` sets another.
+    """
     domain = domain_of(F.col("source"))
     leaves = mixing.plan(docs, DOMAIN_WEIGHTS, domain, share=MIX_SHARE)
-    return mixing.select(docs, leaves, domain).select(*docs.columns)
+    epoch, = fresh(docs.columns, "mix_epoch")
+    return mixing.select(docs, leaves, domain, epoch_col=epoch).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
