@@ -60,7 +60,7 @@ BLOCK, BLOCK_SHINGLES = 4_096, 2_000_000
 #: bytes that a task should read, about
 TASK_BYTES = 32 << 20
 #: shingles whose frequency steers the choice of segments, at most
-HEAVY = 100_000
+HEAVY = 20_000
 #: bits of a class number; classes whose numbers collide get others
 KEY_BITS = 62
 
@@ -99,12 +99,12 @@ def _salt(band: int, segments: int) -> np.ndarray:
 class Segments:
     """A set cut into the segments of a band."""
 
-    def __init__(self, tokens: np.ndarray, often: np.ndarray, band: int, percent: int):
+    def __init__(self, tokens: np.ndarray, value: np.ndarray, often: np.ndarray, band: int, percent: int):
         self.top, self.m, self.deletions = layout(band, percent)
-        self.tokens = tokens
         where = (tokens % np.uint64(self.m)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        self.where, self.value = where[order], mixed(tokens[order] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        # small numbers are sorted digit by digit
+        order = np.argsort(where.astype(np.uint16) if self.m < 1 << 16 else where, kind="stable")
+        self.where, self.value = where[order], value[order]
         often = often[order]
         self.sizes = np.bincount(where, minlength=self.m)
         full = np.flatnonzero(self.sizes)
@@ -150,7 +150,7 @@ def signatures(tokens: np.ndarray, heavy: np.ndarray, heavy_count: np.ndarray, p
     """Hashes and roles under which a set is indexed and probes."""
     size = len(tokens)
     own = int(np.searchsorted(bands(percent), size, "right")) - 1
-    often = np.ones(size, np.int64)
+    often, value = np.ones(size, np.int64), mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
         often = np.where(heavy[at] == tokens, heavy_count[at], 1)
@@ -158,12 +158,12 @@ def signatures(tokens: np.ndarray, heavy: np.ndarray, heavy_count: np.ndarray, p
 
     def add(hashes: np.ndarray, role) -> None:
         out.append(hashes)
-        roles.append(np.broadcast_to(np.asarray(role, np.uint8), len(hashes)))
+        roles.append(np.full(len(hashes), role, np.uint8) if np.isscalar(role) else role)
 
     for band in (own, own - 1):
         if band < 0:
             continue
-        cut = Segments(tokens, often, band, percent)
+        cut = Segments(tokens, value, often, band, percent)
         probe, twice = cut.allocate(size, percent)
         if band == own:
             add(cut.whole(), np.where(probe, _INDEX | _PROBE, _INDEX).astype(np.uint8))
