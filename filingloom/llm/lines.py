@@ -1,17 +1,19 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 The store is a set of runs, each a table of line hashes with the number of documents that
-hold them, sorted by hash. A batch of documents brings its hashes; those that a run
-already knows to be frequent are taken out by a merge anti-join, the rest becomes a new
-run of the lowest level. When a level holds ``fanout`` runs they are merged into one run
-of the next level, which adds up their counts.
+hold them, cut into buckets by hash and sorted in each. A batch of documents is dealt into
+the same buckets once; the hashes that a run already knows to be frequent are taken out by
+a merge anti-join, for which the runs stay where they are, and the rest becomes a new run
+of the lowest level. When a level holds ``fanout`` runs they are merged into one run of
+the next level, which adds up their counts. The store lasts as long as its folder.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -19,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.llm.common import BLANKS, LOWER, Rows, arrow_schema, fresh, raw_bytes, remove, staged, tidy, write_scratch
+from filingloom.llm.common import BLANKS, LOWER, Rows, arrow_schema, fresh, raw_bytes, remove, staged, tidy
+from filingloom.session import scratch_dir
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -53,45 +56,121 @@ def _hashes(schema: pa.Schema, min_chars: int):
 
 
 class LineRuns:
-    """The levels of runs, kept as tables in the shared folder."""
+    """The levels of runs, kept as bucketed tables below ``root``.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+    A store that is there is opened, with the buckets it has; else one is made, with
+    ``buckets`` or as many as the session shuffles into. What a batch changes counts once
+    its list of runs is written, so a batch that was interrupted is added anew. One writer
+    at a time. ``close`` drops a store that was made without a ``root``.
+    """
+
+    def __init__(
+        self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, root: str | None = None, buckets: int | None = None
+    ):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: dict[int, list[tuple[DataFrame, str]]] = defaultdict(list)
+        self.passing = root is None
+        self.root = (root or scratch_dir(spark, "line-runs")).rstrip("/")
+        session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets, self.batches = buckets or session, 0
+        self.levels: dict[int, list[tuple[str, str]]] = defaultdict(list)
+        for level, path in self._listed():
+            self.levels[level].append((self._registered(path), path))
+
+    # the list of runs: one small file for each batch, of which the last counts
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _store(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self) -> list[tuple[int, str]]:
+        store, folder = self._store(), self._path("lists")
+        if not store.exists(folder):
+            return []
+        last = max(s.getPath().getName() for s in store.listStatus(folder))
+        told = json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/lists/{last}").first()[0])
+        self.buckets, self.batches = told["buckets"], told["batches"]
+        return [tuple(run) for run in told["runs"]]
+
+    def _list(self) -> None:
+        self.batches += 1
+        runs = [[level, path] for level, found in sorted(self.levels.items()) for _, path in found]
+        told = json.dumps({"buckets": self.buckets, "batches": self.batches, "runs": runs})
+        store, draft = self._store(), self._path(f"draft-{uuid.uuid4().hex}")
+        out = store.create(draft, False)
+        out.write(bytearray(told, "utf-8"))
+        out.close()
+        store.mkdirs(self._path("lists"))
+        store.rename(draft, self._path(f"lists/{self.batches:09d}"))
+
+    def _registered(self, path: str) -> str:
+        """A name for a run's files, which tells Spark their buckets and order."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {name} (hash BINARY, n_docs BIGINT) USING parquet "
+            f"CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        )
+        return name
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels.values() for run, _ in level]
+        return [self.spark.table(name) for found in self.levels.values() for name, _ in found]
 
-    def add(self, hashes: DataFrame) -> None:
-        """Adds a batch: ``hash``, one row per document and distinct line."""
+    def unknown(self, hashes: DataFrame) -> DataFrame:
+        """``hash, n_docs`` of a batch, without the lines that a run knows to be frequent."""
         counts = hashes.groupBy("hash").agg(F.count("*").alias("n_docs"))
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            counts = counts.repartition(self.buckets, "hash")
         for run in self.runs():
-            counts = counts.join(run.where(F.col("n_docs") >= self.min_docs), "hash", "left_anti")
-        self._write(counts, 0)
-        level = 0
+            counts = counts.join(run.where(F.col("n_docs") >= self.min_docs).hint("merge"), "hash", "left_anti")
+        return counts
+
+    def add(self, hashes: DataFrame) -> None:
+        """Adds a batch: ``hash``, one row per document and distinct line."""
+        self._write(self.unknown(hashes), 0)
+        level, gone = 0, []
         while len(self.levels[level]) >= self.fanout:
             old = self.levels.pop(level)
-            self._write(self._merged([run for run, _ in old]), level + 1)
-            for _, path in old:
-                remove(self.spark, path)
+            self._write(self._merged([path for _, path in old]), level + 1)
+            gone += old
             level += 1
+        self._list()
+        self._drop(gone)
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        ordered = counts.repartition("hash").sortWithinPartitions("hash")
-        self.levels[level].append(write_scratch(ordered, f"line-run-{level}"))
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionAll, runs).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
+        path = f"{self.root}/runs/{uuid.uuid4().hex}"
+        name = f"line_run_{uuid.uuid4().hex}"
+        # dealt out as the buckets are, so each is one sorted file
+        dealt = counts.repartition(self.buckets, "hash")
+        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).format("parquet").saveAsTable(name)
+        self.levels[level].append((name, path))
+
+    def _merged(self, paths: list[str]) -> DataFrame:
+        # read as plain files: Spark 4.1 takes a union of bucketed tables for bucketed itself and
+        # then adds up within its parts only
+        every = self.spark.read.schema("hash binary, n_docs long").parquet(*paths)
+        return every.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
 
     def frequent(self) -> DataFrame:
         """The hashes that at least ``min_docs`` documents of all batches hold."""
-        return self._merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("hash")
+        paths = [path for found in self.levels.values() for _, path in found]
+        if not paths:
+            return self.spark.createDataFrame([], "hash binary")
+        return self._merged(paths).where(F.col("n_docs") >= self.min_docs).select("hash")
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
 
     def close(self) -> None:
-        for level in self.levels.values():
-            for _, path in level:
-                remove(self.spark, path)
+        """Forgets the names of the runs; the files of a store without a given ``root`` go too."""
+        for found in self.levels.values():
+            for name, _ in found:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.levels.clear()
+        if self.passing:
+            remove(self.spark, self.root)
 
 
 def _kept(raw: bytes, drop: list[bytes] | None, min_chars: int) -> tuple[int, bytes]:

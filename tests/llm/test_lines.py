@@ -1,8 +1,10 @@
+import random
 from collections import Counter
 
 import pytest
 
 from filingloom.llm import lines
+from filingloom.session import scratch_dir
 
 from .conftest import AWKWARD, wide
 
@@ -63,3 +65,50 @@ def test_runs_settle_over_levels(spark):
     assert max(store.levels) == 2
     store.close()
     assert not store.runs()
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange"), plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_a_batch_meets_the_runs_where_they_are(spark):
+    """The batch is dealt out once; no run is, and all are met by merge joins."""
+    store = lines.LineRuns(spark, min_docs=2, fanout=9)
+    rows = [(bytes([k % 7]),) for k in range(30)]
+    for _ in range(3):
+        store.add(spark.createDataFrame(rows, "hash binary"))
+    batch = store.unknown(spark.createDataFrame(rows, "hash binary"))
+    assert _exchanges(batch) == (1, 3, 0)
+    store.close()
+
+
+def test_twenty_batches_in_a_store_that_is_opened_again(spark):
+    rng = random.Random(3)
+    root, counts = scratch_dir(spark, "kept-lines"), Counter()
+    for batch in range(20):
+        docs = [{f"line {rng.randrange(1, 90) ** 2 // 60}" for _ in range(4)} for _ in range(3)]
+        counts.update(x for d in docs for x in d)
+        store = lines.LineRuns(spark, min_docs=5, fanout=3, root=root, buckets=3)
+        assert store.batches == batch
+        store.add(spark.createDataFrame([(x.encode(),) for d in docs for x in d], "hash binary"))
+        if batch % 6 == 5:
+            found = {bytes(r["hash"]).decode() for r in store.frequent().collect()}
+            assert found == {x for x, n in counts.items() if n >= 5} and found
+        store.close()
+    again = lines.LineRuns(spark, min_docs=5, fanout=3, root=root, buckets=99)
+    assert again.buckets == 3 and max(again.levels) >= 2
+    assert {bytes(r["hash"]).decode() for r in again.frequent().collect()} == {x for x, n in counts.items() if n >= 5}
+    again.close()
+
+
+def test_a_batch_that_fails_leaves_the_store_as_it_was(spark):
+    root = scratch_dir(spark, "kept-lines")
+    store = lines.LineRuns(spark, min_docs=1, root=root)
+    store.add(spark.createDataFrame([(b"a",)], "hash binary"))
+    broken = spark.createDataFrame([(b"b",)], "hash binary").withColumn("hash", lines.F.when(lines.F.raise_error(lines.F.lit("lost")).isNull(), b"x"))
+    with pytest.raises(Exception, match="lost"):
+        store.add(broken)
+    again = lines.LineRuns(spark, min_docs=1, root=root)
+    assert again.batches == 1 and [bytes(r["hash"]) for r in again.frequent().collect()] == [b"a"]
+    store.close(), again.close()
