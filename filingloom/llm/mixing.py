@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from filingloom.llm.common import fresh, staged
 
 LEVELS = ("domain", "lang", "source")
-#: leaves of the tree; they are planned on the driver and broadcast
+#: leaves that are planned on the driver; of more, only their domains and languages are, and
+#: Spark finds how far each of those fills its leaves
 MAX_LEAVES = 100_000
 #: documents of a leaf in one hash range, about
 RANGE_ROWS = 20_000
@@ -47,14 +48,14 @@ def pour(budget: Fraction, nodes: Sequence[tuple[Fraction, Fraction]]) -> list[F
     return parts
 
 
-def budgets(most: Mapping[Path, int], weights: Mapping[Path, float], budget: int) -> dict[Path, int]:
-    """Whole tokens for each leaf. ``weights`` are by path from the root; a path without one has 1."""
-    out: dict[Path, int] = {}
+def parts_of(most: Mapping[Path, int], weights: Mapping[Path, float], budget: int) -> dict[Path, Fraction]:
+    """The exact part of each leaf. ``weights`` are by path from the root; a path without one has 1."""
+    out: dict[Path, Fraction] = {}
 
     def down(prefix: Path, leaves: list[Path], part: Fraction) -> None:
         depth = len(prefix)
         if leaves and len(leaves[0]) == depth:
-            out[prefix] = int(part)
+            out[prefix] = part
             return
         below: dict[str | None, list[Path]] = {}
         for leaf in leaves:
@@ -71,6 +72,46 @@ def budgets(most: Mapping[Path, int], weights: Mapping[Path, float], budget: int
     return out
 
 
+def budgets(most: Mapping[Path, int], weights: Mapping[Path, float], budget: int) -> dict[Path, int]:
+    """Whole tokens for each leaf."""
+    return {leaf: int(part) for leaf, part in parts_of(most, weights, budget).items()}
+
+
+def levels(
+    leaves: DataFrame, parts: Mapping[Path, Fraction], special: Mapping[Path, Sequence[tuple[Fraction, int]]]
+) -> dict[Path, Fraction | None]:
+    """Tokens for each unit of weight, up to which the branches ``parts`` (domain, language) fill their leaves.
+
+    ``leaves`` (domain, lang, most) have weight 1; ``special`` lists weight and most of the
+    others. None: all leaves of the branch are full. Each round fills the leaves that the
+    level of the round before reaches and pours what they leave on the rest, as
+    :func:`pour` does; the leaves are only summed up.
+    """
+    found: dict[Path, Fraction | None] = {node: Fraction(0) for node in parts}
+    open_ = dict(found)
+    while open_:
+        caps = [(*node, int(level)) for node, level in open_.items()]
+        table = leaves.sparkSession.createDataFrame(caps, "c_domain string, c_lang string, cap long")
+        same = F.col("domain").eqNullSafe(F.col("c_domain")) & F.col("lang").eqNullSafe(F.col("c_lang"))
+        full = F.col("most") <= F.col("cap")
+        sums = leaves.where("most > 0").join(table, same).groupBy("c_domain", "c_lang").agg(
+            F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0)).alias("full"), F.count_if(~full).alias("rest")
+        )
+        sums = {(r["c_domain"], r["c_lang"]): (int(r["full"]), r["rest"]) for r in sums.collect()}
+        after = {}
+        for node, level in open_.items():
+            filled, rest = sums.get(node, (0, 0))
+            weight = Fraction(rest)
+            for w, most in special.get(node, ()):
+                if w > 0 and most > 0:
+                    filled, weight = (filled + most, weight) if most <= level * w else (filled, weight + w)
+            found[node] = (parts[node] - filled) / weight if weight else None
+            if found[node] is not None and found[node] != level:
+                after[node] = found[node]
+        open_ = after
+    return found
+
+
 def largest_budget(most: Mapping[Path, int], weights: Mapping[Path, float]) -> int:
     """The most tokens at which the first level's weights hold: no domain they name runs short.
 
@@ -127,22 +168,9 @@ def plan(
         "mix-rows",
     )
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    found = leaves.limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    has = {tuple(r[k] for k in LEVELS): int(r["tokens"]) for r in found}
-    most = {k: n * max_epochs for k, n in has.items()}
-    if budget is None:
-        budget = largest_budget(most, weights) if share is None else int(Fraction(share) * sum(has.values()))
-    parts = budgets(most, weights, budget)
-    spec = [
-        (*leaf, parts[leaf], parts[leaf] // has[leaf] if has[leaf] else 0, parts[leaf] % has[leaf] if has[leaf] else 0)
-        for leaf in has
-    ]
-    schema = "domain string, lang string, source string, budget long, epochs long, rest long"
-    spec_df = F.broadcast(docs.sparkSession.createDataFrame(spec, schema))
-
-    largest = max((r["docs"] for r in found), default=0)
+    leaves = staged(leaves, "mix-supply")
+    spec_df = _spec(leaves, weights, budget, share, max_epochs)
+    largest = leaves.agg(F.max("docs")).first()[0] or 0
     digits = 1
     while largest > range_rows * 16**digits:
         digits += 1
@@ -170,7 +198,59 @@ def plan(
     match = F.lit(True)
     for k in LEVELS:
         match = match & F.col(k).eqNullSafe(F.col(f"c_{k}"))
-    return spec_df.join(renamed, match, "left").select(*LEVELS, "budget", "epochs", "cut")
+    return staged(spec_df.join(renamed, match, "left").select(*LEVELS, "budget", "epochs", "cut"), "mix-leaves")
+
+
+def _spec(
+    leaves: DataFrame, weights: Mapping[Path, float], budget: int | None, share: float | None, max_epochs: int
+) -> DataFrame:
+    """``budget, epochs, rest`` of each leaf; the planner broadcasts the table while it is small."""
+    spark = leaves.sparkSession
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens")).cast("long")).otherwise(F.lit(0))
+    rest = F.when(F.col("tokens") > 0, F.col("budget") - whole * F.col("tokens")).otherwise(F.lit(0))
+    columns = [*LEVELS, "budget", whole.cast("long").alias("epochs"), rest.cast("long").alias("rest")]
+    if leaves.count() <= MAX_LEAVES:
+        has = {tuple(r[k] for k in LEVELS): int(r["tokens"]) for r in leaves.collect()}
+        most = {k: n * max_epochs for k, n in has.items()}
+        if budget is None:
+            budget = largest_budget(most, weights) if share is None else int(Fraction(share) * sum(has.values()))
+        rows = [(*leaf, has[leaf], part) for leaf, part in budgets(most, weights, budget).items()]
+        table = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long, budget long")
+        return staged(table.select(*columns), "mix-spec")
+
+    supply = leaves.groupBy("domain", "lang").agg(F.sum("tokens").alias("tokens"))
+    branches = supply.limit(MAX_LEAVES + 1).collect()
+    if len(branches) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} pairs of domain and language")
+    most = {(r["domain"], r["lang"]): int(r["tokens"]) * max_epochs for r in branches}
+    if budget is None:
+        total = sum(most.values()) // max_epochs
+        budget = largest_budget(most, weights) if share is None else int(Fraction(share) * total)
+    parts = parts_of(most, weights, budget)
+    named = [(*path, True) for path in weights if len(path) == 3]
+    marks = spark.createDataFrame(named, "n_domain string, n_lang string, n_source string, named boolean")
+    same = F.lit(True)
+    for k in LEVELS:
+        same = same & F.col(k).eqNullSafe(F.col(f"n_{k}"))
+    marked = leaves.join(marks, same, "left").select(*LEVELS, "tokens", F.coalesce("named", F.lit(False)).alias("named"))
+    marked = staged(marked.withColumn("most", F.col("tokens") * max_epochs), "mix-marked")
+    own = {tuple(r[k] for k in LEVELS): int(r["most"]) for r in marked.where("named").collect()}
+    special: dict[Path, list] = {}
+    for path, n in own.items():
+        special.setdefault(path[:2], []).append((Fraction(weights[path]), n))
+    level = levels(marked.where("NOT named"), parts, special)
+    caps = spark.createDataFrame(
+        [(*node, None if x is None else int(x)) for node, x in level.items()], "c_domain string, c_lang string, cap long"
+    )
+    same = F.col("domain").eqNullSafe(F.col("c_domain")) & F.col("lang").eqNullSafe(F.col("c_lang"))
+    plain = marked.where("NOT named").join(caps, same)
+    plain = plain.withColumn("budget", F.least("most", F.coalesce("cap", "most"))).select(*LEVELS, "tokens", "budget")
+    parts_own = []
+    for path, n in own.items():
+        x, w = level[path[:2]], Fraction(weights[path])
+        parts_own.append((*path, n // max_epochs, (n if x is None else min(n, int(x * w))) if w > 0 else 0))
+    table = spark.createDataFrame(parts_own, "domain string, lang string, source string, tokens long, budget long")
+    return staged(plain.unionAll(table).select(*columns), "mix-spec")
 
 
 def _with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -192,7 +272,7 @@ def select(
     """The rows with all their columns, once for each epoch they are drawn in, and ``epoch_col``.
 
     A column of ``docs`` that has the name ``epoch_col`` is replaced; other names may be
-    anything. Leaves are at most ``MAX_LEAVES`` rows, which bounds the broadcast. Rows that
+    anything. The planner broadcasts the leaves while they are few. Rows that
     repeat an id are drawn together; rows without id only in whole epochs. An empty table
     gives an empty result.
     """
@@ -203,7 +283,7 @@ def select(
     match = F.col(own["own_domain"]).eqNullSafe(F.col(own["domain"]))
     for k in LEVELS[1:]:
         match = match & docs[k].eqNullSafe(F.col(own[k]))
-    drawn = keyed.join(F.broadcast(right), match)
+    drawn = keyed.join(right, match)
     count, cut = F.col(own["epochs"]), F.col(own["cut"])
     last = order_key(seed, count, F.col(id_col)) <= cut
     epochs = F.when(F.coalesce(last, F.lit(False)), F.sequence(F.lit(0).cast("long"), count)).otherwise(

@@ -109,3 +109,23 @@ def test_largest_budget_lets_the_weights_hold(spark):
     domain = F.col("source")
     leaves = mixing.plan(docs, {("s0",): 1, ("s1",): 3}, domain, share=None)
     assert {r["source"]: r["budget"] for r in leaves.collect()} == {"s0": 50, "s1": 150}
+
+
+@pytest.mark.parametrize("budget,epochs", [(700, 1), (700, 3), (10**6, 2), (0, 1), (None, 1)])
+def test_many_leaves_are_planned_in_spark_as_on_the_driver(spark, monkeypatch, budget, epochs):
+    rng = random.Random(4)
+    rows = [
+        (k, "w " * rng.choice([0, 1, 2, 3, 9, 40]), rng.choice(["en", "fr", None]), rng.choice([f"s{j}" for j in range(25)] + [None]))
+        for k in range(400)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    domain = F.when(F.col("source") < "s2", "low").when(F.col("source").isNotNull(), "high")
+    weights = {("low",): 3, ("high",): 2, ("high", "en"): 2.5, ("high", "en", "s7"): 4, ("high", None, "s3"): 0, (None, "fr", None): 0.5}
+
+    def planned():
+        leaves = mixing.plan(docs, weights, domain, budget=budget, share=None, max_epochs=epochs, seed=3)
+        return sorted((tuple(r) for r in leaves.collect()), key=str)
+
+    want = planned()
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 20)
+    assert planned() == want and len(want) > 60
