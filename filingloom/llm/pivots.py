@@ -23,8 +23,9 @@ from filingloom.llm.common import Rows, arrow_schema, staged, tidy
 from filingloom.llm.graph import components
 
 THRESHOLD = 0.93
-#: pivots in a vector's description
-PREFIX = 8
+#: pivots in a vector's description, and up to how many pivots that is enough; each further
+#: doubling takes one more
+PREFIX, PREFIX_PIVOTS = 8, 2_048
 MIN_SHARED = 2
 #: pivots drawn: PIVOT_FACTOR times the root of the number of vectors, within these bounds
 PIVOT_FACTOR, MIN_PIVOTS, MAX_PIVOTS = 2.0, 64, 16_384
@@ -36,8 +37,14 @@ BLOCK = 512
 SHORT = 24
 
 
+def prefix_length(pivots: int) -> int:
+    """Pivots in a description: more of them stand closer together and change places sooner."""
+    return min(pivots, PREFIX + max(0, -(-pivots // PREFIX_PIVOTS) - 1).bit_length())
+
+
 def _describe(pivots: np.ndarray, kind: str, schema: pa.Schema):
     """Adds the prefix of the pivot permutation; vectors of other dimensions get none."""
+    n = prefix_length(len(pivots))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +56,6 @@ def _describe(pivots: np.ndarray, kind: str, schema: pa.Schema):
                 raw = np.array(vectors[part], kind)
                 unit = raw.astype(float)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                n = min(PREFIX, len(pivots))
                 near = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :n].astype("<i4")
                 for row in zip(reps[part], weights[part], labels[part], raw, near):
                     out.add(*row[:3], row[3].tobytes(), row[4].tolist())
@@ -178,8 +184,10 @@ def near_vectors(
 
     ``pivots`` vectors are drawn by hash from all distinct ones (default: twice the root of
     their number, 64 to 16,384): that is the bounded sample the index is fitted on. Each
-    row is indexed. Pairs whose prefixes share fewer than two pivots are missed; at cosine
-    0.93 in 64 dimensions these are under 1 in 100.
+    row is indexed. Pairs whose prefixes share fewer than two pivots are missed. Of pairs at
+    cosine 0.93 exactly, in 64 dimensions, 98.9 to 99.9 % are found with 453 to 16,384 pivots;
+    closer pairs are missed less. An empty table gives an empty result; other columns are
+    not read.
     """
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
@@ -236,13 +244,14 @@ def _spread(drawn: np.ndarray, want: int) -> np.ndarray:
     them would no longer share its prefix.
     """
     unit = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
-    taken = np.zeros((0, drawn.shape[1]))
+    taken, n = np.zeros((min(want, len(unit)), drawn.shape[1])), 0
     for x in unit:
-        if len(taken) == want:
+        if n == len(taken):
             break
-        if not (taken @ x > MAX_PIVOT_COSINE).any():
-            taken = np.vstack([taken, x])
-    return taken
+        if not (taken[:n] @ x > MAX_PIVOT_COSINE).any():
+            taken[n] = x
+            n += 1
+    return taken[:n]
 
 
 def _links(fold: DataFrame, pivots: np.ndarray, kind: str, threshold: float) -> DataFrame:
@@ -262,7 +271,7 @@ def _links(fold: DataFrame, pivots: np.ndarray, kind: str, threshold: float) ->
         ),
         "pivot-index",
     )
-    width = min(PREFIX, len(pivots))
+    width = prefix_length(len(pivots))
     pairs = F.array(
         *[
             F.struct(F.least(F.col("near")[p], F.col("near")[q]).alias("a"), F.greatest(F.col("near")[p], F.col("near")[q]).alias("b"))

@@ -247,6 +247,25 @@ def test_vectors_equal_brute_force(spark):
     assert all(f[2] == (f[1] == i) for i, f in found.items())
 
 
+@pytest.mark.parametrize("count", [64, 453, 2048, 4096, 8192, 16_384])
+def test_recall_at_the_threshold_for_every_number_of_pivots(count):
+    """Pairs at cosine 0.93 exactly: at least 98 in 100 share two pivots of their prefixes."""
+    rng = np.random.default_rng(7)
+
+    def unit(n):
+        x = rng.normal(size=(n, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    drawn, x, z = unit(count), unit(800), unit(800)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * z
+    n = pivots.prefix_length(count)
+    near = [np.argpartition(-(v @ drawn.T), n, axis=1)[:, :n] for v in (x, y)]
+    shared = (near[0][:, :, None] == near[1][:, None, :]).any(axis=2).sum(axis=1)
+    assert (shared >= pivots.MIN_SHARED).mean() >= 0.98
+
+
 def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
     rng = np.random.default_rng(6)
