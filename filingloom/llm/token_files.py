@@ -37,7 +37,7 @@ GROUP = 16
 #: characters per shard when ranges are laid out; only their number depends on it
 CHARS_PER_TASK = 16_000_000
 #: bytes of files that a task decodes, about; a shard is read by one task
-READ_BYTES = 1 << 20
+READ_BYTES = 4 << 20
 
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, n_blocks long, n_bytes long"
 TOKENS = "doc_id long, start long, n_tokens long, ids binary"
