@@ -111,15 +111,42 @@ def regressions(comparison: DataFrame) -> DataFrame:
     return comparison.where("absolute_delta < 0").orderBy("absolute_delta", "metric")
 
 
-def comparison_summary(comparison: DataFrame) -> DataFrame:
-    """Counts and the signed mean of the deltas."""
+def run_metadata(rows: DataFrame, keys: Sequence[str] = (), backend: str = "backend") -> DataFrame:
+    """``backend`` and ``num_examples`` of a run, or of each run that ``keys`` name.
+
+    ``rows`` are the examples of the run. Of several backends the first in order is named;
+    without examples the backend is null and the number 0.
+    """
+    return rows.groupBy(*keys).agg(F.min(backend).alias("backend"), F.count(F.lit(1)).alias("num_examples"))
+
+
+def comparison_summary(
+    comparison: DataFrame, baseline: DataFrame | None = None, finetuned: DataFrame | None = None
+) -> DataFrame:
+    """Counts and the signed mean of the deltas; backends and sizes of both runs.
+
+    ``baseline`` and ``finetuned`` are one row each of :func:`run_metadata`. A run without
+    one has nulls.
+    """
     mean = F.coalesce(exact_mean(F.col("absolute_delta")), F.lit(0.0))
-    return comparison.agg(
+    counts = comparison.agg(
         F.count(F.lit(1)).alias("metrics_compared"),
         F.count_if(F.col("absolute_delta") > 0).alias("metrics_improved"),
         F.count_if(F.col("absolute_delta") < 0).alias("metrics_regressed"),
         round_half_even(mean, 4).alias("mean_absolute_delta"),
     )
+    # one row on every side: an aggregate without keys never has more
+    for side, run in (("baseline", baseline), ("finetuned", finetuned)):
+        names = f"{side}_backend", f"num_examples_{side}"
+        if run is None:
+            counts = counts.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("long")})
+        else:
+            one = run.agg(F.min("backend").alias(names[0]), F.sum("num_examples").alias(names[1]))
+            counts = counts.join(one, F.lit(True))
+    return counts.select(
+        "metrics_compared", "metrics_improved", "metrics_regressed", "mean_absolute_delta",
+        "baseline_backend", "finetuned_backend", "num_examples_baseline", "num_examples_finetuned",
+    )
 
 
 def row_improvement(baseline: Column, finetuned: Column) -> Column:

@@ -53,6 +53,17 @@ def ordered_index(
     )
 
 
+def with_ordered_buckets(df: DataFrame, order: Sequence[Column], name: str, buckets: int | None = None) -> DataFrame:
+    """Adds an ascending bucket number for any order, for :func:`ordered_index`.
+
+    Ranges are sampled by Spark's range partitioning, ``buckets`` of them or as many as the
+    session shuffles into. The rows are written to the shared folder, so that the numbers
+    stay what they are however often the result is read.
+    """
+    ranged = df.repartitionByRange(*([buckets] if buckets else []), *order)
+    return cut_lineage(ranged.withColumn(name, F.spark_partition_id()), "buckets")
+
+
 # beyond this Spark does not limit groups before the shuffle
 GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -88,9 +99,12 @@ def rank_values(
     rank: str = "rank",
     small: int = 100_000,
     cells: int = 4096,
+    weight: str | None = None,
 ) -> DataFrame:
     """Value at given 1-based ranks of the ascending order, exactly.
 
+    With ``weight`` a row stands for that many equal values.
+
     ``ranks`` has one row per wanted (keys, rank) and any further columns; the
     result adds ``value`` and ``below`` (rows smaller than that value). While a
     range that holds a rank has more than ``small`` rows, it is cut into ``cells``
@@ -104,11 +118,12 @@ def rank_values(
     the data is scanned, not shuffled) and shuffles otherwise.
     """
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), times.alias("_w"))
     whole = not isinstance(base.schema["_v"].dataType, (T.DoubleType, T.FloatType))
     cell_of = _whole_cell if whole else _cell
     span = base.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_size")
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_size")
     )
     todo = join_null_safe(ranks.withColumn("_id", F.col(rank)), span, keys)
     todo = cut_lineage(todo.withColumn("_below", F.lit(0).cast("long")), "ranks")
@@ -162,7 +177,7 @@ def _containing_step(
         .withColumn("_step", step)
         .groupBy(*ids, "_step")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.sum("_w").alias("_n"),
             F.min("_v").alias("_step_lo"),
             F.max("_v").alias("_step_hi"),
         )

@@ -34,9 +34,33 @@ def latency_percentiles(
     Needs (keys, ok, latency_s). Ranks are selected by counting, see
     :func:`rank_values`; no group is sorted or collected.
     """
-    keys = list(keys)
     good = requests.where("ok").select(*keys, "latency_s")
-    sizes = good.groupBy(*keys).agg(F.count("latency_s").alias("n"))
+    return _percentiles(requests.select(*keys).distinct(), good, keys, pcts, None)
+
+
+def latency_counts(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``latency_s, n`` per key: how often each latency occurred among the successful requests.
+
+    The state behind exact percentiles. Counts of several days are added up by taking their
+    rows together, so the log of a day can go once its counts are kept. A key without a
+    successful request keeps a row without latency.
+    """
+    latency = F.when(F.col("ok"), F.col("latency_s"))
+    return requests.groupBy(*keys, latency.alias("latency_s")).agg(F.count_if("ok").alias("n"))
+
+
+def percentiles_of_counts(counts: DataFrame, keys: Sequence[str], pcts: Sequence[int] = PERCENTILES) -> DataFrame:
+    """:func:`latency_percentiles` from the rows of :func:`latency_counts`, of any number of days."""
+    known = counts.where("latency_s IS NOT NULL AND n > 0").select(*keys, "latency_s", "n")
+    return _percentiles(counts.select(*keys).distinct(), known, keys, pcts, "n")
+
+
+def _percentiles(
+    everyone: DataFrame, good: DataFrame, keys: Sequence[str], pcts: Sequence[int], weight: str | None
+) -> DataFrame:
+    keys = list(keys)
+    size = F.count("latency_s") if weight is None else F.sum(weight)
+    sizes = good.groupBy(*keys).agg(size.alias("n"))
     wanted = F.array(
         *[
             F.struct(F.lit(p).alias("pct"), nearest_rank(F.col("n"), p).alias("rank"))
@@ -45,14 +69,13 @@ def latency_percentiles(
     )
     ranks = sizes.select(*keys, F.inline(wanted))
     # equal ranks of small groups are looked up once
-    values = rank_values(good, keys, "latency_s", ranks.select(*keys, "rank").distinct())
+    values = rank_values(good, keys, "latency_s", ranks.select(*keys, "rank").distinct(), weight=weight)
     found = join_null_safe(ranks, values, [*keys, "rank"]).groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"_p{p}")
             for p in pcts
         ]
     )
-    everyone = requests.select(*keys).distinct()
     return join_null_safe(everyone, found, keys, "left").select(
         *keys,
         *[

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,3 +157,50 @@ def required_marker_audit(
         & ~F.col("label_missing")
         & ~tx.is_blank(body),
     )
+
+
+@dataclass(frozen=True)
+class MarkerRule:
+    """What a document must (or must not) say, in one of several ways.
+
+    ``texts`` are found as they are, ``patterns`` as regular expressions, both in any case
+    unless ``any_case`` is false. A rule that is not ``required`` forbids what it names.
+    Where ``only_if`` names a boolean column, the rule counts for the rows that have it set.
+    """
+
+    name: str
+    texts: tuple[str, ...] = ()
+    patterns: tuple[str, ...] = ()
+    any_case: bool = True
+    required: bool = True
+    only_if: str | None = None
+
+    def said(self, body: Column) -> Column:
+        low = F.lower(body) if self.any_case else body
+        found = [F.contains(low, F.lit(t.lower() if self.any_case else t)) for t in self.texts]
+        # classes know all letters, and only a newline ends a line
+        flags = "(?Udiu)" if self.any_case else "(?Ud)"
+        found += [F.regexp_like(low, F.lit(flags + p)) for p in self.patterns]
+        if not found:
+            raise ValueError(f"rule {self.name} names no text and no pattern")
+        said = found[0]
+        for further in found[1:]:
+            said = said | further
+        return said
+
+    def broken(self, body: Column) -> Column:
+        wrong = ~self.said(body) if self.required else self.said(body)
+        if self.only_if:
+            wrong = wrong & F.coalesce(F.col(self.only_if), F.lit(False))
+        return F.when(wrong, F.lit(self.name))
+
+
+def marker_rules_audit(df: DataFrame, text: str, rules: Sequence[MarkerRule]) -> DataFrame:
+    """Adds ``broken_rules``, the names of the rules a text breaks, and ``passed``.
+
+    A null or blank text breaks every required rule that counts for it and does not pass.
+    """
+    body = tx.text_or_empty(F.col(text))
+    broken = F.filter(F.array(*[r.broken(body) for r in rules]), lambda n: n.isNotNull())
+    marked = df.withColumn("broken_rules", broken if rules else F.array().cast("array<string>"))
+    return marked.withColumn("passed", (F.size("broken_rules") == 0) & ~tx.is_blank(body))

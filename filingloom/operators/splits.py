@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filingloom.functions import text as tx
 from filingloom.functions.numbers import round_half_even
 from filingloom.operators.examples import company_of
-from filingloom.operators.ranking import ordered_index
+from filingloom.operators.ranking import ordered_index, with_ordered_buckets
 from filingloom.session import cut_lineage, join_null_safe
 
 PAIRS = (("train", "test"), ("train", "validation"), ("validation", "test"))
@@ -66,9 +66,10 @@ def assign_groups(
         bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
         order = [F.col("_order"), F.col(key)]
     elif strategy == "time_holdout":
-        distinct = distinct.withColumn("_order", F.col(key))
-        bucket = F.lit(0)  # years are few
-        order = [F.col("_order").desc()]
+        # any key may be one of time: ranges of it are ordered buckets, newest first
+        order = [F.col(key).desc()]
+        distinct = with_ordered_buckets(distinct, order, "_range")
+        bucket = F.col("_range")
     else:
         raise ValueError(f"no such split strategy: {strategy}")
     ranked = ordered_index(distinct, [], order, bucket, "_rn", total="_groups")

@@ -64,20 +64,14 @@ class Dataset:
     leakage: DataFrame
 
 
-def build_dataset(
+def split_dataset(
     section_rows: DataFrame,
-    path: str,
     strategy: str = "company_holdout",
-    fmt: str = "parquet",
     chunking: dict[str, int] | None = None,
     allow: Sequence[str] | None = None,
     **split_options,
-) -> Dataset:
-    """Chunks, labels, splits and writes the examples, then describes what was written.
-
-    The examples are computed once, by the write; every later table reads the
-    written files, of which it needs only a few columns.
-    """
+) -> DataFrame:
+    """Chunks and labels the sections and gives every example its split."""
     built = examples.build_examples(section_rows, allow=allow, **(chunking or {}))
     usable = examples.usable_sections(examples.filing_metadata(section_rows), allow)
     meta = F.col("metadata")
@@ -85,9 +79,11 @@ def build_dataset(
         key = splits.company_key(meta["ticker"], meta["cik"])
     else:
         key = splits.year_key(meta["year"])
-    rows = splits.split_examples(built, key, strategy, groups=usable.select(key), **split_options)
-    jsonl.write_splits(rows, path, fmt)
-    written = jsonl.read_splits(rows.sparkSession, path, rows.schema, fmt)
+    return splits.split_examples(built, key, strategy, groups=usable.select(key), **split_options)
+
+
+def describe_dataset(written: DataFrame) -> dict[str, DataFrame]:
+    """``stats``, ``profile``, ``manifest`` and ``leakage`` of split examples."""
     flat = written.withColumns(
         {
             "section": F.col("metadata.section"),
@@ -96,14 +92,32 @@ def build_dataset(
             "year": F.col("metadata.year"),
         }
     )
-    return Dataset(
-        path=path,
-        examples=written,
-        stats=splits.dataset_stats(flat),
-        profile=splits.split_profile(flat),
-        manifest=jsonl.dataset_manifest(written),
-        leakage=splits.leakage_check(flat, F.col("company")),
-    )
+    return {
+        "stats": splits.dataset_stats(flat),
+        "profile": splits.split_profile(flat),
+        "manifest": jsonl.dataset_manifest(written),
+        "leakage": splits.leakage_check(flat, F.col("company")),
+    }
+
+
+def build_dataset(
+    section_rows: DataFrame,
+    path: str,
+    strategy: str = "company_holdout",
+    fmt: str = "parquet",
+    chunking: dict[str, int] | None = None,
+    allow: Sequence[str] | None = None,
+    **split_options,
+) -> Dataset:
+    """Chunks, labels, splits and writes the examples, then describes what was written.
+
+    The examples are computed once, by the write; every later table reads the
+    written files, of which it needs only a few columns.
+    """
+    rows = split_dataset(section_rows, strategy, chunking, allow, **split_options)
+    jsonl.write_splits(rows, path, fmt)
+    written = jsonl.read_splits(rows.sparkSession, path, rows.schema, fmt)
+    return Dataset(path=path, examples=written, **describe_dataset(written))
 
 
 def split_of_path(path: Column) -> Column:
@@ -145,27 +159,43 @@ class Evaluation:
     rows: DataFrame
     metrics: DataFrame
     counts: DataFrame
+    metadata: DataFrame | None = None
 
 
-def evaluate(
+def scored_rows(
     test_rows: DataFrame,
     order: str,
     extended: bool = False,
     scorer: Callable[[Column, Column], Column] | None = None,
     predictions: DataFrame | None = None,
-) -> Evaluation:
-    """Scores one run. Without ``predictions`` (id, prediction) the extractive baseline answers."""
+) -> DataFrame:
+    """The examples with a prediction and its metrics.
+
+    Without ``predictions`` (id, prediction) the extractive baseline answers.
+    """
     if predictions is None:
         answered = scoring.with_baseline_prediction(test_rows, extended)
     else:
         answered = test_rows.join(predictions, "id")
-    rows = scoring.eval_rows(scoring.score_examples(answered, scorer=scorer), order)
+    return scoring.eval_rows(scoring.score_examples(answered, scorer=scorer), order)
+
+
+def evaluate(
+    test_rows: DataFrame,
+    order: str,
+    extended: bool = False,
+    scorer: Callable[[Column, Column], Column] | None = None,
+    predictions: DataFrame | None = None,
+    backend: str = "extractive",
+) -> Evaluation:
+    """Scores one run; ``backend`` names what produced it."""
     # written once: roll-ups and comparison all read the scored rows
-    rows = cut_lineage(rows, "scored-rows")
+    rows = cut_lineage(scored_rows(test_rows, order, extended, scorer, predictions), "scored-rows")
     return Evaluation(
         rows=rows,
         metrics=compare.aggregate_metrics(scoring.metrics_long(rows, ["task_type"])),
         counts=compare.task_counts(rows),
+        metadata=compare.run_metadata(rows.withColumn("backend", F.lit(backend))),
     )
 
 
@@ -192,6 +222,6 @@ def compare_runs(
     return Comparison(
         overall=overall,
         by_task=by_task,
-        summary=compare.comparison_summary(overall),
+        summary=compare.comparison_summary(overall, baseline.metadata, finetuned.metadata),
         pairs=compare.prediction_join(baseline.rows, finetuned.rows, order, max_examples),
     )

@@ -6,6 +6,7 @@ from filingloom.plans.catalog import (  # noqa: F401, E402
     comparing,
     evaluation,
     extraction,
+    jobs,
     labelling,
     manifests,
     serving,

@@ -60,6 +60,20 @@ def time_holdout_split(spark, sf_dir):
     return _time_split(spark, sf_dir).select("o_orderkey", "year", "split")
 
 
+@b.query(
+    "time_holdout_by_filing",
+    f"""WITH {b.FILINGS_SQL}, k AS (SELECT o_orderkey, filing_date || '/' || accession_number AS moment FROM filings),
+r AS (SELECT *, row_number() OVER (ORDER BY moment DESC) AS rn, count(*) OVER () AS n FROM k),
+w AS (SELECT *, greatest(1, CAST(round_even(n * 0.05, 0) AS BIGINT)) AS t, greatest(1, CAST(round_even(n * 0.10, 0) AS BIGINT)) AS v FROM r)
+SELECT o_orderkey, moment, CASE WHEN rn <= t THEN 'test' WHEN rn <= t + v THEN 'validation' ELSE 'train' END AS split FROM w""",
+)
+def time_holdout_by_filing(spark, sf_dir):
+    """Newest filings held out one by one: as many keys as rows."""
+    moment = F.concat_ws("/", "filing_date", "accession_number")
+    rows = b.filings(spark, sf_dir).select("o_orderkey", moment.alias("moment"))
+    return splits.split_examples(rows, F.col("moment"), "time_holdout")
+
+
 @b.query(
     "allocate_groups",
     """WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from filingloom.functions import banks
 from filingloom.functions import text as tx
 from filingloom.operators import compare, report, safety, scoring
 from filingloom.plans.catalog import base as b
@@ -185,13 +186,42 @@ def regressions(spark, sf_dir):
     )
 
 
+_BACKEND_SQL = "CASE WHEN run = 'base' THEN 'extractive' ELSE 'tuned-' || CAST(max(k) OVER (PARTITION BY run) AS VARCHAR) END"
+
+
+@b.query(
+    "run_metadata",
+    f"""WITH {_LONG_SQL}, named AS (SELECT run, event_id, {_BACKEND_SQL} AS backend FROM long)
+SELECT run, min(backend) AS backend, count(*) AS num_examples FROM named GROUP BY run""",
+)
+def run_metadata(spark, sf_dir):
+    """What produced each run, and how many examples it has."""
+    return _metadata(spark, sf_dir)
+
+
+def _metadata(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    run = F.when(F.col("ts") < F.lit(_HALF).cast("timestamp"), "base").otherwise("fine")
+    rows = e.select(run.alias("run"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    named = rows.groupBy("run").agg(F.max("k").alias("k")).select(
+        "run",
+        F.when(F.col("run") == "base", "extractive").otherwise(F.concat(F.lit("tuned-"), F.col("k").cast("string"))).alias("backend"),
+    )
+    return compare.run_metadata(rows.select("run").join(named, "run"), ["run"])
+
+
 @b.query(
     "comparison_summary",
-    f"""WITH {_RUNS_SQL} SELECT count(*) AS metrics_compared, count(*) FILTER (absolute_delta > 0) AS metrics_improved, count(*) FILTER (absolute_delta < 0) AS metrics_regressed,
-  {b.sql_round('CAST(sum(CAST(absolute_delta AS DECIMAL(26,12))) AS DOUBLE) / greatest(count(*), 1)', 4)} AS mean_absolute_delta FROM comparison""",
+    f"""WITH {_RUNS_SQL}, named AS (SELECT run, event_id, {_BACKEND_SQL} AS backend FROM long),
+runs AS (SELECT run, min(backend) AS backend, count(*) AS n FROM named GROUP BY run)
+SELECT count(*) AS metrics_compared, count(*) FILTER (absolute_delta > 0) AS metrics_improved, count(*) FILTER (absolute_delta < 0) AS metrics_regressed,
+  {b.sql_round('CAST(sum(CAST(absolute_delta AS DECIMAL(26,12))) AS DOUBLE) / greatest(count(*), 1)', 4)} AS mean_absolute_delta,
+  (SELECT backend FROM runs WHERE run = 'base') AS baseline_backend, (SELECT backend FROM runs WHERE run = 'fine') AS finetuned_backend,
+  (SELECT n FROM runs WHERE run = 'base') AS num_examples_baseline, (SELECT n FROM runs WHERE run = 'fine') AS num_examples_finetuned FROM comparison""",
 )
 def comparison_summary(spark, sf_dir):
-    return compare.comparison_summary(_overall(spark, sf_dir))
+    runs = _metadata(spark, sf_dir)
+    return compare.comparison_summary(_overall(spark, sf_dir), runs.where("run = 'base'"), runs.where("run = 'fine'"))
 
 
 # predictions: clicks as the baseline run, purchases as the fine-tuned run, joined by user
@@ -436,3 +466,54 @@ def required_marker_audit(spark, sf_dir):
         "label_missing",
         "passed",
     )
+
+
+_RULES = (
+    safety.MarkerRule("licence", texts=("Released under the mit license", "PERMISSION IS")),
+    safety.MarkerRule("heading", patterns=(r"(?m)^#{1,6}\s+(?:\d+[.)]\s*)?[a-z]+", r"(?m)^[^\n]{1,40}\.$"), only_if="flagged"),
+    safety.MarkerRule("shouting", patterns=(r"[A-Z]{6,}",), any_case=False, required=False),
+    safety.MarkerRule("secrets", texts=("password", "Secret", "AKIA"), required=False),
+)
+
+
+def _sql_rule(rule) -> str:
+    low = "lower(text)" if rule.any_case else "text"
+    found = [f"contains({low}, {b.sql_str(t.lower() if rule.any_case else t)})" for t in rule.texts]
+    found += [f"regexp_matches({low}, {b.sql_str(('(?i)' if rule.any_case else '') + p)})" for p in rule.patterns]
+    wrong = f"({' OR '.join(found)})"
+    if rule.required:
+        wrong = f"NOT {wrong}"
+    if rule.only_if:
+        wrong = f"({wrong}) AND {rule.only_if}"
+    return f"CASE WHEN {wrong} THEN {b.sql_str(rule.name)} END"
+
+
+@b.query(
+    "marker_rules_audit",
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source IN ('src1', 'src2') AS flagged FROM documents),
+r AS (SELECT doc_id, text, list_filter([{', '.join(_sql_rule(r) for r in _RULES)}], lambda x: x IS NOT NULL) AS broken FROM d)
+SELECT doc_id, array_to_string(broken, '|') AS broken_rules, len(broken) = 0 AND {b.sql_trim('text')} <> '' AS passed FROM r""",
+)
+def marker_rules_audit(spark, sf_dir):
+    """Any-case markers, patterns and forbidden words, each rule met in one of several ways."""
+    d = b.documents(spark, sf_dir).select("doc_id", "text", F.col("source").isin("src1", "src2").alias("flagged"))
+    out = safety.marker_rules_audit(d, "text", _RULES)
+    return out.select("doc_id", b.joined(F.col("broken_rules"), "|").alias("broken_rules"), "passed")
+
+
+@b.query(
+    "bank_term_hits",
+    """WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark),
+bank AS (SELECT term FROM w WHERE length(term) >= 5),
+t AS (SELECT doc_id, lower(text) AS body FROM documents)
+SELECT doc_id, count(*) AS n_terms, min(instr(body, term)) AS first_position, string_agg(term, '|' ORDER BY term) AS terms
+FROM t JOIN bank ON contains(body, term) GROUP BY doc_id""",
+)
+def bank_term_hits(spark, sf_dir):
+    """Which of all longer words of the benchmark each whole document holds, anywhere in it."""
+    words = load(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
+    bank = banks.bank_of(words.where(F.length("term") >= 5), "term")
+    hits = banks.bank_hits(b.documents(spark, sf_dir), ["doc_id"], "text", bank)
+    return hits.select(
+        "doc_id", F.size("terms").cast("long").alias("n_terms"), "first_position", b.joined(F.col("terms"), "|").alias("terms")
+    )

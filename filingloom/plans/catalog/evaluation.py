@@ -1,16 +1,19 @@
 """Prompts, predictions and per-row scores."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from filingloom import constants as C
 from filingloom.functions import labels as lb
+from filingloom.functions import models
 from filingloom.functions import prompts as pr
 from filingloom.functions import scores as sc
 from filingloom.functions import text as tx
 from filingloom.operators import scoring
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
-from filingloom.session import load
+from filingloom.session import load, scratch_dir
 
 _NL = "chr(10)"
 _USER = (
@@ -236,6 +239,18 @@ def rouge_l_documents(spark, sf_dir):
     )
 
 
+@b.query(
+    "rouge_l_subsequence",
+    f"""WITH t AS (SELECT doc_id, {sql_tokens('text')} AS r FROM documents), n AS (SELECT doc_id, len(r) AS n, (len(r) + 1) // 2 AS m FROM t)
+SELECT doc_id, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * (m::DOUBLE / m) * (m::DOUBLE / n) / ((m::DOUBLE / m) + (m::DOUBLE / n)) END AS rouge_l FROM n""",
+)
+def rouge_l_subsequence(spark, sf_dir):
+    """Each whole document against every second of its tokens, all of which are common to both."""
+    tokens = sc.answer_tokens(F.col("text"))
+    half = F.array_join(F.filter(tokens, lambda t, i: i % 2 == 0), " ")
+    return b.documents(spark, sf_dir).select("doc_id", sc.rouge_l(half, F.col("text")).alias("rouge_l"))
+
+
 def _sql_numbers(t: str) -> str:
     found = (
         f"list_transform(list_concat(regexp_extract_all({t}, '{C.MONEY}'), regexp_extract_all({t}, '{C.PERCENT}'), "
@@ -367,22 +382,60 @@ def scored_faithfulness(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("conv_id", "turn", score.alias("score"))
 
 
-_DISPATCH_SQL = f"""{b.PAIRS_SQL},
-ev AS (SELECT conv_id, turn, question, answer, CASE turn WHEN 1 THEN 'filing_qa' WHEN 2 THEN 'metric_extraction' WHEN 3 THEN 'risk_summary' WHEN 4 THEN 'hallucination_detection'
-  WHEN 5 THEN 'outlook_classification' ELSE 'other' END AS task_type FROM pairs),
-{f1_sql('ev', 'conv_id, turn', 'question', 'answer')},
-{lcs_sql("ev", "conv_id, turn", "question", "answer")},
+_MODEL = {"bias": -0.5, "length": 0.25, "digits": 3.0, "quoted": 0.125}
+
+
+@b.query(
+    "scored_faithfulness_model",
+    f"""WITH {b.PAIRS_SQL}, f AS (SELECT conv_id, turn, length(answer)::DOUBLE / greatest(length(question), 1)::DOUBLE AS share,
+  length(regexp_replace(question, '[^0-9]', '', 'g'))::DOUBLE / greatest(length(question), 1)::DOUBLE AS digits, contains(answer, question)::INT::DOUBLE AS quoted, question FROM pairs)
+SELECT conv_id, turn, CASE WHEN turn = 1 OR {b.sql_trim('question')} = '' THEN 1.0::DOUBLE ELSE least(greatest(
+  {_MODEL['bias']}::DOUBLE + {_MODEL['length']}::DOUBLE * share + {_MODEL['digits']}::DOUBLE * digits + {_MODEL['quoted']}::DOUBLE * quoted, 0.0::DOUBLE), 1.0::DOUBLE) END AS score FROM f""",
+)
+def scored_faithfulness_model(spark, sf_dir):
+    """Scores by a model that every worker loads from a file."""
+    path = scratch_dir(spark, "pair-model")
+    spark.createDataFrame([(json.dumps(_MODEL),)], "value string").coalesce(1).write.text(path)
+    part = spark.read.format("binaryFile").load(path).select("path").first()[0]
+    prediction = F.when(F.col("turn") == 1, "  ").otherwise(F.col("question"))
+    score = sc.scored_faithfulness(prediction, F.col("answer"), models.model_scorer(spark, part))
+    return b.pairs(spark, sf_dir).select("conv_id", "turn", score.alias("score"))
+
+
+def dispatch_sql(keys: str = "conv_id, turn", further: str = "", source: str = "told") -> str:
+    """CTEs ending in ``long``: the metrics that each turn's task asks for.
+
+    ``further`` are CTEs over ``told``, of which ``source`` holds the turns to score.
+    """
+    return f"""{b.PAIRS_SQL},
+{b.FIGURES_SQL},
+told AS (SELECT p.conv_id, p.turn, CASE WHEN turn = 2 THEN concat_ws(' ', sold, question) ELSE question END AS question,
+  CASE WHEN turn = 2 THEN concat_ws(' ', billed, answer) ELSE answer END AS answer
+  FROM pairs p LEFT JOIN (SELECT l_orderkey, min(sold) AS sold, min(billed) AS billed FROM figures GROUP BY l_orderkey) ON l_orderkey = conv_id),
+{further}
+ev AS (SELECT {keys}, question, answer, CASE turn WHEN 1 THEN 'filing_qa' WHEN 2 THEN 'metric_extraction' WHEN 3 THEN 'risk_summary' WHEN 4 THEN 'hallucination_detection'
+  WHEN 5 THEN 'outlook_classification' ELSE 'other' END AS task_type FROM {source}),
+{f1_sql('ev', keys, 'question', 'answer')},
+{lcs_sql("ev", keys, "question", "answer")},
 long AS (
-  SELECT conv_id, turn, task_type, 'exact_match' AS metric, CAST(array_to_string({sql_tokens('question')}, ' ') = array_to_string({sql_tokens('answer')}, ' ') AS DOUBLE) AS value FROM ev WHERE task_type = 'filing_qa'
-  UNION ALL SELECT conv_id, turn, task_type, 'token_f1', f1 FROM ev JOIN f1 USING (conv_id, turn) WHERE task_type <> 'hallucination_detection'
-  UNION ALL SELECT conv_id, turn, task_type, 'rouge_l', rouge_l FROM ev JOIN rouge_l USING (conv_id, turn) WHERE task_type = 'risk_summary'
-  UNION ALL SELECT conv_id, turn, task_type, 'classification_accuracy', CAST({sql_label('question')} = {sql_label('answer')} AND {sql_label('question')} <> 'unknown' AS DOUBLE) FROM ev
+  SELECT {keys}, task_type, 'exact_match' AS metric, CAST(array_to_string({sql_tokens('question')}, ' ') = array_to_string({sql_tokens('answer')}, ' ') AS DOUBLE) AS value FROM ev WHERE task_type = 'filing_qa'
+  UNION ALL SELECT {keys}, task_type, 'token_f1', f1 FROM ev JOIN f1 USING ({keys}) WHERE task_type <> 'hallucination_detection'
+  UNION ALL SELECT {keys}, task_type, 'rouge_l', rouge_l FROM ev JOIN rouge_l USING ({keys}) WHERE task_type = 'risk_summary'
+  UNION ALL SELECT {keys}, task_type, 'classification_accuracy', CAST({sql_label('question')} = {sql_label('answer')} AND {sql_label('question')} <> 'unknown' AS DOUBLE) FROM ev
     WHERE task_type IN ('hallucination_detection', 'outlook_classification')
-  UNION ALL SELECT conv_id, turn, task_type, unnest(['numeric_exact_match', 'numeric_precision', 'numeric_recall']), 1.0::DOUBLE FROM ev WHERE task_type = 'metric_extraction'
-  UNION ALL SELECT conv_id, turn, task_type, 'lexical_faithfulness', {sql_faithfulness('question', 'answer')} FROM ev WHERE task_type <> 'outlook_classification')"""
+  UNION ALL SELECT {keys}, task_type, unnest(['numeric_exact_match', 'numeric_precision', 'numeric_recall']), unnest([
+      CAST(len(list_intersect(p, r)) = len(p) AND len(p) = len(r) AS DOUBLE),
+      CASE WHEN len(p) > 0 THEN len(list_intersect(p, r)) / len(p) WHEN len(r) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END,
+      CASE WHEN len(r) > 0 THEN len(list_intersect(p, r)) / len(r) ELSE 1.0::DOUBLE END])
+    FROM (SELECT *, {_sql_bare('question')} AS p, {_sql_bare('answer')} AS r FROM ev WHERE task_type = 'metric_extraction')
+  UNION ALL SELECT {keys}, task_type, 'lexical_faithfulness', {sql_faithfulness('question', 'answer')} FROM ev WHERE task_type <> 'outlook_classification')"""
 
 
-def _scored(spark, sf_dir):
+_DISPATCH_SQL = dispatch_sql()
+
+
+def answered_turns(spark, sf_dir):
+    """Conversation turns as test rows (input, output) with a prediction."""
     turn = F.col("turn")
     task = (
         F.when(turn == 1, "filing_qa")
@@ -392,15 +445,25 @@ def _scored(spark, sf_dir):
         .when(turn == 5, "outlook_classification")
         .otherwise("other")
     )
-    rows = b.pairs(spark, sf_dir).select(
+    # the turns about figures carry the amounts of the order of that number
+    figures = b.figures(spark, sf_dir).groupBy(F.col("l_orderkey").alias("conv_id")).agg(
+        F.min("sold").alias("sold"), F.min("billed").alias("billed")
+    )
+    told = b.pairs(spark, sf_dir).join(figures, "conv_id", "left")
+    question = F.when(turn == 2, F.concat_ws(" ", "sold", "question")).otherwise(F.col("question"))
+    answer = F.when(turn == 2, F.concat_ws(" ", "billed", "answer")).otherwise(F.col("answer"))
+    return told.select(
         "conv_id",
         "turn",
         task.alias("task_type"),
-        F.col("answer").alias("input"),
-        F.col("answer").alias("output"),
-        F.col("question").alias("prediction"),
+        answer.alias("input"),
+        answer.alias("output"),
+        question.alias("prediction"),
     )
-    return scoring.score_examples(rows)
+
+
+def _scored(spark, sf_dir):
+    return scoring.score_examples(answered_turns(spark, sf_dir))
 
 
 @b.query("metrics_by_task_dispatch", f"WITH RECURSIVE {_DISPATCH_SQL} SELECT * FROM long")

@@ -7,6 +7,7 @@ from filingloom.operators.ranking import ordered_index
 from filingloom.plans.catalog import base as b
 from filingloom.sources import filings as fl
 from filingloom.sources import jsonl
+from filingloom.sources.seen import SeenIds
 from filingloom.session import load, scratch_dir
 
 _LINES_SQL = """lines AS (
@@ -57,6 +58,66 @@ def jsonl_read_modes(spark, sf_dir):
     )
 
 
+_EVENT_FILES_SQL = """parts AS (SELECT 16 + count(*) // 100000 AS n FROM events),
+stored AS (SELECT event_id, event_type, props, event_id % n AS part, row_number() OVER (PARTITION BY event_id % n ORDER BY event_id) AS line_no FROM events, parts)"""
+
+
+def _event_files(spark, sf_dir, broken: bool):
+    """Events as JSON Lines in many files, one folder each; errors, views and signups are no records."""
+    e = load(spark, sf_dir, "events")
+    parts = 16 + e.count() // 100_000
+    kind = F.col("event_type")
+    record = F.concat(
+        F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "event_type": "'), kind,
+        F.lit('", "props": '), F.col("props"), F.lit("}"),
+    )
+    line = F.when(kind == "signup", "  ")
+    if broken:
+        line = line.when(kind == "error", '{"event_id": ').when(kind == "view", "[1, 2]")
+    rows = e.select((F.col("event_id") % parts).cast("int").alias("part"), "event_id", line.otherwise(record).alias("line"))
+    path = scratch_dir(spark, "event-lines")
+    ordered = rows.repartition(min(parts, 1000), "part").sortWithinPartitions("part", "event_id")
+    ordered.select("part", "line").write.partitionBy("part").text(path)
+    return path
+
+
+_EVENT_SCHEMA = "event_id bigint, event_type string, props struct<k: bigint>"
+
+
+@b.query(
+    "jsonl_read_lenient",
+    "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type NOT IN ('error', 'view', 'signup')",
+)
+def jsonl_read_lenient(spark, sf_dir):
+    """Records of files in which some lines are blank, broken or no objects."""
+    rows = jsonl.read_objects(spark, _event_files(spark, sf_dir, broken=True), _EVENT_SCHEMA)
+    return rows.select("event_id", "event_type", "props.k")
+
+
+@b.query(
+    "jsonl_read_strict",
+    "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'signup'",
+)
+def jsonl_read_strict(spark, sf_dir):
+    """Records of files without a bad line; blank lines are none."""
+    rows = jsonl.read_strict(spark, _event_files(spark, sf_dir, broken=False), _EVENT_SCHEMA)
+    return rows.select("event_id", "event_type", "props.k")
+
+
+@b.query(
+    "jsonl_read_audit",
+    f"""WITH {_EVENT_FILES_SQL} SELECT part, line_no, CASE event_type WHEN 'error' THEN 'bad' WHEN 'view' THEN 'other' ELSE 'object' END AS kind,
+  length(CASE event_type WHEN 'error' THEN '{{"event_id": ' WHEN 'view' THEN '[1, 2]'
+    ELSE '{{"event_id": ' || event_id || ', "event_type": "' || event_type || '", "props": ' || props || '}}' END) AS chars
+FROM stored WHERE event_type <> 'signup'""",
+)
+def jsonl_read_audit(spark, sf_dir):
+    """Every line that is not blank with its file, its number in the whole file, and its kind."""
+    rows = jsonl.read_audit(spark, _event_files(spark, sf_dir, broken=True))
+    part = F.regexp_extract("file", r"part=(\d+)/", 1).cast("bigint")
+    return rows.select(part.alias("part"), "line_no", "kind", F.length("line").alias("chars"))
+
+
 @b.query(
     "json_object_read",
     """WITH j AS (SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN '[1, 2]' WHEN 'signup' THEN '{"k": ' ELSE props END AS t FROM events)
@@ -276,6 +337,27 @@ def not_yet_stored(spark, sf_dir):
     return fl.not_yet_stored(b.filings(spark, sf_dir), stored, "o_orderkey")
 
 
+_BATCHES = 4
+_ARRIVALS_SQL = f"""arrivals AS (SELECT o_orderkey, batch FROM orders, range({_BATCHES}) t(batch) WHERE o_orderkey % {_BATCHES} = batch OR o_orderkey % 7 = batch)"""
+
+
+@b.query(
+    "not_yet_stored_batches",
+    f"""WITH {_ARRIVALS_SQL}, seen AS (SELECT o_orderkey, min(batch) AS first_batch FROM arrivals GROUP BY o_orderkey)
+SELECT o_orderkey, first_batch FROM seen""",
+)
+def not_yet_stored_batches(spark, sf_dir):
+    """Filings that arrive in batches, some again: each is kept with the batch it is new in."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    store = SeenIds(spark, scratch_dir(spark, "seen"), expected=max(1, orders.count()))
+    kept = None
+    for batch in range(_BATCHES):
+        here = orders.where((F.col("o_orderkey") % _BATCHES == batch) | (F.col("o_orderkey") % 7 == batch))
+        fresh = store.add(here, "o_orderkey").withColumn("first_batch", F.lit(batch).cast("long"))
+        kept = fresh if kept is None else kept.unionByName(fresh)
+    return kept
+
+
 @b.query(
     "ticker_list",
     """SELECT c_custkey, 'C' || CAST(c_custkey AS VARCHAR) || ',' || upper(c_mktsegment) || ',' || upper(c_name) AS tickers FROM customer""",
@@ -323,6 +405,60 @@ def manifest_missing_files(spark, sf_dir):
     return fl.missing_files(*_manifest_and_files(spark, sf_dir))
 
 
+_PAGE_FILES_SQL = """listed AS (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'page=' || CAST(page_id AS VARCHAR) END AS raw_path FROM pages),
+stored AS (SELECT 'page=' || CAST(page_id AS VARCHAR) AS raw_path, html || chr(10) AS content FROM pages WHERE page_id % 7 <> 0)"""
+
+
+def _page_files(spark, sf_dir):
+    """Pages as files, one folder each, of which every seventh was never fetched; and their manifest."""
+    pages = load(spark, sf_dir, "pages")
+    folder = scratch_dir(spark, "pages")
+    fetched = pages.where("page_id % 7 <> 0").select(F.col("page_id").alias("page"), "html")
+    fetched.write.partitionBy("page").text(folder)
+    path = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("page="), F.col("page_id").cast("string")))
+    return folder, pages.select("page_id", path.alias("raw_path"))
+
+
+def _page_path(folder):
+    """The manifest names a file by its folder."""
+    return F.substring_index(fl.below(F.col("raw_path"), folder), "/", 1)
+
+
+@b.query(
+    "whole_file_read",
+    f"WITH {_PAGE_FILES_SQL} SELECT page_id, raw_path, octet_length(encode(content))::BIGINT AS size, sha256(content) AS content_sha256 FROM listed JOIN stored USING (raw_path)",
+)
+def whole_file_read(spark, sf_dir):
+    """Manifest rows with their files, read whole."""
+    folder, manifest = _page_files(spark, sf_dir)
+    files = fl.read_whole_files(spark, folder).withColumn("raw_path", _page_path(folder))
+    return fl.attach_files(manifest, files).select("page_id", "raw_path", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
+@b.query(
+    "whole_file_limit",
+    f"""WITH {_PAGE_FILES_SQL}, big AS (SELECT raw_path, octet_length(encode(content))::BIGINT AS size, content FROM stored)
+SELECT page_id, size, size > 4000 AS skipped, sha256(CASE WHEN size > 4000 THEN '' ELSE content END) AS content_sha256 FROM listed JOIN big USING (raw_path)""",
+)
+def whole_file_limit(spark, sf_dir):
+    """As ``whole_file_read``, but files of more than 4,000 bytes are not opened."""
+    folder, manifest = _page_files(spark, sf_dir)
+    files = fl.read_whole_files(spark, folder, max_bytes=4000).withColumn("raw_path", _page_path(folder))
+    return fl.attach_files(manifest, files).select(
+        "page_id", "size", F.col("content").isNull().alias("skipped"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_sha256")
+    )
+
+
+@b.query(
+    "whole_file_missing",
+    f"WITH {_PAGE_FILES_SQL} SELECT page_id, raw_path FROM listed WHERE raw_path NOT IN (SELECT raw_path FROM stored)",
+)
+def whole_file_missing(spark, sf_dir):
+    """Manifest rows without a file, from the listing alone."""
+    folder, manifest = _page_files(spark, sf_dir)
+    return fl.missing_files(manifest, fl.list_files(spark, folder).withColumn("raw_path", _page_path(folder)))
+
+
 @b.query(
     "path_identifiers",
     r"""WITH p AS (SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '' AND x <> '.') AS p FROM pages)

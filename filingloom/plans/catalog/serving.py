@@ -49,6 +49,15 @@ def latency_percentiles_client(spark, sf_dir):
     return rq.latency_percentiles(_requests(spark, sf_dir), ["client"])
 
 
+@b.query("latency_percentiles_merged", f"WITH {_REQ_SQL}, {_percentile_sql('endpoint')} SELECT * FROM percentiles")
+def latency_percentiles_merged(spark, sf_dir):
+    """Exact percentiles from the counts of single days, without the log."""
+    path = scratch_dir(spark, "latency-days")
+    days = _requests(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    rq.latency_counts(days, ["day", "endpoint"]).write.partitionBy("day").parquet(path)
+    return rq.percentiles_of_counts(spark.read.parquet(path).drop("day"), ["endpoint"])
+
+
 def _summary_sql(key: str) -> str:
     return f"""summary AS (
   SELECT {key}, count(*) AS num_requests, count(*) FILTER (ok) AS successful_requests, count(*) FILTER (NOT ok) AS failed_requests,

@@ -188,13 +188,38 @@ def not_yet_stored(rows: DataFrame, stored: DataFrame, key: str = "accession_num
     return rows.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file as one row (raw_path, content); undecodable bytes are dropped."""
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a folder: raw_path, size and modification time. No content is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(
-        F.col("path").alias("raw_path"),
-        F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("content"),
+    return raw.select(F.col("path").alias("raw_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def read_whole_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Every file as one row (raw_path, size, content); undecodable bytes are dropped.
+
+    Files are dealt to tasks by their size in bytes. With ``max_bytes`` larger files are not
+    opened: they keep their row, with a null content.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if max_bytes is None:
+        read = raw
+    else:
+        # the source skips the content of files that its length filter leaves out
+        read = raw.where(F.col("length") <= max_bytes)
+    decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    out = read.select(F.col("path").alias("raw_path"), F.col("length").alias("size"), decoded.alias("content"))
+    if max_bytes is None:
+        return out
+    skipped = raw.where(F.col("length") > max_bytes).select(
+        F.col("path").alias("raw_path"), F.col("length").alias("size"), F.lit(None).cast("string").alias("content")
     )
+    return out.unionByName(skipped)
+
+
+def below(path: Column, folder: str) -> Column:
+    """A file's path from a folder's on, whatever the store is called in front of it."""
+    tail = folder.rstrip("/").split("://", 1)[-1]
+    return F.substring_index(path, tail + "/", -1)
 
 
 def attach_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

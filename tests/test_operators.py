@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingloom import constants as C
+from filingloom.functions import banks, models
 from filingloom.functions import labels as lb
 from filingloom.functions import scores as sc
 from filingloom.functions import text as tx
-from filingloom.operators import audit, chunks, examples, ranking, sections, splits
+from filingloom.operators import audit, chunks, examples, ranking, safety, sections, splits
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -65,40 +66,69 @@ def test_chunk_parameters_are_checked(bad):
 # ---- sections --------------------------------------------------------------
 
 
-def plain_sections(text):
-    import re
+def spelled(rng, item):
+    """A heading of an item in one of the ways it is written."""
+    number, letter = item.rstrip("ab"), item[len(item.rstrip("ab")) :]
+    mark = rng.choice(["Item", "ITEM", "item"]) + rng.choice([" ", "  ", "\n"]) + number
+    return mark + (rng.choice(["", " "]) + rng.choice([letter, letter.upper()]) if letter else "") + rng.choice([".", ":", " -"])
 
-    marks = [
-        ((m.group(1) + (m.group(2) or "")).lower(), m.start())
-        for m in re.finditer(r"\bitem\s+(\d{1,2})\s*([a-z])?\b", text, re.IGNORECASE)
-    ]
-    out = {}
-    for name, item in C.SECTION_ITEMS.items():
-        bodies = []
-        for i, (found, at) in enumerate(marks):
-            if found == item:
-                later = [p for f, p in marks[i + 1 :] if f != item]
-                bodies.append(text[at : later[0] if later else len(text)].strip())
-        best = max(bodies, key=len, default="")
-        if best:
-            out[name] = best
-    return out, marks
-
-
-def test_sections_equal_plain_statement_on_random_texts(spark):
+
+def filing(rng):
+    """A text put together from headed parts: its headings in order, and the body that each section must be.
+
+    Every item is listed once, with a title; some have a long part of their own, which may
+    go on behind a repeated heading. Neighbouring parts differ in their item otherwise.
+    """
+    names = {item: name for name, item in C.SECTION_ITEMS.items()}
+    text, headings, bodies, n = rng.choice(["", "Cover page. ", "itemized 7 things "]), [], {}, 0
+
+    def part(item, words):
+        nonlocal text
+        headings.append((item, len(text)))
+        text += f"{spelled(rng, item)} {words}"
+
+    def filler(count):
+        nonlocal n
+        n += count
+        return " ".join(rng.choice([f"word{k}", f"items{k}", f"items {k},"]) for k in range(n - count, n)) + rng.choice([" ", "\n", ".\n"])
+
+    for item in [*names, "12b", "3"]:
+        begin = len(text)
+        part(item, filler(3))
+        bodies[item] = text[begin:].strip()
+    for item in rng.sample([*names], rng.randint(0, 5)):
+        part("9", filler(2))
+        begin = len(text)
+        part(item, filler(rng.randint(30, 60)))
+        if rng.random() < 0.4:
+            part(item, filler(rng.randint(1, 20)))
+        bodies[item] = text[begin:].strip()
+    return text, headings, {names[item]: body for item, body in bodies.items() if item in names}
+
+
+def test_sections_of_texts_put_together_from_known_parts(spark):
     rng = random.Random(3)
-    pieces = ["Item 1", "ITEM 1A.", "item 7 a ", "Item 7", "Item 8:", "Item 12b", "itemized 7", "Item 1 about", "text body\n", "more ", "\n"]
-    texts = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 25)))) for i in range(200)]
-    df = spark.createDataFrame(texts, "id int, text string")
+    built = {i: filing(rng) for i in range(150)}
+    df = spark.createDataFrame([(i, text) for i, (text, _, _) in built.items()], "id int, text string")
     got, anchors = {}, {}
     for r in sections.section_spans(df, ["id"], "text").collect():
         got.setdefault(r.id, {})[r.section] = r.text
     for r in sections.heading_anchors(df, ["id"], "text").collect():
         anchors.setdefault(r.id, []).append((r.pos, r.item_id, r.offset))
-    for i, text in texts:
-        want, marks = plain_sections(text)
-        assert got.get(i, {}) == want, text
-        assert sorted(anchors.get(i, [])) == [(n, m, p) for n, (m, p) in enumerate(marks)], text
+    for i, (text, headings, bodies) in built.items():
+        assert got[i] == bodies, text
+        assert sorted(anchors[i]) == [(n, item, at) for n, (item, at) in enumerate(headings)], text
+
+
+def test_texts_without_headings_have_no_sections(spark):
+    df = spark.createDataFrame([(1, "itemized 7 things"), (2, ""), (3, None), (4, "Item one")], "id int, text string")
+    assert sections.section_spans(df, ["id"], "text").isEmpty()
+    assert sections.heading_anchors(df, ["id"], "text").isEmpty()
+
+
+def test_of_equally_long_bodies_the_first_counts(spark):
+    df = spark.createDataFrame([("Item 7. aaaa Item 9. x Item 7. bbbb",)], "text string")
+    assert sections.section_spans(df, [], "text").first().text == "Item 7. aaaa"
 
 
 # ---- examples --------------------------------------------------------------
@@ -474,3 +504,111 @@ def test_loss_history_keeps_last_seen(spark):
     got = {r.run: r for r in audit.loss_history(logs).collect()}
     assert (got["r"].final_train_loss, got["r"].final_eval_loss, got["r"].has_bad_loss) == (1.0, 1.5, False)
     assert got["s"].has_bad_loss and got["s"].first_bad_step == 1
+
+
+# ---- buckets, banks, models, markers ----------------------------------------
+
+
+def test_ordered_buckets_give_exact_ranks(spark):
+    rng = random.Random(4)
+    rows = [(f"k{rng.randrange(4000):05d}",) for _ in range(3000)] + [(None,)]
+    keys = spark.createDataFrame(rows, "k string").distinct()
+    marked = ranking.with_ordered_buckets(keys, [F.col("k").desc()], "b", 7)
+    assert marked.select("b").distinct().count() > 4
+    ranked = ranking.ordered_index(marked, [], [F.col("k").desc()], F.col("b"))
+    got = [r["k"] for r in ranked.orderBy("rn").collect()]
+    assert got == [*sorted({k for (k,) in rows if k}, reverse=True), None]
+
+
+def test_time_split_by_a_key_with_many_values(spark):
+    rows = [(i, f"2020-{i:06d}") for i in range(1000)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "id int, moment string")
+    got = {r["id"]: r["split"] for r in splits.split_examples(df, F.col("moment"), "time_holdout").collect()}
+    assert [got[i] for i in (999, 950, 949, 850, 849, 0)] == ["test", "test", "validation", "validation", "train", "train"]
+    # no window of the plan takes all keys into one task
+    plan = splits.assign_groups(df, "moment", "time_holdout")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan or "Scan parquet" in plan
+
+
+@pytest.mark.parametrize("any_case", [True, False])
+def test_bank_hits_equal_single_searches(spark, any_case):
+    rng = random.Random(6)
+    terms = sorted({"".join(rng.choice("abcÉ ") for _ in range(rng.randint(1, 4))) for _ in range(80)} | {"", "zz"})
+    texts = [(i, "".join(rng.choice("abcABCéÉ ") for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r["id"]: r for r in banks.bank_hits(df, ["id"], "text", terms, any_case).collect()}
+    for i, text in texts:
+        body = (text or "").lower() if any_case else text or ""
+        bank = {t.lower() if any_case else t for t in terms if t}
+        found = sorted(t for t in bank if t in body)
+        assert (i in got) == bool(found)
+        if found:
+            assert got[i]["terms"] == found
+            assert got[i]["first_position"] == min(body.index(t) for t in found) + 1
+            assert got[i]["n_hits"] == sum(body.startswith(t, k) for t in found for k in range(len(body)))
+
+
+def test_banks_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("",)], "t string")
+    assert banks.bank_of(df, "t") == ["a", "b"]
+    assert banks.bank_hits(df, [], "t", []).isEmpty()
+    monkeypatch.setattr(banks, "MAX_TERMS", 1)
+    with pytest.raises(ValueError):
+        banks.bank_of(df, "t")
+    with pytest.raises(ValueError):
+        banks.bank_hits(df, [], "t", ["a", "b"])
+
+
+class Counted:
+    """A model that tells how it was called."""
+
+    def __init__(self):
+        self.sizes = []
+
+    def __call__(self, premises, hypotheses):
+        self.sizes.append(sum(map(len, premises)) + sum(map(len, hypotheses)))
+        return [float(len(h)) for h in hypotheses]
+
+
+def test_models_see_bounded_slices_and_no_nulls():
+    import pandas as pd
+
+    model = Counted()
+    premises = pd.Series(["p" * 30] * 10 + [None, "p"])
+    hypotheses = pd.Series(["h" * k for k in range(10)] + ["h", None])
+    got = models.score_pairs(model, premises, hypotheses, most=100)
+    assert got[:10].tolist() == list(range(10)) and got[10:].tolist() != got[10:].tolist()
+    assert len(model.sizes) == 3 and max(model.sizes) < 100 + 40
+    assert models.score_pairs(model, pd.Series([None]), pd.Series(["x"]))[0] != 0
+
+
+def test_a_model_file_reaches_the_workers(spark, tmp_path):
+    path = tmp_path / "pair.json"
+    path.write_text('{"bias": 0.25, "length": 0.0, "digits": 1.0, "quoted": 0.5}')
+    df = spark.createDataFrame([(1, "it rose 5", "rose"), (2, "x", "5a"), (3, "x", " "), (4, None, "b")], "id int, source string, said string")
+    score = sc.scored_faithfulness(F.col("said"), F.col("source"), models.model_scorer(spark, str(path)))
+    got = {r["id"]: r["s"] for r in df.repartition(2).select("id", score.alias("s")).collect()}
+    assert (got[1], got[2], got[3]) == (0.75, 0.75, 1.0)
+
+
+def test_marker_rules(spark):
+    rules = [
+        safety.MarkerRule("either", texts=("Not Advice",), patterns=(r"(?m)^##? limits\b",)),
+        safety.MarkerRule("loud", patterns=(r"\b[A-Z]{4,}\b",), any_case=False, required=False),
+        safety.MarkerRule("flag", texts=("sample",), only_if="flagged"),
+    ]
+    rows = [
+        (1, "this is NOT advice", False, []),
+        (2, "x\n## Limits of it", True, ["flag"]),
+        (3, "limits", None, ["either"]),
+        (4, "not advice LOUD sample", True, ["loud"]),
+        (5, None, True, ["either", "flag"]),
+        (6, "  ", False, ["either"]),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, text string, flagged boolean")
+    got = {r["id"]: (r["broken_rules"], r["passed"]) for r in safety.marker_rules_audit(df, "text", rules).collect()}
+    assert got == {i: (broken, not broken) for i, _, _, broken in rows}
+    assert safety.marker_rules_audit(df, "text", []).where("passed").count() == 4
+    with pytest.raises(ValueError):
+        safety.marker_rules_audit(df, "text", [safety.MarkerRule("none")])

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from filingloom.session import CHECKPOINT_SETTING, cut_lineage, scratch_dir
 from filingloom.sources import filings as fl
 from filingloom.sources import jsonl
+from filingloom.sources.seen import SeenIds
 
 
 @pytest.fixture
@@ -149,3 +151,43 @@ def test_download_manifest_flags(spark):
     assert rows["1-22-2"].downloaded and rows["1-22-2"].raw_path == "AAA/10-K/2023/1222.html"
     assert not rows["1-22-1"].downloaded and rows["1-22-1"].raw_path == ""
     assert rows["1-22-1"].document_url.endswith("/data/1/1221/d.htm")
+
+
+def test_ten_batches_of_ids_equal_a_full_join(spark):
+    rng = random.Random(5)
+    store = SeenIds(spark, scratch_dir(spark, "seen"), expected=400)
+    seen, asked, unsure = set(), 0, 0
+    for batch in range(10):
+        ids = [f"a-{rng.randrange(700)}" for _ in range(120)] + [None, "same", "same"]
+        rows = spark.createDataFrame([(i, batch) for i in ids], "key string, b int").repartition(3)
+        answers = {r["key"]: r["seen"] for r in store.ask(rows, "key").collect()}
+        assert all(answers[i] is None for i in ids if i in seen), "the filter lost an id"
+        assert answers[None] is False
+        asked += sum(i not in seen for i in ids)
+        unsure += sum(i not in seen and answers[i] is None for i in ids)
+        assert sorted(r["key"] for r in store.repeated(rows, "key").collect()) == sorted(i for i in ids if i in seen)
+        fresh = [r["key"] for r in store.add(rows, "key").collect()]
+        assert sorted(fresh, key=str) == sorted((i for i in ids if i is None or i not in seen), key=str)
+        seen |= {i for i in ids if i is not None}
+        assert store.batches() == batch + 1
+    # few new ids are joined for nothing, though there are more than expected
+    assert unsure < asked / 10
+    again = SeenIds(spark, store.folder, expected=400)
+    assert again.batches() == 10 and again.add(rows, "key").count() == 1
+
+
+def test_a_store_needs_positive_numbers(spark):
+    with pytest.raises(ValueError):
+        SeenIds(spark, "x", expected=0)
+
+
+def test_files_over_the_limit_are_listed_but_not_opened(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "small.html").write_bytes(b"ok \xff!")
+    (tmp_path / "big.html").write_bytes(b"x" * 500)
+    listed = {r["raw_path"].rsplit("/", 1)[1]: r["size"] for r in fl.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {"small.html": 5, "big.html": 500}
+    got = {r["raw_path"].rsplit("/", 1)[1]: (r["size"], r["content"]) for r in fl.read_whole_files(spark, str(tmp_path), 100).collect()}
+    assert got == {"small.html": (5, "ok !"), "big.html": (500, None)}
+    below = {r["p"] for r in fl.list_files(spark, str(tmp_path)).select(fl.below(F.col("raw_path"), str(tmp_path)).alias("p")).collect()}
+    assert below == {"a/small.html", "big.html"}
