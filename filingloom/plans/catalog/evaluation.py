@@ -446,10 +446,11 @@ def answered_turns(spark, sf_dir):
         .otherwise("other")
     )
     # the turns about figures carry the amounts of the order of that number
-    figures = b.figures(spark, sf_dir).groupBy(F.col("l_orderkey").alias("conv_id")).agg(
-        F.min("sold").alias("sold"), F.min("billed").alias("billed")
-    )
-    told = b.pairs(spark, sf_dir).join(figures, "conv_id", "left")
+    pairs = b.pairs(spark, sf_dir)
+    asked = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("l_orderkey")).distinct()
+    figures = b.figures(spark, sf_dir).join(asked, "l_orderkey", "left_semi")
+    figures = figures.groupBy(F.col("l_orderkey").alias("conv_id")).agg(F.min("sold").alias("sold"), F.min("billed").alias("billed"))
+    told = pairs.join(figures, "conv_id", "left")
     question = F.when(turn == 2, F.concat_ws(" ", "sold", "question")).otherwise(F.col("question"))
     answer = F.when(turn == 2, F.concat_ws(" ", "billed", "answer")).otherwise(F.col("answer"))
     return told.select(
