@@ -80,27 +80,30 @@ def packed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarr
     """Sparse rows in shared cells: ``base`` of each row, ``owner`` and ``value`` of each cell.
 
     Row ``r`` has ``value[base[r] + c]`` at ``c`` where ``owner[base[r] + c]`` is ``r``, and
-    nothing elsewhere. Long rows are placed first; a row of one fills the first gap.
+    nothing elsewhere. Long rows are placed first, the search going on where the last one had
+    to look far; rows of one then fill the gaps in order.
     """
     total = sum(map(len, rows))
     size = 2 * total + 2 * width + 2
     owner, value = np.full(size, -1, np.int32), np.zeros(size, np.int32)
     base = np.zeros(len(rows), np.int32)
     free = bytearray(b"\x01") * size
-    first = width
+    begin = gap = width
     for r in sorted(range(len(rows)), key=lambda r: -len(rows[r])):
         row = rows[r]
         if not row:
             continue
         columns = sorted(row)
-        at = first
-        while True:
-            at = free.index(1, at)
-            low = at - columns[0]
-            if all(free[low + c] for c in columns):
-                break
-            at += 1
-        if low + columns[-1] + width >= len(free):
+        if len(columns) == 1:
+            at = gap = free.index(1, gap)
+        else:
+            at, tried = free.index(1, begin), 0
+            while not all(free[at - columns[0] + c] for c in columns):
+                at, tried = free.index(1, at + 1), tried + 1
+            if tried > 16:
+                begin = at
+        low = at - columns[0]
+        if low + columns[-1] + 2 * width >= len(free):
             grown = len(free)
             free += b"\x01" * grown
             owner, value = np.append(owner, np.full(grown, -1, np.int32)), np.append(value, np.zeros(grown, np.int32))
@@ -108,8 +111,6 @@ def packed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarr
         for c in columns:
             free[low + c] = 0
             owner[low + c], value[low + c] = r, row[c]
-        if len(columns) == 1:
-            first = at
     used = int(base.max(initial=0)) + width + 1
     return base, owner[:used], value[:used]
 
