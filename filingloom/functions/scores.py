@@ -158,32 +158,29 @@ def rouge_l(prediction: Column, reference: Column, needed: Column | None = None)
 
 
 def _bare_numbers(col: Column) -> Column:
-    return F.array_distinct(
-        F.transform(
-            tx.numeric_values(col), lambda v: F.translate(F.lower(v), "$, ", "")
-        )
-    )
+    """The distinct figures of a text, lower-cased and without signs and separators.
+
+    All matches are cleaned as one text, so no expression is evaluated per element.
+    """
+    text = F.lower(tx.text_or_empty(col))
+    patterns = ((C.MONEY, False), (C.PERCENT, False), (C.MAGNITUDE, True), (C.BARE_NUMBER, False))
+    found = F.array_join(F.concat(*[tx.find_all(text, p, any_case) for p, any_case in patterns]), "|")
+    return F.array_remove(F.array_distinct(F.split(F.translate(found, "$, ", ""), r"\|")), "")
 
 
 def numeric_match(prediction: Column, reference: Column) -> Column:
     """Exact match, precision and recall of the two sets of figures."""
-
-    def score(t: Column) -> Column:
-        n_pred, n_ref = F.size(t["p"]), F.size(t["r"])
-        common = F.size(F.array_intersect(t["p"], t["r"]))
-        return F.struct(
-            ((common == n_pred) & (common == n_ref)).cast("double").alias("numeric_exact_match"),
-            F.when(n_pred > 0, common / F.greatest(n_pred, F.lit(1)))
-            .when(n_ref == 0, 1.0)
-            .otherwise(0.0)
-            .alias("numeric_precision"),
-            F.when(n_ref > 0, common / F.greatest(n_ref, F.lit(1)))
-            .otherwise(1.0)
-            .alias("numeric_recall"),
-        )
-
-    return tx.let(
-        F.struct(_bare_numbers(prediction).alias("p"), _bare_numbers(reference).alias("r")), score
+    p, r = _bare_numbers(prediction), _bare_numbers(reference)
+    n_pred, n_ref, common = F.size(p), F.size(r), F.size(F.array_intersect(p, r))
+    return F.struct(
+        ((common == n_pred) & (common == n_ref)).cast("double").alias("numeric_exact_match"),
+        F.when(n_pred > 0, common / F.greatest(n_pred, F.lit(1)))
+        .when(n_ref == 0, 1.0)
+        .otherwise(0.0)
+        .alias("numeric_precision"),
+        F.when(n_ref > 0, common / F.greatest(n_ref, F.lit(1)))
+        .otherwise(1.0)
+        .alias("numeric_recall"),
     )
 
 
