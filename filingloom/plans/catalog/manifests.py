@@ -410,18 +410,18 @@ stored AS (SELECT 'page=' || CAST(page_id AS VARCHAR) AS raw_path, html || chr(1
 
 
 def _page_files(spark, sf_dir):
-    """Pages as files, one folder each, of which every seventh was never fetched; and their manifest."""
+    """Pages as files, of which every seventh was never fetched; and their manifest."""
     pages = load(spark, sf_dir, "pages")
     folder = scratch_dir(spark, "pages")
-    fetched = pages.where("page_id % 7 <> 0").select(F.col("page_id").alias("page"), "html")
-    fetched.write.partitionBy("page").text(folder)
-    path = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("page="), F.col("page_id").cast("string")))
+    name = F.concat(F.lit("page="), F.col("page_id").cast("string"))
+    fl.write_files(pages.where("page_id % 7 <> 0").select(name.alias("name"), "html"), folder, "name", "html")
+    path = F.when(F.col("page_id") % 5 == 0, "").otherwise(name)
     return folder, pages.select("page_id", path.alias("raw_path"))
 
 
 def _page_path(folder):
-    """The manifest names a file by its folder."""
-    return F.substring_index(fl.below(F.col("raw_path"), folder), "/", 1)
+    """The manifest names a file without the folder of the task that wrote it."""
+    return F.substring_index(fl.below(F.col("raw_path"), folder), "/", -1)
 
 
 @b.query(

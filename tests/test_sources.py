@@ -191,3 +191,27 @@ def test_files_over_the_limit_are_listed_but_not_opened(spark, tmp_path):
     assert got == {"small.html": (5, "ok !"), "big.html": (500, None)}
     below = {r["p"] for r in fl.list_files(spark, str(tmp_path)).select(fl.below(F.col("raw_path"), str(tmp_path)).alias("p")).collect()}
     assert below == {"a/small.html", "big.html"}
+
+
+def test_files_are_written_by_tasks_and_read_back_whole(spark, tmp_path):
+    folder = f"file://{tmp_path}/written"
+    rows = spark.createDataFrame([("a=1", "one"), ("b", None), ("a=1", "two\n"), ("c", "d\u00e9j\u00e0")], "name string, body string").coalesce(1)
+    assert fl.write_files(rows, folder, "name", "body") == 3
+    got = {r["raw_path"].rsplit("/", 1)[1]: (r["size"], r["content"]) for r in fl.read_whole_files(spark, folder).collect()}
+    assert got == {"a=1": (9, "one\ntwo\n\n"), "b": (1, "\n"), "c": (7, "d\u00e9j\u00e0\n")}
+    assert fl.write_files(rows.where("false"), f"{folder}-none", "name", "body") == 0
+    assert fl.list_files(spark, f"{folder}-none").count() == 0
+
+
+def test_pages_as_files_need_no_folder_each(spark, tmp_path):
+    from filingloom.plans.catalog import manifests
+
+    html = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("html"))
+    html.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    folder, manifest = manifests._page_files(spark, str(tmp_path))
+    files = fl.list_files(spark, folder)
+    # a folder per task that wrote, not per page
+    assert files.select(F.regexp_extract("raw_path", "(.*)/", 1)).distinct().count() <= 3
+    found = files.withColumn("raw_path", manifests._page_path(folder))
+    assert {r["raw_path"] for r in found.collect()} == {f"page={i}" for i in range(400) if i % 7}
+    assert {r["page_id"] for r in fl.missing_files(manifest, found).collect()} == {i for i in range(400) if i % 5 == 0 or i % 7 == 0}
