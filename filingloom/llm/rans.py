@@ -17,6 +17,8 @@ SCALE_BITS = 16
 LANES = 256
 STEPS = 256
 CHECKPOINT = 128
+#: ids below are counted and looked up in plain arrays of that length, others by search
+DENSE = 1 << 20
 LOW = np.uint64(1 << 31)
 _SHIFT = np.uint64(SCALE_BITS)
 _MASK = np.uint64((1 << SCALE_BITS) - 1)
@@ -32,10 +34,16 @@ class Table:
         self.freq = self.shares.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.shares)[:-1]]).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(symbols)), self.shares)
+        self.dense: np.ndarray | None = None
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        if len(ids) and int(ids.max()) < DENSE:
+            counts = np.bincount(ids)
+            symbols = np.flatnonzero(counts)
+            counts = counts[symbols]
+        else:
+            symbols, counts = np.unique(ids, return_counts=True)
         if len(symbols) > 1 << SCALE_BITS:
             raise ValueError("more symbols than the table has slots")
         spare = (1 << SCALE_BITS) - len(symbols)
@@ -46,6 +54,15 @@ class Table:
         shares[np.argsort(exact - np.floor(exact), kind="stable")[::-1][:left]] += 1
         return cls(symbols, shares)
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id, all of which the table holds."""
+        if not len(self.symbols) or int(self.symbols[-1]) >= DENSE:
+            return np.searchsorted(self.symbols, ids)
+        if self.dense is None:
+            self.dense = np.zeros(int(self.symbols[-1]) + 1, np.int32)
+            self.dense[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
+        return self.dense[ids]
+
 
 @dataclass
 class Block:
@@ -70,7 +87,7 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, steps: int = STEPS
     """The blocks of ``ids``; all but the last are full."""
     size = lanes * steps
     count = -(-len(ids) // size)
-    index = np.searchsorted(table.symbols, ids)
+    index = table.places(ids)
     padded = np.zeros(count * size, np.int64)
     padded[: len(ids)] = index
     grid = padded.reshape(count, steps, lanes).transpose(1, 0, 2)

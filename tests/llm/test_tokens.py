@@ -186,3 +186,13 @@ def test_a_second_attempt_leaves_one_complete_file(tmp_path):
         token_files._place(store, partial, final, len(data))
         assert store.open_input_stream(final).read() == data
         assert [f.base_name for f in store.get_file_info(token_files.fs.FileSelector(str(tmp_path)))] == ["part.tok"]
+
+
+def test_tables_of_small_and_of_large_ids_agree(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 900, 5000).astype("<u4")
+    dense = rans.Table.of(ids)
+    places = dense.places(ids)
+    monkeypatch.setattr(rans, "DENSE", 0)
+    searched = rans.Table.of(ids)
+    assert (dense.symbols == searched.symbols).all() and (dense.shares == searched.shares).all()
+    assert (places == searched.places(ids)).all()
