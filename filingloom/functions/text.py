@@ -19,6 +19,8 @@ SPACE_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" + "".join(map(chr, _WIDE_SPACES)
 _CLASS = r"\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = rf"[\s{_CLASS}]"
 INLINE_WS = rf"[ \t\r\x0b\f{_CLASS}]"
+# inline white space that is not a single plain space already
+RAGGED_WS = rf" {INLINE_WS}+|[\t\r\x0b\f{_CLASS}]{INLINE_WS}*"
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -78,7 +80,7 @@ def is_blank(col: Column) -> Column:
 
 def normalize_whitespace(col: Column) -> Column:
     """Single inline spaces, trimmed lines, no blank lines."""
-    collapsed = F.regexp_replace(text_or_empty(col), f"{INLINE_WS}+", " ")
+    collapsed = F.regexp_replace(text_or_empty(col), RAGGED_WS, " ")
     lines = F.transform(F.split(collapsed, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
@@ -92,9 +94,11 @@ def trim_lines(col: Column) -> Column:
 def sentences(col: Column, min_words: int = 3) -> Column:
     """Sentences (split after ``.``, ``!`` or ``?``) of at least ``min_words`` words."""
     parts = F.transform(F.split(text_or_empty(col), rf"(?<=[.!?]){WS}+"), strip)
-    return F.filter(
-        parts, lambda s: (s != "") & (F.size(F.split(s, f"{WS}+")) >= F.lit(min_words))
-    )
+    if min_words <= 1:
+        return F.filter(parts, lambda s: s != "")
+    # a stripped sentence has one word more than gaps; the search ends at the last gap asked for
+    gaps = rf"(?:{WS}++[^\s{_CLASS}]++){{{min_words - 1}}}"
+    return F.filter(parts, lambda s: F.regexp_like(s, F.lit(gaps)))
 
 
 def join_first(items: Column, k: int, sep: str = " ") -> Column:

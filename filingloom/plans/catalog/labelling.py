@@ -8,7 +8,7 @@ from filingloom.functions import text as tx
 from filingloom.operators import chunks, examples
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.extraction import chunk_sql
-from filingloom.session import load
+from filingloom.session import load, spread
 
 # banks that occur in the driver's invented prose
 BANKS = {
@@ -142,7 +142,7 @@ examples AS (
 
 
 def built_examples(spark, sf_dir, **banks):
-    return examples.build_examples(b.docs(spark, sf_dir), keys=["doc_id"], **banks)
+    return examples.build_examples(spread(b.docs(spark, sf_dir)), keys=["doc_id"], **banks)
 
 
 _FLAT = ("doc_id", "chunk_id", "task_pos", "id", "instruction", "input", "output", "task_type", "source")

@@ -69,6 +69,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, for heavy work per row on tables of few row groups.
+
+    A file is read by no more tasks than it has row groups, however long each row takes.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts)
+
+
 _local_roots: dict[str, str] = {}
 
 
