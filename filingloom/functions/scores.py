@@ -124,8 +124,9 @@ def _lcs(a: list[str], b: list[str]) -> int:
     full = (1 << len(a)) - 1
     open_bits = full
     for token in b:
-        hit = open_bits & where.get(token, 0)
-        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
+        if token in where:
+            hit = open_bits & where[token]
+            open_bits = ((open_bits + hit) | (open_bits ^ hit)) & full
     return len(a) - open_bits.bit_count()
 
 

@@ -13,7 +13,7 @@ from filingloom.functions import text as tx
 from filingloom.operators import scoring
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
-from filingloom.session import load, scratch_dir
+from filingloom.session import load, scratch_dir, spread
 
 _NL = "chr(10)"
 _USER = (
@@ -248,7 +248,7 @@ def rouge_l_subsequence(spark, sf_dir):
     """Each whole document against every second of its tokens, all of which are common to both."""
     tokens = sc.answer_tokens(F.col("text"))
     half = F.array_join(F.filter(tokens, lambda t, i: i % 2 == 0), " ")
-    return b.documents(spark, sf_dir).select("doc_id", sc.rouge_l(half, F.col("text")).alias("rouge_l"))
+    return spread(b.documents(spark, sf_dir)).select("doc_id", sc.rouge_l(half, F.col("text")).alias("rouge_l"))
 
 
 def _sql_numbers(t: str) -> str:

@@ -158,3 +158,20 @@ def test_json_text_round_trip(one):
 @pytest.mark.parametrize("form", [ht.html_to_text, ht.html_to_text_parsed])
 def test_numeric_references_with_leading_zeros(one, form):
     assert one(form, "&#00000065;&#x00000042; &#x1F600;") == "AB \U0001f600"
+
+
+def test_sentences_need_their_words_whatever_stands_between(one):
+    text = "One.  Two words. Now three\t words! A b  c d. 　 . x y?"
+    assert [len(one(lambda c, k=k: tx.sentences(c, k), text)) for k in (0, 1, 2, 3, 4, 5)] == [6, 6, 4, 2, 1, 0]
+    assert one(tx.normalize_whitespace, " a \t b c  d e \t\n\n \t \nf  ") == "a b c d e\nf"
+
+
+@pytest.mark.parametrize("name", ["rouge_l_subsequence", "extractive_baseline_answer"])
+def test_heavy_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path, name):
+    from filingloom.plans import catalog
+
+    text = F.concat(F.lit("Sales grew again by 5%. Costs of unit "), F.col("id").cast("string"), F.lit(" fell."))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
