@@ -17,7 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.functions.text import INLINE_WS, LINE_BREAK, let, strip, text_or_empty
+from filingloom.functions.text import LINE_BREAK, RAGGED_WS, let, strip, text_or_empty
 from filingloom.session import ship_package
 
 
@@ -56,7 +56,7 @@ def decode_entities(col: Column) -> Column:
 def tidy_lines(col: Column) -> Column:
     """One trimmed line per text block, inline whitespace collapsed, no blank lines."""
     lines = F.transform(
-        F.split(col, LINE_BREAK), lambda x: strip(F.regexp_replace(x, f"{INLINE_WS}+", " "))
+        F.split(col, LINE_BREAK), lambda x: strip(F.regexp_replace(x, RAGGED_WS, " "))
     )
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
