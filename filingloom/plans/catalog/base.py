@@ -174,7 +174,11 @@ FIGURES_SQL = """figures AS (
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sentences with amounts per line item."""
-    li = load(spark, sf_dir, "lineitem")
+    return figures_of(load(spark, sf_dir, "lineitem"))
+
+
+def figures_of(li: DataFrame) -> DataFrame:
+    """The two sentences of the line items given."""
 
     def txt(c: Column, kind: str) -> Column:
         return c.cast(kind).cast("string")

@@ -14,6 +14,7 @@ from filingloom.operators import scoring
 from filingloom.plans.catalog import base as b
 from filingloom.plans.catalog.labelling import BANKS, built_examples, examples_sql
 from filingloom.session import load, scratch_dir, spread
+from filingloom.sources.seen import keep_asked
 
 _NL = "chr(10)"
 _USER = (
@@ -446,11 +447,12 @@ def answered_turns(spark, sf_dir):
         .otherwise("other")
     )
     # the turns about figures carry the amounts of the order of that number
-    pairs = b.pairs(spark, sf_dir)
-    asked = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("l_orderkey")).distinct()
-    figures = b.figures(spark, sf_dir).join(asked, "l_orderkey", "left_semi")
-    figures = figures.groupBy(F.col("l_orderkey").alias("conv_id")).agg(F.min("sold").alias("sold"), F.min("billed").alias("billed"))
-    told = pairs.join(figures, "conv_id", "left")
+    asked = load(spark, sf_dir, "conversations").where("role = 'assistant' AND turn = 2")
+    items = keep_asked(load(spark, sf_dir, "lineitem"), "l_orderkey", asked, "conv_id")
+    sentences = b.figures_of(items).groupBy(F.col("l_orderkey").alias("conv_id"))
+    # the turn is a value of the group: with it the pairs are joined where they lie
+    figures = sentences.agg(F.min("sold").alias("sold"), F.min("billed").alias("billed"), F.max(F.lit(2).cast("long")).alias("turn"))
+    told = b.pairs(spark, sf_dir).join(figures, ["conv_id", "turn"], "left")
     question = F.when(turn == 2, F.concat_ws(" ", "sold", "question")).otherwise(F.col("question"))
     answer = F.when(turn == 2, F.concat_ws(" ", "billed", "answer")).otherwise(F.col("answer"))
     return told.select(

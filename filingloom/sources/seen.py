@@ -12,6 +12,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 32_768
+#: words of 64 bits that a filter sent to all tasks has at most: some 3 MB
+FILTER_WORDS = 1 << 17
+
+
+def keep_asked(rows: DataFrame, key: str, asked: DataFrame, asked_key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose key is one of ``asked``, and a few others, without moving any row.
+
+    A Bloom filter of at most ``words`` words goes to the rows: an id has its four bits in
+    one word. Null keys are dropped. More ids let more other rows pass and never drop a row
+    that is asked for, so an exact join on the key has to follow.
+    """
+
+    def word(id_: Column) -> Column:
+        return F.pmod(F.xxhash64(id_), F.lit(words))
+
+    def bits(id_: Column) -> Column:
+        places = F.xxhash64(id_, F.lit(1))
+        out = F.lit(0).cast("long")
+        for shift in (0, 6, 12, 18):
+            place = F.shiftrightunsigned(places, shift).bitwiseAND(F.lit(63)).cast("int")
+            out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+        return out
+
+    ids = asked.where(F.col(asked_key).isNotNull()).select(F.col(asked_key).cast(rows.schema[key].dataType).alias("_id"))
+    known = ids.select(word(F.col("_id")).alias("_word"), bits(F.col("_id")).alias("_bits"))
+    known = known.groupBy("_word").agg(F.bit_or("_bits").alias("_known"))
+    met = rows.where(F.col(key).isNotNull()).join(F.broadcast(known), word(F.col(key)) == F.col("_word"))
+    wanted = bits(F.col(key))
+    return met.where(F.col("_known").bitwiseAND(wanted) == wanted).select(*rows.columns)
 
 
 class SeenIds:

@@ -165,3 +165,32 @@ def test_pages_to_dataset_to_comparison(spark):
     assert result.pairs.count() == test_rows.count()
     assert result.summary.first().metrics_compared == result.overall.count() > 3
     assert {r.metric for r in result.overall.collect()} >= {"token_f1", "rouge_l", "lexical_faithfulness"}
+
+
+def test_dispatch_reads_figures_of_asked_orders_only(spark, tmp_path):
+    from filingloom.plans.catalog import evaluation
+
+    roles = ["user", "assistant", "assistant", "user"]
+    talks = [(c, t, roles[t], f"text {c} {t}") for c in (3, 5) for t in range(4)] + [(7, 0, "user", "q"), (7, 1, "assistant", "r"), (3, 2, "assistant", "again")]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    number = F.col("id").cast("double")
+    items = spark.range(4000).select(
+        F.floor(F.col("id") / 2).alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
+        (F.col("id") % 2 + 1).cast("int").alias("l_linenumber"), F.lit(4.0).alias("l_quantity"), (number + 0.5).alias("l_extendedprice"),
+        F.lit(0.05).alias("l_discount"), F.lit(0.02).alias("l_tax"),
+    )
+    items.where("l_orderkey <> 5").write.parquet(f"{tmp_path}/lineitem.parquet")
+    turns = evaluation.answered_turns(spark, str(tmp_path))
+    got = sorted((r["conv_id"], r["turn"], r["output"], r["prediction"]) for r in turns.collect())
+    billed, sold = "Price $6.50 and tax 2.0 % for 4 million", "Item 1 sold for $6.50 at 5.0% off, about 4 million units or 25 basis points."
+    assert got == [
+        (3, 1, "text 3 1", "text 3 0"),
+        (3, 2, f"{billed} again", f"{sold} text 3 1"),
+        (3, 2, f"{billed} text 3 2", f"{sold} text 3 1"),
+        (5, 1, "text 5 1", "text 5 0"),
+        (5, 2, "text 5 2", "text 5 1"),
+        (7, 1, "r", "q"),
+    ]
+    # line items are filtered where they are read: none is joined by its order before
+    plan = turns._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "LeftSemi" not in plan and plan.count("BroadcastHashJoin") >= 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from filingloom.session import CHECKPOINT_SETTING, cut_lineage, scratch_dir
 from filingloom.sources import filings as fl
 from filingloom.sources import jsonl
-from filingloom.sources.seen import SeenIds
+from filingloom.sources.seen import SeenIds, keep_asked
 
 
 @pytest.fixture
@@ -215,3 +215,14 @@ def test_pages_as_files_need_no_folder_each(spark, tmp_path):
     found = files.withColumn("raw_path", manifests._page_path(folder))
     assert {r["raw_path"] for r in found.collect()} == {f"page={i}" for i in range(400) if i % 7}
     assert {r["page_id"] for r in fl.missing_files(manifest, found).collect()} == {i for i in range(400) if i % 5 == 0 or i % 7 == 0}
+
+
+def test_a_filter_keeps_all_rows_that_are_asked_for(spark):
+    rows = spark.range(100_000).select((F.col("id") * 7919 - 5).alias("key"), "id").unionByName(spark.createDataFrame([(None, -1)], "key long, id long"))
+    asked = spark.range(0, 100_000, 500).select((F.col("id") * 7919 - 5).cast("int").alias("k")).unionByName(spark.createDataFrame([(None,)], "k int"))
+    kept = {r["id"] for r in keep_asked(rows, "key", asked, "k").collect()}
+    assert kept >= set(range(0, 100_000, 500)) and len(kept) < 250 and -1 not in kept
+    # a filter that is too small passes more and still drops none
+    full = {r["id"] for r in keep_asked(rows, "key", asked, "k", words=2).collect()}
+    assert full >= kept
+    assert keep_asked(rows, "key", asked.where("false"), "k").count() == 0
