@@ -137,5 +137,10 @@ def eval_rows(df: DataFrame, order: str) -> DataFrame:
 
 
 def metrics_long(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per (row, metric)."""
-    return rows.select(*keys, F.explode("metrics").alias("metric", "value"))
+    """One row per (row, metric).
+
+    Spark puts a filter on the size of an exploded map below the projection that makes it,
+    which would score every row twice; the outer form has none, and its rows of empty maps
+    are dropped behind it.
+    """
+    return rows.select(*keys, F.explode_outer("metrics").alias("metric", "value")).where(F.col("metric").isNotNull())

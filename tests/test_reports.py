@@ -194,3 +194,15 @@ def test_dispatch_reads_figures_of_asked_orders_only(spark, tmp_path):
     # line items are filtered where they are read: none is joined by its order before
     plan = turns._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "LeftSemi" not in plan and plan.count("BroadcastHashJoin") >= 1
+
+
+def test_metrics_are_not_computed_twice_to_be_exploded(spark):
+    from filingloom.operators import scoring
+
+    rows = spark.createDataFrame([("metric_extraction", "a 1", "a 1", "a 1"), (None, None, None, None)], "task_type string, input string, output string, prediction string")
+    long = scoring.metrics_long(scoring.score_examples(rows), ["task_type"])
+    optimised = long._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("lcs_counts(") <= 2 and "size(map_from_entries" not in optimised
+    # rows without a metric have no row
+    empty = spark.sql("SELECT 1 AS k, map() AS metrics UNION ALL SELECT 2, NULL UNION ALL SELECT 3, map('m', CAST(NULL AS DOUBLE))").withColumn("metrics", F.col("metrics").cast("map<string,double>"))
+    assert [tuple(r) for r in scoring.metrics_long(empty, ["k"]).collect()] == [(3, "m", None)]
