@@ -36,6 +36,8 @@ SHARD_TOKENS = 4_000_000
 GROUP = 16
 #: characters per shard when ranges are laid out; only their number depends on it
 CHARS_PER_TASK = 16_000_000
+#: pieces that a writing worker remembers; most rare words come once more in the texts of a worker
+PIECES = 1_000_000
 #: bytes of files that a task decodes, about; a shard is read by one task
 READ_BYTES = 4 << 20
 
@@ -153,7 +155,7 @@ def _writer(root: str, tokenizer: str, shard_tokens: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, PIECES)
         store, folder = fs.FileSystem.from_uri(root)
         out = Rows(schema)
         keys: list[int | None] = []

@@ -2,8 +2,9 @@
 
 The vocabulary's splitting pattern never lets a pre-token reach over a space that is
 followed by a non-space: such a space always opens a new pre-token. A text may therefore
-be cut before these spaces and the pieces be encoded one by one. Pieces repeat very often,
-so their ids are kept in a bounded cache and only new pieces reach the tokenizer.
+be cut before these spaces and the pieces be encoded one by one. A line break between two
+non-spaces is a pre-token of its own, so texts are cut before it as well. Pieces repeat very
+often, so their ids are kept in a bounded cache and only new pieces reach the tokenizer.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _PRE_TOKENS = re.compile(
 ).findall
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7e¡-©«-±´¶-¸»¿-ȳ‐-‧]*").fullmatch
 _ODD_SPACE = re.compile(r" (?:\s|\Z)").search
+# a line break beside other white space or at the end, where no plain space is followed by one
+_ODD_BREAK = re.compile(r"\n(?:\s|\Z|(?<=[^\S ]\n))").search
 _MARKS = frozenset(",.;:!?")
 _CUT = re.compile(r" (?=\S)").split
 
@@ -85,12 +88,16 @@ class _Words(_Cache):
 class _Pieces(_Cache):
     """What stands between two cuts: mostly one word, or one with a mark behind it."""
 
-    def __init__(self, words: _Words, lead: str):
-        self.words, self.lead = words, lead
+    def __init__(self, words: _Words, lead: str, opening: _Pieces | None = None, most: int | None = None):
+        self.words, self.lead, self.opening = words, lead, opening
         if lead:
-            self.most = PIECE_ENTRIES
+            self.most = most or PIECE_ENTRIES
 
     def __missing__(self, piece: str) -> bytes:
+        if self.opening is not None and piece[0] == "\n":
+            # cut before a line break: what is behind it opens a line and has no lead
+            ids = self.words["\n"] + self.opening[piece[1:]]
+            return self.keep(piece, ids) if len(piece) <= MAX_KEPT_CHARS else ids
         if piece.isalpha() and len(piece) < MAX_KEPT_CHARS:
             return self.keep(piece, self.words.merge(self.lead + piece))
         head, mark = piece[:-1], piece[-1:]
@@ -102,21 +109,23 @@ class _Pieces(_Cache):
         return self.keep(piece, b"".join([self.words[w] for w in _PRE_TOKENS(whole)]))
 
 
-def encoder(path: str) -> Callable[[str | None], bytes]:
+def encoder(path: str, entries: int | None = None) -> Callable[[str | None], bytes]:
     """A function from a text to its ids and the end id, 4 bytes each, little-endian.
 
     A null text counts as empty. Texts holding a special token's string are encoded whole.
+    ``entries`` are those of the cache of pieces, each of about 200 bytes.
     """
     kept = worker_cache("tokens")
-    if path in kept:
-        return kept[path]
+    if (path, entries) in kept:
+        return kept[path, entries]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     words = _Words(tokenizer)
-    first, later = _Pieces(words, ""), _Pieces(words, " ")
+    first = _Pieces(words, "")
+    later = _Pieces(words, " ", first, entries)
     end = np.array([END_ID], "<u4").tobytes()
 
     def encode(text: str | None) -> bytes:
@@ -124,9 +133,14 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
             return end
         if any(s in text for s in special):
             return words.encode(text) + end
-        pieces = _CUT(text) if _ODD_SPACE(text) else text.split(" ")
+        if _ODD_SPACE(text):
+            pieces = _CUT(text)
+        elif _ODD_BREAK(text):
+            pieces = text.split(" ")
+        else:
+            pieces = text.replace("\n", " \n").split(" ")
         head = first[pieces[0]] if pieces[0] else b""
         return head + b"".join(map(later.__getitem__, pieces[1:])) + end
 
-    kept[path] = encode
+    kept[path, entries] = encode
     return encode

@@ -42,6 +42,29 @@ def test_full_caches_change_nothing(tokenizer, monkeypatch):
     assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(tokenizer, text)
 
 
+def test_line_breaks_between_words_need_no_pieces_of_their_own(tokenizer, monkeypatch):
+    monkeypatch.setattr(common, "_held", {})
+    merged = []
+    merge = tokens._Words.merge
+    monkeypatch.setattr(tokens._Words, "merge", lambda self, word: merged.append(word) or merge(self, word))
+    encode = tokens.encoder(tokens.default_path())
+    ends, starts = [f"end{'abcdefgh'[i]}" for i in range(8)], [f"Start{'abcdefgh'[i]}" for i in range(8)]
+    for end in ends:
+        for start in starts:
+            text = f"some {end}.\n{start} more"
+            assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(tokenizer, text), text
+    # a word before a line break and one behind it are met once each, not once per pair or form
+    assert len(merged) == len(set(merged)) == 8 + 8 + len(("some", " more", ".", "\n"))
+
+
+def test_line_breaks_beside_white_space(tokenizer):
+    encode = tokens.encoder(tokens.default_path())
+    random.seed(2)
+    for _ in range(2000):
+        text = "".join(random.choice(["\n", "\n", " ", "\t", "\r", "\x85", "\u2003", "a", "Bc", ".", "\u00e9", "'s"]) for _ in range(9))
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(tokenizer, text), repr(text)
+
+
 @pytest.mark.parametrize("n", [1, 255, 257, 65_537, 200_000])
 def test_coding_round_trip_and_checkpoints(n):
     ids = (np.random.default_rng(n).zipf(1.4, n) % 50_257).astype("<u4")
